@@ -1 +1,5 @@
+"""League analytics on Spark DataFrames."""
 
+from .session import get_session
+
+__all__ = ["get_session"]

@@ -1,4 +1,6 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import league_tables  # noqa: F401  registers its queries
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
