@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from . import league_tables  # noqa: F401  registers its queries
+from . import league_tables, relational  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
