@@ -22,7 +22,7 @@ def pts(gf: Column = None, ga: Column = None) -> Column:
 
 
 def days(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(8.64e10)
+    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(8.64e10)
 
 
 def past(last: int, *partition: str):
