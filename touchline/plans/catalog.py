@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from . import form, league_tables, relational  # noqa: F401  they register their queries
+from . import form, league_tables, metrics, relational, scalars, validation  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
