@@ -149,17 +149,17 @@ def least_of_each(x: np.ndarray, w: int) -> np.ndarray:
     return place
 
 
-def steps(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of at most CHUNK_BYTES each, or of one text."""
+def steps(sizes: list[bytes | int | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts, given as they are or by their sizes, of at most ``limit`` bytes each, or of one text."""
     low = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or b"")
-        if i > low and size + n > CHUNK_BYTES:
+    for i, t in enumerate(sizes):
+        n = t if isinstance(t, int) else len(t or b"")
+        if i > low and size + n > limit:
             yield low, i
             low, size = i, 0
         size += n
-    if low < len(texts):
-        yield low, len(texts)
+    if low < len(sizes):
+        yield low, len(sizes)
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:

@@ -24,20 +24,22 @@ comes first; an empty table gives no segments; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, shared_dir, steps, text_bytes
+from .common import column, shared_dir, steps
 
 BLOCK = 1024
 MAGIC = b"TLB1"
@@ -45,11 +47,39 @@ HEAD = struct.Struct("<4sIQI")
 BLOCK_HEAD = struct.Struct("<IBBH")
 SEGMENTS = "part int, seq int, n_ids long, doc_ids array<long>, segment binary"
 DOCUMENTS = "part int, doc_id long, at long, n_tokens long, ids_crc32 long"
-#: Words whose ids a worker remembers; beyond that it starts afresh.
-CACHE = 600_000
+#: Parts of pieces whose ids a worker remembers; beyond that it starts afresh.
+CACHE = 1_000_000
+#: Text of one segment; a longer document is one of its own.
+SEGMENT_BYTES = 8 << 20
 
 
 # ---------------------------------------------------------------- the format
+def pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of uint32 values as rows of bytes, ``width`` bits each; 64 values are ``width`` 64-bit words."""
+    lanes = np.ascontiguousarray(values.reshape(-1, 64).T).astype("<u8")
+    words = np.zeros((width, lanes.shape[1]), dtype="<u8")
+    for j, lane in enumerate(lanes):
+        word, shift = divmod(j * width, 64)
+        words[word] |= lane << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= lane >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).view(np.uint8).reshape(len(values), -1)
+
+
+def unpack(rows: np.ndarray, width: int) -> np.ndarray:
+    """What ``pack`` packed."""
+    words = np.ascontiguousarray(rows.view("<u8").reshape(-1, width).T)
+    lanes = np.empty((64, words.shape[1]), dtype="<u4")
+    mask = np.uint64((1 << width) - 1)
+    for j in range(64):
+        word, shift = divmod(j * width, 64)
+        lane = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            lane = lane | words[word + 1] << np.uint64(64 - shift)
+        lanes[j] = lane & mask
+    return np.ascontiguousarray(lanes.T).reshape(len(rows), -1)
+
+
 def encode_segment(ids: np.ndarray, lengths: np.ndarray, percentile: float = 0.9) -> bytes:
     """``ids`` (uint32) of documents that have ``lengths`` ids each, as one segment."""
     n = len(ids)
@@ -66,12 +96,11 @@ def encode_segment(ids: np.ndarray, lengths: np.ndarray, percentile: float = 0.9
     width = np.maximum(1, np.ceil(np.log2(typical.astype(np.float64) + 1))).astype(np.int64)
     high = (over.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype("<u4")
     packed: list[bytes] = [b""] * n_blocks
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
-        bits = np.unpackbits(over[rows].view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")
-        out = np.packbits(bits[:, :, :w].reshape(len(rows), BLOCK * w), axis=1, bitorder="little")
+        out = pack(over[rows] & np.uint32((1 << w) - 1), w)
         for r, row in zip(rows.tolist(), out, strict=True):
-            packed[r] = row[: -(-min(BLOCK, n - r * BLOCK) * int(w) // 8)].tobytes()
+            packed[r] = row[: -(-min(BLOCK, n - r * BLOCK) * w // 8)].tobytes()
     if n_blocks:
         high.reshape(-1)[n:] = 0
     row, place = np.nonzero(high)
@@ -108,9 +137,7 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             size = -(-min(BLOCK, n - b * BLOCK) * int(w) // 8)
             s = starts[b] + BLOCK_HEAD.size
             raw[i, :size] = body[s : s + size]
-        bits = np.zeros((len(rows), BLOCK, 32), dtype=np.uint8)
-        bits[:, :, :w] = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        grid[rows] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
+        grid[rows] = unpack(raw, int(w))
     for b, (_, w, _, many) in enumerate(heads):
         if many:
             e = starts[b + 1]
@@ -122,57 +149,104 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ---------------------------------------------------------------- tokenising
-class _Ids(dict):
-    """Ids of white-space separated pieces of text.
+#: Pieces of Latin-1 letters, then ASCII marks (no apostrophe), are cut between the two; the library cuts others.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+MARKS = r"!-&(-/:-@\[-`{-~"
+PLAIN = re.compile(f"[{LETTERS}]*|[{MARKS}]*")
+
+
+def byte_letters() -> dict[int, str]:
+    """A printable letter for each byte: itself, or one from 256 on in order."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b if b in kept else 256 + rest.index(b)) for b in range(256)}
+
+
+class _Ids:
+    """Ids of white-space separated pieces of text, as rows of one flat array; row 0 is the end id.
 
     The vocabulary's rules never let a token cross ASCII white space, and drop
     it, so a text's ids are those of its pieces in turn.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-
-    def learn(self, pieces: list[bytes]) -> None:
-        new = list({p for p in pieces if p not in self})
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(set(pieces))
-        for low in range(0, len(new), 20_000):
-            part = new[low : low + 20_000]
-            found = self.library.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
-            self.update(zip(part, (tuple(x.ids) for x in found), strict=True))
-
-
-_IDS: dict[str, _Ids] = {}
-
-
-def text_ids(texts: list[bytes | None], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        self.letters = byte_letters()
+        self.end_id = end_id
+        self.reset()
+
+    def reset(self) -> None:
+        self.row: dict[str, int] = {}
+        self.flat, self.start = array("I", [self.end_id]), array("q", [0, 1])
+
+    def ids_of(self, part: str) -> list[int]:
+        """Ids of letters, or of marks: what the library's rules leave whole."""
+        word = part.lower() if part.isascii() else part.lower().encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.library.model.tokenize(word)]
+
+    def learn(self, parts: list[str]) -> None:
+        row, flat, start, hard = self.row, self.flat, self.start, []
+        for p in parts:
+            if PLAIN.fullmatch(p) is None:
+                hard.append(p)
+                continue
+            flat.extend(self.ids_of(p))
+            row[p] = len(start) - 1
+            start.append(len(flat))
+        for low in range(0, len(hard), 20_000):
+            some = hard[low : low + 20_000]
+            for p, x in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                flat.extend(x.ids)
+                row[p] = len(start) - 1
+                start.append(len(flat))
+
+    def rows(self, parts: pa.Array) -> np.ndarray:
+        """The row of each of some letters, marks or whole pieces."""
+        distinct = parts.dictionary_encode()
+        parts = distinct.dictionary.to_numpy(zero_copy_only=False)
+        found = list(map(self.row.get, parts))
+        new = [p for p, r in zip(parts, found, strict=True) if r is None]
+        if new:
+            self.learn(new)
+            found = list(map(self.row.__getitem__, parts))
+        return np.array(found, dtype=np.int64)[distinct.indices.to_numpy()]
+
+
+_IDS: dict[tuple[str, int], _Ids] = {}
+
+
+def text_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of each text with the end id, and how many there are of each."""
-    if path not in _IDS:
-        _IDS[path] = _Ids(path)
-    ids = _IDS[path]
-    flat, lengths = [], np.zeros(len(texts), dtype=np.int64)
-    for i, t in enumerate(texts):
-        pieces = (t or b"").split()
-        try:
-            own = [*chain.from_iterable(map(ids.__getitem__, pieces)), end_id]
-        except KeyError:
-            ids.learn(pieces)
-            own = [*chain.from_iterable(map(ids.__getitem__, pieces)), end_id]
-        flat.append(np.array(own, dtype="<u4"))
-        lengths[i] = len(own)
-    return np.concatenate(flat) if flat else np.zeros(0, "<u4"), lengths
+    known = _IDS.get((path, end_id))
+    if known is None:
+        known = _IDS[path, end_id] = _Ids(path, end_id)
+    if len(known.row) > CACHE:
+        known.reset()
+    pieces = pc.ascii_split_whitespace(texts.fill_null(""))
+    last = np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False), dtype=np.int64)
+    words = pieces.flatten().dictionary_encode()
+    parts = pc.extract_regex(words.dictionary, f"^(?P<letters>[{LETTERS}]*)(?P<marks>[{MARKS}]*)$")  # null for other pieces
+    letters = known.rows(pc.coalesce(pc.struct_field(parts, 0), words.dictionary))
+    marks = known.rows(pc.coalesce(pc.struct_field(parts, 1), pa.scalar("")))
+    row = np.stack([letters, marks], axis=1)[words.indices.to_numpy()].reshape(-1)
+    row = np.insert(row, 2 * last, 0)
+    flat, start = np.frombuffer(known.flat, np.uint32), np.frombuffer(known.start, np.int64)
+    begin, many = start[row], start[row + 1] - start[row]
+    upto = np.cumsum(many)
+    ids = flat[np.repeat(begin - upto + many, many) + np.arange(upto[-1] if len(upto) else 0)]
+    ends = upto[2 * last + np.arange(len(last))]
+    return ids.astype("<u4"), np.diff(ends, prepend=0)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, percentile: float) -> Iterator[pa.RecordBatch]:
     part, seq = TaskContext.get().partitionId(), 0
     for batch in batches:
-        texts, keys = text_bytes(batch), column(batch, "doc_id")
-        for a, b in steps(texts):
-            ids, lengths = text_ids(texts[a:b], path, end_id)
+        texts, keys = batch.column(batch.schema.get_field_index("text")), column(batch, "doc_id")
+        for a, b in steps(pc.binary_length(texts).to_pylist(), SEGMENT_BYTES):
+            ids, lengths = text_ids(texts.slice(a, b - a), path, end_id)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([keys[a:b]], pa.list_(pa.int64())), pa.array([encode_segment(ids, lengths, percentile)], pa.binary())],
                 names=["part", "seq", "n_ids", "doc_ids", "segment"],
