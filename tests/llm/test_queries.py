@@ -1,0 +1,57 @@
+"""The registered queries against their SQL, and what no SQL gives against brute force, on the smallest tables."""
+
+import zlib
+
+import pytest
+from compare import same
+
+import corpus_pipeline
+from touchline.llm import catalog
+
+
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
+def test_query_equals_sql(spark, duck, sf_dir, name):
+    assert same(catalog.QUERIES[name](spark, sf_dir), duck, catalog.SQL[name]) > 0
+
+
+def test_every_operator_is_registered():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert "pipeline" in names
+    for n in range(1, 11):
+        assert sum(x.startswith(f"op{n}_") for x in names) == 1
+
+
+def test_quality_on_held_out_labels(spark, sf_dir):
+    got = {r.doc_id: r for r in catalog.QUERIES["op6_quality"](spark, sf_dir).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    held = [(r.score, labels[i]) for i, r in got.items() if r.held_out and labels.get(i) is not None]
+    pairs = [(a > b) + 0.5 * (a == b) for a, x in held if x == 1 for b, y in held if y == 0]
+    assert sum(pairs) / len(pairs) > 0.8
+
+
+def test_pipeline(spark, sf_dir):
+    from test_small import contamination, jaccard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    columns, kept = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES:
+        before, kept = kept, stage(spark, kept, sf_dir)
+        rows = [tuple(r) for r in before.collect()]
+        out = [tuple(r) for r in kept.collect()]
+        at = {c: i for i, c in enumerate(before.columns)}
+        pairs = [(r[at["doc_id"]], r[at["text"]]) for r in rows]
+        if name != "token_blocks":
+            assert kept.columns == columns
+            assert set(out) <= set(rows)
+        if name == "near_copies":
+            roots = {i: c for i, _, c in jaccard(pairs, 5, 8, 10)}
+            assert sorted(r[at["doc_id"]] for r in out) == sorted(i for i, _ in pairs if roots[i] == i)
+        elif name == "decontaminate":
+            assert sorted(r[at["doc_id"]] for r in out) == sorted(c[0] for c in contamination(pairs, items) if not c[5])
+        elif name == "token_blocks":
+            assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in pairs)
+    assert kept.count() > 0

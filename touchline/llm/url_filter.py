@@ -59,7 +59,7 @@ def node_of(url: Column) -> Column:
 
 def _target(tags: Column, kind: str, value: str) -> Column:
     """The url that the first of ``tags`` of a kind points to, or null."""
-    fit = F.element_at(F.filter(tags, lambda t: t.rlike(kind)), 1)
+    fit = F.get(F.filter(tags, lambda t: t.rlike(kind)), F.lit(0))
     return F.nullif(F.replace(F.regexp_extract(fit, value, 1), F.lit("&amp;"), F.lit("&")), F.lit(""))
 
 
