@@ -425,3 +425,14 @@ def test_urls(spark):
     joined = {r.page_id: r.verdict for r in url_filter.judge_urls(frame, redirects=both).collect()}
     assert joined[7] == joined[6] == "allow" and joined[5] == "block"  # an allowed alias has precedence; a rule of one's own decides
     assert url_filter.judge_urls(frame.limit(0)).collect() == []
+
+
+def test_repeats_are_removed_from_texts(docs, none):
+    kept = substring_dedup.remove_repeats(docs)
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+    digests = {(i, h): n for i, _, n, h in repeats(texts(), 50)}
+    for r in kept.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        assert (r.doc_id, hashlib.sha256(" ".join(w).encode()).hexdigest()) in digests
+        assert r.score is None and r.component == "c"
+    assert substring_dedup.remove_repeats(none).collect() == []

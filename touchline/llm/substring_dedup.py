@@ -32,6 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,53 +128,62 @@ def _prints(batches: Iterator[pa.RecordBatch], span: int, k: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(shas, pa.string()), pa.array(classes, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "n_words", "sha", "class", "prints"])
 
 
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[pa.Array, np.ndarray]:
+    """All values of a column of lists, and where each row's begin; nothing becomes a Python object."""
+    held = batch.column(batch.schema.get_field_index(name))
+    sizes = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)
+    return held.flatten(), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
 def _windows(batches: Iterator[pa.RecordBatch], span: int, k: int) -> Iterator[pa.RecordBatch]:
     """Distinct spans of a text whose fingerprint others have too, as two hashes each."""
     for batch in batches:
         same = [c == _class(t) for t, c in zip(text_bytes(batch), column(batch, "class"), strict=True)]
         batch = batch.filter(pa.array(same, pa.bool_()))  # noqa: PLW2901  not other rows of its doc_id
-        texts, one, two = text_bytes(batch), [], []
-        for t, shared in zip(texts, column(batch, "prints"), strict=True):
+        prints, at = _lists(batch, "prints")
+        prints, one, two = prints.to_numpy(), [], []
+        for i, t in enumerate(text_bytes(batch)):
             h = Words([t], NOT_BLANK, lower=False).hash
             grams = windows(h, k)
-            ok = np.isin(signed(grams[least_of_each(grams, span - k + 1)]), np.array(shared, dtype=np.int64))
+            ok = np.isin(signed(grams[least_of_each(grams, span - k + 1)]), prints[at[i] : at[i + 1]])
             x, place = np.unique(windows(h, span)[ok], return_index=True)
             one.append(signed(x))
             two.append(signed(windows(h, span, BASE2)[ok][place]))
-        keep = [n for n in batch.schema.names if n != "prints"]
+        keep = [n for n in batch.schema.names if n not in ("prints", "class")]
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in keep), pa.array(one, pa.list_(pa.int64())), pa.array(two, pa.list_(pa.int64()))], names=[*keep, "one", "two"])
 
 
-PASSAGES = "ref binary, class binary, start long, passages array<string>"
+PASSAGES = "ref long, cid long, start long, passages array<string>"
 
 
 def _passages(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """A text's reference shard (class is null), and its passages that others' shards may hold."""
+    """A text's reference shard (cid is null), and its passages that others' shards may hold."""
     for batch in batches:
-        for t, own, known in zip(text_bytes(batch), column(batch, "class"), column(batch, "known"), strict=True):
+        known, at = _lists(batch, "known")
+        ones, refs = (pc.struct_field(known, n).to_numpy() for n in ("one", "ref"))
+        rows: list[tuple] = []
+        for i, (t, own) in enumerate(zip(text_bytes(batch), column(batch, "cid"), strict=True)):
             words = (t or b"").split()
             h = signed(windows(Words([t], NOT_BLANK, lower=False).hash, span))
-            refs: list[bytes] = sorted({x["ref"] for x in known})
-            number = {r: i for i, r in enumerate(refs)}
-            keys = np.array([x["one"] for x in known], dtype=np.int64)
-            vals = np.array([number[x["ref"]] for x in known], dtype=np.int64)
+            keys, vals = ones[at[i] : at[i + 1]], refs[at[i] : at[i + 1]]
             order = np.argsort(keys)
-            at = np.searchsorted(keys[order], h).clip(max=len(keys) - 1)
-            which = np.where(keys[order][at] == h, vals[order][at], -1)
+            keys, vals = keys[order], vals[order]
+            place = np.searchsorted(keys, h).clip(max=len(keys) - 1)
+            which = np.where(keys[place] == h, vals[place], -1)
             edge = np.flatnonzero(np.diff(which, prepend=-2, append=-2))
-            rows, shard = [], []
+            shard = []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if which[a] >= 0:
                     text = b" ".join(words[a : b - 1 + span]).decode()
-                    if refs[which[a]] == own:
+                    if which[a] == own:
                         shard.append(text)
                     else:
-                        rows.append((refs[which[a]], own, a, [text]))
+                        rows.append((int(which[a]), own, a, [text]))
             if shard:
                 rows.append((own, None, 0, shard))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(cols, kinds, strict=True)], names=["ref", "class", "start", "passages"])
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(cols, kinds, strict=True)], names=["ref", "cid", "start", "passages"])
 
 
 def _match(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
@@ -181,12 +191,13 @@ def _match(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBa
     ref, automaton = None, None
     for batch in batches:
         found = []
-        for r, c, start, passage, shard in zip(*(column(batch, n) for n in ("ref", "class", "start", "passage", "shard")), strict=True):
+        passages, shards = (batch.column(batch.schema.get_field_index(n)) for n in ("passage", "shard"))
+        for i, (r, c, start) in enumerate(zip(*(column(batch, n) for n in ("ref", "cid", "start")), strict=True)):
             if r != ref:
-                ref, automaton = r, SuffixAutomaton([p.encode().split() for p in shard])
-            found += [(c, start + a, start + b) for a, b in automaton.spans(passage.encode().split(), span)]
+                ref, automaton = r, SuffixAutomaton([p.encode().split() for p in shards[i].as_py()])
+            found += [(c, start + a, start + b) for a, b in automaton.spans(passages[i].as_py().encode().split(), span)]
         cols = list(zip(*found, strict=True)) if found else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["class", "low", "high"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cols], names=["cid", "low", "high"])
 
 
 def _kept(words: list[bytes], spans: list[dict]) -> list[bytes]:
@@ -205,7 +216,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = _kept(words, spans)
             gone.append(len(words) - len(kept))
             shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("class")), pa.array(gone, pa.int64()), pa.array(shas, pa.string())], names=["class", "n_gone", "kept_sha"])
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("cid")), pa.array(gone, pa.int64()), pa.array(shas, pa.string())], names=["cid", "n_gone", "kept_sha"])
 
 
 # ---------------------------------------------------------------- operators
@@ -213,32 +224,34 @@ def _tables(docs: DataFrame, span: int, k: int) -> tuple[DataFrame, DataFrame, D
     """Rows' digests, classes' least documents, texts that share spans, and words to remove of each class."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(texts.mapInArrow(partial(_prints, span=span, k=k), PRINTS), "prints")
-    classes = materialize(rows.where("doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "text-classes")
-    reps = rows.where(f"n_words >= {span}").join(classes.select("class", F.col("least").alias("doc_id")), ["class", "doc_id"]).dropDuplicates(["class"])
-    dealt = materialize(reps.select("class", "doc_id", F.explode("prints").alias("print")), "fingerprints")
+    # a number for each class: written once, so it stays the same, and a third of the digest's size in every shuffle
+    classes = materialize(rows.where("doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "text-classes")
+    reps = rows.where(f"n_words >= {span}").join(classes.select("class", F.col("least").alias("doc_id"), "cid"), ["class", "doc_id"]).dropDuplicates(["cid"])
+    dealt = materialize(reps.select("cid", "doc_id", F.explode("prints").alias("print")), "fingerprints")
     shared = dealt.groupBy("print").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("print")
-    hits = materialize(dealt.join(shared, "print").groupBy("class", "doc_id").agg(F.collect_list("print").alias("prints")), "shared-prints")
+    hits = dealt.join(shared, "print").groupBy("cid", "doc_id").agg(F.collect_list("print").alias("prints"))
+    hits = materialize(hits.join(classes.select("cid", "class"), "cid"), "shared-prints")
 
     n = hits.agg(F.sum(F.size("prints"))).head()[0] or 0
-    own = texts.join(F.broadcast(hits) if n <= MAX_BROADCAST_PRINTS else hits, "doc_id").select("class", "doc_id", "text", "prints")
-    involved = materialize(own.mapInArrow(partial(_windows, span=span, k=k), "class binary, doc_id long, text string, one array<long>, two array<long>"), "involved")
-    spans = involved.select("class", "doc_id", F.explode(F.arrays_zip("one", "two")).alias("x")).select("class", "doc_id", "x.one", "x.two")
-    first = spans.groupBy("one", "two").agg(F.min(F.struct("doc_id", "class")).alias("first"), F.max("doc_id").alias("most")).where("first.doc_id < most")
-    known = spans.join(first.select("one", "two", F.col("first.class").alias("ref"), F.col("first.doc_id").alias("least")), ["one", "two"]).where("class = ref or doc_id > least")
-    known = known.groupBy("class").agg(F.collect_list(F.struct("one", "ref")).alias("known"))
-    passages = materialize(involved.select("class", "text").join(known, "class").mapInArrow(partial(_passages, span=span), PASSAGES), "passages")
-    shards = passages.where("class is null").select("ref", F.col("passages").alias("shard"))
-    coming = passages.where("class is not null").select("ref", "class", "start", F.col("passages")[0].alias("passage"))
-    found = coming.join(shards.hint("merge"), "ref").select("ref", "class", "start", "passage", "shard").mapInArrow(partial(_match, span=span), "class binary, low long, high long")
-    gone = materialize(found.groupBy("class").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "repeats")
-    return rows, classes, involved.select("class", "text"), gone
+    own = texts.join(F.broadcast(hits) if n <= MAX_BROADCAST_PRINTS else hits, "doc_id").select("cid", "class", "doc_id", "text", "prints")
+    involved = materialize(own.mapInArrow(partial(_windows, span=span, k=k), "cid long, doc_id long, text string, one array<long>, two array<long>"), "involved")
+    spans = involved.select("cid", "doc_id", F.explode(F.arrays_zip("one", "two")).alias("x")).select("cid", "doc_id", "x.one", "x.two")
+    first = spans.groupBy("one", "two").agg(F.min(F.struct("doc_id", "cid")).alias("first"), F.max("doc_id").alias("most")).where("first.doc_id < most")
+    known = spans.join(first.select("one", "two", F.col("first.cid").alias("ref"), F.col("first.doc_id").alias("least")), ["one", "two"]).where("cid = ref or doc_id > least")
+    known = known.groupBy("cid").agg(F.collect_list(F.struct("one", "ref")).alias("known"))
+    passages = materialize(involved.select("cid", "text").join(known, "cid").mapInArrow(partial(_passages, span=span), PASSAGES), "passages")
+    shards = passages.where("cid is null").select("ref", F.col("passages").alias("shard"))
+    coming = passages.where("cid is not null").select("ref", "cid", "start", F.col("passages")[0].alias("passage"))
+    found = coming.join(shards.hint("merge"), "ref").select("ref", "cid", "start", "passage", "shard").mapInArrow(partial(_match, span=span), "cid long, low long, high long")
+    gone = materialize(found.groupBy("cid").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "repeats")
+    return rows, classes, involved.select("cid", "text"), gone
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the words kept, of each row of ``docs``."""
     rows, classes, involved, gone = _tables(docs, span, k)
-    cut = materialize(involved.join(gone, "class").mapInArrow(_cut, "class binary, n_gone long, kept_sha string").dropDuplicates(["class"]), "cut")
-    out = rows.drop("prints").join(classes, "class", "left").join(cut, "class", "left")
+    cut = materialize(involved.join(gone, "cid").mapInArrow(_cut, "cid long, n_gone long, kept_sha string").dropDuplicates(["cid"]), "cut")
+    out = rows.drop("prints").join(classes, "class", "left").join(cut, "cid", "left")
     later = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)) & (F.col("n_words") >= span)
     nothing = hashlib.sha256(b"").hexdigest()
     own = F.col("doc_id").isNotNull() & F.col("n_gone").isNotNull()
@@ -248,3 +261,32 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
         F.when(later, F.col("n_words")).when(own, F.col("n_gone")).otherwise(0).cast("long").alias("n_removed"),
         F.when(later, F.lit(nothing)).when(own, F.col("kept_sha")).otherwise(F.col("sha")).alias("kept_sha256"),
     )
+
+
+def _tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_class(t) for t in text_bytes(batch)], pa.binary())], names=[*batch.schema.names, "class"])
+
+
+def _rewrite(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for t, i, least, spans in zip(text_bytes(batch), column(batch, "doc_id"), column(batch, "least"), column(batch, "spans"), strict=True):
+            words = (t or b"").split() if i is not None and (spans or (least is not None and i > least)) else []
+            if words and i > least and len(words) >= span:
+                t = b""  # noqa: PLW2901
+            elif words and spans:
+                t = b" ".join(_kept(words, spans))  # noqa: PLW2901
+            out.append(None if t is None else t.decode())
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(out, pa.string())], names=["row", "text"])
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+    """``docs`` without the repeated words; a text that loses some has the others joined by one space, all others stay as they are."""
+    _, classes, _, gone = _tables(docs, span, k)
+    marks = classes.join(gone, "cid", "left").select("class", "least", "spans")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    row = packed.schema["row"].dataType.simpleString()
+    tagged = packed.mapInArrow(_tag, f"row {row}, doc_id long, text string, class binary")
+    found = tagged.join(marks, "class", "left").mapInArrow(partial(_rewrite, span=span), f"row {row}, text string")
+    return found.select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*")
