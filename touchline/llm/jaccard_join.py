@@ -12,8 +12,8 @@ one class.  Two classes link when their sets' Jaccard similarity is at least a r
 2. *Families.*  Documents of one part hash are tied to the least of them; connected
    components of these edges are families, which no link leaves.  A hash of n
    documents makes n - 1 edges, never pairs, and near copies mostly repeat each other's.
-   The least is found by a partial aggregate and joined back, so that a hash that very
-   many documents have can be split among tasks.
+   Part hashes are shuffled once and only sorted, so a frequent one spills, and the many
+   parts of a large group of near copies lie in as many tasks.
 3. *Trees.*  A family (in blocks, if it is large) is searched in one task.  Its sets
    are leaves of a tree whose nodes hold the OR of their members' token bitmaps and
    their range of sizes.  Two nodes are traversed together and pruned when the largest
@@ -37,7 +37,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BASE2, NOT_BLANK, U64, Words, materialize, mix64, signed, steps, text_bytes, windows
@@ -230,8 +230,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> Dat
     classes = materialize(usable.groupBy(*key).agg(F.min("doc_id").alias("rep")), "set-classes")
 
     dealt = usable.select(F.col("doc_id").alias("rep"), "parts").join(classes.select("rep"), "rep", "left_semi").select("rep", F.explode("parts").alias("part"))
-    least = dealt.groupBy("part").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("part", "least")
-    near = dealt.join(least, "part").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+    least = F.first("rep").over(Window.partitionBy("part").orderBy("rep"))
+    near = dealt.select(F.col("rep").alias("a"), least.alias("b")).where("a <> b").distinct()
     families = connected_components(near).withColumnRenamed("component", "family")
 
     sizes = families.groupBy("family").agg(F.count("*").alias("n"))
