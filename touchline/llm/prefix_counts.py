@@ -26,24 +26,27 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import byte_letters, text_bytes
 
 #: Unicode white space, as the vocabulary's splitting rule has it.
 SPACE = "\t-\r \x85\xa0  -     　"
 RUN = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 LEAD = re.compile(f"[{SPACE}]*")
-#: Runs whose split is plain to see: a word of ASCII letters, then marks.
-SIMPLE = re.compile(r"( ?[A-Za-z]+)([.,;:!?]*)")
+#: Runs whose split is plain to see: a word of Latin-1 letters, then marks.
+SIMPLE = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 #: Endings that the rule takes whole, but not in part.
 WHOLE = {"'re", "'ve", "'ll"}
+#: Lengths of heads of pieces that are kept, the longest first.
+HEADS = (12, 9, 7, 5, 3)
 #: Runs whose tables a worker remembers; beyond that it starts afresh.
-CACHE = 400_000
+CACHE = 700_000
 
 
 class PrefixTables:
@@ -61,38 +64,55 @@ class PrefixTables:
         names = {t.content for t in added.values()}
         self.vocab = {t for t in library.get_vocab(with_added_tokens=True) if t not in names}
         self.longest = max(map(len, self.vocab))
+        self.letters = byte_letters()
+        self.first = {t.content[0] for t in added.values()}
         self.follows: dict[tuple[str, str], bool] = {}
+        self.heads: dict[str, tuple] = {}
         self.words: dict[str, list[int]] = {}
         self.tables: dict[str, list[int]] = {}
+        self.totals: dict[str, int] = {}
 
     def may_follow(self, a: str, b: str) -> bool:
         found = self.follows.get((a, b))
         if found is None:
-            if len(self.follows) > 4 * CACHE:
+            if len(self.follows) > CACHE:
                 self.follows.clear()
             self.follows[a, b] = found = [t.value for t in self.encode(a + b)] == [a, b]
         return found
 
     def pieces(self, u: str) -> list[int]:
-        """Counts of the prefixes of one piece; ``u`` has a letter for each byte."""
-        vocab, may_follow, longest = self.vocab, self.may_follow, self.longest
-        count, last = [0], [""]
-        for i in range(1, len(u) + 1):
-            j = i - 1 - len(last[-1])  # most often the last token grows by a byte
+        """Counts of the prefixes of one piece; ``u`` has a letter for each byte.
+
+        The counts and last tokens of a prefix are the same in every piece that begins
+        with it, so a piece goes on from the longest of its heads that is known.
+        """
+        vocab, follows, heads, longest, n = self.vocab, self.follows, self.heads, self.longest, len(u)
+        if len(heads) > CACHE:
+            heads.clear()
+        state = None
+        for i in HEADS:
+            if i <= n and (state := heads.get(u[:i])):
+                break
+        state = list(state) if state else [(0, "")]
+        for i in range(len(state), n + 1):
+            # most often the last token grows by a byte; else the longest that may stand there
+            j = i - 1 - len(state[-1][1])
             t = u[j:i]
-            if t in vocab and (not j or may_follow(last[j], t)):
-                count.append(count[j] + 1)
-                last.append(t)
-                continue
-            for j in range(max(0, i - longest), i):
-                t = u[j:i]
-                if t in vocab and (not j or may_follow(last[j], t)):
-                    count.append(count[j] + 1)
-                    last.append(t)
-                    break
-            else:
-                raise ValueError(f"no encoding ends at byte {i} of {u!r}")
-        return count
+            if t not in vocab or (j and not (follows.get((state[j][1], t)) or self.may_follow(state[j][1], t))):
+                for j in range(max(0, i - longest), i):
+                    t = u[j:i]
+                    if t in vocab:
+                        if not j:
+                            break
+                        ok = follows.get((state[j][1], t))
+                        if ok or (ok is None and self.may_follow(state[j][1], t)):
+                            break
+                else:
+                    raise ValueError(f"no encoding ends at byte {i} of {u!r}")
+            state.append((state[j][0] + 1, t))
+            if i in HEADS:
+                heads[u[:i]] = tuple(state)
+        return [c for c, _ in state]
 
     def piece(self, u: str) -> list[int]:
         found = self.words.get(u)
@@ -106,7 +126,11 @@ class PrefixTables:
         """Counts of the prefixes of a run without special tokens, by characters."""
         if m := SIMPLE.fullmatch(run):
             word, marks = m.groups()
-            out = self.piece(word.replace(" ", "Ġ"))
+            if word.isascii():
+                out = self.piece(word.replace(" ", "Ġ"))
+            else:
+                counts = self.piece(word.encode().decode("latin-1").translate(self.letters))
+                out = [counts[e] for e in accumulate((1 if c < "\x80" else 2 for c in word), initial=0)]
             if marks:
                 out = out + [out[-1] + c for c in self.piece(marks)[1:]]
             return out
@@ -117,8 +141,7 @@ class PrefixTables:
             if part.isascii():
                 own = counts[1:]
             else:
-                ends = np.cumsum([len(c.encode()) for c in part])
-                own = [counts[e] for e in ends]
+                own = [counts[e] for e in accumulate(len(c.encode()) for c in part)]
             if part in WHOLE:
                 own[1] = 2
             out += [base + c for c in own]
@@ -134,8 +157,9 @@ class PrefixTables:
         if found is None:
             if len(self.tables) > CACHE:
                 self.tables.clear()
+                self.totals.clear()
             at, out = 0, [0]
-            for m in self.special.finditer(run) if self.special else ():
+            for m in self.special.finditer(run) if not self.first.isdisjoint(run) else ():
                 own = self.plain(run[at : m.end()])
                 base = out[-1]
                 out += [base + c for c in own[1:-1]] + [base + self.plain(run[at : m.start()])[-1] + 1]
@@ -144,14 +168,17 @@ class PrefixTables:
                 base = out[-1]
                 out += [base + c for c in self.plain(run[at:])[1:]]
             self.tables[run] = found = out
+            self.totals[run] = out[-1]
         return found
 
     def document(self, text: str) -> tuple[list[str], np.ndarray]:
         """A text's runs and the count of tokens before each of them, then of all."""
         runs = RUN.findall(text)
-        table = self.table
+        counts = list(map(self.totals.get, runs))
+        if None in counts:
+            counts = [self.table(r)[-1] if c is None else c for r, c in zip(runs, counts, strict=True)]
         total = np.zeros(len(runs) + 1, dtype=np.int64)
-        np.cumsum([table(r)[-1] for r in runs], out=total[1:])
+        np.cumsum(counts, out=total[1:])
         return runs, total
 
     def fit(self, runs: list[str], total: np.ndarray, budget: int) -> int:

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, shared_dir, steps
+from .common import byte_letters, column, shared_dir, steps
 
 BLOCK = 1024
 MAGIC = b"TLB1"
@@ -155,13 +155,6 @@ MARKS = r"!-&(-/:-@\[-`{-~"
 PLAIN = re.compile(f"[{LETTERS}]*|[{MARKS}]*")
 
 
-def byte_letters() -> dict[int, str]:
-    """A printable letter for each byte: itself, or one from 256 on in order."""
-    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = [b for b in range(256) if b not in kept]
-    return {b: chr(b if b in kept else 256 + rest.index(b)) for b in range(256)}
-
-
 class _Ids:
     """Ids of white-space separated pieces of text, as rows of one flat array; row 0 is the end id.
 
