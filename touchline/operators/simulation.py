@@ -20,8 +20,15 @@ TOP4, TOP6, RELEGATED = 4, 6, 3
 
 def uniform(which: int, *key: Column) -> Column:
     """[0, 1) from a digest of ``key``; ``which`` (0 or 1) picks one of two independent draws."""
-    digest = F.md5(F.concat_ws("|", *[k.cast("string") for k in key]).cast("binary"))
-    return F.conv(F.substring(digest, 1 + 13 * which, 13), 16, 10).cast("double") / float(1 << 52)
+    return part_of(digest(*key), which)
+
+
+def digest(*key: Column) -> Column:
+    return F.md5(F.concat_ws("|", *[k.cast("string") for k in key]).cast("binary"))
+
+
+def part_of(hexadecimal: Column, which: int) -> Column:
+    return F.conv(F.substring(hexadecimal, 1 + 13 * which, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def _running(values: Column) -> Column:
@@ -55,9 +62,9 @@ def draw(fixtures: DataFrame, ensemble: DataFrame, runs: int, seed: int, forced:
     which = F.floor(uniform(0, F.lit(seed), F.col("run"), F.lit("vector")) * n).cast("int")
     dealt = fixtures.sparkSession.range(runs).select(F.col("id").cast("int").alias("run")).withColumn("vector", which)
     every = dealt.join(chances(fixtures, ensemble), "vector")
-    key = (F.lit(seed), F.col("run"), F.col("match_id"))
-    home = place_of(F.col("home_cdf"), uniform(0, *key))
-    drawn = every.withColumn("home_goals", home).withColumn("away_goals", place_of(F.element_at("away_cdf", F.col("home_goals") + 1), uniform(1, *key)))
+    drawn = every.withColumn("_d", digest(F.lit(seed), F.col("run"), F.col("match_id")))  # once for both draws
+    drawn = drawn.withColumn("home_goals", place_of(F.col("home_cdf"), part_of(F.col("_d"), 0)))
+    drawn = drawn.withColumn("away_goals", place_of(F.element_at("away_cdf", F.col("home_goals") + 1), part_of(F.col("_d"), 1)))
     drawn = drawn.select("run", "match_id", "home_team", "away_team", "home_goals", "away_goals")
     if forced is not None:
         f = forced.select("match_id", F.col("home_goals").alias("_fh"), F.col("away_goals").alias("_fa"))
@@ -79,11 +86,26 @@ def complete(season: DataFrame, drawn: DataFrame, runs: int) -> DataFrame:
 def final_tables(season: DataFrame, ensemble: DataFrame, runs: int, seed: int, forced: DataFrame | None = None) -> DataFrame:
     """run, team, position, points and the rest of the full table of every run.
 
-    Everything after the draw is keyed by run, so it is dealt by run once.
+    What has been played is summed once, not once a run; runs add what they drew.  Draws
+    are dealt by run once, and both uses of them share that exchange.
     """
-    drawn = draw(season.where("home_goals is null"), ensemble, runs, seed, forced)
-    whole = complete(season, drawn, runs).repartition("run")
-    return st.rank(whole, by=("run",))
+    open_, played = season.where("home_goals is null"), season.where("home_goals is not null")
+    drawn = draw(open_, ensemble, runs, seed, forced).select("run", "home_team", "away_team", "home_goals", "away_goals").repartition("run")
+    sums = ["played", "won", "drawn", "lost", "gf", "ga", "points", "gd"]
+    every = season.withColumns({c: F.when(F.lit(False), F.col(c)) for c in ("home_goals", "away_goals")}).select("home_team", "away_team", "home_goals", "away_goals")
+    base = st.totals(played.select(*every.columns).unionByName(every), by=())  # teams without a played match too
+    base = base.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    more = st.totals(drawn, by=("run",)).select("run", "team", *[F.col(c).alias(f"_{c}") for c in sums])
+    table = base.join(more, ["run", "team"], "left").select("run", "team", *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in sums])
+
+    met = st.level_pairs(table, ("run",))
+    known = st.head_to_head(played, by=())
+    legs = st.team_rows(drawn, by=("run",)).join(met.select("run", "team", "opponent"), ["run", "team", "opponent"])
+    later = legs.groupBy("run", "team", "opponent").agg(F.count("*").alias("_n"), F.sum("pts").alias("_points"), F.sum(F.col("gf") - F.col("ga")).alias("_gd"))
+    pairs = met.join(known, ["team", "opponent"], "left").join(later, ["run", "team", "opponent"], "left")
+    plus = lambda a, b: F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0))
+    pairs = pairs.select("run", "team", "opponent", "points", plus("fixtures", "_n").alias("fixtures"), plus("results", "_n").alias("results"), plus("h2h_points", "_points").alias("h2h_points"), plus("h2h_gd", "_gd").alias("h2h_gd"))
+    return st.positions(table, st.mini_sums(pairs, ("run",)), ("run",))
 
 
 def summary(tables: DataFrame) -> DataFrame:

@@ -58,30 +58,38 @@ def head_to_head(matches: DataFrame, by: Sequence[str] = ("season",)) -> DataFra
     )
 
 
-def mini_tables(table: DataFrame, pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """h2h_points and h2h_gd within groups level on points, zero where any pair's two legs are incomplete.
-
-    Only teams that are level with another enter the self-join.
-    """
+def level_pairs(table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by..., team, opponent, points of teams level on points; only teams that are level with another enter the self-join."""
     level = Window.partitionBy(*by, "points")
-    tied = table.select(*by, "team", "points", F.count("*").over(level).alias("group_size")).where("group_size > 1")
+    tied = table.select(*by, "team", "points", F.count("*").over(level).alias("group_size")).where("group_size > 1").drop("group_size")
     other = tied.select(*by, F.col("team").alias("opponent"), "points")
-    met = tied.join(other, [*by, "points"]).where("team <> opponent").join(pairs, [*by, "team", "opponent"], "left")
+    return tied.join(other, [*by, "points"]).where("team <> opponent")
+
+
+def mini_sums(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """h2h_points and h2h_gd of level teams, zero where any pair's two legs in the group are incomplete.
+
+    pairs: by..., team, opponent, points, fixtures, results, h2h_points, h2h_gd.
+    """
     whole = ((F.col("fixtures") == 2) & (F.col("results") == 2)).cast("int")
-    group = met.withColumn("whole", F.min(F.coalesce(whole, F.lit(0))).over(level))
+    group = pairs.withColumn("whole", F.min(F.coalesce(whole, F.lit(0))).over(Window.partitionBy(*by, "points")))
     return group.groupBy(*by, "team").agg(F.sum(F.col("h2h_points") * F.col("whole")).alias("h2h_points"), F.sum(F.col("h2h_gd") * F.col("whole")).alias("h2h_gd"))
 
 
-def rank(matches: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
-    """The full table: points, head-to-head points and goal difference, goal difference, goals, team as text."""
-    table = totals(matches, by)
-    mini = mini_tables(table, head_to_head(matches, by), by)
+def positions(table: DataFrame, mini: DataFrame, by: Sequence[str]) -> DataFrame:
     full = table.join(mini, [*by, "team"], "left").na.fill(0, ["h2h_points", "h2h_gd"])
     order = [F.col(c).desc() for c in ("points", "h2h_points", "h2h_gd", "gd", "gf")]
     position = F.row_number().over(Window.partitionBy(*by).orderBy(*order, F.col("team").cast("string")))
     return full.withColumn("position", position)
 
 
+def rank(matches: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
+    """The full table: points, head-to-head points and goal difference, goal difference, goals, team as text."""
+    table = totals(matches, by)
+    pairs = level_pairs(table, by).join(head_to_head(matches, by), [*by, "team", "opponent"], "left")
+    return positions(table, mini_sums(pairs, by), by)
+
+
 def rank_basic(matches: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
     """The plain table: points, goal difference, goals, team as a number."""
     position = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("points").desc(), F.col("gd").desc(), F.col("gf").desc(), F.col("team")))
