@@ -25,6 +25,11 @@ def days(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(8.64e10)
 
 
+def clamped(gap: Column, cap: float, prior: float) -> Column:
+    """A gap between 0 and ``cap``; the prior without one (greatest and least pass over nulls)."""
+    return F.when(gap.isNull(), prior).otherwise(F.least(F.greatest(gap, F.lit(0.0)), F.lit(cap)))
+
+
 def past(last: int, *partition: str):
     return Window.partitionBy(*partition).orderBy("kickoff", "match_id").rowsBetween(-last, -1)
 
@@ -36,7 +41,7 @@ def team_form(team_games: DataFrame, last: int = 6) -> DataFrame:
     n = F.count("*").over(w)
     shots, against = F.coalesce(F.sum("sot").over(w), F.lit(0)), F.coalesce(F.sum("sot_against").over(w), F.lit(0))
     share = F.when(shots + against > 0, shots / (shots + against)).otherwise(PRIORS["sot_share"])
-    rest = F.least(F.greatest(days(F.col("kickoff"), F.lag("kickoff").over(order)), F.lit(0.0)), F.lit(REST_CAP))
+    rest = clamped(days(F.col("kickoff"), F.lag("kickoff").over(order)), REST_CAP, PRIORS["rest"])
     mean = lambda c, prior: F.coalesce(F.avg(c).over(w), F.lit(prior))
     return team_games.select(
         "*",
@@ -45,7 +50,7 @@ def team_form(team_games: DataFrame, last: int = 6) -> DataFrame:
         mean(F.col("ga"), PRIORS["ga"]).alias("goals_against"),
         share.alias("sot_share"),
         mean((pts() == 3).cast("double"), PRIORS["win_rate"]).alias("win_rate"),
-        F.coalesce(rest, F.lit(PRIORS["rest"])).alias("rest_days"),
+        rest.alias("rest_days"),
         n.cast("double").alias("matches_played"),
     )
 
@@ -78,7 +83,7 @@ def venue_form(team_games: DataFrame, last: int = 10) -> DataFrame:
 def rest_difference(team_games: DataFrame) -> DataFrame:
     """Home rest minus away rest before each match, each capped; no past counts as the cap."""
     before = F.lag("kickoff").over(Window.partitionBy("team").orderBy("kickoff", "match_id"))
-    rest = F.coalesce(F.least(F.greatest(days(F.col("kickoff"), before), F.lit(0.0)), F.lit(VENUE_REST_CAP)), F.lit(VENUE_REST_CAP))
+    rest = clamped(days(F.col("kickoff"), before), VENUE_REST_CAP, VENUE_REST_CAP)
     return team_games.select("match_id", "venue", rest.alias("rest")).groupBy("match_id").agg((F.max(F.when(F.col("venue") == "H", F.col("rest"))) - F.max(F.when(F.col("venue") == "A", F.col("rest")))).alias("rest_days_diff"))
 
 

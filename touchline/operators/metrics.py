@@ -17,7 +17,7 @@ def checked(rows: DataFrame) -> DataFrame:
     """Rows whose probabilities are clipped at 0 and sum to 1; fails at run time on rows that cannot be."""
     clipped = [F.greatest(F.col(p), F.lit(0.0)) for p in P]
     total = clipped[0] + clipped[1] + clipped[2]
-    bad = F.coalesce(total <= 0, F.lit(True)) | F.coalesce(~F.col("outcome").between(0, 2), F.lit(True))
+    bad = F.col(P[0]).isNull() | F.col(P[1]).isNull() | F.col(P[2]).isNull() | F.coalesce(total <= 0, F.lit(True)) | F.coalesce(~F.col("outcome").between(0, 2), F.lit(True))
     guard = F.when(bad, F.raise_error(F.lit("a forecast needs three probabilities and an outcome of 0, 1 or 2")).cast("double")).otherwise(total)
     return rows.withColumn("_total", guard).select(*[c for c in rows.columns if c not in P], *[(c / F.col("_total")).alias(p) for c, p in zip(clipped, P, strict=True)])
 

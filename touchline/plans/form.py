@@ -20,7 +20,7 @@ PLAYED = f""",
 g AS (SELECT *, {PTS} AS pts FROM t WHERE gf IS NOT NULL),
 f AS (SELECT *, count(*) OVER w AS n, coalesce(avg(CAST(pts AS DOUBLE)) OVER w, 1.35) AS ppg, coalesce(avg(CAST(gf AS DOUBLE)) OVER w, 1.35) AS goals_for, coalesce(avg(CAST(ga AS DOUBLE)) OVER w, 1.35) AS goals_against,
   coalesce(CAST(sum(sot) OVER w AS DOUBLE), 0) AS s1, coalesce(CAST(sum(sot_against) OVER w AS DOUBLE), 0) AS s2,
-  coalesce(avg(CASE WHEN pts = 3 THEN 1.0 ELSE 0.0 END) OVER w, 0.35) AS win_rate, coalesce(least(greatest({DAYS}, 0.0), 14.0), 7.0) AS rest_days
+  coalesce(avg(CASE WHEN pts = 3 THEN 1.0 ELSE 0.0 END) OVER w, 0.35) AS win_rate, CASE WHEN {DAYS} IS NULL THEN 7.0 ELSE least(greatest({DAYS}, 0.0), 14.0) END AS rest_days
   FROM g WINDOW w AS (PARTITION BY team ORDER BY kickoff, match_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), o AS (PARTITION BY team ORDER BY kickoff, match_id)),
 form AS (SELECT *, CASE WHEN s1 + s2 > 0 THEN s1 / (s1 + s2) ELSE 0.5 END AS sot_share FROM f)"""
 
@@ -55,7 +55,7 @@ v AS (SELECT match_id, team, venue, kickoff, coalesce(avg(CAST(pts AS DOUBLE)) O
   coalesce(avg(CAST(sot_against AS DOUBLE)) OVER w, CASE WHEN venue = 'H' THEN 3.63 ELSE 4.65 END) AS sot_against_l10
   FROM g WINDOW w AS (PARTITION BY team, venue ORDER BY kickoff, match_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
 rest AS (SELECT match_id, round(max(CASE WHEN venue = 'H' THEN r END) - max(CASE WHEN venue = 'A' THEN r END), 9) AS rest_days_diff
-  FROM (SELECT match_id, venue, coalesce(least(greatest({DAYS}, 0.0), 30.0), 30.0) AS r FROM g WINDOW o AS (PARTITION BY team ORDER BY kickoff, match_id)) GROUP BY match_id),
+  FROM (SELECT match_id, venue, CASE WHEN {DAYS} IS NULL THEN 30.0 ELSE least(greatest({DAYS}, 0.0), 30.0) END AS r FROM g WINDOW o AS (PARTITION BY team ORDER BY kickoff, match_id)) GROUP BY match_id),
 day AS (SELECT match_id, matchday FROM (SELECT match_id, venue, 1 + count(*) OVER (PARTITION BY team, season ORDER BY kickoff, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS matchday FROM g) WHERE venue = 'H')"""
 _V = ["ppg_l10", "goals_for_l10", "goals_against_l10", "sot_for_l10", "sot_against_l10"]
 
