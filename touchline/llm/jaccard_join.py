@@ -231,7 +231,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> Dat
 
     dealt = usable.select(F.col("doc_id").alias("rep"), "parts").join(classes.select("rep"), "rep", "left_semi").select("rep", F.explode("parts").alias("part"))
     least = F.first("rep").over(Window.partitionBy("part").orderBy("rep"))
-    near = dealt.select(F.col("rep").alias("a"), least.alias("b")).where("a <> b").distinct()
+    near = dealt.select("rep", least.alias("least")).where("rep <> least")
+    # a document's leasts are tied to the smallest of them, and it alone to the document: the same
+    # components, but the leasts of a large group are few, and so are the edges between them
+    tied = near.groupBy("rep").agg(F.min("least").alias("b"), F.collect_set("least").alias("all"))
+    near = tied.select(F.explode(F.concat(F.array("rep"), "all")).alias("a"), "b").where("a <> b").distinct()
     families = connected_components(near).withColumnRenamed("component", "family")
 
     sizes = families.groupBy("family").agg(F.count("*").alias("n"))
