@@ -33,7 +33,7 @@ def test_quality_on_held_out_labels(spark, sf_dir):
 
 
 def test_pipeline(spark, sf_dir):
-    from test_small import contamination, jaccard
+    from test_llm_small import contamination, jaccard
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

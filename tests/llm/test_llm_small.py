@@ -21,7 +21,7 @@ EXTRA = "score double, component string, part int, class string, key string, pri
 
 
 def words(rng, n):
-    return [rng.choice("la mer et ciel rouge table maison été 7 42 x1 naïve Grün").split()[0] if False else rng.choice(["la", "mer", "ciel", "Rouge", "table,", "maison", "été", "42", "x1", "naïve", "grün", "oak", "pine", "fir", "elm", "ash"]) + str(rng.randrange(30)) for _ in range(n)]
+    return [rng.choice(["la", "mer", "ciel", "Rouge", "table,", "maison", "été", "42", "x1", "naïve", "grün", "oak", "pine", "fir", "elm", "ash"]) + str(rng.randrange(30)) for _ in range(n)]
 
 
 def texts():
@@ -200,7 +200,7 @@ def test_secrets(docs, none):
 
 
 def test_secrets_through_names():
-    text = dict(texts())[15] if False else 'k = "Zx8fQ2pL9vT4"\nx = k\ndb_password = x\nurl = "http://a"'
+    text = 'k = "Zx8fQ2pL9vT4"\nx = k\ndb_password = x\nurl = "http://a"'
     _, every = secret_scan.spans(text)
     assert [(k, text[a:b]) for a, k, b in every if k == 3] == [(3, "Zx8fQ2pL9vT4")]
     assert secret_scan.spans('title = "A long and plain sentence"\npassword_hint = "your first pet"')[1] == []
@@ -259,7 +259,7 @@ def test_jaccard_join(spark, monkeypatch, k, similarity, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rows = variants(11, 160) + [(None, "a b c"), (900, None), (901, ""), (902, "a b c"), (902, "a b c"), (903, "A B\tC"), (904, "x y"), (905, "x  y")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    num, den = map(int, similarity.split(".")) if False else (int(float(similarity) * 10), 10)
+    num, den = int(float(similarity) * 10), 10
     got = jaccard_join.near_duplicates(frame, k, similarity).collect()
     assert ordered(got) == ordered(jaccard(rows, k, num, den))
 
