@@ -183,7 +183,8 @@ def _n_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.string()), pa.array(out, pa.int64())], names=["doc_id", "sum", "n_words"])
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFrame:
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFrame:
+    """hit_id, hit_sum, n_hit and items of each text that shares a window with the benchmark."""
     test = materialize(benchmark.mapInArrow(partial(_prints, window=window, k=k, short=(), items=True), PRINTS), "test-prints")
     short = tuple(sorted(r.n for r in test.where("n > 0").select("n").distinct().collect()))  # at most window - 1 numbers
     train = docs.mapInArrow(partial(_prints, window=window, k=k, short=short, items=False), PRINTS)
@@ -191,7 +192,11 @@ def _joined(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataF
     spans = train.join(right, ["n", "print"]).mapInArrow(partial(_extend, window=window, k=k), "key struct<id: long, sum: string>, item_id long, low long, high long")
     places = spans.select("key", F.explode(F.sequence("low", F.col("high") - 1)).alias("place")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     named = spans.select("key", "item_id").distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    hit = places.join(named, "key").select(F.col("key.id").alias("hit_id"), F.col("key.sum").alias("hit_sum"), "n_hit", "items")
+    return places.join(named, "key").select(F.col("key.id").alias("hit_id"), F.col("key.sum").alias("hit_sum"), "n_hit", "items")
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFrame:
+    hit = _hits(docs, benchmark, window, k)
     base = docs.mapInArrow(_n_words, "doc_id long, sum string, n_words long")
     out = base.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("sum") == F.col("hit_sum")), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -225,6 +230,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     """The rows of ``docs`` that share no window with the benchmark, all their columns."""
     held = _held(_plain(benchmark), window, k, max_broadcast_bytes)
     if held is None:
-        bad = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _plain(benchmark), window, k).where("contaminated")
-        return docs.join(bad.select(F.col("doc_id").alias("bad_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+        bad = _hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _plain(benchmark), window, k).select("hit_id", "hit_sum")
+        # a text's digest goes with the id, so that rows of one id, or of none, are judged by their own texts
+        same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("h.hit_id")) & (F.md5(F.col("d.text").cast("binary")) == F.col("h.hit_sum"))
+        return docs.alias("d").join(bad.alias("h"), same, "left_anti")
     return docs.mapInArrow(partial(_judge, index=held, keep=True), docs.schema)

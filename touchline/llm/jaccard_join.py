@@ -25,7 +25,8 @@ Tasks return the links of a spanning forest, from which components follow.
 Defined results: null and empty texts have empty sets and link with nothing; a text of
 fewer words than a shingle is one shingle; rows that share a doc_id are joined as one
 node; a null doc_id links with nothing; an empty table gives none; other columns are
-ignored by ``near_duplicates``.
+ignored by ``near_duplicates``.  ``keep_one`` judges texts whatever their doc_id: of
+rows that share one, each goes or stays by its own text.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ BLOCK = 128
 MAX_BROADCAST_ROWS = 500_000
 BITS = 2048
 LEAF = 4
+#: What a set is known by: its size and two sums of hashes of its elements.
+KEY = ["n_shingles", "one", "two"]
 
 
 # ---------------------------------------------------------------- sets
@@ -187,35 +190,73 @@ def tree_links(sets: list[np.ndarray], left: list[int], right: list[int] | None,
 def _parts(batches: Iterator[pa.RecordBatch], k: int, ratio: Fraction) -> Iterator[pa.RecordBatch]:
     bins = Bins(ratio)
     for batch in batches:
-        sizes, one, two, parts = [], [], [], []
+        keys, parts = [], []
         for s in shingle_sets(text_bytes(batch), k):
-            sizes.append(len(s))
-            total = np.array([s.sum(dtype=np.uint64), mix64(s * U64(BASE2)).sum(dtype=np.uint64)], dtype=np.uint64)
-            both = signed(mix64(total + U64(len(s))))
-            one.append(int(both[0]))
-            two.append(int(both[1]))
+            keys.append(set_key(s))
             parts.append(signed(part_hashes(s, bins)) if len(s) else np.zeros(0, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "one", "two", "parts"]
-        )
+        keep = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in keep), *_columns(keys), pa.array(parts, pa.list_(pa.int64()))], names=[*keep, *KEY, "parts"])
+
+
+def set_key(s: np.ndarray) -> tuple[int, int, int]:
+    total = np.array([s.sum(dtype=np.uint64), mix64(s * U64(BASE2)).sum(dtype=np.uint64)], dtype=np.uint64)
+    return len(s), *signed(mix64(total + U64(len(s)))).tolist()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _columns(keys: list[tuple[int, int, int]]) -> list[pa.Array]:
+    return [pa.array([x[i] for x in keys], pa.int64()) for i in range(3)]
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int, keyed: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [s.tobytes() for s in shingle_sets(text_bytes(batch), k)]
+        found = list(shingle_sets(text_bytes(batch), k))
         keep = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in keep), pa.array(found, pa.binary())], names=[*keep, "elements"])
+        more = _columns([set_key(s) for s in found]) if keyed else []
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(batch.schema.get_field_index(n)) for n in keep), *more, pa.array([s.tobytes() for s in found], pa.binary())], names=[*keep, *(KEY if keyed else []), "elements"]
+        )
 
 
 def _search(group: pd.DataFrame, ratio: Fraction) -> pd.DataFrame:
+    group = group.drop_duplicates(["node", "elements"])
     sets = [np.frombuffer(e, np.uint64) for e in group.elements]
-    block, ids = group.block.to_numpy(), group.doc_id.to_numpy()
+    block, ids = group.block.to_numpy(), group.node.to_numpy()
     i, j = int(group.i.iloc[0]), int(group.j.iloc[0])
     left = np.flatnonzero(block == i).tolist()
     links = tree_links(sets, left, None if i == j else np.flatnonzero(block == j).tolist(), ratio)
     return pd.DataFrame({"a": [ids[x] for x, _ in links], "b": [ids[y] for _, y in links]}, dtype="int64")
 
 
+def _placed(dealt: DataFrame) -> DataFrame:
+    """node, family, blocks and block of each node of ``dealt`` (node, part) that shares a part."""
+    least = F.first("node").over(Window.partitionBy("part").orderBy("node"))
+    near = dealt.select("node", least.alias("least")).where("node <> least")
+    # a node's leasts are tied to the smallest of them, and it alone to the node: the same
+    # components, but the leasts of a large group are few, and so are the edges between them
+    tied = near.groupBy("node").agg(F.min("least").alias("b"), F.collect_set("least").alias("all"))
+    near = tied.select(F.explode(F.concat(F.array("node"), "all")).alias("a"), "b").where("a <> b").distinct()
+    families = connected_components(near).withColumnRenamed("component", "family")
+
+    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
+    placed = families.join(sizes, "family").select("node", "family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _groups(sets: DataFrame) -> DataFrame:
+    """``sets`` in groups (family, i, j): blocks i <= j of a family meet in one; a family of one block is one group."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return sets.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+
+
+def _links(groups: DataFrame, ratio: Fraction) -> DataFrame:
+    """Links (a, b) of nodes that join what can be joined in each of ``groups``."""
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        return _search(group, ratio)
+
+    return materialize(groups.groupBy("family", "i", "j").applyInPandas(search, "a long, b long"), "links")
+
+
 # ---------------------------------------------------------------- operators
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text).
@@ -225,42 +266,60 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> Dat
     ratio = Fraction(similarity)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(texts.mapInArrow(partial(_parts, k=k, ratio=ratio), "doc_id long, n_shingles long, one long, two long, parts array<long>"), "sets")
-    key = ["n_shingles", "one", "two"]
     usable = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy(*key).agg(F.min("doc_id").alias("rep")), "set-classes")
-
-    dealt = usable.select(F.col("doc_id").alias("rep"), "parts").join(classes.select("rep"), "rep", "left_semi").select("rep", F.explode("parts").alias("part"))
-    least = F.first("rep").over(Window.partitionBy("part").orderBy("rep"))
-    near = dealt.select("rep", least.alias("least")).where("rep <> least")
-    # a document's leasts are tied to the smallest of them, and it alone to the document: the same
-    # components, but the leasts of a large group are few, and so are the edges between them
-    tied = near.groupBy("rep").agg(F.min("least").alias("b"), F.collect_set("least").alias("all"))
-    near = tied.select(F.explode(F.concat(F.array("rep"), "all")).alias("a"), "b").where("a <> b").distinct()
-    families = connected_components(near).withColumnRenamed("component", "family")
+    classes = materialize(usable.groupBy(*KEY).agg(F.min("doc_id").alias("rep")), "set-classes")
 
-    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
-    placed = families.join(sizes, "family").select(F.col("node").alias("doc_id"), "family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = materialize(placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "families")
+    dealt = usable.select(F.col("doc_id").alias("rep"), "parts").join(classes.select("rep"), "rep", "left_semi").select(F.col("rep").alias("node"), F.explode("parts").alias("part"))
+    placed = materialize(_placed(dealt), "families").withColumnRenamed("node", "doc_id")
     small = placed.count() <= MAX_BROADCAST_ROWS
     own = texts.join(F.broadcast(placed) if small else placed, "doc_id")
-    sets = own.mapInArrow(partial(_sets, k=k), "doc_id long, family long, blocks int, block int, elements binary")
-    # blocks i <= j of a family meet in the group (i, j); a family of one block is one group
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = sets.withColumn("other", other).select("doc_id", "family", "block", "elements", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sets = own.mapInArrow(partial(_sets, k=k), "doc_id long, family long, blocks int, block int, elements binary").withColumnRenamed("doc_id", "node")
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        return _search(group, ratio)
+    linked = connected_components(_links(_groups(sets), ratio))
+    known = classes.select(*KEY, "rep").join(linked, F.col("rep") == F.col("node"), "left").select(*KEY, F.coalesce("component", "rep").alias("component"))
+    out = rows.select("doc_id", *KEY).join(materialize(known, "set-components"), KEY, "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
-    links = materialize(pairs.groupBy("family", "i", "j").applyInPandas(search, "a long, b long"), "links")
 
-    linked = connected_components(links)
-    known = classes.select(*key, "rep").join(linked, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", *key).join(materialize(known, "set-components"), key, "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+def _by_class(docs: DataFrame, k: int, ratio: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, sum of the text, key), their classes (key, rep, n_rows, node), and groups of sets to search.
+
+    Nodes are classes, so that texts which share a doc_id stay apart.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    summed = texts.select("doc_id", F.xxhash64("text").alias("sum"), "text")
+    rows = materialize(summed.mapInArrow(partial(_parts, k=k, ratio=ratio), "doc_id long, sum long, n_shingles long, one long, two long, parts array<long>"), "sets")
+    usable = rows.where("n_shingles > 0 and doc_id is not null")
+    classes = usable.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "set-classes")
+
+    dealt = usable.select(F.col("doc_id").alias("rep"), *KEY, "parts").join(classes.select("rep", *KEY, "node"), ["rep", *KEY]).select("node", F.explode("parts").alias("part"))
+    placed = _placed(dealt).join(classes, "node").select(F.col("rep").alias("doc_id"), *KEY, "n_rows", "node", "family", "blocks", "block")
+    placed = materialize(placed, "families")
+    small = placed.count() <= MAX_BROADCAST_ROWS
+    here = F.broadcast(placed) if small else placed
+    own = texts.join(here.select("doc_id"), "doc_id", "left_semi")
+    sets = own.mapInArrow(partial(_sets, k=k, keyed=True), "doc_id long, n_shingles long, one long, two long, elements binary").join(here, ["doc_id", *KEY])
+    return rows, classes, _groups(sets.select("node", "n_rows", "family", "blocks", "block", "elements"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, that of the least doc_id."""
-    judged = near_duplicates(docs, k, similarity)
-    drop = judged.where("component_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("drop_id"))
-    return docs.join(drop, F.col("doc_id") == F.col("drop_id"), "left_anti")
+    """``docs`` with one row of each group of near-duplicate texts, that of the least doc_id."""
+    ratio = Fraction(similarity)
+    rows, classes, groups = _by_class(docs, k, ratio)
+    linked = connected_components(_links(groups, ratio))
+    known = classes.join(linked, "node", "left").select(*KEY, F.coalesce("component", "node").alias("component"))
+    each = rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "sum", *KEY).agg(F.count("*").alias("n"))
+    judged = materialize(each.join(known, KEY).select("doc_id", "sum", "n", "component"), "judged")
+    kept = materialize(judged.groupBy("component").agg(F.min(F.struct("doc_id", "sum")).alias("w")).select("w.*"), "kept")
+
+    def among(left: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        same = (F.col("d.doc_id").cast("long") == F.col("h.doc_id")) & (F.xxhash64("d.text") == F.col("h.sum"))
+        return left.alias("d").join(some.alias("h"), same, how)
+
+    out = among(docs, judged.select("doc_id", "sum").join(kept, ["doc_id", "sum"], "left_anti"), "left_anti")
+    twice = judged.where("n > 1").join(kept, ["doc_id", "sum"], "left_semi").select("doc_id", "sum")
+    if not twice.head(1):
+        return out
+    # rows that repeat doc_id and text: any one of them
+    return among(out, twice, "left_anti").union(among(out, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
