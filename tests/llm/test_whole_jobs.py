@@ -1,5 +1,8 @@
 """Whole jobs: what a shorter way would leave out."""
 
+from fractions import Fraction
+
+import numpy as np
 import pytest
 from test_llm_small import contamination, docs, items, ordered, texts  # noqa: F401
 
@@ -24,3 +27,27 @@ def test_keep_one_judges_texts(spark):
     assert got.columns == frame.columns
     got = [(r.doc_id, r.text and r.text.lower()) for r in got.collect()]
     assert ordered(got) == ordered([(1, a), (1, b), (2, c), (None, a), (None, a), (3, None), (3, None), (5, "x y")])
+
+
+@pytest.mark.parametrize("ratio", ["0.8", "0.9"])
+def test_unrelated_sets_share_no_part(ratio):
+    rng = np.random.default_rng(1)
+    bins = jaccard_join.Bins(Fraction(ratio))
+    for n in (20, 100, 500, 1500):
+        own = [set(jaccard_join.part_hashes(rng.integers(0, 2**63, n).astype(np.uint64), bins).tolist()) for _ in range(60)]
+        assert sum(1 for i, a in enumerate(own) for b in own[:i] if a & b) == 0
+
+
+@pytest.mark.parametrize("ratio", ["0.5", "0.8", "0.9"])
+def test_linked_sets_share_a_part(ratio):
+    rng = np.random.default_rng(2)
+    r, bins = Fraction(ratio), jaccard_join.Bins(Fraction(ratio))
+    for _ in range(1500):
+        n = int(rng.choice([1, 2, 3, 4, 5, 7, 9, 12, 19, 40, 150]))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        most = int(n * (1 - r) / r)
+        gone = int(rng.integers(0, most + 1)) if n > most else 0
+        b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, most).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if both and Fraction(both, len(a) + len(b) - both) >= r:
+            assert set(jaccard_join.part_hashes(a, bins).tolist()) & set(jaccard_join.part_hashes(b, bins).tolist())

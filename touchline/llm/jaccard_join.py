@@ -4,8 +4,10 @@ A document's set holds the hashes of its word shingles.  Documents of equal sets
 one class.  Two classes link when their sets' Jaccard similarity is at least a ratio.
 
 1. *Dealing.*  If two sets of sizes a <= b link, they differ in at most H = a (1-t)/t
-   elements.  Elements are dealt by hash into H + 1 parts, so at least one part is the
-   same in both sets.  Sizes are binned so that a linked pair is in the same bin or in
+   elements.  Elements are dealt by hash into more than H parts, so at least one part is
+   the same in both sets; if more than H of a set's parts are not empty, one of those is.
+   Empty parts, which unrelated sets share, are therefore left out of such a set, and
+   parts are enough that few sets are others.  Sizes are binned so that a linked pair is in the same bin or in
    neighbouring ones, and every set gives a hash of each of its parts for both bins it
    may meet others in.  This is exact whatever the frequencies of elements are: a shared
    passage or a common word makes no part equal as long as the rest differs.
@@ -31,6 +33,7 @@ rows that share one, each goes or stays by its own text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import partial
@@ -72,17 +75,32 @@ class Bins:
 
     def __init__(self, ratio: Fraction):
         self.ratio, self.starts = ratio, [1]
+        self.dealt: dict[int, int] = {}
 
     def of(self, size: int) -> int:
         while self.starts[-1] <= size:
             self.starts.append(int(self.starts[-1] / self.ratio) + 1)
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
-    def parts(self, b: int) -> int:
-        """Parts needed for pairs whose smaller set is in bin b."""
+    def differ(self, b: int) -> int:
+        """The most elements by which linked sets differ, the smaller one being in bin b."""
         while len(self.starts) <= b + 1:
             self.of(self.starts[-1])
-        return int((self.starts[b + 1] - 1) * (1 - self.ratio) / self.ratio) + 1
+        return int((self.starts[b + 1] - 1) * (1 - self.ratio) / self.ratio)
+
+    def parts(self, b: int) -> int:
+        """Parts for pairs whose smaller set is in bin b: so many that hardly a set fills too few of them."""
+        if b not in self.dealt:
+            most, m = self.differ(b), self.differ(b) + 1
+
+            def few(m: int) -> float:
+                """The logarithm of a bound on how likely all elements are in ``most`` of m parts."""
+                return math.lgamma(m + 1) - math.lgamma(most + 1) - math.lgamma(m - most + 1) + self.starts[b] * math.log(most / m)
+
+            while most and few(m) > -9 and m < 64 * most:
+                m += 1
+            self.dealt[b] = m
+        return self.dealt[b]
 
 
 def part_hashes(s: np.ndarray, bins: Bins) -> np.ndarray:
@@ -91,9 +109,11 @@ def part_hashes(s: np.ndarray, bins: Bins) -> np.ndarray:
     mixed = mix64(s ^ U64(BASE2))
     for b in {own, max(own - 1, 0)}:
         m = bins.parts(b)
-        total = np.zeros(m, dtype=np.uint64)
-        np.add.at(total, (s % U64(m)).astype(np.int64), mixed)
-        out.append(mix64(total + mix64(np.arange(m, dtype=np.uint64) + U64(b << 32))))
+        total, place = np.zeros(m, dtype=np.uint64), (s % U64(m)).astype(np.int64)
+        np.add.at(total, place, mixed)
+        hashes = mix64(total + mix64(np.arange(m, dtype=np.uint64) + U64(b << 32)))
+        full = np.bincount(place, minlength=m) > 0
+        out.append(hashes[full] if full.sum() > bins.differ(b) else hashes)
     return np.concatenate(out)
 
 
