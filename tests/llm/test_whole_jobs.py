@@ -4,9 +4,9 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from test_llm_small import contamination, docs, items, ordered, texts  # noqa: F401
+from test_llm_small import contamination, docs, items, ordered, shingles, texts, variants  # noqa: F401
 
-from touchline.llm import decontaminate, jaccard_join
+from touchline.llm import decontaminate, jaccard_join, secret_scan, url_filter
 
 
 @pytest.mark.parametrize("limit", [8 << 20, -1])
@@ -51,3 +51,15 @@ def test_linked_sets_share_a_part(ratio):
         both = len(np.intersect1d(a, b))
         if both and Fraction(both, len(a) + len(b) - both) >= r:
             assert set(jaccard_join.part_hashes(a, bins).tolist()) & set(jaccard_join.part_hashes(b, bins).tolist())
+
+
+@pytest.mark.parametrize("block", [128, 3])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = variants(12, 120) + [(None, "a b c"), (900, None), (901, ""), (902, "a b c"), (902, "a b c"), (903, "A B\tC"), (902, "x y z")]
+    sets = [(i, shingles(t, 3)) for i, t in rows]
+    want = [(i, len(s), sum(1 for m, (j, t) in enumerate(sets) if m != n and None not in (i, j) and s and t and 10 * len(s & t) >= 8 * len(s | t))) for n, (i, s) in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert max(n for _, _, n in want) >= 3
+    assert ordered(jaccard_join.link_counts(frame, 3, "0.8").collect()) == ordered(want)
+    assert jaccard_join.link_counts(frame.limit(0)).collect() == []

@@ -48,6 +48,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), k=3, similarity="0.9")
 
 
+def near_copy_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_counts(_table(spark, sf_dir, "documents"), k=3, similarity="0.9")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = prefix_counts.prefix_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), budget=512)
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_blocks, op2_decontaminate, op3_secret_scan, op4_mix_sources, op5_embedding_dedup, op6_quality, op7_jaccard_join, op8_token_counts, op9_substring_dedup, op10_url_filter, pipeline)
+    f.__name__: f for f in (op1_token_blocks, op2_decontaminate, op3_secret_scan, op4_mix_sources, op5_embedding_dedup, op6_quality, op7_jaccard_join, op8_token_counts, op9_substring_dedup, op10_url_filter, pipeline, near_copy_links)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -131,3 +135,11 @@ votes AS (SELECT reach.node, bool_or(action = 'allow') AS allows, bool_or(action
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(action, CASE WHEN blocks AND NOT coalesce(allows, false) THEN 'block' END, 'allow') AS verdict
 FROM pages LEFT JOIN ruled ON u = url LEFT JOIN votes USING (node)""",
 }
+
+#: The pairs of op7, counted.
+SQL["near_copy_links"] = (
+    SQL["op7_jaccard_join"].split(",\nnodes AS")[0]
+    + """,
+many AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, CAST(coalesce(n, 0) AS BIGINT) AS n_links FROM s LEFT JOIN many ON doc_id = a"""
+)

@@ -19,10 +19,12 @@ one class.  Two classes link when their sets' Jaccard similarity is at least a r
 3. *Trees.*  A family (in blocks, if it is large) is searched in one task.  Its sets
    are leaves of a tree whose nodes hold the OR of their members' token bitmaps and
    their range of sizes.  Two nodes are traversed together and pruned when the largest
-   overlap their bitmaps allow is too small for their sizes, or when they are already
-   in one component; what remains is verified on the sets themselves.
+   overlap their bitmaps allow is too small for their sizes; what remains is verified
+   on the sets themselves.
 
-Tasks return the links of a spanning forest, from which components follow.
+For components, nodes that are already in one are pruned too, and tasks return the links
+of a spanning forest.  ``link_counts`` verifies every pair that bitmaps do not rule out,
+and tasks return how many rows each class links with, not the pairs.
 
 Defined results: null and empty texts have empty sets and link with nothing; a text of
 fewer words than a shingle is one shingle; rows that share a doc_id are joined as one
@@ -156,8 +158,8 @@ def grow(sets: list[np.ndarray], members: list[int]) -> Node | None:
     return level[0]
 
 
-def tree_links(sets: list[np.ndarray], left: list[int], right: list[int] | None, ratio: Fraction) -> list[tuple[int, int]]:
-    """Verified links that join what can be joined: within ``left``, or between it and ``right``."""
+def tree_links(sets: list[np.ndarray], left: list[int], right: list[int] | None, ratio: Fraction, every: bool = False) -> list[tuple[int, int]]:
+    """Verified links that join what can be joined, or ``every`` one: within ``left``, or between it and ``right``."""
     up = list(range(len(sets)))
 
     def root(i: int) -> int:
@@ -186,7 +188,7 @@ def tree_links(sets: list[np.ndarray], left: list[int], right: list[int] | None,
                 continue
             pairs = [(i, j) for n, i in enumerate(x.members) for j in x.members[n + 1 :]]
         elif x.children or y.children:
-            if len({root(i) for i in x.members} | {root(i) for i in y.members}) == 1:
+            if not every and len({root(i) for i in x.members} | {root(i) for i in y.members}) == 1:
                 continue
             if y.children and (not x.children or len(y.members) >= len(x.members)):
                 stack += [(x, c) for c in y.children]
@@ -196,7 +198,7 @@ def tree_links(sets: list[np.ndarray], left: list[int], right: list[int] | None,
         else:
             pairs = [(i, j) for i in x.members for j in y.members]
         for i, j in pairs:
-            if root(i) == root(j):
+            if not every and root(i) == root(j):
                 continue
             s, t = sets[i], sets[j]
             both = len(np.intersect1d(s, t, assume_unique=True))
@@ -237,13 +239,26 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, keyed: bool = False) -> Ite
         )
 
 
-def _search(group: pd.DataFrame, ratio: Fraction) -> pd.DataFrame:
-    group = group.drop_duplicates(["node", "elements"])
+def _verified(group: pd.DataFrame, ratio: Fraction, every: bool) -> list[tuple[int, int]]:
     sets = [np.frombuffer(e, np.uint64) for e in group.elements]
-    block, ids = group.block.to_numpy(), group.node.to_numpy()
+    block = group.block.to_numpy()
     i, j = int(group.i.iloc[0]), int(group.j.iloc[0])
-    left = np.flatnonzero(block == i).tolist()
-    links = tree_links(sets, left, None if i == j else np.flatnonzero(block == j).tolist(), ratio)
+    return tree_links(sets, np.flatnonzero(block == i).tolist(), None if i == j else np.flatnonzero(block == j).tolist(), ratio, every)
+
+
+def _count(group: pd.DataFrame, ratio: Fraction) -> pd.DataFrame:
+    """How many rows each node of a group links with in it."""
+    group = group.drop_duplicates("node")
+    rows, links = group.n_rows.to_numpy(), np.array(_verified(group, ratio, True), dtype=np.int64).reshape(-1, 2)
+    n = np.zeros(len(group), dtype=np.int64)
+    np.add.at(n, links[:, 0], rows[links[:, 1]])
+    np.add.at(n, links[:, 1], rows[links[:, 0]])
+    return pd.DataFrame({"node": group.node.to_numpy()[n > 0], "n": n[n > 0]}, dtype="int64")
+
+
+def _search(group: pd.DataFrame, ratio: Fraction) -> pd.DataFrame:
+    group = group.drop_duplicates(["node", "elements"])
+    ids, links = group.node.to_numpy(), _verified(group, ratio, False)
     return pd.DataFrame({"a": [ids[x] for x, _ in links], "b": [ids[y] for _, y in links]}, dtype="int64")
 
 
@@ -323,6 +338,24 @@ def _by_class(docs: DataFrame, k: int, ratio: Fraction) -> tuple[DataFrame, Data
     return rows, classes, _groups(sets.select("node", "n_rows", "family", "blocks", "block", "elements"))
 
 
+def link_counts(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> DataFrame:
+    """doc_id, n_shingles and n_links of each row of ``docs`` (doc_id, text): the other rows that it links with.
+
+    Rows that share a doc_id count as rows; one without a doc_id or a word has no links.
+    """
+    ratio = Fraction(similarity)
+    rows, classes, groups = _by_class(docs, k, ratio)
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        return _count(group, ratio)
+
+    found = materialize(groups.groupBy("family", "i", "j").applyInPandas(count, "node long, n long"), "link-counts")
+    others = found.groupBy("node").agg(F.sum("n").alias("n"))
+    known = materialize(classes.join(others, "node", "left").select(*KEY, (F.coalesce("n", F.lit(0)) + F.col("n_rows") - 1).alias("n")), "set-links")
+    n = F.when(F.col("doc_id").isNotNull(), F.col("n"))
+    return rows.select("doc_id", *KEY).join(known, KEY, "left").select("doc_id", "n_shingles", F.coalesce(n, F.lit(0)).alias("n_links"))
+
+
 def keep_one(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> DataFrame:
     """``docs`` with one row of each group of near-duplicate texts, that of the least doc_id."""
     ratio = Fraction(similarity)
