@@ -63,3 +63,16 @@ def test_every_link_is_counted(spark, monkeypatch, block):
     assert max(n for _, _, n in want) >= 3
     assert ordered(jaccard_join.link_counts(frame, 3, "0.8").collect()) == ordered(want)
     assert jaccard_join.link_counts(frame.limit(0)).collect() == []
+
+
+def test_references_are_resolved(spark):
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    blocked = [link.format("//y.org/es/1"), refresh.format("//y.org/es/1"), link.format("../es/2"), link.format("./../x/../../es/2"), link.format("http://z.info/nothing") + link.format("http://y.org/es/3"), refresh.format("/nothing") + refresh.format("/en/../es/4"), link.format("?id=3"), link.format("page2.html#part")]
+    rows = [(i, "http://y.org/a/page" if i != 7 else "http://w.info/b/page", h) for i, h in enumerate(blocked)]
+    rows = [(i, f"{u}{i}", h) for i, u, h in rows]
+    rows[6] = (6, "http://v.info/c/d?id=2", blocked[6])
+    rows += [(20, "http://v.info/c/d?id=3", link.format("http://y.org/es/5")), (21, "http://w.info/b/page2.html", link.format("http://y.org/es/6")), (22, "http://w.info/page2.html", ""), (23, "http://q.info", link.format("x")), (24, "http://q.info/x", link.format("http://y.org/es/7")), (25, "http://q.info/#a", link.format("mailto:a@b.org") + link.format("#top"))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(frame).collect()}
+    assert {i: got[i] for i in [*range(8), 20, 21, 23, 24]} == dict.fromkeys([*range(8), 20, 21, 23, 24], "block")
+    assert got[22] == got[25] == "allow" and len(got) == len(rows)

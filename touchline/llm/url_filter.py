@@ -7,8 +7,8 @@ are one component, found by distributed connected components.  A component that
 an explicitly allowed member is allowed, else one with a blocked member is blocked,
 else its members are allowed.  A rule that fits a url itself always decides.
 
-Edges are read from the pages (canonical links and refresh redirects) and from an
-optional table of redirects.  Fragments do not part urls.  Rules are a short list that
+Edges are read from the pages (all canonical links and refresh redirects, resolved
+against the page's url; ``base`` tags are not read) and from an optional table of redirects.  Fragments do not part urls.  Rules are a short list that
 becomes part of the plan; everything else is joined.
 
 Defined results: null urls, or urls without ``://``, have empty host and path, fit no
@@ -57,22 +57,42 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(F.translate(head, _UPPER, _LOWER), rest))
 
 
-def _target(tags: Column, kind: str, value: str) -> Column:
-    """The url that the first of ``tags`` of a kind points to, or null."""
-    fit = F.get(F.filter(tags, lambda t: t.rlike(kind)), F.lit(0))
-    return F.nullif(F.replace(F.regexp_extract(fit, value, 1), F.lit("&amp;"), F.lit("&")), F.lit(""))
+def _targets(tags: Column, kind: str, value: str) -> Column:
+    """The references of all ``tags`` of a kind."""
+    return F.transform(F.filter(tags, lambda t: t.rlike(kind)), lambda t: F.replace(F.regexp_extract(t, value, 1), F.lit("&amp;"), F.lit("&")))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with ``/`` without its ``.`` and ``..`` steps."""
+    steps = F.slice(F.split(path, "/"), 2, 1 << 30)
+    none = F.array().cast("array<string>")
+    walked = F.aggregate(steps, none, lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))))
+    return F.concat(F.lit("/"), F.array_join(F.concat(walked, F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)), "/"))
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The url that a page at ``url`` means by ``to``."""
+    head, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
+    own, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.regexp_extract(path, r"(?s)^(.*)/", 1), F.lit("/"))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), to)
+        .when(to.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), to))
+        .when(to.startswith("/"), F.concat(head, _without_dots(own), rest))
+        .when(to.startswith("?"), F.concat(head, path, to))
+        .when(own != "", F.concat(head, _without_dots(F.concat(folder, own)), rest))
+    )
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): pages and the urls they redirect to or name as canonical."""
+    """(a, b): pages and the urls they redirect to or name as canonical, by all their tags."""
     some = pages.where(F.col("html").rlike("(?i)canonical|http-equiv"))
     links = F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*>"), F.lit(0))
     metas = F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
-    canonical = _target(links, r"(?is)\brel\s*=\s*[\"']?canonical\b", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
-    refresh = _target(metas, r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)")
-    to = some.select("url", F.explode(F.array(canonical, refresh)).alias("to")).where("to is not null")
-    whole = F.when(F.col("to").startswith("/") & ~F.col("to").startswith("//"), F.concat(F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1), "to")).otherwise(F.col("to"))
-    return to.select(node_of(F.col("url")).alias("a"), node_of(whole).alias("b")).where("a is not null and b is not null and a <> b")
+    canonical = _targets(links, r"(?is)\brel\s*=\s*[\"']?canonical\b", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    refresh = _targets(metas, r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)")
+    to = some.select("url", F.explode(F.concat(canonical, refresh)).alias("to")).where("to <> ''")
+    return to.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("url"), F.col("to"))).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame | None = None) -> DataFrame:
