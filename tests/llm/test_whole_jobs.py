@@ -76,3 +76,14 @@ def test_references_are_resolved(spark):
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(frame).collect()}
     assert {i: got[i] for i in [*range(8), 20, 21, 23, 24]} == dict.fromkeys([*range(8), 20, 21, 23, 24], "block")
     assert got[22] == got[25] == "allow" and len(got) == len(rows)
+
+
+def test_long_built_values_are_found_whole():
+    part = "Zx8fQ2pL9v{:04d}"
+    for text in (
+        's = ""\n' + "".join(f's = s + "{part.format(i)}"\n' for i in range(300)) + "db_password = s\n",
+        "s = " + " + ".join(f'"{part.format(i)}"' for i in range(300)) + "\ndb_password = s\n",
+        'password = ""\n' + "".join(f'password = password + "{part.format(i)}"\n' for i in range(300)),
+    ):
+        assert [text[a:b] for a, b in secret_scan.lexed_spans(text)] == [part.format(i) for i in range(300)]
+    assert secret_scan.lexed_spans('s = "Zx8fQ2pL9v01"\ns = "other"\npassword = s\n') == []

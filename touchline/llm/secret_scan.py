@@ -3,8 +3,9 @@
 Source and configuration text is lexed into statements of a *name* and the
 literals assigned to it: ``NAME = "literal"``, ``name: literal``, ``"name":
 "literal"``, ``name := a + "b"``, ``export NAME=literal``.  A pass in textual
-order keeps the literals each plain name holds, so a literal reached through
-other names (``x = "..."; password = x``) is found where it stands.  Literals are
+order keeps what each plain name is made of, and one back takes sensitivity from names
+to all that they are made of, so a literal reached through other names
+(``x = "..."; password = x``) is found where it stands.  Literals are
 scored by how sensitive the names are that they reach, and how random they look.
 
 Three fixed kinds of base findings are always reported; lexing adds ``literal``
@@ -92,23 +93,31 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
-    held: dict[str, list[tuple[int, int, bool]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    # each statement makes a version of its name: how sensitive it is, its literals, the versions it was made of
+    scores: list[float] = []
+    made: list[tuple[list[tuple[int, int, bool]], list[int]]] = []
+    held: dict[str, int] = {}
     for m in STATEMENT.finditer(text):
-        name, values = m[1], []
+        literals, earlier = [], []
         for p in PARTS.finditer(text, m.start(2), m.end(2)):
             raw = p[0]
             if raw[0] in "\"'`" and len(raw) > 1:
-                values.append((p.start() + 1, p.end() - 1, True))
+                literals.append((p.start() + 1, p.end() - 1, True))
             elif PLAIN_NAME.fullmatch(raw) and raw in held:
-                values += held[raw]
+                earlier.append(held[raw])
             elif raw != "+":
-                values.append((p.start(), p.end(), False))
-        held[name] = values[:64]
-        if score := name_score(name):
-            for a, b, quoted in values:
-                best[a, b] = max(best.get((a, b), 0.0), score * literal_score(text[a:b], quoted))
-    return sorted(s for s, score in best.items() if score >= THRESHOLD)
+                literals.append((p.start(), p.end(), False))
+        held[m[1]] = len(made)
+        made.append((literals, earlier))
+        scores.append(name_score(m[1]))
+    found = []
+    for version in range(len(made) - 1, -1, -1):  # later names first, so what a version reaches is known
+        literals, earlier = made[version]
+        if score := scores[version]:
+            for e in earlier:
+                scores[e] = max(scores[e], score)
+            found += [(a, b) for a, b, quoted in literals if score * literal_score(text[a:b], quoted) >= THRESHOLD]
+    return sorted(found)
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
