@@ -109,12 +109,25 @@ def goals_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("match_id", *_r(8, *me.P), *_r(7, "goals_home", "goals_away"))
 
 
-@query(GRID.format(where="season = 2001 AND home_team < 4") + " SELECT match_id, CAST(x AS INT) AS home, CAST(y AS INT) AS away, round_even(p, 6) AS p FROM nm", corpus=True)
-def goals_score_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = gm.forecasts(matches(spark, sf_dir).where("season = 2001 and home_team < 4"), rule_params(spark)).select("match_id", "grid")
+_CELLS = " SELECT match_id, CAST(x AS INT) AS home, CAST(y AS INT) AS away, round_even(p, 6) AS p FROM nm"
+
+
+def score_grids(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    f = gm.forecasts(matches(spark, sf_dir).where(where), rule_params(spark)).select("match_id", "grid")
     return f.select("match_id", F.posexplode("grid").alias("home", "row")).select("match_id", "home", F.posexplode("row").alias("away", "p"))
 
 
+@query(GRID.format(where="season = 2001 AND home_team < 4") + _CELLS, corpus=True)
+def goals_score_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_grids(spark, sf_dir, "season = 2001 and home_team < 4")
+
+
+@query(GRID.format(where="season = 2001") + _CELLS, corpus=True)
+def goals_score_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grids of all clubs."""
+    return score_grids(spark, sf_dir, "season = 2001")
+
+
 @query(
     f"""{PARAMS}, s AS (SELECT *, home_goals AS x, away_goals AS y, max(kickoff) OVER () AS last FROM lm WHERE home_goals IS NOT NULL)
 SELECT round(sum({_W} * (ln(greatest({_TAU}, 1e-10)) + x * ln(lam) - lam - ln(factorial(x)) + y * ln(mu) - mu - ln(factorial(y)))), 5) AS log_likelihood FROM s""",

@@ -253,17 +253,27 @@ def json_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", parsed.alias("j")).select("event_id", "j.k", F.coalesce("j.missing.deep", F.lit("none")).alias("deep"))
 
 
-@query("SELECT o_orderkey, 1 + i AS position, CAST((o_orderkey + i) % 20 AS INT) AS team FROM orders, range(3) x(i) WHERE o_orderkey % 10 = 0")
-def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feed_rows(orders: DataFrame) -> DataFrame:
     """A feed's lists of lists of rows, flattened; built from orders and parsed again."""
     k = K("o_orderkey")
     item = lambda i: F.named_struct(F.lit("rank"), F.lit(i + 1), F.lit("team"), F.named_struct(F.lit("id"), (k + i) % 20))
     feed = F.to_json(F.struct(F.array(F.array(item(0), item(1)), F.array(item(2))).alias("standings")))
     schema = "standings array<array<struct<rank: int, team: struct<id: int>>>>"
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.explode(F.flatten(F.from_json(feed, schema)["standings"])).alias("r"))
+    rows = orders.select("o_orderkey", F.explode(F.flatten(F.from_json(feed, schema)["standings"])).alias("r"))
     return rows.select("o_orderkey", K("r.rank").cast("long").alias("position"), K("r.team.id").alias("team"))
 
 
+@query("SELECT o_orderkey, 1 + i AS position, CAST((o_orderkey + i) % 20 AS INT) AS team FROM orders, range(3) x(i) WHERE o_orderkey % 10 = 0")
+def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed_rows(table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"))
+
+
+@query("SELECT o_orderkey, 1 + i AS position, CAST((o_orderkey + i) % 20 AS INT) AS team FROM orders, range(3) x(i)")
+def json_flatten_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feeds of all orders."""
+    return feed_rows(table(spark, sf_dir, "orders"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'db' WHEN c_custkey % 3 = 0 THEN 'file' ELSE 'none' END AS origin FROM customer")
 def map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lookups merged so that the first has the say, and a default."""
