@@ -4,7 +4,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from test_llm_small import contamination, docs, items, ordered, shingles, texts, variants  # noqa: F401
+from test_llm_small import components, contamination, docs, items, ordered, shingles, texts, variants  # noqa: F401
 
 from touchline.llm import decontaminate, jaccard_join, secret_scan, url_filter
 
@@ -29,28 +29,91 @@ def test_keep_one_judges_texts(spark):
     assert ordered(got) == ordered([(1, a), (1, b), (2, c), (None, a), (None, a), (3, None), (3, None), (5, "x y")])
 
 
+def rarity(sets):
+    """What ``jaccard_join.rarity`` gives of the shingles of ``sets``."""
+    counts = np.ones(jaccard_join.CELLS)
+    for s in sets:
+        np.add.at(counts, jaccard_join.cell(s), 1)
+    return np.log(counts / counts.sum()).astype(np.float32)
+
+
 @pytest.mark.parametrize("ratio", ["0.8", "0.9"])
 def test_unrelated_sets_share_no_part(ratio):
     rng = np.random.default_rng(1)
-    bins = jaccard_join.Bins(Fraction(ratio))
-    for n in (20, 100, 500, 1500):
-        own = [set(jaccard_join.part_hashes(rng.integers(0, 2**63, n).astype(np.uint64), bins).tolist()) for _ in range(60)]
+    passage = rng.integers(0, 2**63, 60).astype(np.uint64)
+    for n in (100, 500, 1500):
+        sets = [np.unique(np.concatenate([passage[: n // 3], rng.integers(0, 2**63, n - min(60, n // 3)).astype(np.uint64)])) for _ in range(60)]
+        rare = rarity(sets)
+        own = [set(jaccard_join.signature(s, Fraction(ratio), rare).tolist()) for s in sets]
         assert sum(1 for i, a in enumerate(own) for b in own[:i] if a & b) == 0
 
 
-@pytest.mark.parametrize("ratio", ["0.5", "0.8", "0.9"])
+@pytest.mark.parametrize("ratio", ["0.3", "0.5", "0.8", "0.9"])
 def test_linked_sets_share_a_part(ratio):
     rng = np.random.default_rng(2)
-    r, bins = Fraction(ratio), jaccard_join.Bins(Fraction(ratio))
-    for _ in range(1500):
-        n = int(rng.choice([1, 2, 3, 4, 5, 7, 9, 12, 19, 40, 150]))
-        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        most = int(n * (1 - r) / r)
-        gone = int(rng.integers(0, most + 1)) if n > most else 0
-        b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, most).astype(np.uint64)]))
+    r, cases, linked = Fraction(ratio), [], 0
+    common = rng.integers(0, 2**63, 40).astype(np.uint64)
+    for _ in range(2500):
+        n = int(rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 12, 15, 16, 19, 40, 150]))
+        a = np.unique(np.concatenate([rng.choice(common, n // 3), rng.integers(0, 2**63, n - n // 3).astype(np.uint64)]))
+        most = int(len(a) * (1 - r) / r)
+        gone = int(rng.integers(0, min(most, len(a) - 1) + 1))
+        new = int(rng.integers(0, most - gone + 1))
+        cases.append((a, np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**63, new).astype(np.uint64)]))))
+    rare = rarity([s for pair in cases for s in pair])
+    for a, b in cases:
         both = len(np.intersect1d(a, b))
         if both and Fraction(both, len(a) + len(b) - both) >= r:
-            assert set(jaccard_join.part_hashes(a, bins).tolist()) & set(jaccard_join.part_hashes(b, bins).tolist())
+            linked += 1
+            assert set(jaccard_join.signature(a, r, rare).tolist()) & set(jaccard_join.signature(b, r, rare).tolist())
+    assert linked > 1000
+
+
+def test_families_do_not_grow_with_unrelated_documents(spark):
+    """Ten thousand documents that share common words and passages, and some near copies of them."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    lines = [" ".join(rng.choice(vocabulary, 25)) for _ in range(20)]
+    rows = []
+    for i in range(10_000):
+        own = " ".join(rng.choice(vocabulary, int(rng.integers(30, 120))))
+        rows.append((i, f"{own} {lines[i % 20]} {lines[(i // 20) % 20]}" if i % 2 else own))
+    rows += [(20_000 + i, " ".join(["x", *t.split()[1:]])) for i, t in rows[::100]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    ratio = Fraction("0.8")
+    _, _, groups = jaccard_join._join(frame, 5, ratio)
+    families = groups.groupBy("family").count()
+    assert families.agg({"count": "max"}).head()[0] <= 20
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(frame, 5, "0.8").collect()}
+    copies = {20_000 + i: i for i, _ in rows[:10_000:100]}
+    assert {i for i, c in got.items() if c != i} == set(copies) and all(got[i] == c for i, c in copies.items())
+
+
+@pytest.mark.parametrize("k,similarity", [(5, "0.8"), (3, "0.9")])
+def test_thousands_of_rows_against_brute_force(spark, monkeypatch, k, similarity):
+    """Every link of 6000 texts, large families in blocks; brute force counts overlaps through an index of shingles."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "MAX_BROADCAST_ROWS", 0)
+    rows = variants(21, 5000)
+    rng = np.random.default_rng(4)
+    base = [f"c{i}" for i in range(60)]
+    rows += [(9000 + i, " ".join(w if rng.random() > 0.02 else f"d{i}" for w in base[: 50 + i % 11])) for i in range(1000)]
+    sets, index, shared = [(i, shingles(t, k)) for i, t in rows], {}, {}
+    for n, (_, s) in enumerate(sets):
+        for x in s:
+            index.setdefault(x, []).append(n)
+    for holders in index.values():
+        for y, b in enumerate(holders):
+            for a in holders[:y]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    num = int(float(similarity) * 10)
+    links = [(a, b) for (a, b), both in shared.items() if 10 * both >= num * (len(sets[a][1]) + len(sets[b][1]) - both)]
+    many = np.bincount(np.array(links).ravel(), minlength=len(rows))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    counts = {r.doc_id: r.n_links for r in jaccard_join.link_counts(frame, k, similarity).collect()}
+    assert counts == {i: int(n) for (i, _), n in zip(rows, many, strict=True)} and many.max() > 100
+    root = components([i for i, _ in rows], [(rows[a][0], rows[b][0]) for a, b in links])
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(frame, k, similarity).collect()} == root
 
 
 @pytest.mark.parametrize("block", [128, 3])

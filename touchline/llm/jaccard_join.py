@@ -3,24 +3,30 @@
 A document's set holds the hashes of its word shingles.  Documents of equal sets are
 one class.  Two classes link when their sets' Jaccard similarity is at least a ratio.
 
-1. *Dealing.*  If two sets of sizes a <= b link, they differ in at most H = a (1-t)/t
-   elements.  Elements are dealt by hash into more than H parts, so at least one part is
-   the same in both sets; if more than H of a set's parts are not empty, one of those is.
-   Empty parts, which unrelated sets share, are therefore left out of such a set, and
-   parts are enough that few sets are others.  Sizes are binned so that a linked pair is in the same bin or in
-   neighbouring ones, and every set gives a hash of each of its parts for both bins it
-   may meet others in.  This is exact whatever the frequencies of elements are: a shared
-   passage or a common word makes no part equal as long as the rest differs.
-2. *Families.*  Documents of one part hash are tied to the least of them; connected
-   components of these edges are families, which no link leaves.  A hash of n
-   documents makes n - 1 edges, never pairs, and near copies mostly repeat each other's.
-   Part hashes are shuffled once and only sorted, so a frequent one spills, and the many
-   parts of a large group of near copies lie in as many tasks.
-3. *Trees.*  A family (in blocks, if it is large) is searched in one task.  Its sets
-   are leaves of a tree whose nodes hold the OR of their members' token bitmaps and
-   their range of sizes.  Two nodes are traversed together and pruned when the largest
-   overlap their bitmaps allow is too small for their sizes; what remains is verified
-   on the sets themselves.
+The signature tree has two levels that are joined and one that is traversed.
+
+1. *Size ranges.*  The root's children hold sets of sizes L to 2L - 1.  Only sets of one
+   range or of neighbouring ones can overlap enough, so a set takes part in its own range
+   and, if it is near the range's lower end, in the one below.
+2. *Signatures.*  In a range, elements are dealt by hash into m parts.  Sets that link differ
+   in at most d = n (1-t)/t elements, n being the size of either, so all but d parts are the
+   same in both, and among any set's best d + 1 parts, in an order that depends on a part's
+   content alone, is one that the other set has among its own.  The order is by how rare a
+   part's elements are in the corpus, so that common words and shared passages are left out
+   of signatures, and so are empty parts.  Sets that have no part of their signatures in common
+   have too small a possible overlap: their node pair is pruned, by an equi-join.  Frequencies
+   are tallied in a table of ``CELLS`` counters over all documents; how full the table is
+   changes how much is pruned and never what is found.
+3. *Families.*  Sets of one part are tied to the least of them (the least is a partial
+   aggregate, so a frequent part is reduced before it is shuffled); connected components of these
+   ties are families, which no link leaves.  A family is cut by size, again into ranges that
+   only neighbours can link across, and into blocks, and pairs of blocks are searched in one task.
+4. *Trees.*  In a task, sets are leaves of a tree whose nodes hold the OR of their members'
+   token bitmaps and their range of sizes.  Two nodes are traversed together and pruned when
+   the largest overlap their bitmaps allow is too small for their sizes; what remains is
+   verified on the sets of 64-bit shingle hashes.  (Two different shingles of a pair of
+   documents have one hash with a chance of 2**-64 times the product of their sizes; equal
+   sets are told by their size and two 64-bit sums.)
 
 For components, nodes that are already in one are pruned too, and tasks return the links
 of a spanning forest.  ``link_counts`` verifies every pair that bitmaps do not rule out,
@@ -28,9 +34,9 @@ and tasks return how many rows each class links with, not the pairs.
 
 Defined results: null and empty texts have empty sets and link with nothing; a text of
 fewer words than a shingle is one shingle; rows that share a doc_id are joined as one
-node; a null doc_id links with nothing; an empty table gives none; other columns are
-ignored by ``near_duplicates``.  ``keep_one`` judges texts whatever their doc_id: of
-rows that share one, each goes or stays by its own text.
+node; a null doc_id, or one that is no number, links with nothing; an empty table gives none;
+other columns are ignored by ``near_duplicates``.  ``keep_one`` judges texts whatever their
+doc_id: of rows that share one, each goes or stays by its own text.
 """
 
 from __future__ import annotations
@@ -43,16 +49,20 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE2, NOT_BLANK, U64, Words, materialize, mix64, signed, steps, text_bytes, windows
+from .common import BASE2, NOT_BLANK, U64, Words, column, materialize, mix64, signed, steps, text_bytes, windows
 from .components import connected_components
 
-#: Sets that one task compares with each other; larger families are cut into blocks.
-BLOCK = 128
-#: Rows of (doc_id, family, block) that may be broadcast: some 25 MB.  More are joined.
+#: Sets, and elements of sets, that a block of a family holds on average; two blocks meet in a task.
+BLOCK, BLOCK_ELEMENTS = 128, 1 << 20
+#: Rows of places in families that may be broadcast: some 40 MB.  More are joined.
 MAX_BROADCAST_ROWS = 500_000
+#: Counters of the table of frequencies (4 bytes each), and how many make a row of it.
+CELLS, CHUNK = 1 << 20, 1 << 10
+#: Parts in a range, as a multiple of those that its largest sets keep.
+SPARE = 1.5
 BITS = 2048
 LEAF = 4
 #: What a set is known by: its size and two sums of hashes of its elements.
@@ -72,51 +82,43 @@ def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
                 yield windows(w.hash[i:j], j - i) if j > i else np.zeros(0, dtype=np.uint64)
 
 
-class Bins:
-    """Ranges of set sizes, such that sets that link are in one bin or in neighbouring ones."""
+def cell(s: np.ndarray) -> np.ndarray:
+    return (s & U64(CELLS - 1)).astype(np.int64)
 
-    def __init__(self, ratio: Fraction):
-        self.ratio, self.starts = ratio, [1]
-        self.dealt: dict[int, int] = {}
 
-    def of(self, size: int) -> int:
-        while self.starts[-1] <= size:
-            self.starts.append(int(self.starts[-1] / self.ratio) + 1)
-        return int(np.searchsorted(self.starts, size, side="right")) - 1
+def parts_of_range(low: int, ratio: Fraction) -> int:
+    """Parts that sets of sizes ``low`` to ``2 * low - 1`` are dealt into."""
+    return int(((2 * low - 1) * (1 - ratio) / ratio + 1) * Fraction(SPARE)) + 1
 
-    def differ(self, b: int) -> int:
-        """The most elements by which linked sets differ, the smaller one being in bin b."""
-        while len(self.starts) <= b + 1:
-            self.of(self.starts[-1])
-        return int((self.starts[b + 1] - 1) * (1 - self.ratio) / self.ratio)
 
-    def parts(self, b: int) -> int:
-        """Parts for pairs whose smaller set is in bin b: so many that hardly a set fills too few of them."""
-        if b not in self.dealt:
-            most, m = self.differ(b), self.differ(b) + 1
+def signature(s: np.ndarray, ratio: Fraction, rare: np.ndarray) -> np.ndarray:
+    """Hashes of the set's best parts in each size range where it may meet others.
 
-            def few(m: int) -> float:
-                """The logarithm of a bound on how likely all elements are in ``most`` of m parts."""
-                return math.lgamma(m + 1) - math.lgamma(most + 1) - math.lgamma(m - most + 1) + self.starts[b] * math.log(most / m)
-
-            while most and few(m) > -9 and m < 64 * most:
-                m += 1
-            self.dealt[b] = m
-        return self.dealt[b]
-
-
-def part_hashes(s: np.ndarray, bins: Bins) -> np.ndarray:
-    """Hashes of the set's parts, for pairs in which it is the smaller and the larger."""
-    own, out = bins.of(len(s)), []
-    mixed = mix64(s ^ U64(BASE2))
-    for b in {own, max(own - 1, 0)}:
-        m = bins.parts(b)
-        total, place = np.zeros(m, dtype=np.uint64), (s % U64(m)).astype(np.int64)
-        np.add.at(total, place, mixed)
-        hashes = mix64(total + mix64(np.arange(m, dtype=np.uint64) + U64(b << 32)))
-        full = np.bincount(place, minlength=m) > 0
-        out.append(hashes[full] if full.sum() > bins.differ(b) else hashes)
-    return np.concatenate(out)
+    rare: for each cell, the logarithm of its share of all elements.  A part is as rare as its
+    rarest element, to a factor of two, and then the better the more and rarer elements it has.
+    """
+    n, out = len(s), []
+    mixed, weight = mix64(s ^ U64(BASE2)), rare[cell(s)]
+    keep = int(n * (1 - ratio) / ratio) + 1
+    low, least = 1 << (n.bit_length() - 1), math.ceil(n * ratio)
+    while True:
+        m = parts_of_range(low, ratio)
+        place = ((mixed >> U64(7)) % U64(m)).astype(np.int64)
+        by = place.argsort(kind="stable")  # equal parts have their elements in one order, and so equal sums of weights
+        first = np.flatnonzero(np.diff(place[by], prepend=-1))
+        full = place[by][first]
+        hashes = mix64(np.add.reduceat(mixed[by], first) + mix64(full.astype(np.uint64) + U64(low << 24)))
+        if len(full) > keep:
+            rarest = np.floor(np.minimum.reduceat(weight[by], first) / math.log(2))
+            hashes = hashes[np.lexsort((hashes, np.add.reduceat(weight[by], first), rarest))[:keep]]
+        elif len(full) < keep:  # empty parts come last
+            empty = np.ones(m, dtype=bool)
+            empty[full] = False
+            hashes = np.concatenate([hashes, np.sort(mix64(mix64(np.flatnonzero(empty).astype(np.uint64) + U64(low << 24))))[: keep - len(full)]])
+        out.append(hashes)
+        if least >= low:
+            return np.concatenate(out)
+        low //= 2
 
 
 # ---------------------------------------------------------------- trees
@@ -209,15 +211,53 @@ def tree_links(sets: list[np.ndarray], left: list[int], right: list[int] | None,
 
 
 # ---------------------------------------------------------------- tasks
-def _parts(batches: Iterator[pa.RecordBatch], k: int, ratio: Fraction) -> Iterator[pa.RecordBatch]:
-    bins = Bins(ratio)
+def _tally(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """How often each cell is met in a partition: one row a chunk of the table."""
+    counts = np.zeros(CELLS, dtype=np.int64)
+    for batch in batches:
+        texts = text_bytes(batch)
+        for a, b in steps(texts):
+            w = Words(texts[a:b], NOT_BLANK, lower=True)
+            grams = windows(w.hash, k)  # those across two texts do no harm
+            counts += np.bincount(cell(grams), minlength=CELLS)
+    yield from _chunks(dict(enumerate(counts.reshape(-1, CHUNK))))
+
+
+def _chunks(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    keys = sorted(held)
+    for at in range(0, len(keys), 256):
+        some = keys[at : at + 256]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([held[i].astype("<i8").tobytes() for i in some], pa.binary())], names=["chunk", "counts"])
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one chunk added up as they stream past; memory is one table at most."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, c in zip(column(batch, "chunk"), column(batch, "counts"), strict=True):
+            held[i] = held.get(i, 0) + np.frombuffer(c, "<i8")
+    yield from _chunks(held)
+
+
+def rarity(texts: DataFrame, k: int) -> np.ndarray:
+    """The logarithm of each cell's share of all shingles of ``texts`` (text): ``CELLS`` numbers, whatever the corpus."""
+    tallied = texts.select("text").where("text is not null").mapInArrow(partial(_tally, k=k), "chunk int, counts binary")
+    counts = np.ones(CELLS)
+    for r in tallied.repartition("chunk").mapInArrow(_total, "chunk int, counts binary").collect():  # 8 MB
+        counts[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] += np.frombuffer(r.counts, "<i8")
+    return np.log(counts / counts.sum()).astype(np.float32)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], k: int, ratio: Fraction, rare) -> Iterator[pa.RecordBatch]:
+    weights = rare.value
     for batch in batches:
         keys, parts = [], []
         for s in shingle_sets(text_bytes(batch), k):
             keys.append(set_key(s))
-            parts.append(signed(part_hashes(s, bins)) if len(s) else np.zeros(0, dtype=np.int64))
+            parts.append(signed(signature(s, ratio, weights)) if len(s) else np.zeros(0, dtype=np.int64))
         keep = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in keep), *_columns(keys), pa.array(parts, pa.list_(pa.int64()))], names=[*keep, *KEY, "parts"])
+        columns = [pa.array([x[i] for x in keys], pa.int64()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in keep), *columns, pa.array(parts, pa.list_(pa.int64()))], names=[*keep, *KEY, "parts"])
 
 
 def set_key(s: np.ndarray) -> tuple[int, int, int]:
@@ -225,25 +265,18 @@ def set_key(s: np.ndarray) -> tuple[int, int, int]:
     return len(s), *signed(mix64(total + U64(len(s)))).tolist()
 
 
-def _columns(keys: list[tuple[int, int, int]]) -> list[pa.Array]:
-    return [pa.array([x[i] for x in keys], pa.int64()) for i in range(3)]
-
-
-def _sets(batches: Iterator[pa.RecordBatch], k: int, keyed: bool = False) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = list(shingle_sets(text_bytes(batch), k))
         keep = [n for n in batch.schema.names if n != "text"]
-        more = _columns([set_key(s) for s in found]) if keyed else []
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(batch.schema.get_field_index(n)) for n in keep), *more, pa.array([s.tobytes() for s in found], pa.binary())], names=[*keep, *(KEY if keyed else []), "elements"]
-        )
+        elements = pa.array([s.tobytes() for s in shingle_sets(text_bytes(batch), k)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in keep), elements], names=[*keep, "elements"])
 
 
 def _verified(group: pd.DataFrame, ratio: Fraction, every: bool) -> list[tuple[int, int]]:
     sets = [np.frombuffer(e, np.uint64) for e in group.elements]
-    block = group.block.to_numpy()
+    place = group.place.to_numpy()
     i, j = int(group.i.iloc[0]), int(group.j.iloc[0])
-    return tree_links(sets, np.flatnonzero(block == i).tolist(), None if i == j else np.flatnonzero(block == j).tolist(), ratio, every)
+    return tree_links(sets, np.flatnonzero(place == i).tolist(), None if i == j else np.flatnonzero(place == j).tolist(), ratio, every)
 
 
 def _count(group: pd.DataFrame, ratio: Fraction) -> pd.DataFrame:
@@ -257,30 +290,66 @@ def _count(group: pd.DataFrame, ratio: Fraction) -> pd.DataFrame:
 
 
 def _search(group: pd.DataFrame, ratio: Fraction) -> pd.DataFrame:
-    group = group.drop_duplicates(["node", "elements"])
+    group = group.drop_duplicates("node")
     ids, links = group.node.to_numpy(), _verified(group, ratio, False)
     return pd.DataFrame({"a": [ids[x] for x, _ in links], "b": [ids[y] for _, y in links]}, dtype="int64")
 
 
-def _placed(dealt: DataFrame) -> DataFrame:
-    """node, family, blocks and block of each node of ``dealt`` (node, part) that shares a part."""
-    least = F.first("node").over(Window.partitionBy("part").orderBy("node"))
-    near = dealt.select("node", least.alias("least")).where("node <> least")
+# ---------------------------------------------------------------- the join
+def _families(dealt: DataFrame) -> DataFrame:
+    """node and family of each node of ``dealt`` (node, part) that shares a part with another."""
+    shared = dealt.groupBy("part").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("part", "least")
+    near = dealt.join(shared, "part").where("node <> least")
     # a node's leasts are tied to the smallest of them, and it alone to the node: the same
     # components, but the leasts of a large group are few, and so are the edges between them
     tied = near.groupBy("node").agg(F.min("least").alias("b"), F.collect_set("least").alias("all"))
-    near = tied.select(F.explode(F.concat(F.array("node"), "all")).alias("a"), "b").where("a <> b").distinct()
-    families = connected_components(near).withColumnRenamed("component", "family")
+    ties = tied.select(F.explode(F.concat(F.array("node"), "all")).alias("a"), "b").where("a <> b").distinct()
+    return connected_components(ties).withColumnRenamed("component", "family")
 
-    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
-    placed = families.join(sizes, "family").select("node", "family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    return placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
+def _groups(sets: DataFrame, ratio: Fraction) -> DataFrame:
+    """Rows of ``sets`` (node, family, n_shingles, rep, ...) with i, j and place: one row for each group (family, i, j) of theirs.
 
-def _groups(sets: DataFrame) -> DataFrame:
-    """``sets`` in groups (family, i, j): blocks i <= j of a family meet in one; a family of one block is one group."""
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return sets.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+    A family is cut into ranges of sizes, such that sets that link are in one or in neighbouring
+    ones, and these into blocks; a set's place is its block.  Two blocks i <= j meet in one group.
+    """
+    width = math.log(1 / ratio) * (1 + 1e-9)  # a little more, for what rounding does at a range's end
+    span = F.floor(F.log(F.col("n_shingles").cast("double")) / width).cast("int")
+    placed = sets.withColumn("span", span)
+    sizes = placed.groupBy("family", "span").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("elements"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    sizes = materialize(sizes.withColumn("blocks", blocks).select("family", "span", "blocks"), "family-blocks")
+    above = sizes.select("family", (F.col("span") - 1).alias("span"), F.col("blocks").alias("above"))
+    below = sizes.select("family", (F.col("span") + 1).alias("span"), F.col("blocks").alias("below"))
+    around = sizes.join(above, ["family", "span"], "left").join(below, ["family", "span"], "left")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
+    number = lambda span, block: span.cast("long") * F.lit(1 << 32) + block  # noqa: E731  blocks in order of their ranges
+    others = lambda n, step: F.transform(F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda b: number(F.col("span") + step, b.cast("long")))
+    met = F.concat(others(F.col("blocks"), 0), others(F.col("above"), 1), others(F.col("below"), -1))
+    placed = placed.join(around, ["family", "span"]).withColumn("place", number(F.col("span"), own)).withColumn("other", F.explode(met))
+    return placed.withColumns({"i": F.least("place", "other"), "j": F.greatest("place", "other")}).drop("other", "span", "blocks", "above", "below")
+
+
+def _join(docs: DataFrame, k: int, ratio: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, sum of the text, key), their classes (key, rep, n_rows, node), and groups of sets to search.
+
+    Nodes are classes, so that texts which share a doc_id stay apart.
+    """
+    texts = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.xxhash64("text").alias("sum"), "text")
+    rare = docs.sparkSession.sparkContext.broadcast(rarity(texts, k))
+    rows = materialize(texts.mapInArrow(partial(_parts, k=k, ratio=ratio, rare=rare), "doc_id long, sum long, n_shingles long, one long, two long, parts array<long>"), "sets")
+    usable = rows.where("n_shingles > 0 and doc_id is not null")
+    classes = usable.groupBy(*KEY).agg(F.min(F.struct("doc_id", "sum")).alias("rep"), F.count("*").alias("n_rows"))
+    classes = materialize(classes.select(*KEY, "rep.*", "n_rows", F.monotonically_increasing_id().alias("node")), "set-classes")
+
+    own = usable.select("doc_id", "sum", *KEY, "parts").join(classes.select("doc_id", "sum", *KEY, "node"), ["doc_id", "sum", *KEY])
+    families = _families(own.select("node", F.explode("parts").alias("part")))
+    places = _groups(families.join(classes, "node").select("node", "family", "n_shingles", "doc_id", "sum", "n_rows"), ratio)
+    places = materialize(places.groupBy("doc_id", "sum", "node", "n_rows").agg(F.collect_list(F.struct("family", "i", "j", "place")).alias("places")), "places")
+    small = places.agg(F.sum(F.size("places"))).head()[0] or 0
+    here = texts.join(F.broadcast(places) if small <= MAX_BROADCAST_ROWS else places, ["doc_id", "sum"])
+    sets = here.select("node", "n_rows", "places", "text").mapInArrow(partial(_sets, k=k), "node long, n_rows long, places array<struct<family: long, i: long, j: long, place: long>>, elements binary")
+    return rows, classes, sets.select("node", "n_rows", "elements", F.explode("places").alias("x")).select("node", "n_rows", "elements", "x.*")
 
 
 def _links(groups: DataFrame, ratio: Fraction) -> DataFrame:
@@ -299,43 +368,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> Dat
     component_id is the least doc_id that links lead to, the row's own included.
     """
     ratio = Fraction(similarity)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(texts.mapInArrow(partial(_parts, k=k, ratio=ratio), "doc_id long, n_shingles long, one long, two long, parts array<long>"), "sets")
-    usable = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy(*KEY).agg(F.min("doc_id").alias("rep")), "set-classes")
-
-    dealt = usable.select(F.col("doc_id").alias("rep"), "parts").join(classes.select("rep"), "rep", "left_semi").select(F.col("rep").alias("node"), F.explode("parts").alias("part"))
-    placed = materialize(_placed(dealt), "families").withColumnRenamed("node", "doc_id")
-    small = placed.count() <= MAX_BROADCAST_ROWS
-    own = texts.join(F.broadcast(placed) if small else placed, "doc_id")
-    sets = own.mapInArrow(partial(_sets, k=k), "doc_id long, family long, blocks int, block int, elements binary").withColumnRenamed("doc_id", "node")
-
-    linked = connected_components(_links(_groups(sets), ratio))
-    known = classes.select(*KEY, "rep").join(linked, F.col("rep") == F.col("node"), "left").select(*KEY, F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", *KEY).join(materialize(known, "set-components"), KEY, "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
-
-
-def _by_class(docs: DataFrame, k: int, ratio: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, sum of the text, key), their classes (key, rep, n_rows, node), and groups of sets to search.
-
-    Nodes are classes, so that texts which share a doc_id stay apart.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    summed = texts.select("doc_id", F.xxhash64("text").alias("sum"), "text")
-    rows = materialize(summed.mapInArrow(partial(_parts, k=k, ratio=ratio), "doc_id long, sum long, n_shingles long, one long, two long, parts array<long>"), "sets")
-    usable = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "set-classes")
-
-    dealt = usable.select(F.col("doc_id").alias("rep"), *KEY, "parts").join(classes.select("rep", *KEY, "node"), ["rep", *KEY]).select("node", F.explode("parts").alias("part"))
-    placed = _placed(dealt).join(classes, "node").select(F.col("rep").alias("doc_id"), *KEY, "n_rows", "node", "family", "blocks", "block")
-    placed = materialize(placed, "families")
-    small = placed.count() <= MAX_BROADCAST_ROWS
-    here = F.broadcast(placed) if small else placed
-    own = texts.join(here.select("doc_id"), "doc_id", "left_semi")
-    sets = own.mapInArrow(partial(_sets, k=k, keyed=True), "doc_id long, n_shingles long, one long, two long, elements binary").join(here, ["doc_id", *KEY])
-    return rows, classes, _groups(sets.select("node", "n_rows", "family", "blocks", "block", "elements"))
+    rows, classes, groups = _join(docs, k, ratio)
+    links = _links(groups, ratio)
+    # classes that share a doc_id are one node
+    held = materialize(rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", *KEY).join(classes.select(*KEY, "node"), KEY).select("doc_id", "node"), "nodes")
+    several = held.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    ties = several.join(held, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
+    linked = connected_components(links.union(ties))
+    known = materialize(classes.join(linked, "node", "left").select(*KEY, "doc_id", F.coalesce("component", "node").alias("component")), "set-components")
+    least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    known = known.join(least, "component").select(*KEY, "component_id")
+    out = rows.select("doc_id", *KEY).join(known, KEY, "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def link_counts(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> DataFrame:
@@ -344,7 +388,7 @@ def link_counts(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> DataFra
     Rows that share a doc_id count as rows; one without a doc_id or a word has no links.
     """
     ratio = Fraction(similarity)
-    rows, classes, groups = _by_class(docs, k, ratio)
+    rows, classes, groups = _join(docs, k, ratio)
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         return _count(group, ratio)
@@ -359,7 +403,7 @@ def link_counts(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> DataFra
 def keep_one(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> DataFrame:
     """``docs`` with one row of each group of near-duplicate texts, that of the least doc_id."""
     ratio = Fraction(similarity)
-    rows, classes, groups = _by_class(docs, k, ratio)
+    rows, classes, groups = _join(docs, k, ratio)
     linked = connected_components(_links(groups, ratio))
     known = classes.join(linked, "node", "left").select(*KEY, F.coalesce("component", "node").alias("component"))
     each = rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "sum", *KEY).agg(F.count("*").alias("n"))
@@ -367,7 +411,7 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> DataFrame:
     kept = materialize(judged.groupBy("component").agg(F.min(F.struct("doc_id", "sum")).alias("w")).select("w.*"), "kept")
 
     def among(left: DataFrame, some: DataFrame, how: str) -> DataFrame:
-        same = (F.col("d.doc_id").cast("long") == F.col("h.doc_id")) & (F.xxhash64("d.text") == F.col("h.sum"))
+        same = (F.col("d.doc_id").try_cast("long") == F.col("h.doc_id")) & (F.xxhash64("d.text") == F.col("h.sum"))
         return left.alias("d").join(some.alias("h"), same, how)
 
     out = among(docs, judged.select("doc_id", "sum").join(kept, ["doc_id", "sum"], "left_anti"), "left_anti")
