@@ -155,8 +155,8 @@ def fit(matches: DataFrame, by: Sequence[str] = (), rate: Column | None = None,
     return sums.groupBy(*keys).applyInPandas(one, schema).select(*by, "team", "attack", "defence", "home_adv", "rho", "objective", "rounds", "gradient")
 
 
-def bootstrap(matches: DataFrame, replicates: int, seed: int = 42, rate: Column | None = None) -> DataFrame:
-    """Fits of ``replicates`` resamples and, as replicate 0, of the matches themselves.
+def bootstrap(matches: DataFrame, replicates: int, seed: int = 42, rate: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Fits, of each group of matches, of ``replicates`` resamples and, as replicate 0, of the matches themselves.
 
     Every match is drawn a Poisson(1) number of times in each replicate, which is what
     drawing with replacement tends to, and needs no row numbers and no shuffle of its own.
@@ -168,7 +168,7 @@ def bootstrap(matches: DataFrame, replicates: int, seed: int = 42, rate: Column
         chance += mass
         count = count + (u >= chance).cast("int")
         mass /= k + 1
-    return fit(drawn, ["replicate"], rate, F.when(F.col("replicate") == 0, 1).otherwise(count))
+    return fit(drawn, [*by, "replicate"], rate, F.when(F.col("replicate") == 0, 1).otherwise(count))
 
 
 # ----------------------------------------------------------------- forecasts

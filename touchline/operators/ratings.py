@@ -77,12 +77,12 @@ def base_rates(matches: DataFrame, by: list[str]) -> DataFrame:
 def expanding(matches: DataFrame, folds: DataFrame) -> DataFrame:
     """Matches as training rows of each fold (fold, start) that starts after them.
 
-    Folds are a handful of seasons: their starts become one array in the plan, and each
-    match is multiplied by the folds it belongs to, without a range join.
+    Folds' starts, a row each, are sorted into one row that every match is given; a match is
+    multiplied by the folds it belongs to, without a range join.
     """
-    starts = [F.struct(F.lit(r.fold).alias("fold"), F.lit(r.start).alias("start")) for r in folds.orderBy("start").limit(1000).collect()]
-    later = F.filter(F.array(*starts), lambda f: f["start"] > F.col("kickoff"))
-    return matches.withColumn("_f", F.explode(later)).withColumn("fold", F.col("_f.fold")).drop("_f")
+    starts = folds.agg(F.array_sort(F.collect_list(F.struct("start", "fold"))).alias("_folds"))  # one row
+    later = F.filter("_folds", lambda f: f["start"] > F.col("kickoff"))
+    return matches.crossJoin(F.broadcast(starts)).withColumn("_f", F.explode(later)).withColumn("fold", F.col("_f.fold")).drop("_f", "_folds")
 
 
 def latest(rows: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import goals_model as gm
@@ -16,11 +16,12 @@ K = F.col
 RUNS, SEED = 20, 42
 
 _U = "CAST('0x' || substr(md5(concat_ws('|', 42, run, match_id)), {0}, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
-DRAWN = GRID.format(where=f"season = {CURRENT} AND home_goals IS NULL") + f""", hm AS (SELECT match_id, x, sum(sum(p)) OVER (PARTITION BY match_id ORDER BY x) AS c FROM nm GROUP BY match_id, x),
+#: 0 to 30 goals a side: beyond that is less than a draw can tell.
+DRAWN = GRID.format(where=f"season = {CURRENT} AND home_goals IS NULL").replace("range(11)", "range(31)") + f""", hm AS (SELECT match_id, x, sum(sum(p)) OVER (PARTITION BY match_id ORDER BY x) AS c FROM nm GROUP BY match_id, x),
 aw AS (SELECT match_id, x, y, sum(p) OVER (PARTITION BY match_id, x ORDER BY y) / sum(p) OVER (PARTITION BY match_id, x) AS c FROM nm),
 u AS (SELECT match_id, run, {_U.format(1)} AS u, {_U.format(14)} AS v FROM (SELECT DISTINCT match_id FROM nm), range({RUNS}) r(run)),
-dh AS (SELECT u.match_id, run, v, least(count(*) FILTER (c <= u.u), 10) AS hg FROM u JOIN hm ON hm.match_id = u.match_id GROUP BY ALL),
-dr AS (SELECT dh.match_id, run, CAST(hg AS INT) AS home_goals, CAST(least(count(*) FILTER (c <= v), 10) AS INT) AS away_goals FROM dh JOIN aw ON aw.match_id = dh.match_id AND aw.x = hg GROUP BY dh.match_id, run, hg, v)"""
+dh AS (SELECT u.match_id, run, v, least(count(*) FILTER (c <= u.u), 30) AS hg FROM u JOIN hm ON hm.match_id = u.match_id GROUP BY ALL),
+dr AS (SELECT dh.match_id, run, CAST(hg AS INT) AS home_goals, CAST(least(count(*) FILTER (c <= v), 30) AS INT) AS away_goals FROM dh JOIN aw ON aw.match_id = dh.match_id AND aw.x = hg GROUP BY dh.match_id, run, hg, v)"""
 
 
 def ensemble(spark: SparkSession) -> DataFrame:
@@ -108,18 +109,15 @@ def simulate_latest_matchday(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def simulate_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title rank of each past season's champion when only its earlier half was known."""
-    m = matches(spark, sf_dir).where("season in (1998, 1999)")
-    known = m.withColumn("i", F.percent_rank().over(st.Window.partitionBy("season").orderBy("kickoff", "match_id")))
-    cut = known.withColumns({c: F.when(K("i") < 0.5, K(c)) for c in ("home_goals", "away_goals")})
-    out = None
-    for year in (1998, 1999):
-        s = cut.where(K("season") == year).select("match_id", "season", "home_team", "away_team", "home_goals", "away_goals")
-        one = sim.summary(sim.final_tables(s, ensemble(spark), 50, SEED)).withColumn("season", F.lit(year))
-        out = one if out is None else out.unionByName(one)
-    champions = st.rank(m).where("position = 1").select("season", K("team").alias("champion"))
-    return sim.champion_rank(out, champions)
+def simulate_backtest(spark: SparkSession, sf_dir: str, fits: int = 20, runs: int = 2000) -> DataFrame:
+    """Title rank of the champion of every completed season but the first, as of the latest 20th fixture of its clubs."""
+    m = matches(spark, sf_dir)
+    done = m.groupBy("season").agg(F.count_if(K("home_goals").isNull()).alias("open")).where("open = 0").select("season")
+    sides = m.select("season", "kickoff", F.explode(F.array("home_team", "away_team")).alias("team"))
+    nth = F.row_number().over(Window.partitionBy("season", "team").orderBy("kickoff"))
+    cuts = sides.withColumn("n", nth).where("n = 20").groupBy("season").agg(F.max("kickoff").alias("as_of")).join(done, "season")
+    first = cuts.agg(F.min("season").alias("first"))  # one row; nothing is known before it
+    return sim.backtest(m, cuts.crossJoin(first).where("season > first").select("season", "as_of"), fits, runs, SEED)
 
 
 @query()
