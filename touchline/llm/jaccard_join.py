@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE2, NOT_BLANK, U64, Words, column, materialize, mix64, signed, steps, text_bytes, windows
+from .common import BASE2, NOT_BLANK, U64, Words, column, discard, materialize, mix64, signed, steps, text_bytes, windows
 from .components import connected_components
 
 #: Sets, and elements of sets, that a block of a family holds on average; two blocks meet in a task.
@@ -296,15 +296,20 @@ def _search(group: pd.DataFrame, ratio: Fraction) -> pd.DataFrame:
 
 
 # ---------------------------------------------------------------- the join
-def _families(dealt: DataFrame) -> DataFrame:
-    """node and family of each node of ``dealt`` (node, part) that shares a part with another."""
-    shared = dealt.groupBy("part").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("part", "least")
-    near = dealt.join(shared, "part").where("node <> least")
-    # a node's leasts are tied to the smallest of them, and it alone to the node: the same
-    # components, but the leasts of a large group are few, and so are the edges between them
-    tied = near.groupBy("node").agg(F.min("least").alias("b"), F.collect_set("least").alias("all"))
-    ties = tied.select(F.explode(F.concat(F.array("node"), "all")).alias("a"), "b").where("a <> b").distinct()
-    return connected_components(ties).withColumnRenamed("component", "family")
+def _families(dealt: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """node and family of each node of ``dealt`` (node, part) that shares a part with another, and tables that this reads."""
+    shared = dealt.groupBy("part").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("part", "least")
+    near = materialize(dealt.join(shared, "part").where("node <> least").select("node", "least"), "ties")
+    # each node hooks to the smallest of its leasts, and that one's; what then still ties two tops is
+    # little, as a large group's many ties become one
+    up = materialize(near.groupBy("node").agg(F.min("least").alias("up")), "hooks")
+    tops = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("upper")), "up", "left").select("node", F.coalesce("upper", "up").alias("top"))
+    tops = materialize(tops, "tops")
+    other = tops.select(F.col("node").alias("least"), F.col("top").alias("b"))
+    ties = near.join(tops, "node").join(other, "least", "left").select(F.col("top").alias("a"), F.coalesce("b", "least").alias("b")).where("a <> b").distinct()
+    linked = connected_components(ties).select(F.col("node").alias("top"), "component")
+    roots = near.select(F.col("least").alias("node")).distinct().join(tops.select("node"), "node", "left_anti").select("node", F.col("node").alias("top"))
+    return tops.union(roots).join(linked, "top", "left").select("node", F.coalesce("component", "top").alias("family")), [near, up, tops]
 
 
 def _groups(sets: DataFrame, ratio: Fraction) -> DataFrame:
@@ -343,9 +348,11 @@ def _join(docs: DataFrame, k: int, ratio: Fraction) -> tuple[DataFrame, DataFram
     classes = materialize(classes.select(*KEY, "rep.*", "n_rows", F.monotonically_increasing_id().alias("node")), "set-classes")
 
     own = usable.select("doc_id", "sum", *KEY, "parts").join(classes.select("doc_id", "sum", *KEY, "node"), ["doc_id", "sum", *KEY])
-    families = _families(own.select("node", F.explode("parts").alias("part")))
+    families, used = _families(own.select("node", F.explode("parts").alias("part")))
     places = _groups(families.join(classes, "node").select("node", "family", "n_shingles", "doc_id", "sum", "n_rows"), ratio)
     places = materialize(places.groupBy("doc_id", "sum", "node", "n_rows").agg(F.collect_list(F.struct("family", "i", "j", "place")).alias("places")), "places")
+    for table in used:
+        discard(table)
     small = places.agg(F.sum(F.size("places"))).head()[0] or 0
     here = texts.join(F.broadcast(places) if small <= MAX_BROADCAST_ROWS else places, ["doc_id", "sum"])
     sets = here.select("node", "n_rows", "places", "text").mapInArrow(partial(_sets, k=k), "node long, n_rows long, places array<struct<family: long, i: long, j: long, place: long>>, elements binary")
