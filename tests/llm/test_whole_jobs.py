@@ -150,3 +150,75 @@ def test_long_built_values_are_found_whole():
     ):
         assert [text[a:b] for a, b in secret_scan.lexed_spans(text)] == [part.format(i) for i in range(300)]
     assert secret_scan.lexed_spans('s = "Zx8fQ2pL9v01"\ns = "other"\npassword = s\n') == []
+
+
+V, W = "Zx8fQ2pL9v7Kd3", "bN4tR7yU1mC6xE"
+SNIPPETS = [
+ (V, []),
+ (f'db_password = "{V}"',[V]),
+ (f'config["db_password"] = "{V}"',[V]),
+ (f'password = """{V}\nsecond line"""',[V+"\nsecond line"]),
+ (f'user, db_password = "bobby.tables9", "{V}"',[V]),
+ (f'db_password, user = "{V}", "bobby.tables9"',[V]),
+ (f'secret_key = (\n    "{V}"\n)\nother = "{W}"',[V]),
+ (f'db:\n  password:\n    {V}\n  user: x',[V]),
+ (f'<password>{V}</password>',[V]),
+ (f'<server><db-password> {V} </db-password></server>',[V]),
+ (f'<add key="db_password" value="{V}"/>',[V]),
+ (f'x = c if a else "{V}"; auth_key = x',[V]),
+ (f'db_password = DEFAULT\nDEFAULT = "{V}"\n',[V]),
+ (f'db.set("password", "{V}")',[V]),
+ (f'connect(host="h", password="{V}")',[V]),
+ (f'let apiKey = `{V}`;',[V]),
+ (f"private_key: |\n  {V}\n  {W}\nname: x",[f"{V}\n  {W}"]),
+ (f'{{"user": "bob", "authKey": "{V}", "n": 3}}',[V]),
+ (f'export DB_PWD={V}',[V]),
+ (f'auth_key := "{V[:5]}" + "{V[5:]}x"',[V[5:]+"x"]),
+ (f'a = "{V}"\nb = a\nc = b\nsecret_key = c',[V]),
+ (f'def f():\n    k = "{V}"\n    return k\nk = "{W}"\nauth_key = k\n',[W]),
+ (f'k = "{W}"\ndef f():\n    k = "{V}"\n    auth_key = k\n',[V]),
+ (f'k = "{W}"\ndef f():\n    auth_key = k\n',[W]),
+ (f'function f() {{ const k = "{V}"; auth_key = k; }}\nk = "{W}";',[V]),
+ (f'password = os.getenv("{V}")',[]),
+ (f'password = str("{V}")',[V]),
+ (f'password_field = "{V}"',[]),
+ (f'title = "{V}"',[]),
+ (f's = "{V}"\ns = "other"\npassword = s\n',[]),
+ (f'x = config["{V}"]\npassword = x',[]),
+ (f'config["pw"] = "{V}"\nauth_token = config["pw"]',[V]),
+ (f'x.y = "{V}"\nauth_token = x.y',[V]),
+ (f'String dbPassword = "{V}";',[V]),
+ (f'db_password: str = "{V}"',[V]),
+ (f'db_password: Optional[str] = "{V}"',[V]),
+ (f"secret_key = '{V}'  # it's old\nname = '{W}'",[V]),
+ (f'auth_key = "{V}" \\\n  "{W}"\nz = "{W}x"',[V,W]),
+ (f'auth_key = ["{V}", "{W}"]',[V,W]),
+ (f'auth_key = a ? "{V}" : "{W}";',[V,W]),
+ (f'creds = {{"user": "bob"}}\nauth_key = creds',[]),
+ (f'; comment\n[db]\ndb_pwd = {V}/+x==\nhost = localhost',[V+"/"]),
+ (f'# auth_key = "{V}"',[V]),
+ (f'// authKey: "{V}"',[V]),
+ (f'ENV AUTH_KEY={V}\nRUN x',[V]),
+ (f'auth_key = \n    "{V}"\n',[V]),
+ (f'auth_key:\nname: {V}',[]),
+ (f'k += "{V}"\nauth_key = k',[V]),
+ (f'if password == "{V}": pass',[]),
+ (f'password = ""',[]),
+ (f"The user's password is secret and the token is a word.",[]),
+ (f"a = b = \"{V}\"\nauth_key = a",[V]),
+ (f"auth_key = b = \"{V}\"",[V]),
+ (f"<e name=\"password\">{V}</e>",[V]),
+ (f"auth_key = x ? y : \"{V}\"",[V]),
+ (f"{{name: {W}, auth_key: {V}}}",[V]),
+]
+
+
+@pytest.mark.parametrize("text,want", SNIPPETS)
+def test_names_and_literals(text, want):
+    assert [text[a:b] for a, b in secret_scan.lexed_spans(text)] == want
+
+
+@pytest.mark.parametrize("many", [1, 3000])
+@pytest.mark.parametrize("part", ["x: ", "a=b\n", "password = (", "<a key='password' ", "password = a ? b : ", "def f():\n", "{", '("password", "a1b2c3d4", ', "password = \\\n", "password: |\n", "a = password = ", "'", '"""', "]", "password = f("])
+def test_broken_source_is_no_error(part, many):
+    secret_scan.spans(part * many + "password")

@@ -1,12 +1,17 @@
 """Secrets by assignment-aware lexing (operator 3).
 
-Source and configuration text is lexed into statements of a *name* and the
-literals assigned to it: ``NAME = "literal"``, ``name: literal``, ``"name":
-"literal"``, ``name := a + "b"``, ``export NAME=literal``.  A pass in textual
-order keeps what each plain name is made of, and one back takes sensitivity from names
-to all that they are made of, so a literal reached through other names
-(``x = "..."; password = x``) is found where it stands.  Literals are
-scored by how sensitive the names are that they reach, and how random they look.
+Source and configuration text is lexed into tokens (strings of all quotings, names, operators,
+brackets, ends of lines with their indentation), from which pairs of a *name* and what it is
+given are read: assignments of names, attributes, subscripts and tuples, annotated or not;
+keyword arguments and pairs of arguments; keys of JSON, YAML (values on the next line and block
+scalars too), INI and shell; elements and attributes of XML.  A value goes on to the end of its
+statement, over brackets and continued lines, and holds string literals, unquoted words and the
+names of others.  Constants propagate: a use means the last definition before it in the
+innermost scope that has one, or else the next one after it, and sensitivity goes back from
+sensitive names over all uses to a fixed point, so a literal reached through other names
+(``x = "..."; password = x``) is found where it stands.  Literals are scored by how sensitive
+the names are that they reach, and how random they look.  Arguments of calls are no part of a
+value, except of calls that only convert; text of comments is lexed as any other.
 
 Three fixed kinds of base findings are always reported; lexing adds ``literal``
 findings outside them:
@@ -23,9 +28,11 @@ results; an empty table gives none; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,11 +55,24 @@ PLACEHOLDERS = {"password", "passwd", "changeme", "example", "placeholder", "red
 #: No sensitive name is without one of these.
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer")
 
-LITERAL = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"""
-ATOM = rf"""(?:{LITERAL}|[^\s"'`,;+(){{}}\[\]]+)"""
-STATEMENT = re.compile(rf"""(?<![\w.$-])["']?([A-Za-z_$][\w.$-]*)["']?[\x20\t]*(?::[\x20\t]*[A-Za-z_]\w*[\x20\t]*=|:=|=>|=(?!=)|:)[\x20\t]*({ATOM}(?:[\x20\t]*\+[\x20\t]*{ATOM})*)""", re.ASCII)
-PARTS = re.compile(ATOM, re.ASCII)
-PLAIN_NAME = re.compile(r"[A-Za-z_$][\w.$-]*", re.ASCII)
+TOKEN = re.compile(
+    r"""(?P<triple>[rRbBuUfF]{0,2}(?:\"\"\"(?s:.*?)\"\"\"|'''(?s:.*?)'''))
+    |(?P<str>[rRbBuUfF]{0,2}"(?:[^"\\\n]|\\.)*"|(?:[rRbBuUfF]{1,2}|(?<!\w))'(?:[^'\\\n]|\\.)*'|`[^`]*`)
+    |(?P<name>[A-Za-z_$][\w$]*(?:[.-][\w$]+)*)|(?P<op>:=|=>|->|[=!<>]=|\+=|[=:+])
+    |(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<comma>,)|(?P<end>;)|(?P<nl>\\?\r?\n[\x20\t]*)|(?P<other>\S)""",
+    re.ASCII | re.VERBOSE,
+)
+QUOTE = re.compile(r"""[rRbBuUfF]{0,2}(\"{3}|'{3}|["'`])""")
+#: What an unquoted value goes on over.
+BARE = re.compile(r"""[^\s"'`,;+(){}\[\]]+""")
+KEY = re.compile(r"[A-Za-z_$][\w$.-]*", re.ASCII)
+ELEMENT = re.compile(r"<([A-Za-z][\w:.-]*)(?:\s[^<>]*)?>([^<>]+)</")
+TAG = re.compile(r"<[A-Za-z][^<>]*>([^<>]*)")
+ATTRIBUTE = re.compile(r"""([\w:.-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+ASSIGNS = {"=", ":", ":=", "=>", "+="}
+DECLARES = {"let", "var", "const", "val", "local", "my", "auto"}
+#: Calls whose arguments are still the value.
+CONVERTS = {"str", "bytes", "string", "bytearray", "encode", "decode", "b64decode", "strip", "trim", "concat", "join"}
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 THRESHOLD = 0.6
 
@@ -88,35 +108,295 @@ def literal_score(value: str, quoted: bool) -> float:
     return min(1.0, bits / 3.0)
 
 
+class Source:
+    """The tokens of a text, what bracket each stands in, and its scope."""
+
+    def __init__(self, text: str):
+        self.text, self.kind, self.at = text, [], []
+        for m in TOKEN.finditer(text):
+            self.kind.append("str" if m.lastgroup == "triple" else m.lastgroup)
+            self.at.append(m.span())
+        n = len(self.kind)
+        self.pair: dict[int, int] = {}
+        self.inside, self.scope, self.parent = [-1] * n, [0] * n, [-1]
+        self.taken: set[int] = set()  # colons of conditional expressions
+        stack: list[int] = []
+        scopes: list[tuple[str, int, int]] = [("all", -1, 0)]  # how it ends, by what, its number
+        waiting = None  # the indentation of a ``def`` whose body has not begun
+        for i, kind in enumerate(self.kind):
+            if kind == "nl" and not stack or (kind == "nl" and self.word(stack[-1]) == "{"):
+                deep, after = self.indent(i), self.kind[i + 1] if i + 1 < n else "nl"
+                if after != "nl":
+                    while scopes[-1][0] == "indent" and deep <= scopes[-1][1]:
+                        scopes.pop()
+                    if waiting is not None and deep > waiting:
+                        self.parent.append(scopes[-1][2])
+                        scopes.append(("indent", waiting, len(self.parent) - 1))
+                    waiting = None
+            elif kind == "close" and stack:
+                opened = stack.pop()
+                self.pair[opened], self.pair[i] = i, opened
+                if scopes[-1][0] == "brace" and scopes[-1][1] == opened:
+                    scopes.pop()
+            self.inside[i], self.scope[i] = stack[-1] if stack else -1, scopes[-1][2]
+            if kind == "open":
+                before = self.kind[i - 1] if i else "nl"
+                if self.word(i) == "{" and (before == "close" or before == "name" and (i < 2 or self.kind[i - 2] != "op")):
+                    self.parent.append(scopes[-1][2])
+                    scopes.append(("brace", i, len(self.parent) - 1))
+                stack.append(i)
+            elif kind == "name" and self.word(i) in ("def", "class"):
+                waiting = self.indent_of_line(i)
+        for i in stack:
+            self.pair[i] = n
+
+    def word(self, i: int) -> str:
+        return self.text[slice(*self.at[i])]
+
+    def indent(self, i: int) -> int:
+        """The indentation after the end of line ``i``."""
+        return len(self.word(i).rpartition("\n")[2])
+
+    def indent_of_line(self, i: int) -> int:
+        start = self.text.rfind("\n", 0, self.at[i][0]) + 1
+        return len(self.text[start:]) - len(self.text[start:].lstrip(" \t")) if self.text[start : self.at[i][0]].strip(" \t") == "" else 0
+
+    def content(self, i: int) -> tuple[int, int]:
+        """A string without its quotes."""
+        a, b = self.at[i]
+        quote = QUOTE.match(self.text, a)
+        return quote.end(), max(quote.end(), b - len(quote[1]))
+
+    def is_(self, i: int, kind: str, words: str | set[str] | None = None) -> bool:
+        return 0 <= i < len(self.kind) and self.kind[i] == kind and (words is None or self.word(i) in ({words} if isinstance(words, str) else words))
+
+    def key(self, i: int) -> str | None:
+        """The name that token ``i`` is or spells."""
+        if self.is_(i, "name"):
+            return self.word(i)
+        if self.is_(i, "str"):
+            said = self.text[slice(*self.content(i))]
+            return said if KEY.fullmatch(said) else None
+        return None
+
+    def target(self, i: int) -> tuple[str, int] | None:
+        """The name that ends before token ``i``, and the token it begins with."""
+        if self.is_(i - 1, "close", "]") and i - 1 in self.pair:
+            opened = self.pair[i - 1]
+            if self.is_(opened - 2, "op", ":") and (k := self.key(opened - 3)):  # a type with arguments
+                return k, opened - 3
+            base, k = self.key(opened - 1), self.key(opened + 1) if opened + 3 == i else None
+            return (f"{base}.{k}", opened - 1) if base and k else None
+        if (k := self.key(i - 1)) is None:
+            return None
+        if self.is_(i, "op", "=") and self.is_(i - 2, "op", ":") and self.is_(i - 1, "name") and (named := self.key(i - 3)):  # annotated
+            return named, i - 3
+        return k, i - 1
+
+    def targets(self, i: int) -> list[tuple[str, int]]:
+        """The names that the operator ``i`` gives something to; several for a tuple."""
+        last = self.target(i)
+        if last is None:
+            return []
+        out = [last]
+        if self.is_(i, "op", {"=", ":="}) and (self.inside[i] < 0 or self.is_(self.inside[i], "open", "{")):
+            while self.is_(out[0][1] - 1, "comma") and (before := self.target(out[0][1] - 1)):
+                out.insert(0, before)
+        return out
+
+    def values(self, i: int, many: int) -> list[list[tuple]]:
+        """What follows the operator ``i``, in ``many`` parts: literals (start, end, quoted) and names (name, from where it is looked up, start, end)."""
+        text, n, j, parts = self.text, len(self.kind), i + 1, [[]]
+        loose = self.inside[i] < 0 or self.is_(self.inside[i], "open", "{")  # a line ends what stands here
+        entered: list[int] = []
+        fresh, asked = True, 0  # whether an operand may begin; question marks that wait for their colons
+        if self.is_(j, "other", {"|", ">"}) and self.is_(i, "op", ":"):
+            while j < n and self.kind[j] != "nl" and self.word(j) in "|>-+0123456789":
+                j += 1
+            if self.is_(j, "nl"):
+                return [[self.block(j, self.indent_of_line(i))]] + [[]] * (many - 1)
+            j = i + 1
+        while j < n:
+            kind = self.kind[j]
+            if kind == "nl":
+                if self.word(j)[0] != "\\" and loose and not entered:
+                    after = j + 1
+                    while self.is_(after, "nl"):
+                        after += 1
+                    deeper = after < n and self.indent(after - 1) > self.indent_of_line(i)
+                    # a value may begin on the next line, unless that is a pair of its own
+                    begins = j == i + 1 and deeper and not self.is_(after, "other", "-") and not (self.key(after) and self.is_(after + 1, "op", ASSIGNS))
+                    if not begins and not self.is_(j - 1, "op", "+") and not self.is_(after, "op", "+") and not (deeper and self.is_(after, "other", {"?", "|", "&", "."})):
+                        break
+                j += 1
+                continue
+            if kind == "end" or kind == "close" and not entered:
+                break
+            if kind == "comma" and not entered:
+                if len(parts) >= many:
+                    break
+                parts.append([])
+                fresh = True
+            elif kind == "close":
+                entered.pop()
+            elif kind == "open":
+                before = self.kind[j - 1] if j > i + 1 else "op"
+                called = before == "name" and self.word(j) == "(" and self.word(j - 1).lower().rpartition(".")[2] in CONVERTS
+                if self.word(j) == "{" or before in ("name", "close", "str") and not called:
+                    j = self.pair.get(j, n)
+                else:
+                    entered.append(j)
+                    fresh = True
+            elif kind == "str":
+                if not (self.is_(j + 1, "op", ASSIGNS - {":"}) or entered and self.is_(j + 1, "op", ":")):
+                    parts[-1].append((*self.content(j), True))
+                fresh = False
+            elif kind == "name":
+                a, b = self.at[j]
+                bare = BARE.match(text, a).end() if fresh and not entered else b
+                if bare > b and text[b] not in "=:?<>!":
+                    parts[-1].append((a, bare, False))
+                    while j + 1 < n and self.at[j + 1][1] <= bare:
+                        j += 1
+                elif self.is_(j + 1, "open", "(") and self.at[j + 1][0] == b:
+                    pass  # a call
+                elif self.is_(j + 1, "open", "[") and self.at[j + 1][0] == b:
+                    k = self.key(j + 2) if self.is_(j + 3, "close", "]") else None
+                    parts[-1].append((f"{self.word(j)}.{k}" if k else self.word(j), i, a, a))
+                else:
+                    parts[-1].append((self.word(j), i, a, b if fresh else a))
+                fresh = False
+            elif kind == "other" and fresh and not entered and (m := BARE.match(text, self.at[j][0])):
+                parts[-1].append((*m.span(), False))
+                while j + 1 < n and self.at[j + 1][1] <= m.end():
+                    j += 1
+                fresh = False
+            elif kind == "other" and self.word(j) == "?":
+                asked, fresh = asked + 1, True
+            elif kind == "op":
+                if self.word(j) in ASSIGNS and not entered:
+                    if self.word(j) == ":" and asked:
+                        self.taken.add(j)
+                        asked -= 1
+                    else:  # a pair of its own; what it defines is the value of this one too
+                        if self.word(j) != ":" and parts[-1] and len(parts[-1][-1]) == 4:
+                            name = parts[-1].pop()
+                            parts[-1].append((name[0], j + 1, 0, 0))
+                        break
+                fresh = self.word(j) in ("+", ":")
+            j += 1
+        return parts + [[]] * (many - len(parts)) if len(parts) > 1 or many == 1 else parts * many
+
+    def block(self, j: int, indent: int) -> tuple[int, int, bool]:
+        """The text after the end of line ``j`` that stands deeper than ``indent``."""
+        start = end = self.at[j][0]
+        for m in re.compile(r"\n([\x20\t]*)([^\n]*)").finditer(self.text, start):
+            if m[2].strip() and len(m[1]) <= indent:
+                break
+            start, end = (m.start(2), m.end(2)) if end == self.at[j][0] and m[2].strip() else (start, m.end(2) if m[2].strip() else end)
+        return start, end, True
+
+
+class Flow:
+    """Definitions of names, by scope and place, and what each is made of."""
+
+    def __init__(self, source: Source):
+        self.source = source
+        self.scores: list[float] = []
+        self.literals: list[list[tuple[int, int, bool]]] = []
+        self.uses: list[list[tuple[str, int, int, int]]] = []
+        self.known: dict[tuple[int, str], tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+
+    def chain(self, scope: int) -> Iterator[int]:
+        while scope >= 0:
+            yield scope
+            scope = self.source.parent[scope]
+
+    def define(self, name: str, token: int, first: int, value: list[tuple]) -> None:
+        s = self.source
+        home = s.scope[first]
+        declared = s.is_(first - 1, "name") or s.is_(first, "str")
+        if not declared and home and not s.is_(first - 1, "name", DECLARES):
+            outer = next((c for c in self.chain(home) if (c, name) in self.known), home)
+            # in braces a name without a declaration is the outer one
+            opened = s.inside[first]
+            home = outer if opened >= 0 and s.is_(opened, "open", "{") else home
+        version = len(self.scores)
+        self.scores.append(name_score(name))
+        self.literals.append([x for x in value if len(x) == 3])
+        uses = [x for x in value if len(x) == 4]
+        if s.is_(token, "op", "+="):
+            uses.append((name, token, 0, 0))
+        self.uses.append(uses)
+        places, versions = self.known[home, name]
+        places.append(token)
+        versions.append(version)
+
+    def meant(self, name: str, token: int) -> int | None:
+        """The version of ``name`` that a use means: the last one given before ``token``, or else the next."""
+        later = None
+        for scope in self.chain(self.source.scope[min(token, len(self.source.scope) - 1)]):
+            places, versions = self.known.get((scope, name), ((), ()))
+            i = bisect_left(places, token)
+            if i:
+                return versions[i - 1]
+            if places and later is None:
+                later = versions[0]
+        return later
+
+    def found(self, text: str) -> Iterator[tuple[int, int]]:
+        made: list[list[int]] = []
+        for i, uses in enumerate(self.uses):
+            made.append([])
+            for name, token, a, b in uses:
+                version = self.meant(name, token)
+                if version is not None and version != i:
+                    made[i].append(version)
+                elif version is None and b > a:
+                    self.literals[i].append((a, b, False))  # a word that nothing defines
+        queue = [(-score, i) for i, score in enumerate(self.scores) if score]
+        heapq.heapify(queue)
+        while queue:  # the most sensitive first, so each version is settled once
+            score, i = heapq.heappop(queue)
+            if -score < self.scores[i]:
+                continue
+            for e in made[i]:
+                if self.scores[e] < -score:
+                    self.scores[e] = -score
+                    heapq.heappush(queue, (score, e))
+        for score, literals in zip(self.scores, self.literals, strict=True):
+            if score:
+                yield from ((a, b) for a, b, quoted in literals if score * literal_score(text[a:b], quoted) >= THRESHOLD)
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Literals that reach a sensitive name, by assignment or through constants."""
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
-    # each statement makes a version of its name: how sensitive it is, its literals, the versions it was made of
-    scores: list[float] = []
-    made: list[tuple[list[tuple[int, int, bool]], list[int]]] = []
-    held: dict[str, int] = {}
-    for m in STATEMENT.finditer(text):
-        literals, earlier = [], []
-        for p in PARTS.finditer(text, m.start(2), m.end(2)):
-            raw = p[0]
-            if raw[0] in "\"'`" and len(raw) > 1:
-                literals.append((p.start() + 1, p.end() - 1, True))
-            elif PLAIN_NAME.fullmatch(raw) and raw in held:
-                earlier.append(held[raw])
-            elif raw != "+":
-                literals.append((p.start(), p.end(), False))
-        held[m[1]] = len(made)
-        made.append((literals, earlier))
-        scores.append(name_score(m[1]))
-    found = []
-    for version in range(len(made) - 1, -1, -1):  # later names first, so what a version reaches is known
-        literals, earlier = made[version]
-        if score := scores[version]:
-            for e in earlier:
-                scores[e] = max(scores[e], score)
-            found += [(a, b) for a, b, quoted in literals if score * literal_score(text[a:b], quoted) >= THRESHOLD]
+    source = Source(text)
+    flow = Flow(source)
+    for i, kind in enumerate(source.kind):
+        if kind == "op" and source.word(i) in ASSIGNS and i not in source.taken:
+            if targets := source.targets(i):
+                for (name, first), value in zip(targets, source.values(i, len(targets)), strict=True):
+                    flow.define(name, i, first, value)
+        elif kind == "comma" and source.is_(i - 1, "str") and source.is_(i + 1, "str") and source.is_(source.inside[i], "open", "("):
+            # a name and a value as neighbouring arguments
+            if (source.is_(i - 2, "open") or source.is_(i - 2, "comma")) and (source.is_(i + 2, "close") or source.is_(i + 2, "comma")) and (k := source.key(i - 1)):
+                flow.define(k, i, i - 1, [(*source.content(i + 1), False)])
+    found = set(flow.found(text))
+    if "<" in text:
+        for m in ELEMENT.finditer(text):
+            a, b = m.start(2) + len(m[2]) - len(m[2].lstrip()), m.start(2) + len(m[2].rstrip())
+            if name_score(m[1]) * literal_score(text[a:b], True) >= THRESHOLD:
+                found.add((a, b))
+        for m in TAG.finditer(text):
+            said = {x[1].lower(): x.span(2) if x[2] is not None else x.span(3) for x in ATTRIBUTE.finditer(text, m.start(), m.start(1))}
+            if named := said.get("key") or said.get("name"):
+                a, b = said.get("value") or m.span(1)
+                if name_score(text[slice(*named)]) * literal_score(text[a:b], True) >= THRESHOLD:
+                    found.add((a, b))
     return sorted(found)
 
 
