@@ -28,9 +28,11 @@ BASE2_INV = pow(BASE2, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a fresh temporary one only where none is set."""
+    """The folder all executors share; where none is set, a fresh temporary one on a local master and an error on a cluster."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -47,6 +49,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table of ``materialize`` that nothing reads any more."""
+    jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def table_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a table's size; for a materialised table, its files' size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -5,7 +5,7 @@ seen across an edge and then shortcuts (the FastSV scheme), so rounds grow with
 logarithm of a component's diameter.  A node's neighbours are only ever reduced by
 a partial aggregate, and joins are between exchanged tables whose right side has one
 row a node, so a hub's rows can be split by adaptive execution.  Labels are a table
-in the shared folder after each round; nothing is collected but a changed-row count.
+in the shared folder after each round, and the one before is deleted; nothing is collected but a changed-row count.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hooks = own.groupBy(F.col("up").alias("node")).agg(F.min("seen").alias("hook"))
         new = own.join(hooks, "node", "left").select("node", F.least("up", "upper", "seen", "hook").alias("up"), F.col("up").alias("was"))
         new = materialize(new, "labels")
+        discard(labels)
         if not new.where("up <> was").head(1):
+            discard(both)
             return new.select("node", F.col("up").alias("component"))
         labels = new.select("node", "up")

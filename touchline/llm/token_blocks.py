@@ -18,7 +18,8 @@ goes through Spark's committer and works on any file system Spark can write to.
 
 Defined results: null text counts as empty text (just the end id); rows that
 share a ``doc_id`` are separate documents, ordered by text; a null ``doc_id``
-comes first; an empty table gives no segments; other columns are ignored.
+comes first; rows of one ``doc_id`` are in one task; an empty table gives no segments; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ SEGMENTS = "part int, seq int, n_ids long, doc_ids array<long>, segment binary"
 DOCUMENTS = "part int, doc_id long, at long, n_tokens long, ids_crc32 long"
 #: Parts of pieces whose ids a worker remembers; beyond that it starts afresh.
 CACHE = 1_000_000
+#: Beginnings of segments that may be broadcast: some 60 MB.  More are joined.
+MAX_BROADCAST_SEGMENTS = 1_000_000
 #: Text of one segment; a longer document is one of its own.
 SEGMENT_BYTES = 8 << 20
 
@@ -277,14 +280,18 @@ def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
     """What the files under ``path`` hold: doc_id, start, n_tokens and the crc of each document's ids.
 
     ``start`` counts all ids before the document.  Per-segment totals, not ids,
-    are summed over the whole table: one row a segment, then one a part.
+    are summed over the whole table: one row a segment, then one a part.  Segments are
+    read where they lie, unless there are too many to broadcast their beginnings.
     """
     segments = spark.read.parquet(path)
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("offset"))
     begins = segments.select("part", "seq", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("inner")).join(totals, "part")
-    placed = segments.join(begins.select("part", "seq", (F.col("inner") + F.col("offset")).alias("before")), ["part", "seq"])
+    begins = begins.select("part", "seq", (F.col("inner") + F.col("offset")).alias("before"))
+    # a row a segment of some 8 MB, so 100 TB of ids have some 12 million of them
+    small = begins.count() <= MAX_BROADCAST_SEGMENTS
+    placed = segments.join(F.broadcast(begins) if small else begins, ["part", "seq"])
     return placed.select("part", "doc_ids", "before", "segment").mapInArrow(_read, DOCUMENTS).select("doc_id", F.col("at").alias("start"), "n_tokens", "ids_crc32")
 
 
