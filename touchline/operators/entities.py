@@ -66,14 +66,14 @@ def repoint(rows: DataFrame, losers: DataFrame, column: str, key: list[str]) ->
 def new_teams(raw: DataFrame, teams: DataFrame, start: int) -> DataFrame:
     """Names that no team has yet, with ids from ``start`` on in order of name.
 
-    raw: name; teams: name.  Ids are dense, so names are ranked in one ordered pass over
-    a range partitioning: counts of each partition, then places inside it.
+    raw: name; teams: name.  Ids are dense: names that begin alike are a part, which their own
+    letters decide and no partitioning does; parts are counted, and names are ranked inside theirs.
     """
     names = raw.select("name").where("name is not null").distinct().join(teams.select("name"), "name", "left_anti")
-    parts = names.repartitionByRange("name").select("name", F.spark_partition_id().alias("p"))
+    parts = names.select("name", F.substring("name", 1, 3).alias("p"))
     inside = F.row_number().over(Window.partitionBy("p").orderBy("name"))
     counts = parts.groupBy("p").agg(F.count("*").alias("n"))
-    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a partition
+    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a part
     return parts.withColumn("i", inside).join(before, "p").select((F.lit(start) + F.col("before") + F.col("i") - 1).alias("team_id"), "name")
 
 

@@ -24,7 +24,7 @@ def _r(digits: int, *names: str):
 
 
 # ------------------------------------------------------------------- ratings
-RATED = f""", o AS (SELECT *, row_number() OVER (ORDER BY kickoff, match_id) AS i FROM m),
+RATED = f""", o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY kickoff, match_id) AS i FROM m),
 z AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS match_id, CAST(NULL AS BIGINT) AS home, CAST(NULL AS BIGINT) AS away, list_transform(range({TEAMS}), lambda v: CAST(1500 AS DOUBLE)) AS r, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS ch
   UNION ALL SELECT i, match_id, home, away, list_transform(r, lambda v, k: CASE WHEN k = home + 1 THEN x + ch WHEN k = away + 1 THEN y - ch ELSE v END), x, y, ch FROM (
     SELECT o.i, o.match_id, CAST(home_team AS BIGINT) AS home, CAST(away_team AS BIGINT) AS away, r, r[home_team + 1] AS x, r[away_team + 1] AS y,
