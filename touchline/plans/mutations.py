@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import entities as en
+from ..operators import feeds as fe
 from ..operators import mutations as mu
 from ..sources.tables import matches, table
 from .registry import query
@@ -99,6 +100,43 @@ def change_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select("match_id", "home_goals_ht")
 
 
+# -------------------------------------------------------------------- feeds
+@query(
+    """WITH s AS (SELECT s_suppkey AS feed_id, s_name AS canonical_name, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'v' || s_nationkey END AS venue_name FROM supplier WHERE s_suppkey % 3 <> 0),
+n AS (SELECT s_suppkey AS feed_id, 'new ' || s_name AS canonical_name, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'w' || s_nationkey END AS venue_name FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT coalesce(s.feed_id, n.feed_id) AS feed_id, CASE WHEN s.feed_id IS NULL THEN n.canonical_name ELSE s.canonical_name END AS canonical_name, CASE WHEN s.feed_id IS NULL THEN n.venue_name ELSE coalesce(n.venue_name, s.venue_name) END AS venue_name FROM s FULL JOIN n ON s.feed_id = n.feed_id"""
+)
+def change_feed_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "supplier")
+    venue = lambda letter, gap: F.when(K("s_suppkey") % gap != 0, F.concat(F.lit(letter), K("s_nationkey"))).alias("venue_name")
+    none = F.lit(None).cast("string").alias("logo_url")
+    stored = t.where("s_suppkey % 3 <> 0").select(K("s_suppkey").alias("feed_id"), K("s_name").alias("canonical_name"), venue("v", 4), none)
+    feed = t.where("s_suppkey % 2 = 0").select(K("s_suppkey").alias("feed_id"), F.concat(F.lit("new "), "s_name").alias("canonical_name"), venue("w", 5), none)
+    return fe.teams(stored, feed).drop("logo_url")
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT CAST(o_custkey % 11 AS BIGINT) AS league_id, CAST(year(o_orderdate) AS INT) AS y FROM orders WHERE o_orderkey % 3 = 0),
+n AS (SELECT CAST(o_custkey % 11 AS BIGINT) AS league_id, CAST(year(o_orderdate) AS INT) AS y, max(CAST(o_orderdate AS DATE)) AS ends FROM orders WHERE o_custkey % 2 = 0 GROUP BY ALL)
+SELECT coalesce(s.league_id, n.league_id) AS league_id, coalesce(s.y, n.y) AS start_year, CASE WHEN s.y IS NULL THEN n.y || '/' || (n.y - 1999) ELSE 'old' END AS label, CASE WHEN s.y IS NULL THEN make_date(n.y, 1, 1) ELSE make_date(s.y, 8, 1) END AS start_date, coalesce(n.ends, make_date(s.y, 6, 1)) AS end_date, coalesce(n.y = 1997, false) AS is_current
+FROM s FULL JOIN n ON s.league_id = n.league_id AND s.y = n.y"""
+)
+def change_feed_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select((K("o_custkey") % 11).alias("league_id"), F.year("o_orderdate").alias("start_year"), K("o_orderdate").cast("date").alias("day"), "o_orderkey", "o_custkey")
+    year = K("start_year")
+    stored = o.where("o_orderkey % 3 = 0").select("league_id", "start_year").distinct().select("league_id", "start_year", F.lit("old").alias("label"), F.make_date(year, F.lit(8), F.lit(1)).alias("start_date"), F.make_date(year, F.lit(6), F.lit(1)).alias("end_date"), F.lit(False).alias("is_current"))
+    feed = o.where("o_custkey % 2 = 0").groupBy("league_id", "start_year").agg(F.max("day").alias("end_date"))
+    return fe.seasons(stored, feed.withColumns({"start_date": F.lit(None).cast("date"), "is_current": year == 1997}))
+
+
+@query("WITH l AS (SELECT event_type AS source, event_id AS id, ts AS at, user_id AS calls FROM events) SELECT source, count(*) AS n, sum(calls) AS calls FROM (SELECT * FROM l WHERE id % 2 = 0 UNION ALL SELECT * FROM l WHERE id % 2 = 1) GROUP BY source")
+def change_append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log after rows were appended: snapshots, runs and requests are kept in this way."""
+    log = table(spark, sf_dir, "events").select(K("event_type").alias("source"), K("event_id").alias("id"), K("user_id").alias("calls"), K("ts").alias("computed_at"))
+    more = mu.snapshot(log.where("id % 2 = 1").drop("computed_at"), F.lit("2024-01-01").cast("timestamp"))
+    return log.where("id % 2 = 0").unionByName(more).groupBy("source").agg(F.count("*").alias("n"), F.sum("calls").alias("calls"))
+
+
 # ----------------------------------------------------------------- entities
 @query(
     """, tm AS (SELECT team, count(*) AS n, 'club' || (team % 7) AS name FROM t GROUP BY team), w AS (SELECT team, first_value(team) OVER (PARTITION BY name ORDER BY n DESC, team) AS win FROM tm)

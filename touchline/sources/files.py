@@ -94,3 +94,61 @@ def feed_fixtures(spark: SparkSession, path: str) -> DataFrame:
         F.col("score.halftime.home").alias("home_goals_ht"),
         F.col("score.halftime.away").alias("away_goals_ht"),
     )
+
+
+def feed_items(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """The items of landed feed payloads, one row each; ``item`` is their type, and what it does not name is not read."""
+    raw = spark.read.option("multiLine", True).schema(f"response array<{item}>").json(path)
+    return raw.select(F.explode("response").alias("x")).select("x.*")
+
+
+LEAGUE = "struct<league: struct<id: long, name: string, type: string>, country: struct<name: string>, seasons: array<struct<year: int, start: string, end: string, current: boolean>>>"
+TEAM = "struct<team: struct<id: long, name: string, code: string, founded: int, logo: string>, venue: struct<name: string>>"
+STANDING = "struct<league: struct<id: long, season: int, standings: array<array<struct<rank: int, team: struct<id: long>, points: int, form: string, all: struct<played: int, win: int, draw: int, lose: int, goals: struct<`for`: int, against: int>>>>>>>"
+PLAYER = (
+    "struct<player: struct<id: long, name: string, nationality: string, birth: struct<date: string>, position: string>, statistics: array<struct<team: struct<id: long>, league: struct<id: long, season: int>, "
+    "games: struct<appearences: int, lineups: int, minutes: int, rating: string>, goals: struct<total: int, assists: int>, shots: struct<total: int, on: int>, passes: struct<total: int>, cards: struct<yellow: int, red: int>>>>"
+)
+
+
+def feed_leagues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Competitions (league_id, code, name, country, tier) and their seasons (league_id, start_year, start_date, end_date, is_current)."""
+    x = feed_items(spark, path, LEAGUE)
+    leagues = x.select(F.col("league.id").alias("league_id"), text.code_of(F.col("league.name")).alias("code"), F.col("league.name").alias("name"), F.coalesce("country.name", F.lit("Unknown")).alias("country"), F.when(F.col("league.type") == "League", 1).otherwise(2).alias("tier"))
+    s = x.select(F.col("league.id").alias("league_id"), F.explode("seasons").alias("s")).where("s.year is not null")
+    day = lambda c: F.col(f"s.{c}").try_cast("date")
+    return leagues, s.select("league_id", F.col("s.year").alias("start_year"), day("start").alias("start_date"), day("end").alias("end_date"), F.coalesce("s.current", F.lit(False)).alias("is_current"))
+
+
+def feed_teams(spark: SparkSession, path: str) -> DataFrame:
+    x = feed_items(spark, path, TEAM)
+    return x.select(F.col("team.id").alias("feed_id"), F.col("team.name").alias("canonical_name"), F.coalesce("team.code", F.lit("")).alias("short_name"), F.col("team.founded").alias("founded"), F.col("venue.name").alias("venue_name"), F.col("team.logo").alias("logo_url"))
+
+
+def feed_standings(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of published tables: league_id, start_year, feed_id and the table's columns; as_of_matchday is what the team has played."""
+    x = feed_items(spark, path, STANDING)
+    r = x.select(F.col("league.id").alias("league_id"), F.col("league.season").alias("start_year"), F.explode(F.flatten("league.standings")).alias("r"))
+    whole = {"played": "played", "won": "win", "drawn": "draw", "lost": "lose", "goals_for": "goals.for", "goals_against": "goals.against"}
+    return r.select("league_id", "start_year", F.col("r.team.id").alias("feed_id"), F.col("r.all.played").alias("as_of_matchday"), F.coalesce("r.rank", F.lit(0)).alias("position"), *[F.col(f"r.all.{c}").alias(n) for n, c in whole.items()], F.col("r.points").alias("points"), F.col("r.form").alias("form"))
+
+
+def feed_players(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Players (player_id, name, ...), and their totals by team and season (player_id, feed_id, league_id, start_year, ...)."""
+    x = feed_items(spark, path, PLAYER)
+    players = x.select(F.col("player.id").alias("player_id"), F.coalesce("player.name", F.lit("Unknown")).alias("name"), F.col("player.nationality").alias("nationality"), F.col("player.birth.date").try_cast("date").alias("birth_date"), F.col("player.position").alias("position"))
+    s = x.select(F.col("player.id").alias("player_id"), F.explode("statistics").alias("s"))
+    totals = {
+        "appearances": "games.appearences",
+        "lineups": "games.lineups",
+        "minutes": "games.minutes",
+        "goals": "goals.total",
+        "assists": "goals.assists",
+        "shots": "shots.total",
+        "shots_on_target": "shots.on",
+        "passes": "passes.total",
+        "yellows": "cards.yellow",
+        "reds": "cards.red",
+    }
+    stats = s.select("player_id", F.col("s.team.id").alias("feed_id"), F.col("s.league.id").alias("league_id"), F.col("s.league.season").alias("start_year"), *[F.col(f"s.{c}").alias(n) for n, c in totals.items()], F.col("s.games.rating").try_cast("double").alias("rating"))
+    return players, stats
