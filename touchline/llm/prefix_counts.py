@@ -9,7 +9,10 @@ that ends there and may follow the last token of the prefix before it, and::
 gives the count of *every* prefix in one left-to-right pass.  Texts split into
 *runs* (white space and what follows up to the next white space) that the rules
 never join, so a document's table is the running sum of its runs' tables, and
-each distinct run is worked out once per worker.
+each distinct run is worked out once per worker, as long as it is remembered: what a worker
+remembers is bounded by bytes.  Runs without a blank in them are pieces as long as the text, so a
+piece's table is two arrays, and the entries that may end at a byte are found by walking back
+through the vocabulary's endings, not by trying all lengths.
 
 ``prefix_counts`` stores the tables; ``fits`` and ``count_at`` answer truncation
 and budget questions from them without encoding anything again.
@@ -24,6 +27,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 from itertools import accumulate
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_letters, text_bytes
+from .common import byte_letters, steps, text_bytes
 
 #: Unicode white space, as the vocabulary's splitting rule has it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -43,10 +47,10 @@ LEAD = re.compile(f"[{SPACE}]*")
 SIMPLE = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 #: Endings that the rule takes whole, but not in part.
 WHOLE = {"'re", "'ve", "'ll"}
-#: Lengths of heads of pieces that are kept, the longest first.
-HEADS = (12, 9, 7, 5, 3)
-#: Runs whose tables a worker remembers; beyond that it starts afresh.
-CACHE = 700_000
+#: Bytes of each of the three things that a worker remembers; beyond that it forgets them all.
+ROOM = 64 << 20
+#: Pieces and runs longer than this are not remembered.
+LONG = 1024
 
 
 class PrefixTables:
@@ -63,73 +67,99 @@ class PrefixTables:
         self.encode = library.model.tokenize
         names = {t.content for t in added.values()}
         self.vocab = {t for t in library.get_vocab(with_added_tokens=True) if t not in names}
-        self.longest = max(map(len, self.vocab))
+        self.endings = {t[i:] for t in self.vocab for i in range(len(t))}
         self.letters = byte_letters()
         self.first = {t.content[0] for t in added.values()}
         self.follows: dict[tuple[str, str], bool] = {}
-        self.heads: dict[str, tuple] = {}
-        self.words: dict[str, list[int]] = {}
-        self.tables: dict[str, list[int]] = {}
+        self.words: dict[str, bytes | array] = {}
         self.totals: dict[str, int] = {}
+        self.held = dict.fromkeys(("follows", "words", "totals"), 0)
+
+    def keep(self, name: str, key, value, size: int) -> None:
+        """Remember something of about ``size`` bytes."""
+        held = self.held[name] + size
+        known = getattr(self, name)
+        if held > ROOM:
+            known.clear()
+            held = size
+        known[key] = value
+        self.held[name] = held
 
     def may_follow(self, a: str, b: str) -> bool:
         found = self.follows.get((a, b))
         if found is None:
-            if len(self.follows) > CACHE:
-                self.follows.clear()
-            self.follows[a, b] = found = [t.value for t in self.encode(a + b)] == [a, b]
+            found = [t.value for t in self.encode(a + b)] == [a, b]
+            self.keep("follows", (a, b), found, 280)
         return found
 
-    def pieces(self, u: str) -> list[int]:
-        """Counts of the prefixes of one piece; ``u`` has a letter for each byte.
-
-        The counts and last tokens of a prefix are the same in every piece that begins
-        with it, so a piece goes on from the longest of its heads that is known.
-        """
-        vocab, follows, heads, longest, n = self.vocab, self.follows, self.heads, self.longest, len(u)
-        if len(heads) > CACHE:
-            heads.clear()
-        state = None
-        for i in HEADS:
-            if i <= n and (state := heads.get(u[:i])):
-                break
-        state = list(state) if state else [(0, "")]
-        for i in range(len(state), n + 1):
+    def grow(self, u: str, count: array, size: array) -> None:
+        """Append, for the prefixes of ``u`` that they lack, the counts and the lengths of the last tokens; ``u`` has a letter for each byte."""
+        vocab, follows, endings = self.vocab, self.follows, self.endings
+        for i in range(len(count), len(u) + 1):
             # most often the last token grows by a byte; else the longest that may stand there
-            j = i - 1 - len(state[-1][1])
+            j = i - 1 - size[-1]
             t = u[j:i]
-            if t not in vocab or (j and not (follows.get((state[j][1], t)) or self.may_follow(state[j][1], t))):
-                for j in range(max(0, i - longest), i):
-                    t = u[j:i]
+            if t not in vocab or (j and not (follows.get((u[j - size[j] : j], t)) or self.may_follow(u[j - size[j] : j], t))):
+                low, ends = i - 1, []
+                while low >= 0 and (t := u[low:i]) in endings:
                     if t in vocab:
-                        if not j:
-                            break
-                        ok = follows.get((state[j][1], t))
-                        if ok or (ok is None and self.may_follow(state[j][1], t)):
-                            break
+                        ends.append(low)
+                    low -= 1
+                for j in reversed(ends):
+                    if not j or follows.get((u[j - size[j] : j], u[j:i])) or self.may_follow(u[j - size[j] : j], u[j:i]):
+                        break
                 else:
-                    raise ValueError(f"no encoding ends at byte {i} of {u!r}")
-            state.append((state[j][0] + 1, t))
-            if i in HEADS:
-                heads[u[:i]] = tuple(state)
-        return [c for c, _ in state]
+                    raise ValueError(f"no encoding ends at byte {i} of a piece that begins {u[:100]!r}")
+            count.append(count[j] + 1)
+            size.append(i - j)
+
+    def store(self, u: str, count: array) -> bytes | array:
+        found = bytes(count.tolist()) if len(u) < 256 else count[:]
+        if len(u) <= LONG:
+            self.keep("words", u, found, 220 + 6 * len(u))
+        return found
 
-    def piece(self, u: str) -> list[int]:
+    def piece(self, u: str) -> bytes | array:
+        """Counts of the prefixes of a piece."""
         found = self.words.get(u)
         if found is None:
-            if len(self.words) > CACHE:
-                self.words.clear()
-            self.words[u] = found = self.pieces(u)
+            count, size = array("i", [0]), array("i", [0])
+            self.grow(u, count, size)
+            found = self.store(u, count)
         return found
 
+    def learn(self, runs: set[str]) -> dict[str, int]:
+        """Counts of the tokens of runs that are words of Latin-1 letters, perhaps with marks after them.
+
+        Words are worked out in alphabetical order: what two neighbours begin with is worked out once.
+        """
+        simple = {r: m.groups() for r in runs if (m := SIMPLE.fullmatch(r)) and self.first.isdisjoint(r)}
+        words = {w: self.letters_of(w) for w, _ in simple.values()}
+        last, count, size, many = "", array("i", [0]), array("i", [0]), {}
+        for u in sorted(words.values()):
+            found = self.words.get(u)
+            if found is None:
+                same, most = 0, min(len(u), len(last))
+                while same < most and u[same] == last[same]:
+                    same += 1
+                del count[same + 1 :], size[same + 1 :]
+                self.grow(u, count, size)
+                found, last = self.store(u, count), u
+            many[u] = found[-1]
+        return {r: many[words[w]] + (self.piece(marks)[-1] if marks else 0) for r, (w, marks) in simple.items()}
+
+    def letters_of(self, word: str) -> str:
+        """A word of Latin-1 letters, perhaps after a blank, with a letter for each byte."""
+        return word.replace(" ", "Ġ") if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
     def plain(self, run: str) -> list[int]:
         """Counts of the prefixes of a run without special tokens, by characters."""
         if m := SIMPLE.fullmatch(run):
             word, marks = m.groups()
+            counts = self.piece(self.letters_of(word))
             if word.isascii():
-                out = self.piece(word.replace(" ", "Ġ"))
+                out = list(counts)
             else:
-                counts = self.piece(word.encode().decode("latin-1").translate(self.letters))
                 out = [counts[e] for e in accumulate((1 if c < "\x80" else 2 for c in word), initial=0)]
             if marks:
                 out = out + [out[-1] + c for c in self.piece(marks)[1:]]
@@ -139,7 +169,7 @@ class PrefixTables:
             part = run[a:b]
             counts = self.piece(u)
             if part.isascii():
-                own = counts[1:]
+                own = list(counts[1:])
             else:
                 own = [counts[e] for e in accumulate(len(c.encode()) for c in part)]
             if part in WHOLE:
@@ -153,33 +183,35 @@ class PrefixTables:
 
     def table(self, run: str) -> list[int]:
         """Counts of the prefixes of ``run`` of 0, 1, 2 ... characters."""
-        found = self.tables.get(run)
-        if found is None:
-            if len(self.tables) > CACHE:
-                self.tables.clear()
-                self.totals.clear()
-            at, out = 0, [0]
-            for m in self.special.finditer(run) if not self.first.isdisjoint(run) else ():
-                own = self.plain(run[at : m.end()])
-                base = out[-1]
-                out += [base + c for c in own[1:-1]] + [base + self.plain(run[at : m.start()])[-1] + 1]
-                at = m.end()
-            if at < len(run):
-                base = out[-1]
-                out += [base + c for c in self.plain(run[at:])[1:]]
-            self.tables[run] = found = out
-            self.totals[run] = out[-1]
-        return found
+        at, out = 0, [0]
+        for m in self.special.finditer(run) if not self.first.isdisjoint(run) else ():
+            own = self.plain(run[at : m.end()])
+            base = out[-1]
+            out += [base + c for c in own[1:-1]] + [base + self.plain(run[at : m.start()])[-1] + 1]
+            at = m.end()
+        if at < len(run):
+            base = out[-1]
+            out += [base + c for c in self.plain(run[at:])[1:]]
+        return out
+
+    def documents(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """The runs of each text, and the count of tokens before each of them, then of all."""
+        every = [RUN.findall(t) for t in texts]
+        known, new = self.totals, {r for runs in every for r in runs}
+        new = {r for r in new if r not in known}
+        here = self.learn(new)
+        here |= {r: self.table(r)[-1] for r in new if r not in here}
+        for runs in every:
+            counts = [known[r] if r in known else here[r] for r in runs]
+            total = np.zeros(len(runs) + 1, dtype=np.int64)
+            np.cumsum(counts, out=total[1:])
+            yield runs, total
+        for r, n in here.items():
+            if len(r) <= LONG:
+                self.keep("totals", r, n, 180 + 2 * len(r))
 
     def document(self, text: str) -> tuple[list[str], np.ndarray]:
-        """A text's runs and the count of tokens before each of them, then of all."""
-        runs = RUN.findall(text)
-        counts = list(map(self.totals.get, runs))
-        if None in counts:
-            counts = [self.table(r)[-1] if c is None else c for r, c in zip(runs, counts, strict=True)]
-        total = np.zeros(len(runs) + 1, dtype=np.int64)
-        np.cumsum(counts, out=total[1:])
-        return runs, total
+        return next(iter(self.documents([text])))
 
     def fit(self, runs: list[str], total: np.ndarray, budget: int) -> int:
         """Characters of the longest prefix of at most ``budget`` tokens."""
@@ -221,12 +253,13 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, budget: int, store: boo
     tables = _TABLES[path]
     for batch in batches:
         size, many, fit, kept = [], [], [], []
-        for raw in text_bytes(batch):
-            runs, total = tables.document((raw or b"").decode())
-            size.append(len(raw or b""))
-            many.append(int(total[-1]))
-            fit.append(tables.fit(runs, total, budget))
-            kept.append(tables.steps(runs) if store else None)
+        raws = text_bytes(batch)
+        for a, b in steps(raws):
+            for raw, (runs, total) in zip(raws[a:b], tables.documents([(x or b"").decode() for x in raws[a:b]]), strict=True):
+                size.append(len(raw or b""))
+                many.append(int(total[-1]))
+                fit.append(tables.fit(runs, total, budget))
+                kept.append(tables.steps(runs) if store else None)
         arrays = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
         names = [n for n in batch.schema.names if n != "text"]
         arrays += [pa.array(size, pa.int64()), pa.array(many, pa.int64()), pa.array(fit, pa.int64())]
