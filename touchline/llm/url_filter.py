@@ -8,11 +8,16 @@ an explicitly allowed member is allowed, else one with a blocked member is block
 else its members are allowed.  A rule that fits a url itself always decides.
 
 Edges are read from the pages (all canonical links and refresh redirects, resolved
-against the page's url; ``base`` tags are not read) and from an optional table of redirects.  Fragments do not part urls.  Rules are a short list that
-becomes part of the plan; everything else is joined.
+against the page's url; ``base`` tags are not read) and from an optional table of redirects.
+Fragments do not part urls.
+
+Rules are a table of any size.  A url meets them by two joins: its host's endings, as many as
+rules have labels, with the rules' hosts, which say how long their paths are; then host and path
+beginnings of these lengths with the rules.  So a url makes a row for each ending that has
+rules and each length of these, however many rules there are.
 
 Defined results: null urls, or urls without ``://``, have empty host and path, fit no
-rule and have no aliases; null html has no links; repeated rows are judged alike; an
+rule and have no aliases; rules without a host, a path or a known action are ignored; null html has no links; repeated rows are judged alike; an
 empty table gives none; other columns are ignored.
 """
 
@@ -20,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -41,13 +46,27 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """struct(rule, action) of the longest rule that fits, or null; of equally long ones an allowing one."""
-    found = F.lit(None).cast("struct<rule: string, action: string>")
-    for action, rule_host, rule_path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "allow", r)):
-        fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
-        found = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(action).alias("action"))).otherwise(found)
-    return found
+def rule_table(spark: SparkSession, rules: DataFrame | Sequence[Rule]) -> DataFrame:
+    """action, rule_host and rule_path, one row of each host and path; an allowing one of two."""
+    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "action string, host string, path string")
+    known = table.where("action in ('allow', 'block') and host is not null and path is not null")
+    return known.groupBy(F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).agg(F.min("action").alias("action"))
+
+
+def fitting(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, path, rule and action of the distinct hosts and paths of ``urls`` that a rule of ``rule_table`` fits: its longest."""
+    labels = F.size(F.split("rule_host", r"\."))
+    hosts = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    most = rules.agg(F.coalesce(F.max(labels), F.lit(0)).alias("most"))  # one row
+    part = F.split("host", r"\.")
+    ends = F.when(F.least(F.size(part), F.col("most")) > 0, F.transform(F.sequence(F.lit(1), F.least(F.size(part), F.col("most"))), lambda n: F.array_join(F.slice(part, -n, n), ".")))
+    own = urls.select("host", "path").where("host <> ''").distinct().crossJoin(F.broadcast(most))
+    met = own.select("host", "path", F.explode(ends).alias("rule_host")).join(hosts, "rule_host")
+    tried = met.select("host", "path", "rule_host", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("path"))
+    fits = tried.withColumn("rule_path", F.col("path").substr(F.lit(1), F.col("n"))).join(rules, ["rule_host", "rule_path"])
+    size = F.length("rule_host") + F.length("rule_path")
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(size.alias("size"), (F.col("action") == "allow").alias("allow"), "rule_host", "rule_path", "action")).alias("x"))
+    return best.select("host", "path", F.concat("x.rule_host", "x.rule_path").alias("rule"), "x.action")
 
 
 def node_of(url: Column) -> Column:
@@ -95,21 +114,22 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return to.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("url"), F.col("to"))).alias("b")).where("a is not null and b is not null and a <> b")
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[Rule] = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """host, path, rule and verdict of every row of ``pages`` (page_id, url, html).
 
-    ``redirects`` (src, dst) adds edges.  Pages are read twice, once for their links;
-    html never takes part in a shuffle.
+    rules: (action, host, path).  ``redirects`` (src, dst) adds edges.  Pages are read twice, once
+    for their links; html never takes part in a shuffle.
     """
+    table = rule_table(pages.sparkSession, rules)
     edges = link_edges(pages)
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("src")), node_of(F.col("dst"))))
     linked = connected_components(edges)
-    action = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)["action"]
-    votes = linked.select("component", action.alias("action")).groupBy("component").agg(F.max((F.col("action") == "allow").cast("int")).alias("allow"), F.max((F.col("action") == "block").cast("int")).alias("block"))
-    groups = materialize(votes.where("block = 1 and coalesce(allow, 0) = 0").select("component"), "blocked-groups")
+    nodes = linked.select("node", "component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
+    votes = nodes.join(fitting(nodes, table), ["host", "path"]).groupBy("component").agg(F.max((F.col("action") == "allow").cast("int")).alias("allow"))
+    groups = materialize(votes.where("allow = 0").select("component"), "blocked-groups")
     blocked = linked.join(groups, "component").select("node", F.lit("block").alias("inherited"))
     url = F.col("url")
     own = pages.select(F.col("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
-    own = own.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).join(blocked, "node", "left")
-    return own.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.action", "inherited", F.lit("allow")).alias("verdict"))
+    own = own.join(fitting(own, table), ["host", "path"], "left").join(blocked, "node", "left")
+    return own.select("page_id", "host", "path", "rule", F.coalesce("action", "inherited", F.lit("allow")).alias("verdict"))
