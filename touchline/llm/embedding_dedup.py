@@ -1,15 +1,15 @@
 """Embedding near-duplicates over an inverted multi-index (operator 5).
 
 Unit vectors are cut into halves with a codebook each; the pairs of nearest
-centroids form a grid of cells, the index, which holds every vector.  A vector's
-search visits grid cells in the order of how near they can be: both halves' cells are
-sorted by a lower bound of the distance to any vector of theirs, and the two sequences
-are traversed together as long as the bounds' squares sum to no more than the squared
-distance that the cosine threshold allows.  At ``target_recall=1`` no linked vector can
-lie in an unvisited cell.  A lower target shrinks the radius to what a documented sample
-needs: vectors moved at random to exactly the threshold, of which that share must stay
-in reach.  Whatever is visited is verified in double precision, so nothing below the
-threshold links.
+centroids form a grid of cells, the index, which holds every vector.  A vector's search
+is the multi-sequence traversal: both halves' centroids are sorted by a lower bound of the
+distance to any vector of theirs, and a heap gives grid cells in the order of the bounds'
+summed squares.  It ends when the next cell is beyond the radius that the target recall
+needs.  At ``target_recall=1`` that is the squared distance which the cosine threshold
+allows, so no linked vector can lie in an unvisited cell.  For a lower target it is what a
+documented sample needs: vectors moved at random to exactly the threshold, of which that share
+must stay in reach.  Whatever is visited is verified in double precision, so nothing below
+the threshold links.  (Links are symmetric, so of two cells that reach each other one visits.)
 
 Equal vectors are one class before the search, so copies are never paired.  Large cells
 are split into blocks, and their searchers too, so a task's share is bounded whatever the
@@ -27,6 +27,7 @@ nothing; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import partial
 
@@ -40,6 +41,8 @@ from .common import column, materialize
 from .components import connected_components
 
 BLOCK, SEARCHERS = 256, 4096
+#: Vectors that are held against the codebooks at once.
+CHUNK = 1024
 
 
 # ---------------------------------------------------------------- the index
@@ -56,25 +59,46 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return np.unique(c, axis=0)
 
 
-def bounds(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gaps(c: np.ndarray) -> np.ndarray:
+    """Distances between centroids."""
+    return np.stack([np.sqrt(np.maximum(np.square(c - x).sum(1), 1e-300)) for x in c])
+
+
+def bounds(x: np.ndarray, c: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest centroid of each row, and a lower bound of its distance to each cell.
 
     The cell of a centroid lies on its side of the plane halfway to the nearest one.
     """
     d = np.square(x).sum(1)[:, None] + np.square(c).sum(1)[None, :] - 2 * x @ c.T
     best = d.argmin(1)
-    apart = np.sqrt(np.maximum(np.square(c[best][:, None, :] - c[None, :, :]).sum(2), 1e-300))
-    out = np.maximum((d - d[np.arange(len(x)), best][:, None]) / (2 * apart), 0.0)
-    out[np.arange(len(x)), best] = 0.0
+    rows = np.arange(len(x))
+    out = np.maximum((d - d[rows, best][:, None]) / (2 * apart[best]), 0.0)
+    out[rows, best] = 0.0
     return best, out
 
 
+def multi_sequence(a: np.ndarray, b: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """Places (i, j) of two ascending sequences in the order of a[i] + b[j], as long as that is at most ``most``."""
+    heap, out = [(a[0] + b[0], 0, 0)], []
+    while heap:
+        total, i, j = heapq.heappop(heap)
+        if total > most:
+            break
+        out.append((i, j))
+        if j + 1 < len(b):
+            heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
+        if not j and i + 1 < len(a):  # each place is reached in one way
+            heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
+    return out
+
+
 class Codebooks:
     """Two codebooks for vectors of one length."""
 
     def __init__(self, x: np.ndarray, k: int, radius2: float, target_recall: float):
         self.half = x.shape[1] // 2
         self.parts = [kmeans(h, k) for h in (x[:, : self.half], x[:, self.half :])]
+        self.gaps = [gaps(c) for c in self.parts]
         self.radius2 = radius2
         if target_recall < 1.0:
             rng = np.random.default_rng(0)
@@ -84,8 +108,11 @@ class Codebooks:
             cos = 1 - radius2 / 2
             there = cos * x + np.sqrt(1 - cos * cos) * move
             need = np.zeros(len(x))
-            for part, a, b in zip(self.parts, self.split(x), self.split(there), strict=True):
-                need += np.square(bounds(a, part)[1][np.arange(len(x)), bounds(b, part)[0]])
+            for part, apart, a, b in zip(self.parts, self.gaps, self.split(x), self.split(there), strict=True):
+                for at in range(0, len(x), CHUNK):
+                    rows = slice(at, at + CHUNK)
+                    low, near = bounds(a[rows], part, apart)[1], bounds(b[rows], part, apart)[0]
+                    need[rows] += np.square(low[np.arange(len(low)), near])
             self.radius2 = float(min(radius2, np.quantile(need, target_recall)))
 
     def split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,16 +120,14 @@ class Codebooks:
 
     def visit(self, x: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
         """Each row's own cell, and the cells from its own on that its search visits."""
-        (near1, low1), (near2, low2) = (bounds(h, c) for h, c in zip(self.split(x), self.parts, strict=True))
+        (near1, low1), (near2, low2) = (bounds(h, c, g) for h, c, g in zip(self.split(x), self.parts, self.gaps, strict=True))
         m = len(self.parts[1])
         own, out = near1 * m + near2, []
         order1, order2 = low1.argsort(1, kind="stable"), low2.argsort(1, kind="stable")
         for i in range(len(x)):
-            a, b = np.square(low1[i, order1[i]]), np.square(low2[i, order2[i]])
-            # how far along the second sequence each step of the first may go
-            far = np.searchsorted(b, self.radius2 + 1e-9 - a, side="right")
-            cells = [int(p) * m + int(q) for p, n in zip(order1[i], far, strict=True) for q in order2[i, :n]]
-            out.append([c for c in cells if c >= own[i]])
+            p, q = order1[i], order2[i]
+            met = multi_sequence(np.square(low1[i, p]), np.square(low2[i, q]), self.radius2 + 1e-9)
+            out.append([c for c in (int(p[u]) * m + int(q[v]) for u, v in met) if c >= own[i]])
         return own, out
 
 
@@ -135,8 +160,8 @@ def _visit(batches: Iterator[pa.RecordBatch], books) -> Iterator[pa.RecordBatch]
         cell, visits = [0] * len(dims), [[0] for _ in dims]
         for d in set(dims) & set(held):
             rows = [i for i, x in enumerate(dims) if x == d]
-            for at in range(0, len(rows), 1024):
-                some = rows[at : at + 1024]
+            for at in range(0, len(rows), CHUNK):
+                some = rows[at : at + CHUNK]
                 own, cells = held[d].visit(np.stack([_unit(raws[i]) for i in some]))
                 for i, c, v in zip(some, own.tolist(), cells, strict=True):
                     cell[i], visits[i] = c, v
@@ -174,15 +199,19 @@ def _link(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 # ---------------------------------------------------------------- operators
-def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, target_recall: float = 1.0, sample: int = 20_000, per_cell: int = 512) -> DataFrame:
-    """vec_id, n_links, component_id and kept of each row of ``vectors`` (vec_id, embedding, label)."""
+def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, target_recall: float = 1.0, sample: int = 20_000, per_cell: int = 512, max_codes: int = 4096) -> DataFrame:
+    """vec_id, n_links, component_id and kept of each row of ``vectors`` (vec_id, embedding, label).
+
+    Codebooks grow with the square root of the vectors a label has, so that cells stay near
+    ``per_cell``, up to ``max_codes`` centroids a half; beyond 4096**2 * 512 vectors a label cells grow.
+    """
     spark = vectors.sparkSession
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     rows = materialize(plain.mapInArrow(_read, "vec_id long, label long, dim int, digest binary, raw binary"), "vectors")
     classes = materialize(rows.where("digest is not null").groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("raw").alias("raw")), "vector-classes")
 
     total, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).head()
-    k = max(4, min(256, int(np.ceil(np.sqrt(total / max(1, labels) / per_cell)))))
+    k = max(4, min(max_codes, int(np.ceil(np.sqrt(total / max(1, labels) / per_cell)))))
     part = F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(min(1.0, sample / max(1, total)) * (1 << 20)) + 1
     found: dict[int, list[np.ndarray]] = {}
     for r in classes.where(part).select("dim", "raw").collect():  # at most about ``sample`` rows
