@@ -13,13 +13,14 @@ permutations*: in each epoch a source's documents fall into blocks by hash, and
 block in order of their hash.  Whole epochs are taken while the budget lasts, then whole
 blocks, then a prefix of one block, all decided by one row a source: the number of whole
 epochs, of whole blocks, and the last hash taken.  No source is ever sorted in one task;
-block sums are aggregated first, and only a source's last block (at most 1/4096 of it,
-or ``block_tokens``) is ordered.
+block sums are aggregated first, and only a source's last block is ordered.  A block has about
+``block_tokens``, or 1/``max_blocks`` of its source if that is more.
 
 Defined results: a null source is a source of its own; null and empty texts have no tokens
 and cost nothing, and a source without tokens is kept once; rows that share a source and
 doc_id are taken or left together; with no tokens at all every row is kept once; an empty
-table gives none.  ``mix`` keeps all columns; a result's name replaces a column of the same name.
+table gives none; a repetition limit that no exponent up to 1 meets gives exponent 1, which
+repeats least.  ``mix`` keeps all columns; a result's name replaces a column of the same name.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ from .common import materialize
 
 #: Sources (of about 100 bytes each) that may be broadcast; more are joined by source.
 MAX_BROADCAST_SOURCES = 100_000
-MAX_BLOCKS = 4096
 
 
 def token_count(text: Column) -> Column:
@@ -78,7 +78,9 @@ def find_exponent(sources: DataFrame, target_entropy: float | None, max_repeats:
     exponent = 1.0
     if target_entropy is not None and ends[1][0] < target_entropy:
         exponent = bisect(0.0, lambda f: f[0] >= target_entropy)
-    if max_repeats is not None and at([exponent])[0][1] > max_repeats and ends[1][1] <= max_repeats:
+    if max_repeats is not None and ends[1][1] > max_repeats:
+        return 1.0
+    if max_repeats is not None and at([exponent])[0][1] > max_repeats:
         # repetitions fall as the exponent grows: the smallest that meets the limit
         low = exponent
         high = 1.0
@@ -91,7 +93,7 @@ def find_exponent(sources: DataFrame, target_entropy: float | None, max_repeats:
     return exponent
 
 
-def plan_mix(slim: DataFrame, target_entropy: float | None, max_repeats: float | None, budget_tokens: int | None, seed: int, block_tokens: int) -> DataFrame:
+def plan_mix(slim: DataFrame, target_entropy: float | None, max_repeats: float | None, budget_tokens: int | None, seed: int, block_tokens: int, max_blocks: int) -> DataFrame:
     """One row a source of ``slim`` (key, doc_id, n_tokens): what of it is taken."""
     tokens = slim.groupBy("key").agg(F.sum("n_tokens").alias("tokens"))
     tokens = materialize(tokens, "source-tokens")
@@ -107,7 +109,7 @@ def plan_mix(slim: DataFrame, target_entropy: float | None, max_repeats: float |
     some = F.col("tokens") > 0
     planned = planned.withColumn("epochs", F.when(some, F.floor(F.col("quota") / F.greatest("tokens", F.lit(1)))).otherwise(1).cast("int"))
     planned = planned.withColumn("rest", F.when(some, F.col("quota") - F.col("epochs") * F.col("tokens")).otherwise(-1))
-    blocks = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("tokens") / F.lit(block_tokens)))).cast("int")
+    blocks = F.greatest(F.lit(1), F.least(F.lit(max_blocks), F.ceil(F.col("tokens") / F.lit(block_tokens)))).cast("int")
     planned = materialize(planned.withColumn("blocks", blocks), "source-plan")
 
     # the last, partial epoch: whole blocks that fit, then a prefix of the next by hash
@@ -118,7 +120,7 @@ def plan_mix(slim: DataFrame, target_entropy: float | None, max_repeats: float |
     upto = F.sum("n").over(Window.partitionBy("key").orderBy("block"))
     sums = materialize(sums.withColumn("upto", upto), "source-blocks")
     whole = sums.groupBy("key").agg(F.sum((F.col("upto") <= F.col("rest")).cast("int")).alias("fit"), F.min(F.when(F.col("upto") > F.col("rest"), F.struct("block", (F.col("rest") - F.col("upto") + F.col("n")).alias("room")))).alias("next"))
-    whole = whole.select("key", F.coalesce("next.block", F.lit(MAX_BLOCKS)).alias("edge"), F.coalesce("next.room", F.lit(0)).alias("room"))
+    whole = whole.select("key", F.coalesce("next.block", F.lit(max_blocks)).alias("edge"), F.coalesce("next.room", F.lit(0)).alias("room"))
     inside = last.join(whole if whole.count() > MAX_BROADCAST_SOURCES else F.broadcast(whole), "key").where("block = edge")
     taken = F.sum("n_tokens").over(Window.partitionBy("key").orderBy("hash").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     cut = inside.withColumn("taken", taken).where("taken <= room").groupBy("key").agg(F.max("hash").alias("cut"))
@@ -140,7 +142,7 @@ def take(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     return every.where((F.col("epoch") < F.col("epochs")) | ((F.col("epochs") >= 0) & F.coalesce(part, F.lit(False)))).drop("epochs", "blocks", "edge", "cut", "_hash")
 
 
-def mix_rows(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget_tokens: int | None = None, seed: int = 17, block_tokens: int = 1_000_000) -> DataFrame:
+def mix_rows(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget_tokens: int | None = None, seed: int = 17, block_tokens: int = 1_000_000, max_blocks: int = 4096) -> DataFrame:
     """What is taken of ``docs`` (doc_id, source, text): doc_id, source, n_tokens, epoch, block.
 
     ``budget_tokens`` defaults to the corpus' own.  An epoch's blocks, in order, hold its
@@ -148,17 +150,17 @@ def mix_rows(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats:
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), source_key(F.col("source")).alias("key"), token_count(F.col("text")).alias("n_tokens"))
     slim = materialize(slim, "doc-tokens")
-    plan = plan_mix(slim.select("key", "doc_id", "n_tokens"), target_entropy, max_repeats, budget_tokens, seed, block_tokens)
+    plan = plan_mix(slim.select("key", "doc_id", "n_tokens"), target_entropy, max_repeats, budget_tokens, seed, block_tokens, max_blocks)
     weights = plan.select("key", "epochs", "blocks", "edge", "cut")
     return take(slim, weights, seed).select("doc_id", "source", "n_tokens", "epoch", "block")
 
 
-def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget_tokens: int | None = None, seed: int = 17, block_tokens: int = 1_000_000) -> DataFrame:
+def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget_tokens: int | None = None, seed: int = 17, block_tokens: int = 1_000_000, max_blocks: int = 4096) -> DataFrame:
     """The mixed corpus itself: the rows of ``docs``, repeated or left out as planned.
 
     Texts are not shuffled unless there are too many sources to broadcast their plan.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("key"), token_count(F.col("text")).alias("n_tokens"))
-    plan = plan_mix(materialize(slim, "doc-tokens"), target_entropy, max_repeats, budget_tokens, seed, block_tokens)
+    plan = plan_mix(materialize(slim, "doc-tokens"), target_entropy, max_repeats, budget_tokens, seed, block_tokens, max_blocks)
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), source_key(F.col("source")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
     return take(rows, plan, seed).select("row.*")
