@@ -13,8 +13,9 @@ the square of the corpus, so first it is found which documents can meet which:
    A suffix automaton of the shard is built in the task it is sent to, and the
    passages that can repeat it are streamed through: the matching statistics give at
    each word the longest shard substring that ends there, and maximal spans of at
-   least ``span`` words go.  A shard is bounded by one document, and its passages may be
-   dealt to any number of tasks, each of which builds its automaton once.
+   least ``span`` words go.  A shard is bounded by one document.  It is sent once to each
+   group of at most about ``GROUP`` of its passages, and in front of them, so a passage that
+   a million documents repeat is dealt to many tasks, each of which builds the automaton once.
 
 Hashes only decide what is compared; the automata decide on the words themselves.
 
@@ -39,8 +40,10 @@ from pyspark.sql import functions as F
 from .common import BASE2, NOT_BLANK, Words, column, least_of_each, materialize, signed, steps, text_bytes, windows
 
 SPAN, K = 50, 10
-#: Fingerprints that may be broadcast, as lists by document: some 30 MB.  More are joined.
-MAX_BROADCAST_PRINTS = 2_000_000
+#: Bytes of shared fingerprints, and of what stands beside them, that may be broadcast.  More are joined.
+MAX_BROADCAST_BYTES = 32 << 20
+#: Passages that a reference shard is sent to at once.
+GROUP = 2000
 
 
 class SuffixAutomaton:
@@ -187,15 +190,17 @@ def _passages(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Recor
 
 
 def _match(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """Stream passages through the automata of their shards; rows of a shard come together."""
-    ref, automaton = None, None
+    """Stream passages through the automata of their shards; a group's shard (cid is null) comes before its passages."""
+    automaton = None
     for batch in batches:
         found = []
-        passages, shards = (batch.column(batch.schema.get_field_index(n)) for n in ("passage", "shard"))
-        for i, (r, c, start) in enumerate(zip(*(column(batch, n) for n in ("ref", "cid", "start")), strict=True)):
-            if r != ref:
-                ref, automaton = r, SuffixAutomaton([p.encode().split() for p in shards[i].as_py()])
-            found += [(c, start + a, start + b) for a, b in automaton.spans(passages[i].as_py().encode().split(), span)]
+        passages = batch.column(batch.schema.get_field_index("passages"))
+        for i, (c, start) in enumerate(zip(column(batch, "cid"), column(batch, "start"), strict=True)):
+            texts = [p.encode().split() for p in passages[i].as_py()]
+            if c is None:
+                automaton = SuffixAutomaton(texts)
+            else:
+                found += [(c, start + a, start + b) for a, b in automaton.spans(texts[0], span)]
         cols = list(zip(*found, strict=True)) if found else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cols], names=["cid", "low", "high"])
 
@@ -232,17 +237,20 @@ def _tables(docs: DataFrame, span: int, k: int) -> tuple[DataFrame, DataFrame, D
     hits = dealt.join(shared, "print").groupBy("cid", "doc_id").agg(F.collect_list("print").alias("prints"))
     hits = materialize(hits.join(classes.select("cid", "class"), "cid"), "shared-prints")
 
-    n = hits.agg(F.sum(F.size("prints"))).head()[0] or 0
-    own = texts.join(F.broadcast(hits) if n <= MAX_BROADCAST_PRINTS else hits, "doc_id").select("cid", "class", "doc_id", "text", "prints")
+    size = hits.agg(F.sum(8 * F.size("prints") + 100)).head()[0] or 0
+    own = texts.join(F.broadcast(hits) if size <= MAX_BROADCAST_BYTES else hits, "doc_id").select("cid", "class", "doc_id", "text", "prints")
     involved = materialize(own.mapInArrow(partial(_windows, span=span, k=k), "cid long, doc_id long, text string, one array<long>, two array<long>"), "involved")
     spans = involved.select("cid", "doc_id", F.explode(F.arrays_zip("one", "two")).alias("x")).select("cid", "doc_id", "x.one", "x.two")
     first = spans.groupBy("one", "two").agg(F.min(F.struct("doc_id", "cid")).alias("first"), F.max("doc_id").alias("most")).where("first.doc_id < most")
     known = spans.join(first.select("one", "two", F.col("first.cid").alias("ref"), F.col("first.doc_id").alias("least")), ["one", "two"]).where("cid = ref or doc_id > least")
     known = known.groupBy("cid").agg(F.collect_list(F.struct("one", "ref")).alias("known"))
     passages = materialize(involved.select("cid", "text").join(known, "cid").mapInArrow(partial(_passages, span=span), PASSAGES), "passages")
-    shards = passages.where("cid is null").select("ref", F.col("passages").alias("shard"))
-    coming = passages.where("cid is not null").select("ref", "cid", "start", F.col("passages")[0].alias("passage"))
-    found = coming.join(shards.hint("merge"), "ref").select("ref", "cid", "start", "passage", "shard").mapInArrow(partial(_match, span=span), "cid long, low long, high long")
+    groups = passages.groupBy("ref").agg(F.ceil(F.count("cid") / GROUP).cast("int").alias("groups"))
+    salt = F.when(F.col("cid").isNull(), F.sequence(F.lit(0), F.greatest("groups", F.lit(1)) - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid", "start"), F.col("groups")).cast("int")))
+    dealt = passages.join(groups, "ref").select("ref", F.explode(salt).alias("salt"), "cid", "start", "passages")
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(n, "ref", "salt").sortWithinPartitions("ref", "salt", F.col("cid").asc_nulls_first(), "start")
+    found = ordered.select("cid", "start", "passages").mapInArrow(partial(_match, span=span), "cid long, low long, high long")
     gone = materialize(found.groupBy("cid").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "repeats")
     return rows, classes, involved.select("cid", "text"), gone
 
@@ -251,15 +259,20 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the words kept, of each row of ``docs``."""
     rows, classes, involved, gone = _tables(docs, span, k)
     cut = materialize(involved.join(gone, "cid").mapInArrow(_cut, "cid long, n_gone long, kept_sha string").dropDuplicates(["cid"]), "cut")
-    out = rows.drop("prints").join(classes, "class", "left").join(cut, "cid", "left")
-    later = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)) & (F.col("n_words") >= span)
+    rows = rows.drop("prints")
+    kept = [F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")]
+    short = rows.where(f"n_words < {span}").select("doc_id", "n_words", *kept)  # empty texts are one class, and nothing to join
+    out = rows.where(f"n_words >= {span}").join(classes, "class", "left").join(cut, "cid", "left")
+    later = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
     nothing = hashlib.sha256(b"").hexdigest()
     own = F.col("doc_id").isNotNull() & F.col("n_gone").isNotNull()
-    return out.select(
-        "doc_id",
-        "n_words",
-        F.when(later, F.col("n_words")).when(own, F.col("n_gone")).otherwise(0).cast("long").alias("n_removed"),
-        F.when(later, F.lit(nothing)).when(own, F.col("kept_sha")).otherwise(F.col("sha")).alias("kept_sha256"),
+    return short.union(
+        out.select(
+            "doc_id",
+            "n_words",
+            F.when(later, F.col("n_words")).when(own, F.col("n_gone")).otherwise(0).cast("long").alias("n_removed"),
+            F.when(later, F.lit(nothing)).when(own, F.col("kept_sha")).otherwise(F.col("sha")).alias("kept_sha256"),
+        )
     )
 
 
