@@ -1,5 +1,7 @@
 """Whole jobs: what a shorter way would leave out."""
 
+import random
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -141,6 +143,51 @@ def test_references_are_resolved(spark):
     assert got[22] == got[25] == "allow" and len(got) == len(rows)
 
 
+def test_verdicts_of_a_graph(spark):
+    """Thousands of pages in chains, hubs and pairs, and rules by the hundred, against a plain search."""
+    rng = random.Random(5)
+    hosts = ["a.com", "b.a.com", "c.b.a.com", "d.org", "x.d.org", "e.net", "xd.org", "org", "q.e.net:80"]
+    url = lambda: f"http://{rng.choice(hosts)}/{rng.choice('pqrst')}/{rng.randrange(900)}"
+    rules = [(rng.choice(["allow", "block", "block"]), rng.choice([*hosts, "com", "net"]), f"/{rng.choice('pqrst')}/{rng.choice(['', rng.randrange(10), rng.randrange(900)])}") for _ in range(300)]
+    rules += [("block", None, "/"), ("block", "d.org", None), (None, "org", "/"), ("other", "org", "/")]
+    link = '<link rel="canonical" href="{}">'
+    urls = [url() for _ in range(3000)]
+    html = {u: "" for u in urls}
+    edges = [(a, url()) for a in rng.sample(urls, 700)]
+    edges += [(f"http://chain.info/{i}", f"http://chain.info/{i + 1}") for i in range(60)] + [("http://chain.info/60", "http://a.com/p/1")]
+    edges += [(u, "http://hub.info/") for u in rng.sample(urls, 150)]
+    for a, b in edges:
+        html[a] = html.get(a, "") + link.format(b)
+    moved = [(url(), url()) for _ in range(200)] + [(None, "http://d.org/"), ("x", "y")]
+    pages = [(i, u, html[u]) for i, u in enumerate([*html, *urls[:50]])] + [(-1, None, link.format("http://a.com/")), (-2, "no url", None)]
+
+    def parts(u):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        return (m[1], m[2]) if m else ("", "")
+
+    def action(u):
+        host, path = parts(u)
+        fits = [(len(h + p), a == "allow", h + p, a) for a, h, p in rules if a in ("allow", "block") and h is not None and p is not None and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[2:] if fits else (None, None)
+
+    every = [*edges, *(m for m in moved if all(x and "://" in x for x in m))]
+    root = components({x for e in every for x in e}, every)
+    votes = {}
+    for u, r in root.items():
+        votes.setdefault(r, set()).add(action(u)[1])
+    want = []
+    for i, u, _ in pages:
+        rule, own = action(u)
+        group = votes.get(root.get(u), set())
+        want.append((i, *parts(u), rule, own or ("block" if "block" in group and "allow" not in group else "allow")))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    listed = spark.createDataFrame(rules, "action string, host string, path string")
+    got = url_filter.judge_urls(frame, listed, spark.createDataFrame(moved, "src string, dst string"))
+    assert ordered(got.collect()) == ordered(want)
+    assert {w[4] for w in want if w[3] is None} == {"allow", "block"}
+    assert url_filter.judge_urls(frame, listed.limit(0)).where("verdict <> 'allow' or rule is not null").count() == 0
+
+
 def test_long_built_values_are_found_whole():
     part = "Zx8fQ2pL9v{:04d}"
     for text in (
