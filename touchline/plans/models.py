@@ -13,6 +13,7 @@ from ..operators import metrics as me
 from ..operators import ratings as rt
 from ..operators import relational as rel
 from ..sources.tables import TEAMS, matches, sides, table
+from .form import _V, _VECTOR_TIER, VENUE
 from .metrics import forecasts
 from .registry import query
 
@@ -217,7 +218,14 @@ def half_life_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return me.best_setting(me.evaluate(f, ["setting", "fold"]).select("setting", "fold", "log_loss"))
 
 
-@query()
+_FORM = ", ".join(f"round({p}.{c}, 9) AS {n}_{c}" for p, n in (("h", "home"), ("a", "away")) for c in _V)
+
+
+@query(
+    f"{VENUE}{_VECTOR_TIER}{RATED.replace('FROM m)', 'FROM m WHERE home_goals IS NOT NULL)')} SELECT h.match_id, {_FORM}, rest_days_diff, matchday, promotion_flag, tier AS division_tier, round(home_before - away_before, 6) AS elo_diff FROM v h JOIN v a ON h.match_id = a.match_id AND h.venue = 'H' AND a.venue = 'A' JOIN rest ON rest.match_id = h.match_id JOIN day ON day.match_id = h.match_id JOIN pro ON pro.match_id = h.match_id JOIN rated ON rated.match_id = h.match_id",
+    sides=True,
+    recursive=True,
+)
 def feature_vector_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole point-in-time vector, rating difference included."""
     from .form import tiers
@@ -225,7 +233,9 @@ def feature_vector_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     games = matches(spark, sf_dir).where("home_goals is not null")
     x = tiers(matches(spark, sf_dir))
     promotions = ft.promotion_flag(x, x).join(x.select("match_id", K("tier").alias("division_tier")), "match_id")
-    return ft.feature_vector(sides(games), rt.difference(rt.rate(games)), promotions)
+    d = ft.feature_vector(sides(games), rt.difference(rt.rate(games)), promotions)
+    plain = ("match_id", "matchday", "promotion_flag", "division_tier", "elo_diff")
+    return d.select(*plain[:-1], *_r(6, "elo_diff"), *_r(9, *[c for c in d.columns if c not in plain]))
 
 
 @query(" SELECT team, round(attack - avg(attack) OVER (), 9) AS attack, round(defence - avg(attack) OVER (), 9) AS defence FROM pr".join(["WITH " + PARAMS[2:].split("),\nlm AS")[0] + ")", ""]))

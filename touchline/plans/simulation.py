@@ -38,12 +38,22 @@ def simulate_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.draw(open_, ensemble(spark), RUNS, SEED).select("match_id", "run", "home_goals", "away_goals")
 
 
-ALL_RUNS = f"""{DRAWN}, w AS (SELECT run, home_team, away_team, dr.home_goals AS hg, dr.away_goals AS ag FROM dr JOIN m USING (match_id) UNION ALL SELECT run, home_team, away_team, home_goals, away_goals FROM m, range({RUNS}) r(run) WHERE season = {CURRENT} AND home_goals IS NOT NULL)"""
-TABLES = f"""{ALL_RUNS}, p AS (SELECT run, home_team AS team, away_team AS opponent, hg AS gf, ag AS ga, CASE WHEN hg > ag THEN 3 WHEN hg = ag THEN 1 ELSE 0 END AS pts FROM w UNION ALL SELECT run, away_team, home_team, ag, hg, CASE WHEN ag > hg THEN 3 WHEN hg = ag THEN 1 ELSE 0 END FROM w),
-tot AS (SELECT run, team, sum(pts) AS points, sum(gf - ga) AS gd, sum(gf) AS gf FROM p GROUP BY run, team), hh AS (SELECT run, team, opponent, count(*) AS fixtures, sum(pts) AS hp, sum(gf - ga) AS hd FROM p GROUP BY ALL),
-gp AS (SELECT a.run, a.team, a.points, hp, hd, min(CASE WHEN fixtures = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY a.run, a.points) AS whole FROM tot a JOIN tot b ON a.run = b.run AND a.points = b.points AND a.team <> b.team LEFT JOIN hh ON hh.run = a.run AND hh.team = a.team AND hh.opponent = b.team),
-mini AS (SELECT run, team, sum(hp * whole) AS hp, sum(hd * whole) AS hd FROM gp GROUP BY run, team),
-ft AS (SELECT run, team, points, row_number() OVER (PARTITION BY run ORDER BY points DESC, coalesce(hp, 0) DESC, coalesce(hd, 0) DESC, gd DESC, gf DESC, CAST(team AS VARCHAR)) AS position, count(*) OVER (PARTITION BY run) AS teams FROM tot LEFT JOIN mini USING (run, team))"""
+def _runs(s: str = "", forced: bool = False) -> str:
+    """All fixtures of every run, as ``w``; ``s`` is put behind the names of a second set of runs."""
+    goals = "CASE WHEN home_team = 3 THEN 3 ELSE dr.home_goals END AS hg, CASE WHEN home_team = 3 THEN 0 ELSE dr.away_goals END AS ag" if forced else "dr.home_goals AS hg, dr.away_goals AS ag"
+    return f", w{s} AS (SELECT run, home_team, away_team, {goals} FROM dr JOIN m USING (match_id) UNION ALL SELECT run, home_team, away_team, home_goals, away_goals FROM m, range({RUNS}) r(run) WHERE season = {CURRENT} AND home_goals IS NOT NULL)"
+
+
+def _tables(s: str = "", forced: bool = False) -> str:
+    """The full table of every run, as ``ft``."""
+    return f"""{_runs(s, forced)}, p{s} AS (SELECT run, home_team AS team, away_team AS opponent, hg AS gf, ag AS ga, CASE WHEN hg > ag THEN 3 WHEN hg = ag THEN 1 ELSE 0 END AS pts FROM w{s} UNION ALL SELECT run, away_team, home_team, ag, hg, CASE WHEN ag > hg THEN 3 WHEN hg = ag THEN 1 ELSE 0 END FROM w{s}),
+tot{s} AS (SELECT run, team, sum(pts) AS points, sum(gf - ga) AS gd, sum(gf) AS gf FROM p{s} GROUP BY run, team), hh{s} AS (SELECT run, team, opponent, count(*) AS fixtures, sum(pts) AS hp, sum(gf - ga) AS hd FROM p{s} GROUP BY ALL),
+gp{s} AS (SELECT a.run, a.team, a.points, hp, hd, min(CASE WHEN fixtures = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY a.run, a.points) AS whole FROM tot{s} a JOIN tot{s} b ON a.run = b.run AND a.points = b.points AND a.team <> b.team LEFT JOIN hh{s} hh ON hh.run = a.run AND hh.team = a.team AND hh.opponent = b.team),
+mini{s} AS (SELECT run, team, sum(hp * whole) AS hp, sum(hd * whole) AS hd FROM gp{s} GROUP BY run, team),
+ft{s} AS (SELECT run, team, points, row_number() OVER (PARTITION BY run ORDER BY points DESC, coalesce(hp, 0) DESC, coalesce(hd, 0) DESC, gd DESC, gf DESC, CAST(team AS VARCHAR)) AS position, count(*) OVER (PARTITION BY run) AS teams FROM tot{s} LEFT JOIN mini{s} USING (run, team))"""
+
+
+ALL_RUNS, TABLES = DRAWN + _runs(), DRAWN + _tables()
 
 
 def tables(spark: SparkSession, sf_dir: str, runs: int = RUNS) -> DataFrame:
@@ -86,9 +96,17 @@ def simulate_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.draw(open_, ensemble(spark), RUNS, SEED, forced(spark, sf_dir)).select("match_id", "run", "home_goals", "away_goals")
 
 
-@query()
+_CHANCES = ", ".join(f"round_even(avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 6) AS {n}" for c, n in (("position = 1", "p_champion"), ("position <= 4", "p_top4"), ("position <= 6", "p_top6"), ("position > teams - 3", "p_relegation"))) + ", round_even(avg(CAST(points AS DOUBLE)), 3) AS expected_points"
+_DELTAS = ("p_champion", "p_top4", "p_top6", "p_relegation", "expected_points")
+
+
+@query(
+    f"{TABLES}{_tables('_f', True)}, s0 AS (SELECT team, {_CHANCES} FROM ft GROUP BY team), s1 AS (SELECT team, {_CHANCES} FROM ft_f GROUP BY team) SELECT team, " + ", ".join(f"round(s1.{c} - s0.{c}, 6) AS {c}_delta" for c in _DELTAS) + " FROM s0 JOIN s1 USING (team)",
+    corpus=True,
+)
 def simulate_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sim.what_if(season(spark, sf_dir), ensemble(spark), RUNS, SEED, forced(spark, sf_dir))
+    d = sim.what_if(season(spark, sf_dir), ensemble(spark), RUNS, SEED, forced(spark, sf_dir))
+    return d.select("team", *[F.round(f"{c}_delta", 6).alias(f"{c}_delta") for c in _DELTAS])
 
 
 @query()
@@ -120,7 +138,11 @@ def simulate_backtest(spark: SparkSession, sf_dir: str, fits: int = 20, runs: in
     return sim.backtest(m, cuts.crossJoin(first).where("season > first").select("season", "as_of"), fits, runs, SEED)
 
 
-@query()
+@query(
+    f"""{TABLES}, sh AS (SELECT team, sum(n) / CAST({RUNS} AS DOUBLE) AS p FROM (SELECT team, position, count(*) AS n FROM ft GROUP BY ALL) GROUP BY team), rp AS (SELECT run, sum(points) AS points FROM ft GROUP BY run)
+SELECT (SELECT count(*) FROM sh) AS teams, (SELECT count(*) FROM sh WHERE abs(p - 1) < 1e-6) AS whole, count(*) AS runs, CAST(min(points) AS BIGINT) AS least, CAST(max(points) AS BIGINT) AS most FROM rp""",
+    corpus=True,
+)
 def simulate_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     return sim.verified(sim.positions(t, RUNS), t)
