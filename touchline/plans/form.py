@@ -44,7 +44,11 @@ _COLS = ["ppg", "goals_for", "goals_against", "sot_share", "win_rate", "rest_day
     sides=True,
 )
 def form_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = ft.form_dataset(played_sides(spark, sf_dir))
+    return rounded_dataset(played_sides(spark, sf_dir))
+
+
+def rounded_dataset(team_games: DataFrame) -> DataFrame:
+    d = ft.form_dataset(team_games)
     return d.select("match_id", "season", "kickoff", "outcome", *_round([c for c in d.columns if c.startswith(("home_", "away_"))]))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Clubs of the corpus; a season of n clubs has n * (n - 1) fixtures when complete.
 TEAMS = 20
+#: Lines of ``lineitem`` for each competition of ``league_matches``.
+LEAGUE_LINES = 20_000
 #: The season that is still being played, and what of it is not yet played.
 CURRENT = 2001
 
@@ -20,8 +22,23 @@ def matches(spark: SparkSession, sf_dir: str, teams: int = TEAMS) -> DataFrame:
 
     Some fixtures of the current season have no score yet.  Kick-offs are unique.
     """
+    return _matches(table(spark, sf_dir, "lineitem"), teams, 1).drop("competition")
+
+
+def league_matches(spark: SparkSession, sf_dir: str, teams: int = TEAMS) -> DataFrame:
+    """As ``matches``, in as many competitions as the table has ``LEAGUE_LINES`` lines, with clubs of their own.
+
+    ``season`` tells competitions' seasons apart: it is competition * 10000 + year.
+    """
     line = table(spark, sf_dir, "lineitem")
-    home, away = (F.col("l_orderkey") % teams).cast("int"), (F.col("l_partkey") % teams).cast("int")
+    leagues = max(1, line.count() // LEAGUE_LINES)  # a count of the files' footers
+    m = _matches(line, teams, leagues)
+    return m.withColumn("season", (F.col("competition") * 10_000 + F.col("season")).cast("int"))
+
+
+def _matches(line: DataFrame, teams: int, leagues: int) -> DataFrame:
+    league = (F.col("l_suppkey") % leagues).cast("int")
+    home, away = ((league * teams + (F.col(c) % teams)).cast("int") if leagues > 1 else (F.col(c) % teams).cast("int") for c in ("l_orderkey", "l_partkey"))
     raw = line.select(
         F.year("l_shipdate").cast("int").alias("season"),
         home.alias("home"),
@@ -44,10 +61,12 @@ def matches(spark: SparkSession, sf_dir: str, teams: int = TEAMS) -> DataFrame:
     cells = [c for c in raw.columns if c not in ("season", "home", "away")]
     # the first line of each fixture, by a partial aggregate rather than a sort
     first = raw.groupBy("season", "home", "away").agg(F.min(F.struct(*order, *[c for c in cells if c not in order])).alias("m")).select("season", "home", "away", "m.*")
-    seconds = F.col("home") * teams + F.col("away")
-    played = ~((F.col("season") == CURRENT) & ((F.col("home") * 7 + F.col("away") * 3) % 4 == 0))
+    competition, h, a = F.floor(F.col("home") / teams).cast("int"), F.col("home") % teams, F.col("away") % teams
+    seconds = h * teams + a
+    played = ~((F.col("season") == CURRENT) & ((h * 7 + a * 3) % 4 == 0))
     return first.select(
-        (F.col("season").cast("long") * 1_000_000 + F.col("home") * 1000 + F.col("away")).alias("match_id"),
+        competition.alias("competition"),
+        (competition.cast("long") * 10_000_000_000 + F.col("season").cast("long") * 1_000_000 + h * 1000 + a).alias("match_id"),
         "season",
         F.col("home").alias("home_team"),
         F.col("away").alias("away_team"),
@@ -79,6 +98,17 @@ m AS (SELECT CAST(season AS BIGINT) * 1000000 + home * 1000 + away AS match_id,
   home_sot, away_sot, odds_home, odds_draw, odds_away,
   CASE WHEN season = {CURRENT} AND (home * 7 + away * 3) % 4 = 0 THEN 'NS' ELSE 'FT' END AS status FROM d WHERE rn = 1)"""
 
+#: The corpus of competitions, ``m`` again.
+LEAGUES = f"""
+n AS (SELECT greatest(1, count(*) // {LEAGUE_LINES}) AS leagues FROM lineitem),
+r AS (SELECT CAST(year(l_shipdate) AS INT) AS season, CAST(l_suppkey % leagues AS INT) AS league, CAST(l_orderkey % {TEAMS} AS INT) AS home, CAST(l_partkey % {TEAMS} AS INT) AS away, lineitem.* FROM lineitem, n),
+d AS (SELECT *, row_number() OVER (PARTITION BY season, league, home, away ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity) AS rn FROM r WHERE home <> away),
+m AS (SELECT CAST(league AS BIGINT) * 10000000000 + CAST(season AS BIGINT) * 1000000 + home * 1000 + away AS match_id, CAST(league * 10000 + season AS INT) AS season, league AS competition,
+  CAST(league * {TEAMS} + home AS INT) AS home_team, CAST(league * {TEAMS} + away AS INT) AS away_team, l_shipdate + to_seconds(home * {TEAMS} + away) AS kickoff,
+  CASE WHEN season = {CURRENT} AND (home * 7 + away * 3) % 4 = 0 THEN NULL ELSE CAST(CAST(l_quantity AS BIGINT) % 5 AS INT) END AS home_goals,
+  CASE WHEN season = {CURRENT} AND (home * 7 + away * 3) % 4 = 0 THEN NULL ELSE CAST((l_suppkey + l_linenumber) % 4 AS INT) END AS away_goals,
+  CASE WHEN l_linenumber <> 7 THEN CAST((l_partkey + l_linenumber) % 9 AS INT) END AS home_sot, CASE WHEN l_linenumber <> 7 THEN CAST((l_orderkey + l_suppkey) % 9 AS INT) END AS away_sot FROM d WHERE rn = 1)"""
+
 #: Both sides of each match, as ``t``, on top of CORPUS.
 SIDES = """
 t AS (SELECT match_id, season, kickoff, home_team AS team, away_team AS opponent, 'H' AS venue, home_goals AS gf, away_goals AS ga, home_sot AS sot, away_sot AS sot_against FROM m
