@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions import dates, numbers, text
-from touchline.operators import classifiers, entities, features, feeds, goals_model, metrics, mutations, ratings, relational, simulation, standings, validation
+from touchline.operators import classifiers, entities, evaluation, features, feeds, goals_model, metrics, mutations, ratings, relational, simulation, standings, validation
 from touchline.sources import files, sinks
 from touchline.streaming import refresh
 
@@ -269,6 +269,38 @@ def test_calibration_tames_overconfidence(spark):
     assert after.where("abs(p_home + p_draw + p_away - 1) > 1e-9").count() == 0
 
 
+def nearest_increasing(x, y):
+    """The increasing curve by its definition: the greatest over beginnings of the least over ends of means."""
+    at = sorted(set(x))
+    sums = [(sum(b for a, b in zip(x, y, strict=True) if a == v), sum(1 for a in x if a == v)) for v in at]
+    mean = lambda i, j: sum(s for s, _ in sums[i : j + 1]) / sum(n for _, n in sums[i : j + 1])
+    return at, [max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+
+
+def test_walk_forward_calibration(spark):
+    """Each season's curve is that of the seasons before it, and mixtures follow it."""
+    rng = np.random.default_rng(16)
+    rows = []
+    for i in range(240):
+        p = np.round(rng.dirichlet([2, 1, 1.5]), 1)
+        p[2] = 1 - p[0] - p[1]
+        rows.append((("a", "b")[i % 2], i, 2000 + i // 80, int(rng.choice(3)), *map(float, p)))
+    frame = spark.createDataFrame(rows, "model string, match_id long, season int, outcome int, p_home double, p_draw double, p_away double").repartition(3)
+    got = {(r.match_id, r.shrink): (r.p_home, r.p_draw, r.p_away, r.n_train) for r in evaluation.walk_forward_calibrated(frame, [0.0, 0.4, 1.0]).collect()}
+    assert len(got) == 160 * 3
+    for m, i, season, _, *p in rows:
+        past = [r for r in rows if r[0] == m and r[2] < season]
+        if not past:
+            continue
+        curves = [nearest_increasing([r[4 + k] for r in past], [float(r[3] == k) for r in past]) for k in range(3)]
+        for s in (0.0, 0.4, 1.0):
+            mixed = [max((1 - s) * p[k] + s * float(np.interp(p[k], *curves[k])), 1e-9) if s else p[k] for k in range(3)]
+            assert got[i, s][:3] == pytest.approx([x / sum(mixed) for x in mixed], abs=1e-9) and got[i, s][3] == len(past)
+    report = evaluation.calibration_report(frame, [0.4]).collect()
+    assert len(report) == 2 * 3 * 2 and all(r.helps and not r.ece_change for r in report if r.shrink == 0)
+    assert {r.n for r in report if r.season is None} == {80}
+
+
 # --------------------------------------------------------------- simulation
 def half_season(spark, n=6):
     rng = np.random.default_rng(4)
@@ -329,6 +361,40 @@ def test_new_teams_have_dense_ids(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_the_likest_name_is_found():
+    """Random names against the quadratic table of common parts."""
+    rng = np.random.default_rng(17)
+    name = lambda: " ".join("".join(rng.choice(list("abcdeA")) for _ in range(rng.integers(1, 6))) for _ in range(rng.integers(1, 4)))
+    known = sorted({name() for _ in range(60)})
+    registry = entities.Registry(known)
+
+    def ratio(a, b):
+        a, b = entities.in_order(a), entities.in_order(b)
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return 200.0 * row[-1] / (len(a) + len(b))
+
+    found = 0
+    for _ in range(150):
+        n = name()
+        best = max(ratio(n, k) for k in known)
+        want = next(k for k in known if ratio(n, k) == best) if best >= 60 else None
+        assert registry.likest(n, 60.0) == want, n
+        found += want is not None
+    assert found > 50 and entities.Registry([]).likest("a", 60.0) is None
+
+
+def test_survivors_by_matches_then_list_then_id(spark):
+    teams = spark.createDataFrame([(1, "Ábc", 5), (2, "abc", 5), (3, "ABC", 4), (4, "x", 1), (5, "X", 1)], "team_id int, name string, matches int")
+    listed = spark.createDataFrame([("abc",), ("ABC",)], "name string")
+    assert {tuple(r) for r in entities.survivors(teams, listed).collect()} == {(1, 2), (3, 2), (5, 4)}
+    assert {tuple(r) for r in entities.survivors(teams).collect()} == {(2, 1), (3, 1), (5, 4)}
+
+
 def test_names_are_matched(spark):
     raw = spark.createDataFrame([("Real Alta",), ("alta real cf",), ("Zzz",), ("Special",)], "n string")
     known = spark.createDataFrame([("Real Alta",), ("Sporting Baja",)], "n string")

@@ -68,25 +68,6 @@ def body_tag(body: Column) -> Column:
     return F.sha2(body.cast("binary"), 256)
 
 
-def sorted_tokens(x: Column) -> Column:
-    """A name's lower-case tokens in order, for comparison of word sets."""
-    return F.array_join(F.array_sort(F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda t: t != "")), " ")
-
-
-def token_ratio(a: Column, b: Column) -> Column:
-    """0 to 100: likeness of two names whatever the order of their words.
-
-    Twice the longest common part that insertions and deletions leave, over both
-    lengths; edit distance stands in for it, with a replacement as two edits at most.
-    """
-    x, y = sorted_tokens(a), sorted_tokens(b)
-    total = F.length(x) + F.length(y)
-    gap = F.abs(F.length(x) - F.length(y))
-    edits = F.levenshtein(x, y)
-    indel = F.least(edits * 2 - gap, total)
-    return F.when(total == 0, 100.0).otherwise(100.0 * (total - indel) / total)
-
-
 def _decode(raw: pd.Series) -> pd.Series:
     def one(data: bytes | None) -> str | None:
         if data is None:

@@ -2,42 +2,101 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 
-#: Canonical names that a lookup may hold in the plan; more are refused rather than crossed.
+#: Canonical names that a lookup may hold in each task; more are refused.
 MAX_CANONICAL = 10_000
 
 
+def in_order(name: str) -> str:
+    """A name in small letters with its words sorted."""
+    return " ".join(sorted(name.lower().split()))
+
+
+def common_part(a: str, places: dict[str, int], size: int) -> int:
+    """Length of the longest common subsequence of ``a`` and a text of which ``places`` has a bit mask for each letter."""
+    rest = (1 << size) - 1
+    for letter in a:
+        here = rest & places.get(letter, 0)
+        rest = ((rest + here) | (rest - here)) & ((1 << size) - 1)
+    return size - rest.bit_count()
+
+
+class Registry:
+    """Canonical names, and the likest of them to a name: 200 times the common part of both, words sorted, over their lengths."""
+
+    def __init__(self, names: list[str]):
+        self.names = sorted(names)
+        self.forms = [in_order(n) for n in self.names]
+        self.letters = np.stack([self.count(f) for f in self.forms]) if names else np.zeros((0, 64), dtype=np.int64)
+        self.sizes = self.letters.sum(1)
+
+    @staticmethod
+    def count(form: str) -> np.ndarray:
+        return np.bincount(np.array([ord(c) % 64 for c in form], dtype=np.int64), minlength=64)
+
+    def likest(self, name: str, cut: float) -> str | None:
+        """The likest name at ``cut`` or above, the first of equal ones; letters in common bound how alike two can be."""
+        form = in_order(name)
+        both = np.maximum(self.sizes + len(form), 1)
+        most = 200.0 * np.minimum(self.letters, self.count(form)).sum(1) / both
+        places: dict[str, int] = {}
+        for i, letter in enumerate(form):
+            places[letter] = places.get(letter, 0) | 1 << i
+        best, found = cut, None
+        for i in np.argsort(-most, kind="stable").tolist():
+            if most[i] < best:
+                break
+            score = 200.0 * common_part(self.forms[i], places, len(form)) / both[i]
+            if score > best or (score == best and (found is None or i < found)):
+                best, found = score, i
+        return None if found is None else self.names[found]
+
+
 def propose_names(raw: DataFrame, canonical: DataFrame, cut: float = 75.0, overrides: dict[str, str] | None = None) -> DataFrame:
     """raw_name with its proposed canonical name and how it was found: override, exact, fuzzy or none.
 
-    ``canonical`` is a registry of bounded size, checked, and becomes one array literal
-    that each raw name is scored against; raw names stay distributed.
+    ``canonical`` is a registry of bounded size, checked, that each task gets; distinct raw
+    names stay distributed, and most of the registry is ruled out for each by its letters.
     """
-    names = [r[0] for r in canonical.distinct().limit(MAX_CANONICAL + 1).collect()]
+    names = [r[0] for r in canonical.where(F.col(canonical.columns[0]).isNotNull()).distinct().limit(MAX_CANONICAL + 1).collect()]
     if len(names) > MAX_CANONICAL:
         raise ValueError(f"more than {MAX_CANONICAL} canonical names")
-    fixed = F.create_map(*[F.lit(x) for kv in sorted((overrides or {}).items()) for x in kv]) if overrides else F.create_map().cast("map<string,string>")
-    known = F.array(*[F.lit(n) for n in sorted(names)])
-    name = F.col("raw_name")
-    scored = F.transform(known, lambda c: F.struct(text.token_ratio(name, c).alias("score"), c.alias("name")))
-    best = F.reduce(scored, F.struct(F.lit(-1.0).alias("score"), F.lit("").alias("name")), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
-    rows = raw.select(F.col(raw.columns[0]).alias("raw_name")).distinct()
-    found = rows.withColumns({"_fixed": F.try_element_at(fixed, name), "_best": best})
-    how = F.when(F.col("_fixed").isNotNull(), "override").when(F.array_contains(known, name), "exact").when(F.col("_best.score") >= cut, "fuzzy").otherwise("none")
-    return found.withColumn("how", how).select("raw_name", F.when(F.col("how") == "override", F.col("_fixed")).when(F.col("how") == "exact", name).when(F.col("how") == "fuzzy", F.col("_best.name")).alias("canonical"), "how")
+    held = raw.sparkSession.sparkContext.broadcast((Registry(names), frozenset(names), dict(overrides or {})))
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        registry, known, fixed = held.value
+        for batch in batches:
+            rows = []
+            for name in batch.raw_name:
+                if name in fixed:
+                    rows.append((name, fixed[name], "override"))
+                elif name in known:
+                    rows.append((name, name, "exact"))
+                else:
+                    found = registry.likest(name, cut) if name is not None else None
+                    rows.append((name, found, "none" if found is None else "fuzzy"))
+            yield pd.DataFrame(rows, columns=["raw_name", "canonical", "how"])
+
+    return raw.select(F.col(raw.columns[0]).alias("raw_name")).distinct().mapInPandas(match, "raw_name string, canonical string, how string")
 
 
-def survivors(teams: DataFrame) -> DataFrame:
-    """loser_id and winner_id of teams that share a normalised name: most matches, then the lowest id, survives.
+def survivors(teams: DataFrame, preferred: DataFrame | None = None) -> DataFrame:
+    """loser_id and winner_id of teams that share a normalised name: most matches, then a name of ``preferred``, then the lowest id, survives.
 
-    teams: team_id, name, matches.
+    teams: team_id, name, matches; preferred: name, one row each.
     """
-    by = Window.partitionBy("name_key").orderBy(F.col("matches").desc(), "team_id")
-    keyed = teams.select("team_id", "matches", text.name_key(F.col("name")).alias("name_key"))
+    by = Window.partitionBy("name_key").orderBy(F.col("matches").desc(), F.col("listed").desc(), "team_id")
+    listed = F.lit(False) if preferred is None else F.col("_listed").isNotNull()
+    known = teams if preferred is None else teams.join(preferred.select("name").distinct().withColumn("_listed", F.lit(True)), "name", "left")
+    keyed = known.select("team_id", "matches", listed.alias("listed"), text.name_key(F.col("name")).alias("name_key"))
     ranked = keyed.select("team_id", F.first("team_id").over(by).alias("winner_id"))
     return ranked.where("team_id <> winner_id").select(F.col("team_id").alias("loser_id"), "winner_id")
 

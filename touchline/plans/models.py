@@ -202,6 +202,12 @@ def calibration_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return me.evaluate(out, ["shrink"])
 
 
+@query()
+def calibration_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model's seasons before and after isotonic calibration on its earlier ones, and pooled, for each share of it."""
+    return ev.calibration_report(ev.walk_forward(matches(spark, sf_dir), 1998))
+
+
 @query()
 def walk_forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return me.evaluate(ev.walk_forward(matches(spark, sf_dir), 1999), ["model", "season"])
