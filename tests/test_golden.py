@@ -559,3 +559,18 @@ def test_low_scores_follow_the_correction():
         p_home = np.diff(home[f], prepend=0)[:15]
         p_away = [np.diff(away[min(x, 2), f], prepend=0)[:15] for x in range(15)]
         assert np.abs(p_home[:, None] * np.array(p_away) - grid).max() < 1e-9
+
+
+def test_forced_results_are_limited(spark):
+    fixtures = spark.range(60).select(F.col("id").alias("match_id"), F.lit(1).alias("season"), F.lit("NS").alias("status"))
+    some = lambda n, goals=2: spark.range(n).select(F.col("id").alias("match_id"), F.lit(goals).alias("home_goals"), F.lit(0).alias("away_goals"))
+    assert relational.forced_results(some(50), fixtures, 1).count() == 50
+    for rows, season, said in ((some(51), 1, "allowed"), (some(3), 2, "wrong season"), (some(3, 21), 1, "bad goals")):
+        with pytest.raises(ValueError, match=said):
+            relational.forced_results(rows, fixtures, season)
+
+
+def test_summaries_are_listed_by_title_chance(spark):
+    rows = spark.createDataFrame([(1, 0.2), (2, 0.5), (3, 0.2)], "team int, p_champion double")
+    names = spark.createDataFrame([(1, "Zed"), (2, "Mid"), (3, "Abe")], "team int, name string")
+    assert [r.name for r in simulation.by_title_chance(rows, names).collect()] == ["Mid", "Abe", "Zed"]

@@ -6,6 +6,8 @@ same as "strictly earlier".  Every frame is bounded or a running aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,16 +60,20 @@ def team_form(team_games: DataFrame, last: int = 6) -> DataFrame:
 FORM = ["ppg", "goals_for", "goals_against", "sot_share", "win_rate", "rest_days", "matches_played"]
 
 
+def of_side(venue: str, *columns: str) -> Column:
+    """An aggregate of a match's two rows: these columns of one side, as a struct."""
+    return F.first(F.when(F.col("venue") == venue, F.struct(*columns)), ignorenulls=True)
+
+
 def form_dataset(team_games: DataFrame, last: int = 6) -> DataFrame:
     """The 14-number row of each match: both teams' form side by side, and the outcome."""
-    form = team_form(team_games, last)
-    side = lambda venue, p: form.where(F.col("venue") == venue).select("match_id", *[F.col(c).alias(f"{p}_{c}") for c in FORM])
     outcome = F.when(F.col("gf") > F.col("ga"), 0).when(F.col("gf") == F.col("ga"), 1).otherwise(2)
-    home = form.where("venue = 'H'").select("match_id", "season", "kickoff", outcome.alias("outcome"))
-    return home.join(side("H", "home"), "match_id").join(side("A", "away"), "match_id")
+    form = team_form(team_games, last).withColumn("outcome", outcome)
+    both = form.groupBy("match_id").agg(of_side("H", "season", "kickoff", "outcome", *FORM).alias("h"), of_side("A", *FORM).alias("a")).where("h is not null and a is not null")
+    return both.select("match_id", "h.season", "h.kickoff", "h.outcome", *[F.col(f"{v}.{c}").alias(f"{p}_{c}") for v, p in (("h", "home"), ("a", "away")) for c in FORM])
 
 
-def venue_form(team_games: DataFrame, last: int = 10) -> DataFrame:
+def venue_form(team_games: DataFrame, last: int = 10, keep: Sequence[str] = ()) -> DataFrame:
     """Form of each team at one venue over its last games there; games without shots keep their slot."""
     w = past(last, "team", "venue")
 
@@ -76,7 +82,7 @@ def venue_form(team_games: DataFrame, last: int = 10) -> DataFrame:
         return F.coalesce(F.avg(c).over(w), prior)
 
     return team_games.select(
-        "match_id", "team", "venue", mean(pts(), "ppg").alias("ppg_l10"), mean(F.col("gf"), "gf").alias("goals_for_l10"), mean(F.col("ga"), "ga").alias("goals_against_l10"), mean(F.col("sot"), "sot").alias("sot_for_l10"), mean(F.col("sot_against"), "sot_against").alias("sot_against_l10")
+        "match_id", "team", "venue", *keep, mean(pts(), "ppg").alias("ppg_l10"), mean(F.col("gf"), "gf").alias("goals_for_l10"), mean(F.col("ga"), "ga").alias("goals_against_l10"), mean(F.col("sot"), "sot").alias("sot_for_l10"), mean(F.col("sot_against"), "sot_against").alias("sot_against_l10")
     )
 
 
@@ -100,6 +106,13 @@ def rolling_state(team_games: DataFrame, last: int = 6) -> DataFrame:
     return kept.groupBy("team").agg(F.array_sort(F.collect_list(F.struct("kickoff", pts().alias("points"), "gf", "ga", "sot", "sot_against"))).alias("window"))
 
 
+def continued_form(state: DataFrame, team_games: DataFrame, last: int = 6) -> DataFrame:
+    """``team_form`` of new games whose past is an exported state of at least ``last`` games a team; games must be later than it."""
+    held = state.select("team", F.explode("window").alias("w")).select("team", *[F.col(f"w.{c}").alias(c) for c in ("kickoff", "gf", "ga", "sot", "sot_against")])
+    every = team_games.withColumn("_new", F.lit(True)).unionByName(held.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    return team_form(every, last).where("_new").drop("_new")
+
+
 def promotion_flag(fixtures: DataFrame, past_games: DataFrame) -> DataFrame:
     """1 if a side of a fixture was in a lower tier, and not in this competition, a season before.
 
@@ -118,13 +131,15 @@ def feature_vector(team_games: DataFrame, ratings: DataFrame, promotions: DataFr
 
     ratings: match_id, elo_diff; promotions: match_id, promotion_flag, division_tier.
     """
-    form = venue_form(team_games)
     stats = ["ppg_l10", "goals_for_l10", "goals_against_l10", "sot_for_l10", "sot_against_l10"]
-    side = lambda v, p: form.where(F.col("venue") == v).select("match_id", *[F.col(c).alias(f"{p}_{c}") for c in stats])
-    out = side("H", "home").join(side("A", "away"), "match_id")
-    for more in (rest_difference(team_games), derived_matchday(team_games), ratings, promotions):
-        out = out.join(more, "match_id")
-    return out
+    dealt = team_games.repartition("team")  # one exchange for all windows, which are of teams and parts of their games
+    before = F.lag("kickoff").over(Window.partitionBy("team").orderBy("kickoff", "match_id"))
+    so_far = F.count("*").over(Window.partitionBy("team", "season").orderBy("kickoff", "match_id").rowsBetween(Window.unboundedPreceding, -1))
+    rest = clamped(days(F.col("kickoff"), before), VENUE_REST_CAP, VENUE_REST_CAP)
+    form = venue_form(dealt.withColumns({"_rest": rest, "_matchday": so_far + 1}), keep=("_rest", "_matchday"))
+    both = form.groupBy("match_id").agg(of_side("H", "_rest", "_matchday", *stats).alias("h"), of_side("A", "_rest", *stats).alias("a")).where("h is not null and a is not null")
+    out = both.select("match_id", *[F.col(f"{v}.{c}").alias(f"{p}_{c}") for v, p in (("h", "home"), ("a", "away")) for c in stats], (F.col("h._rest") - F.col("a._rest")).alias("rest_days_diff"), F.col("h._matchday").alias("matchday"))
+    return out.join(ratings, "match_id").join(promotions, "match_id")
 
 
 def cutoff(team_games: DataFrame, n: int) -> DataFrame:

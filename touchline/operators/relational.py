@@ -68,6 +68,21 @@ def played_or_none(home_goals: Column, away_goals: Column) -> Column:
     return F.when(home_goals.isNotNull() & away_goals.isNotNull(), "played").when(home_goals.isNull() & away_goals.isNull(), "unplayed").otherwise(F.raise_error(F.lit("half a score")))
 
 
+#: Fixed value: forced results that one request may hold.
+MAX_FORCED = 50
+
+
+def forced_results(rows: DataFrame, fixtures: DataFrame, season: int, most: int = MAX_FORCED) -> DataFrame:
+    """Forced results as they are, if there are no more than ``most`` and none has a fault; fails otherwise."""
+    found = forced_result_fault(rows, fixtures, season)
+    n, fault = found.agg(F.count("*"), F.min("fault")).head()
+    if n > most:
+        raise ValueError(f"{n} forced results; {most} are allowed")
+    if fault is not None:
+        raise ValueError(f"a forced result is refused: {fault}")
+    return rows
+
+
 def forced_result_fault(rows: DataFrame, fixtures: DataFrame, season: int) -> DataFrame:
     """Forced results (match_id, home_goals, away_goals) with the reason each is refused, or null."""
     n = Window.partitionBy("match_id")

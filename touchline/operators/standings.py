@@ -36,26 +36,34 @@ def team_rows(matches: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
     return matches.select(*by, both).select(*by, "x.*")
 
 
-def totals(matches: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
-    """played, won, drawn, lost, gf, ga, gd and points of every team, those yet to play included."""
-    won, drawn = (F.col("scored") == 1) & (F.col("pts") == 3), (F.col("scored") == 1) & (F.col("pts") == 1)
-    s = team_rows(matches, by).groupBy(*by, "team").agg(
-        F.sum("scored").alias("played"),
-        F.count_if(won).alias("won"),
-        F.count_if(drawn).alias("drawn"),
-        F.count_if((F.col("scored") == 1) & (F.col("pts") == 0)).alias("lost"),
+def pair_rows(matches: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
+    """Sums of each ordered pair of teams: what totals and mini-tables are made of."""
+    scored = F.col("scored") == 1
+    return team_rows(matches, by).groupBy(*by, "team", "opponent").agg(
+        F.count("*").alias("fixtures"),
+        F.sum("scored").alias("results"),
+        F.count_if(scored & (F.col("pts") == 3)).alias("won"),
+        F.count_if(scored & (F.col("pts") == 1)).alias("drawn"),
         F.coalesce(F.sum("gf"), F.lit(0)).alias("gf"),
         F.coalesce(F.sum("ga"), F.lit(0)).alias("ga"),
-        F.sum("pts").alias("points"),
     )
-    return s.withColumn("gd", F.col("gf") - F.col("ga"))
+
+
+def totals_of(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    sums = {"played": "results", "won": "won", "drawn": "drawn", "gf": "gf", "ga": "ga"}
+    s = pairs.groupBy(*by, "team").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    made = {"lost": F.col("played") - F.col("won") - F.col("drawn"), "points": 3 * F.col("won") + F.col("drawn"), "gd": F.col("gf") - F.col("ga")}
+    return s.withColumns(made).select(*by, "team", "played", "won", "drawn", "lost", "gf", "ga", "points", "gd")
+
+
+def totals(matches: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
+    """played, won, drawn, lost, gf, ga, gd and points of every team, those yet to play included."""
+    return totals_of(pair_rows(matches, by), by)
 
 
 def head_to_head(matches: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
     """Of each ordered pair: fixtures, results, points and goal difference between them."""
-    return team_rows(matches, by).groupBy(*by, "team", "opponent").agg(
-        F.count("*").alias("fixtures"), F.sum("scored").alias("results"), F.sum("pts").alias("h2h_points"), F.coalesce(F.sum(F.col("gf") - F.col("ga")), F.lit(0)).alias("h2h_gd")
-    )
+    return pair_rows(matches, by).select(*by, "team", "opponent", "fixtures", "results", (3 * F.col("won") + F.col("drawn")).alias("h2h_points"), (F.col("gf") - F.col("ga")).alias("h2h_gd"))
 
 
 def level_pairs(table: DataFrame, by: Sequence[str]) -> DataFrame:

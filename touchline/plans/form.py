@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as ft
 from ..sources.tables import matches, sides, table
-from .registry import query
+from .registry import SQL, query
 
 
 def played_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,14 @@ def rounded_dataset(team_games: DataFrame) -> DataFrame:
     return d.select("match_id", "season", "kickoff", "outcome", *_round([c for c in d.columns if c.startswith(("home_", "away_"))]))
 
 
+@query(f"SELECT * FROM ({SQL['form_last_six']}) WHERE match_id // 1000000 = 2001")
+def form_continued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last season's form from the windows as they stood before it."""
+    games = played_sides(spark, sf_dir)
+    new = ft.continued_form(ft.rolling_state(games.where("season < 2001")), games.where("season = 2001"))
+    return new.select("match_id", "team", *_round(ft.FORM))
+
+
 VENUE = f""",
 g AS (SELECT *, {PTS} AS pts FROM t WHERE gf IS NOT NULL),
 v AS (SELECT match_id, team, venue, kickoff, coalesce(avg(CAST(pts AS DOUBLE)) OVER w, 1.35) AS ppg_l10, coalesce(avg(CAST(gf AS DOUBLE)) OVER w, CASE WHEN venue = 'H' THEN 1.5 ELSE 1.14 END) AS goals_for_l10,
