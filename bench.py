@@ -32,6 +32,9 @@ QUERIES = (
     "simulate_summary",
     "change_upsert",
     "merge_matches",
+    "leagues_standings",
+    "leagues_form",
+    "leagues_ratings",
 )
 
 
