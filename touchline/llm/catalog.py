@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard_join, mixing, prefix_counts, quality, secret_scan, substring_dedup, token_blocks, url_filter
+from . import bpe_codec, collocations, decontaminate, embedding_dedup, jaccard_join, mixing, prefix_counts, quality, secret_scan, substring_dedup, token_blocks, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,12 +66,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    said = bpe_codec.decode(coded, path)
+    return said.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_blocks, op2_decontaminate, op3_secret_scan, op4_mix_sources, op5_embedding_dedup, op6_quality, op7_jaccard_join, op8_token_counts, op9_substring_dedup, op10_url_filter, pipeline, near_copy_links)
+    f.__name__: f for f in (op1_token_blocks, op2_decontaminate, op3_secret_scan, op4_mix_sources, op5_embedding_dedup, op6_quality, op7_jaccard_join, op8_token_counts, op9_substring_dedup, op10_url_filter, op11_collocations, op12_bpe_codec, op13_whitening, pipeline, near_copy_links)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -136,6 +151,22 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 FROM pages LEFT JOIN ruled ON u = url LEFT JOIN votes USING (node)""",
 }
 
+SQL["op11_collocations"] = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+held AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, max(a) AS top FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM c WHERE m > 2)) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN held USING (lang, phrase) WHERE top IS NULL OR 100 * top < 80 * a),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS x, array_to_string(w[k + 1 : m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+each AS (SELECT cuts.lang, cuts.phrase, cuts.a, k, l.a AS l, r.a AS r, (CAST(2000000 AS HUGEINT) * cuts.a) // (CAST(l.a AS HUGEINT) + r.a) AS score
+         FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y),
+least AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM each),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM least WHERE o = 1)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
 #: The pairs of op7, counted.
 SQL["near_copy_links"] = (
     SQL["op7_jaccard_join"].split(",\nnodes AS")[0]

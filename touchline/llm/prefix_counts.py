@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import byte_letters, steps, text_bytes
 
 #: Unicode white space, as the vocabulary's splitting rule has it.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUN = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 LEAD = re.compile(f"[{SPACE}]*")
 #: Runs whose split is plain to see: a word of Latin-1 letters, then marks.
