@@ -39,8 +39,8 @@ from .common import column, steps, text_bytes
 #: Unicode white space, as the vocabulary's rules have it.
 BLANKS = "\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUN = re.compile(f"[^{BLANKS}]+")
-#: Bytes of what a worker remembers of runs and of pairs; beyond that it forgets.
-ROOM = 128 << 20
+#: Bytes of each of the three things that a worker remembers; beyond that it forgets them all.
+ROOM = 32 << 20
 #: Runs longer than this are not remembered.
 LONG = 512
 #: Runs of which any vocabulary with these rules makes a word and its marks.
@@ -134,7 +134,6 @@ class Codec:
         self.token_of = [-1] * len(self.automaton.long)
         for v, k in self.automaton.entry.items():
             self.token_of[v] = reached[strings[k]]
-        self.names = {i: t.encode() for t, i in (ids | added).items()}
         self.runs: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.held = dict.fromkeys(("runs", "pieces"), 0)
@@ -253,20 +252,31 @@ class Codec:
             at = m.end()
         return b"".join([*out, *map(self.run, RUN.findall(text[at:]))])
 
-    # ------------------------------------------------------------ decoding
+
+class Names:
+    """What ids stand for; without a decoder a text is its tokens with blanks between them."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        if said["decoder"]:
+            raise ValueError(f"{path} has a decoder")
+        self.names = {i: t.encode() for t, i in said["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in said["added_tokens"]}
+
     def decode(self, ids: bytes) -> bytes:
-        """The text of ids; without a decoder that is the tokens with blanks between them.  Unknown ids are left out."""
+        """The text of ids; unknown ones are left out."""
         names = self.names
         return b" ".join([names[i] for i in np.frombuffer(ids, dtype="<u4").tolist() if i in names])
 
 
-_CODECS: dict[str, Codec] = {}
+_HELD: dict[tuple[type, str], Codec | Names] = {}
 
 
-def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+def held(kind: type, path: str) -> Codec | Names:
+    """A worker's only one for a vocabulary."""
+    if (kind, path) not in _HELD:
+        _HELD[kind, path] = kind(path)
+    return _HELD[kind, path]
 
 
 def _with(batch: pa.RecordBatch, without: str, made: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -275,7 +285,7 @@ def _with(batch: pa.RecordBatch, without: str, made: dict[str, pa.Array]) -> pa.
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator[pa.RecordBatch]:
-    own = codec(path)
+    own = held(Codec, path)
     for batch in batches:
         raws = text_bytes(batch, text)
         for a, b in steps(raws, 8 << 20):
@@ -284,7 +294,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    own = codec(path)
+    own = held(Names, path)
     for batch in batches:
         ids = column(batch, "ids")
         for a, b in steps(ids, 8 << 20):
