@@ -31,9 +31,10 @@ import hashlib
 import heapq
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,6 +66,8 @@ TOKEN = re.compile(
 QUOTE = re.compile(r"""[rRbBuUfF]{0,2}(\"{3}|'{3}|["'`])""")
 #: What an unquoted value goes on over.
 BARE = re.compile(r"""[^\s"'`,;+(){}\[\]]+""")
+BLANKS = re.compile(r"[\x20\t]*")
+LINE = re.compile(r"\n([\x20\t]*)([^\n]*)")
 KEY = re.compile(r"[A-Za-z_$][\w$.-]*", re.ASCII)
 ELEMENT = re.compile(r"<([A-Za-z][\w:.-]*)(?:\s[^<>]*)?>([^<>]+)</")
 TAG = re.compile(r"<[A-Za-z][^<>]*>([^<>]*)")
@@ -117,38 +120,78 @@ class Source:
             self.kind.append("str" if m.lastgroup == "triple" else m.lastgroup)
             self.at.append(m.span())
         n = len(self.kind)
-        self.pair: dict[int, int] = {}
+        self.starts = [a for a, _ in self.at]
+        self.line_at = [0] + [m.end() for m in re.finditer("\n", text)]
+        self.pair = self.pairs()
+        for i, kind in enumerate(self.kind):
+            if kind in ("open", "close") and i not in self.pair:
+                self.kind[i] = "other"  # a bracket without its partner opens and closes nothing
         self.inside, self.scope, self.parent = [-1] * n, [0] * n, [-1]
+        self.span = [[0, n]]  # the tokens of each scope
         self.taken: set[int] = set()  # colons of conditional expressions
+        self.run = (0, 0)  # the last run of characters that an unquoted value goes on over
         stack: list[int] = []
         scopes: list[tuple[str, int, int]] = [("all", -1, 0)]  # how it ends, by what, its number
         waiting = None  # the indentation of a ``def`` whose body has not begun
+
+        def begin(how: str, what: int, i: int) -> None:
+            self.parent.append(scopes[-1][2])
+            self.span.append([i, n])
+            scopes.append((how, what, len(self.parent) - 1))
+
+        def end(i: int) -> None:
+            self.span[scopes.pop()[2]][1] = i
+
         for i, kind in enumerate(self.kind):
             if kind == "nl" and not stack or (kind == "nl" and self.word(stack[-1]) == "{"):
                 deep, after = self.indent(i), self.kind[i + 1] if i + 1 < n else "nl"
                 if after != "nl":
                     while scopes[-1][0] == "indent" and deep <= scopes[-1][1]:
-                        scopes.pop()
+                        end(i)
                     if waiting is not None and deep > waiting:
-                        self.parent.append(scopes[-1][2])
-                        scopes.append(("indent", waiting, len(self.parent) - 1))
+                        begin("indent", waiting, i)
                     waiting = None
-            elif kind == "close" and stack:
+            elif kind == "close":
                 opened = stack.pop()
-                self.pair[opened], self.pair[i] = i, opened
+                while scopes[-1][0] == "indent" and scopes[-1][2] and self.span[scopes[-1][2]][0] > opened:
+                    end(i)
                 if scopes[-1][0] == "brace" and scopes[-1][1] == opened:
-                    scopes.pop()
+                    end(i)
             self.inside[i], self.scope[i] = stack[-1] if stack else -1, scopes[-1][2]
             if kind == "open":
                 before = self.kind[i - 1] if i else "nl"
                 if self.word(i) == "{" and (before == "close" or before == "name" and (i < 2 or self.kind[i - 2] != "op")):
-                    self.parent.append(scopes[-1][2])
-                    scopes.append(("brace", i, len(self.parent) - 1))
+                    begin("brace", i, i)
                 stack.append(i)
             elif kind == "name" and self.word(i) in ("def", "class"):
                 waiting = self.indent_of_line(i)
-        for i in stack:
-            self.pair[i] = n
+        # where what stands at a token ends at the latest: the next comma or end in its bracket, or the bracket's own end
+        self.stop, coming = [n] * n, {}
+        for i in range(n - 1, -1, -1):
+            if self.kind[i] in ("comma", "end"):
+                coming[self.inside[i]] = i
+            elif self.kind[i] == "close":
+                coming[self.pair[i]] = i
+            self.stop[i] = coming.get(self.inside[i], n)
+
+    def pairs(self) -> dict[int, int]:
+        """Partners of brackets.  A closing one takes the last open one of its kind; those opened since then have none."""
+        out: dict[int, int] = {}
+        stack: list[int] = []
+        waiting = Counter()
+        for i, kind in enumerate(self.kind):
+            if kind == "open":
+                stack.append(i)
+                waiting[self.word(i)] += 1
+            elif kind == "close":
+                opens = "([{"[")]}".index(self.word(i))]
+                if waiting[opens]:
+                    while self.word(stack[-1]) != opens:
+                        waiting[self.word(stack.pop())] -= 1
+                    waiting[opens] -= 1
+                    out[i] = stack.pop()
+                    out[out[i]] = i
+        return out
 
     def word(self, i: int) -> str:
         return self.text[slice(*self.at[i])]
@@ -158,8 +201,22 @@ class Source:
         return len(self.word(i).rpartition("\n")[2])
 
     def indent_of_line(self, i: int) -> int:
-        start = self.text.rfind("\n", 0, self.at[i][0]) + 1
-        return len(self.text[start:]) - len(self.text[start:].lstrip(" \t")) if self.text[start : self.at[i][0]].strip(" \t") == "" else 0
+        """The indentation of the line that token ``i`` stands in."""
+        start = self.line_at[bisect_right(self.line_at, self.at[i][0]) - 1]
+        return BLANKS.match(self.text, start).end() - start
+
+    def bare(self, j: int) -> tuple[int, int]:
+        """The end of the unquoted value that begins with token ``j``, and its last token: up to a blank or quote, or a pair of its own."""
+        a, n = self.at[j][0], len(self.kind)
+        if not self.run[0] <= a < self.run[1]:
+            m = BARE.match(self.text, a)
+            self.run = (a, m.end() if m else a)
+        end = self.run[1]
+        while j + 1 < n and self.at[j + 1][1] <= end:
+            if self.kind[j + 1] == "op" and self.word(j + 1) in ASSIGNS and self.is_(j, "name") and self.at[j + 1][1] < end and self.at[j][0] > a:
+                return self.at[j][0], j - 1
+            j += 1
+        return end, j
 
     def content(self, i: int) -> tuple[int, int]:
         """A string without its quotes."""
@@ -228,7 +285,9 @@ class Source:
                     begins = j == i + 1 and deeper and not self.is_(after, "other", "-") and not (self.key(after) and self.is_(after + 1, "op", ASSIGNS))
                     if not begins and not self.is_(j - 1, "op", "+") and not self.is_(after, "op", "+") and not (deeper and self.is_(after, "other", {"?", "|", "&", "."})):
                         break
-                j += 1
+                    j = after
+                else:
+                    j += 1
                 continue
             if kind == "end" or kind == "close" and not entered:
                 break
@@ -253,11 +312,9 @@ class Source:
                 fresh = False
             elif kind == "name":
                 a, b = self.at[j]
-                bare = BARE.match(text, a).end() if fresh and not entered else b
-                if bare > b and text[b] not in "=:?<>!":
-                    parts[-1].append((a, bare, False))
-                    while j + 1 < n and self.at[j + 1][1] <= bare:
-                        j += 1
+                if fresh and not entered and b < len(text) and text[b] not in "=:?<>!" and BARE.match(text, b, b + 1):
+                    end, j = self.bare(j)
+                    parts[-1].append((a, end, False))
                 elif self.is_(j + 1, "open", "(") and self.at[j + 1][0] == b:
                     pass  # a call
                 elif self.is_(j + 1, "open", "[") and self.at[j + 1][0] == b:
@@ -266,19 +323,25 @@ class Source:
                 else:
                     parts[-1].append((self.word(j), i, a, b if fresh else a))
                 fresh = False
-            elif kind == "other" and fresh and not entered and (m := BARE.match(text, self.at[j][0])):
-                parts[-1].append((*m.span(), False))
-                while j + 1 < n and self.at[j + 1][1] <= m.end():
-                    j += 1
+            elif kind == "other" and fresh and not entered and BARE.match(text, self.at[j][0], self.at[j][1]):
+                a = self.at[j][0]
+                end, j = self.bare(j)
+                parts[-1].append((a, end, False))
                 fresh = False
             elif kind == "other" and self.word(j) == "?":
                 asked, fresh = asked + 1, True
             elif kind == "op":
-                if self.word(j) in ASSIGNS and not entered:
-                    if self.word(j) == ":" and asked:
-                        self.taken.add(j)
-                        asked -= 1
-                    else:  # a pair of its own; what it defines is the value of this one too
+                if self.word(j) == ":" and asked:
+                    self.taken.add(j)
+                    asked -= 1
+                elif self.word(j) in ASSIGNS:  # a pair of its own; what it defines is the value of this one too
+                    if entered:
+                        if targets := self.targets(j):
+                            parts[-1] += [(name, j + 1, 0, 0) for name, _ in targets]
+                            j = self.stop[j]
+                            fresh = True
+                            continue
+                    else:
                         if self.word(j) != ":" and parts[-1] and len(parts[-1][-1]) == 4:
                             name = parts[-1].pop()
                             parts[-1].append((name[0], j + 1, 0, 0))
@@ -288,12 +351,13 @@ class Source:
         return parts + [[]] * (many - len(parts)) if len(parts) > 1 or many == 1 else parts * many
 
     def block(self, j: int, indent: int) -> tuple[int, int, bool]:
-        """The text after the end of line ``j`` that stands deeper than ``indent``."""
+        """The lines after the end of line ``j`` that stand deeper than ``indent``."""
         start = end = self.at[j][0]
-        for m in re.compile(r"\n([\x20\t]*)([^\n]*)").finditer(self.text, start):
-            if m[2].strip() and len(m[1]) <= indent:
-                break
-            start, end = (m.start(2), m.end(2)) if end == self.at[j][0] and m[2].strip() else (start, m.end(2) if m[2].strip() else end)
+        for m in LINE.finditer(self.text, start):
+            if m[2].strip():
+                if len(m[1]) <= indent:
+                    break
+                start, end = start if end > self.at[j][0] else m.start(2), m.end(2)
         return start, end, True
 
 
@@ -305,19 +369,27 @@ class Flow:
         self.scores: list[float] = []
         self.literals: list[list[tuple[int, int, bool]]] = []
         self.uses: list[list[tuple[str, int, int, int]]] = []
-        self.known: dict[tuple[int, str], tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
-
-    def chain(self, scope: int) -> Iterator[int]:
-        while scope >= 0:
-            yield scope
-            scope = self.source.parent[scope]
+        self.known: dict[tuple[int, str], tuple[list[int], list[int]]] = {}
+        self.homes: dict[str, list[int]] = defaultdict(list)  # the scopes that define a name
+
+    def chain(self, name: str, scope: int) -> Iterator[int]:
+        """The scopes around ``scope`` that define ``name``, the innermost first."""
+        homes = self.homes.get(name, ())
+        if len(homes) > 8:
+            while scope >= 0:
+                if (scope, name) in self.known:
+                    yield scope
+                scope = self.source.parent[scope]
+        else:
+            at, _ = self.source.span[scope]
+            yield from sorted((h for h in homes if h == scope or h < scope and self.source.span[h][0] <= at < self.source.span[h][1]), reverse=True)
 
     def define(self, name: str, token: int, first: int, value: list[tuple]) -> None:
         s = self.source
         home = s.scope[first]
         declared = s.is_(first - 1, "name") or s.is_(first, "str")
         if not declared and home and not s.is_(first - 1, "name", DECLARES):
-            outer = next((c for c in self.chain(home) if (c, name) in self.known), home)
+            outer = next(self.chain(name, home), home)
             # in braces a name without a declaration is the outer one
             opened = s.inside[first]
             home = outer if opened >= 0 and s.is_(opened, "open", "{") else home
@@ -328,6 +400,9 @@ class Flow:
         if s.is_(token, "op", "+="):
             uses.append((name, token, 0, 0))
         self.uses.append(uses)
+        if (home, name) not in self.known:
+            self.known[home, name] = ([], [])
+            self.homes[name].append(home)
         places, versions = self.known[home, name]
         places.append(token)
         versions.append(version)
@@ -335,12 +410,12 @@ class Flow:
     def meant(self, name: str, token: int) -> int | None:
         """The version of ``name`` that a use means: the last one given before ``token``, or else the next."""
         later = None
-        for scope in self.chain(self.source.scope[min(token, len(self.source.scope) - 1)]):
-            places, versions = self.known.get((scope, name), ((), ()))
+        for scope in self.chain(name, self.source.scope[min(token, len(self.source.scope) - 1)]):
+            places, versions = self.known[scope, name]
             i = bisect_left(places, token)
             if i:
                 return versions[i - 1]
-            if places and later is None:
+            if later is None:
                 later = versions[0]
         return later
 
@@ -364,9 +439,13 @@ class Flow:
                 if self.scores[e] < -score:
                     self.scores[e] = -score
                     heapq.heappush(queue, (score, e))
+        looks: dict[tuple[int, int, bool], float] = {}
         for score, literals in zip(self.scores, self.literals, strict=True):
-            if score:
-                yield from ((a, b) for a, b, quoted in literals if score * literal_score(text[a:b], quoted) >= THRESHOLD)
+            for x in literals if score else ():
+                if x not in looks:
+                    looks[x] = literal_score(text[x[0] : x[1]], x[2])
+                if score * looks[x] >= THRESHOLD:
+                    yield x[0], x[1]
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
@@ -403,7 +482,8 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base findings of ``text``, and all findings in order."""
     base = base_spans(text)
-    added = [(a, 3, b) for a, b in lexed_spans(text) if not any(s <= a and b <= e for s, _, e in base)]
+    starts, reach = [s for s, _, _ in base], [-1, *accumulate((e for _, _, e in base), max)]
+    added = [(a, 3, b) for a, b in lexed_spans(text) if reach[bisect_right(starts, a)] < b]
     return base, sorted(base + added)
 
 
