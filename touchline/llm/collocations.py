@@ -42,7 +42,9 @@ from pyspark.sql import functions as F
 from .common import BASE, U64, column, discard, materialize, mix64, text_bytes
 
 #: Words of a block.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Phrases that leave a task at once.
+SENT = 1 << 15
 #: Bits of the largest bitmap: 16 MB.
 BITMAP = 1 << 27
 #: Pieces of more bytes are turned into words bit by bit.
@@ -141,7 +143,8 @@ def _lists(batches: Iterator[pa.RecordBatch], size: int, bitmaps) -> Iterator[pa
     """(lang, phrase, n): the lengths of the lists of phrases of ``size`` words in each block."""
     known = bitmaps.value if bitmaps else []
     for batch in batches:
-        for lang, fresh, words, many, at in zip(*(column(batch, c) for c in ("lang", "fresh", "words", "many", "at")), strict=True):
+        for one in (batch.slice(i, 1) for i in range(batch.num_rows)):  # a block at a time
+            lang, fresh, words, many, at = (column(one, c)[0] for c in ("lang", "fresh", "words", "many", "at"))
             seed = zlib.crc32(lang.encode())
             at = np.frombuffer(at, "<i4").astype(np.int64)
             phrases = np.arange(len(words))[:, None]
@@ -168,8 +171,10 @@ def _lists(batches: Iterator[pa.RecordBatch], size: int, bitmaps) -> Iterator[pa
                 which, ends = which[keep], ends[keep]
             n = np.bincount(which[ends >= fresh], minlength=len(phrases))
             some = np.flatnonzero(n)
-            said = [b" ".join([words[i] for i in p]) for p in phrases[some].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(said, pa.binary()).cast(pa.string()), pa.array(n[some], pa.int64())], names=["lang", "phrase", "n"])
+            for first in range(0, len(some), SENT):
+                here = some[first : first + SENT]
+                said = [b" ".join([words[i] for i in p]) for p in phrases[here].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(here), pa.string()), pa.array(said, pa.binary()).cast(pa.string()), pa.array(n[here], pa.int64())], names=["lang", "phrase", "n"])
 
 
 def _bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
