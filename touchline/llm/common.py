@@ -13,7 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 #: Text handled in one vectorised step.  Longer documents are steps of their own.
 CHUNK_BYTES = 1 << 20
@@ -57,9 +59,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a table's size; for a materialised table, its files' size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def whole_ids(frame: DataFrame, name: str = "doc_id") -> Column:
+    """The column ``name`` as a long, for operators whose tables and files hold ids as whole numbers.
+
+    Any other type is refused before anything runs; operators that only pass ids on keep their type instead.
+    """
+    kind = frame.schema[name].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"column {name} must hold whole numbers; it is {kind.simpleString()}. Number the rows first, and keep the other id as a column of its own")
+    return F.col(name).cast("long")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -44,7 +44,7 @@ def _rounds(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of each node of ``edges`` (a, b); component is its least node.
+    """(node, component) of each node of ``edges`` (a, b), as a table; component is its least node.
 
     Null ends and loops are ignored; repeated edges do no harm; no edges give no rows.
     """
@@ -54,4 +54,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ends = both.where("a < b").join(tops.select(F.col("node").alias("a"), F.col("top").alias("x")), "a").join(tops.select(F.col("node").alias("b"), F.col("top").alias("y")), "b")
     linked = _rounds(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     discard(both)
-    return tops.join(linked.withColumnRenamed("node", "top"), "top", "left").select("node", F.coalesce("component", "top").alias("component"))
+    out = materialize(tops.join(linked.withColumnRenamed("node", "top"), "top", "left").select("node", F.coalesce("component", "top").alias("component")), "components")
+    for table in (tops, linked):
+        discard(table)
+    return out

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, column, least_of_each, materialize, steps, text_bytes, windows
+from .common import ALNUM, column, least_of_each, materialize, steps, text_bytes, whole_ids, windows, Words
 
 WINDOW, K = 10, 5
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -214,12 +214,12 @@ def _held(benchmark: DataFrame, window: int, k: int, limit: int):
 
 
 def _plain(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return benchmark.select(whole_ids(benchmark, "item_id").alias("item_id"), "text")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, max_broadcast_bytes: int = 8 << 20) -> DataFrame:
     """Each document's words, words that a benchmark window covers, and items found in it."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(whole_ids(docs).alias("doc_id"), "text")
     held = _held(_plain(benchmark), window, k, max_broadcast_bytes)
     if held is None:
         return _joined(rows, _plain(benchmark), window, k)
@@ -230,7 +230,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     """The rows of ``docs`` that share no window with the benchmark, all their columns."""
     held = _held(_plain(benchmark), window, k, max_broadcast_bytes)
     if held is None:
-        bad = _hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _plain(benchmark), window, k).select("hit_id", "hit_sum")
+        bad = _hits(docs.select(whole_ids(docs).alias("doc_id"), "text"), _plain(benchmark), window, k).select("hit_id", "hit_sum")
         # a text's digest goes with the id, so that rows of one id, or of none, are judged by their own texts
         same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("h.hit_id")) & (F.md5(F.col("d.text").cast("binary")) == F.col("h.hit_sum"))
         return docs.alias("d").join(bad.alias("h"), same, "left_anti")

@@ -20,8 +20,9 @@ that grows with the table so that cells stay near ``per_cell`` vectors.
 
 Defined results: only vectors of equal, non-null labels and equal length are compared;
 a vector that is null, empty or zero, or holds null or non-finite components, links with
-nothing; rows that share a vec_id are vectors of their own; a null vec_id links with
-nothing; an empty table gives no rows; other columns are ignored.
+nothing; rows that share a vec_id are vectors of their own with links of their own, and in one
+component, since that is of ids; a null vec_id links with nothing; ids and labels keep their
+types; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize
+from .common import column, discard, materialize
 from .components import connected_components
 
 BLOCK, SEARCHERS = 256, 4096
@@ -59,20 +60,17 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return np.unique(c, axis=0)
 
 
-def gaps(c: np.ndarray) -> np.ndarray:
-    """Distances between centroids."""
-    return np.stack([np.sqrt(np.maximum(np.square(c - x).sum(1), 1e-300)) for x in c])
-
-
-def bounds(x: np.ndarray, c: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bounds(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest centroid of each row, and a lower bound of its distance to each cell.
 
     The cell of a centroid lies on its side of the plane halfway to the nearest one.
     """
-    d = np.square(x).sum(1)[:, None] + np.square(c).sum(1)[None, :] - 2 * x @ c.T
+    long = np.square(c).sum(1)
+    d = np.square(x).sum(1)[:, None] + long[None, :] - 2 * x @ c.T
     best = d.argmin(1)
     rows = np.arange(len(x))
-    out = np.maximum((d - d[rows, best][:, None]) / (2 * apart[best]), 0.0)
+    apart = long[best][:, None] + long[None, :] - 2 * c[best] @ c.T
+    out = np.maximum((d - d[rows, best][:, None]) / (2 * np.sqrt(np.maximum(apart, 0.0) + 1e-13)), 0.0)
     out[rows, best] = 0.0
     return best, out
 
@@ -98,7 +96,6 @@ class Codebooks:
     def __init__(self, x: np.ndarray, k: int, radius2: float, target_recall: float):
         self.half = x.shape[1] // 2
         self.parts = [kmeans(h, k) for h in (x[:, : self.half], x[:, self.half :])]
-        self.gaps = [gaps(c) for c in self.parts]
         self.radius2 = radius2
         if target_recall < 1.0:
             rng = np.random.default_rng(0)
@@ -108,10 +105,10 @@ class Codebooks:
             cos = 1 - radius2 / 2
             there = cos * x + np.sqrt(1 - cos * cos) * move
             need = np.zeros(len(x))
-            for part, apart, a, b in zip(self.parts, self.gaps, self.split(x), self.split(there), strict=True):
+            for part, a, b in zip(self.parts, self.split(x), self.split(there), strict=True):
                 for at in range(0, len(x), CHUNK):
                     rows = slice(at, at + CHUNK)
-                    low, near = bounds(a[rows], part, apart)[1], bounds(b[rows], part, apart)[0]
+                    low, near = bounds(a[rows], part)[1], bounds(b[rows], part)[0]
                     need[rows] += np.square(low[np.arange(len(low)), near])
             self.radius2 = float(min(radius2, np.quantile(need, target_recall)))
 
@@ -120,7 +117,7 @@ class Codebooks:
 
     def visit(self, x: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
         """Each row's own cell, and the cells from its own on that its search visits."""
-        (near1, low1), (near2, low2) = (bounds(h, c, g) for h, c, g in zip(self.split(x), self.parts, self.gaps, strict=True))
+        (near1, low1), (near2, low2) = (bounds(h, c) for h, c in zip(self.split(x), self.parts, strict=True))
         m = len(self.parts[1])
         own, out = near1 * m + near2, []
         order1, order2 = low1.argsort(1, kind="stable"), low2.argsort(1, kind="stable")
@@ -144,7 +141,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(hashlib.blake2b(raw, digest_size=16).digest() if ok else None)
             raws.append(raw if ok else None)
             dims.append(len(x) if ok else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.int64()), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "label", "dim", "digest", "raw"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "label", "dim", "digest", "raw"])
 
 
 def _unit(raw: bytes) -> np.ndarray:
@@ -172,7 +169,7 @@ def _link(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links of one block of a cell: how many each vector has here, and a root that it reaches."""
     held, coming = group[group.held], group[~group.held]
     a = np.stack([_unit(r) for r in held.raw]) if len(held) else np.zeros((0, 1))
-    ids = np.concatenate([held.rep.to_numpy(), coming.rep.to_numpy()])
+    ids = np.concatenate([held.node.to_numpy(), coming.node.to_numpy()])
     weight = np.concatenate([held.n.to_numpy(), coming.n.to_numpy()])
     left, right = [], []
     if len(a) and bool(held.within.iloc[0]):
@@ -195,7 +192,7 @@ def _link(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
             break
         root = low
     some = links > 0
-    return pd.DataFrame({"rep": ids[some], "links": links[some].astype(np.int64), "root": ids[root[some]]})
+    return pd.DataFrame({"node": ids[some], "links": links[some].astype(np.int64), "root": ids[root[some]]})
 
 
 # ---------------------------------------------------------------- operators
@@ -206,9 +203,12 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, target_rec
     ``per_cell``, up to ``max_codes`` centroids a half; beyond 4096**2 * 512 vectors a label cells grow.
     """
     spark = vectors.sparkSession
-    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    rows = materialize(plain.mapInArrow(_read, "vec_id long, label long, dim int, digest binary, raw binary"), "vectors")
-    classes = materialize(rows.where("digest is not null").groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("raw").alias("raw")), "vector-classes")
+    plain = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
+    rows = materialize(plain.mapInArrow(_read, f"vec_id {kinds['vec_id']}, label {kinds['label']}, dim int, digest binary, raw binary"), "vectors")
+    same = ["label", "dim", "digest"]
+    grouped = rows.where("digest is not null").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("raw").alias("raw"))
+    classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "vector-classes")  # numbers, since two classes may share an id
 
     total, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).head()
     k = max(4, min(max_codes, int(np.ceil(np.sqrt(total / max(1, labels) / per_cell)))))
@@ -220,28 +220,37 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, target_rec
     index = materialize(classes.mapInArrow(partial(_visit, books=books), classes.schema.simpleString()[7:-1] + ",cell:int,visits:array<int>"), "vector-index")
 
     cell = ["label", "dim", "at"]
-    visits = index.select("label", "dim", "rep", "n", "raw", "cell", F.explode("visits").alias("at"))
+    visits = index.select("label", "dim", "node", "n", "raw", "cell", F.explode("visits").alias("at"))
     sizes = visits.groupBy(*cell).agg(F.sum((F.col("cell") == F.col("at")).cast("long")).alias("own"), F.count("*").alias("come"))
     sizes = sizes.where("own > 0").select(*cell, F.ceil(F.col("own") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("come") / SEARCHERS).cast("int").alias("shifts"))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    shift = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shifts")).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    shift = F.pmod(F.xxhash64("node", F.lit(1)), F.col("shifts")).cast("int")
     here = F.col("cell") == F.col("at")
     # a held vector stands in its block for every shift; as a searcher it goes to later blocks, or all blocks of other cells
     held = F.when(here, F.transform(F.sequence(F.lit(0), F.col("shifts") - 1), lambda s: F.struct(block.alias("block"), s.alias("shift"), F.lit(True).alias("held"), (s == 0).alias("within"))))
     first = F.when(here, block + 1).otherwise(F.lit(0))
     goes = F.when(first < F.col("blocks"), F.transform(F.sequence(first, F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), shift.alias("shift"), F.lit(False).alias("held"), F.lit(False).alias("within"))))
     empty = F.array().cast("array<struct<block:int,shift:int,held:boolean,within:boolean>>")
-    dealt = visits.join(sizes, cell).select(*cell, "rep", "n", "raw", F.explode(F.concat(F.coalesce(held, empty), F.coalesce(goes, empty))).alias("x")).select(*cell, "rep", "n", "raw", "x.*")
+    dealt = visits.join(sizes, cell).select(*cell, "node", "n", "raw", F.explode(F.concat(F.coalesce(held, empty), F.coalesce(goes, empty))).alias("x")).select(*cell, "node", "n", "raw", "x.*")
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         return _link(group, threshold)
 
-    links = materialize(dealt.groupBy(*cell, "block", "shift").applyInPandas(link, "rep long, links long, root long"), "vector-links")
-
-    groups = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counted = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.select("label", "dim", "digest", "rep", "n").join(counted, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    known = materialize(known.select("label", "dim", "digest", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")), "vector-known")
-    out = rows.select("vec_id", "label", "dim", "digest").join(known, ["label", "dim", "digest"], "left")
-    component = F.coalesce("component", "vec_id")
+    links = materialize(dealt.groupBy(*cell, "block", "shift").applyInPandas(link, "node long, links long, root long"), "vector-links")
+
+    discard(index)
+
+    placed = materialize(rows.select("vec_id", *same).join(classes.select(*same, "node"), same, "left").select("vec_id", "node"), "vector-places")
+    discard(rows)
+    shared = placed.where("node is not null").groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most")
+    ties = placed.join(shared, "vec_id").select("a", F.col("node").alias("b"))
+    groups = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).union(ties))
+    least = classes.join(groups, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
+    known = classes.select("node", "rep", "n").join(counted, "node", "left").join(groups.join(least, "component").select("node", "component_id"), "node", "left")
+    known = materialize(known.select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component_id", "rep").alias("component_id")), "vector-known")
+    for table in (classes, links, groups):
+        discard(table)
+    out = placed.join(known, "node", "left")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE2, NOT_BLANK, U64, Words, column, discard, materialize, mix64, signed, steps, text_bytes, windows
+from .common import BASE2, NOT_BLANK, U64, column, discard, materialize, mix64, signed, steps, text_bytes, whole_ids, windows, Words
 from .components import connected_components
 
 #: Sets, and elements of sets, that a block of a family holds on average; two blocks meet in a task.
@@ -340,7 +340,7 @@ def _join(docs: DataFrame, k: int, ratio: Fraction) -> tuple[DataFrame, DataFram
 
     Nodes are classes, so that texts which share a doc_id stay apart.
     """
-    texts = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.xxhash64("text").alias("sum"), "text")
+    texts = docs.select(whole_ids(docs).alias("doc_id"), F.xxhash64("text").alias("sum"), "text")
     rare = docs.sparkSession.sparkContext.broadcast(rarity(texts, k))
     rows = materialize(texts.mapInArrow(partial(_parts, k=k, ratio=ratio, rare=rare), "doc_id long, sum long, n_shingles long, one long, two long, parts array<long>"), "sets")
     usable = rows.where("n_shingles > 0 and doc_id is not null")

@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, whole_ids
 
 #: Sources (of about 100 bytes each) that may be broadcast; more are joined by source.
 MAX_BROADCAST_SOURCES = 100_000
@@ -148,7 +148,7 @@ def mix_rows(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats:
     ``budget_tokens`` defaults to the corpus' own.  An epoch's blocks, in order, hold its
     documents; training reads epochs in turn and blocks of all sources side by side.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), source_key(F.col("source")).alias("key"), token_count(F.col("text")).alias("n_tokens"))
+    slim = docs.select(whole_ids(docs).alias("doc_id"), F.col("source"), source_key(F.col("source")).alias("key"), token_count(F.col("text")).alias("n_tokens"))
     slim = materialize(slim, "doc-tokens")
     plan = plan_mix(slim.select("key", "doc_id", "n_tokens"), target_entropy, max_repeats, budget_tokens, seed, block_tokens, max_blocks)
     weights = plan.select("key", "epochs", "blocks", "edge", "cut")
@@ -160,7 +160,7 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float
 
     Texts are not shuffled unless there are too many sources to broadcast their plan.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("key"), token_count(F.col("text")).alias("n_tokens"))
+    slim = docs.select(whole_ids(docs).alias("doc_id"), source_key(F.col("source")).alias("key"), token_count(F.col("text")).alias("n_tokens"))
     plan = plan_mix(materialize(slim, "doc-tokens"), target_entropy, max_repeats, budget_tokens, seed, block_tokens, max_blocks)
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), source_key(F.col("source")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), source_key(F.col("source")).alias("key"), whole_ids(docs).alias("doc_id"))
     return take(rows, plan, seed).select("row.*")

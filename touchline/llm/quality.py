@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, column, mix64, steps, text_bytes
+from .common import U64, column, mix64, steps, text_bytes, whole_ids, Words
 
 #: Byte classes: 0 blanks and controls, 1 letters, digits and all non-ASCII, 2 marks.
 CLASSES = np.full(256, 2, dtype=np.uint8)
@@ -91,7 +91,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, bits: int = 20, max_traini
         return np.zeros((1 << bits) + 1, dtype=np.float32)
     part = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < int(min(1.0, max_training_docs / known) * (1 << 20))
     chosen = F.broadcast(clean.where(part))  # at most about max_training_docs rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(whole_ids(docs).alias("doc_id"), "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
     found = rows.select("doc_id", "text", "label").mapInArrow(partial(_features, bits=bits), "key long, label int, features binary")
     learn = partial(_train, bits=bits, epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2)
     return np.frombuffer(found.repartition(1).mapInArrow(learn, "weights binary").head()[0], np.float32)

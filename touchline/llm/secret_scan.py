@@ -22,7 +22,7 @@ findings outside them:
 
 Spans are code points, the end exclusive.  Defined results: null text counts as
 empty and has no findings; long texts are scanned whole; equal rows give equal
-results; an empty table gives none; other columns are ignored.
+results; ids keep their type; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +38,6 @@ from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import column
 
@@ -508,7 +507,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def secret_spans(docs: DataFrame) -> DataFrame:
     """Findings in each row of ``docs`` (doc_id, text); a map, without any shuffle."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE2, NOT_BLANK, Words, column, least_of_each, materialize, signed, steps, text_bytes, windows
+from .common import BASE2, NOT_BLANK, column, least_of_each, materialize, signed, steps, text_bytes, whole_ids, windows, Words
 
 SPAN, K = 50, 10
 #: Bytes of shared fingerprints, and of what stands beside them, that may be broadcast.  More are joined.
@@ -227,7 +227,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- operators
 def _tables(docs: DataFrame, span: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Rows' digests, classes' least documents, texts that share spans, and words to remove of each class."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(whole_ids(docs).alias("doc_id"), "text")
     rows = materialize(texts.mapInArrow(partial(_prints, span=span, k=k), PRINTS), "prints")
     # a number for each class: written once, so it stays the same, and a third of the digest's size in every shuffle
     classes = materialize(rows.where("doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "text-classes")
@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """``docs`` without the repeated words; a text that loses some has the others joined by one space, all others stay as they are."""
     _, classes, _, gone = _tables(docs, span, k)
     marks = classes.join(gone, "cid", "left").select("class", "least", "spans")
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), whole_ids(docs).alias("doc_id"), F.col("text").alias("text"))
     row = packed.schema["row"].dataType.simpleString()
     tagged = packed.mapInArrow(_tag, f"row {row}, doc_id long, text string, class binary")
     found = tagged.join(marks, "class", "left").mapInArrow(partial(_rewrite, span=span), f"row {row}, text string")

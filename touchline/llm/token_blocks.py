@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_letters, column, shared_dir, steps
+from .common import byte_letters, column, shared_dir, steps, whole_ids
 
 BLOCK = 1024
 MAGIC = b"TLB1"
@@ -272,7 +272,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     ``partitions`` (default: the session's shuffle partitions) bounds a task's share.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(whole_ids(docs).alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(partial(_encode, path=tokenizer, end_id=end_id, percentile=percentile), SEGMENTS).write.parquet(path)
 
 
