@@ -109,6 +109,8 @@ def test_codec_equals_the_library(spark):
         r = got[f"d-{i}"]
         assert np.frombuffer(r.ids, "<u4").tolist() == want, t
         assert (r.n_tokens, r.decoded) == (len(want), library.decode(want, skip_special_tokens=False))
+    both = {r.doc_id: r for r in bpe_codec.encode(frame, PATH, back=True).collect()}
+    assert all((both[i].ids, both[i].decoded) == (r.ids, r.decoded) for i, r in got.items())
     assert bpe_codec.encode(frame.limit(0), PATH).collect() == []
     with pytest.raises(ValueError, match="no byte-pair vocabulary"):
         bpe_codec.Codec(public_tokenizers.path("byte_bpe_50k.json"))

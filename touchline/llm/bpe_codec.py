@@ -11,7 +11,7 @@ two of these parts have a merge of their own that comes before either part was u
 are read off by following the back pointers from the last prefix.
 
 Pieces come from the vocabulary's own normaliser and splitter.  Both work on runs of characters
-without white space one by one, so each distinct run is encoded once per worker, as long as it is
+without white space one by one, so each distinct piece is encoded once per worker, as long as it is
 remembered; what a worker remembers is bounded by bytes.  Both directions are maps without a shuffle.
 
 Defined results: null text counts as empty and has no ids, which decode to an empty text; equal rows
@@ -34,17 +34,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column, steps, text_bytes
+from .common import byte_letters, column, steps, text_bytes
 
 #: Unicode white space, as the vocabulary's rules have it.
 BLANKS = "\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUN = re.compile(f"[^{BLANKS}]+")
-#: Bytes of each of the three things that a worker remembers; beyond that it forgets them all.
-ROOM = 32 << 20
-#: Runs longer than this are not remembered.
+#: Bytes of a generation of the pieces that a worker remembers; it has two of them.
+ROOM = 48 << 20
+#: Pairs of tokens that a worker remembers.
+PAIRS = 500_000
+#: Pieces longer than this are not remembered.
 LONG = 512
 #: Runs of which any vocabulary with these rules makes a word and its marks.
-PLAIN = re.compile("([A-Za-z]+)([.,;:!?]*)")
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 #: Stands for the end of a word in strings of symbols.
 END = "\n"
 FOREVER = 1 << 40
@@ -134,9 +136,10 @@ class Codec:
         self.token_of = [-1] * len(self.automaton.long)
         for v, k in self.automaton.entry.items():
             self.token_of[v] = reached[strings[k]]
-        self.runs: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.held = dict.fromkeys(("runs", "pieces"), 0)
+        self.letters = byte_letters()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
 
     # ------------------------------------------------------------ the pair test
     def edge(self, token: int, side: int) -> Iterator[tuple[int, int]]:
@@ -168,89 +171,112 @@ class Codec:
         return self.apart(a, b, self.rank[token]) and self.reachable(a) and self.reachable(b)
 
     def may_follow(self, a: int, b: int) -> bool:
-        if len(self.pairs) * 130 > ROOM:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         found = self.pairs[a << 20 | b] = self.apart(a, b)
         return found
 
     # ------------------------------------------------------------ encoding
-    def prefixes(self, piece: str) -> tuple[list[int], list[int]]:
-        """The last token of each prefix of ``piece``, and where it begins."""
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces as little-endian unsigned integers.
+
+        Pieces go in alphabetical order, so the prefixes that two neighbours have in common are worked out once: of each
+        prefix, as the beginning of something longer, are kept its last token, where that begins, and the automaton's state.
+        """
         after, link, long, above = self.automaton.next, self.automaton.link, self.automaton.long, self.automaton.above
         token_of, pairs = self.token_of, self.pairs
-        last, back = [-1], [0]
-        state = size = 0
-        n = len(piece)
-        for i, c in enumerate(piece, 1):
-            for symbol in (c, END) if i == n else (c,):
-                while state and symbol not in after[state]:
-                    state = link[state]
-                    size = long[state]
-                state = after[state].get(symbol, 0)
-                size = size + 1 if state else 0
-            # entries that end here, the longest first
-            v = state if token_of[state] >= 0 and long[state] <= size else above[state]
-            while v >= 0:
-                token, at = token_of[v], i - long[v] + (i == n)
-                if not at:
-                    break
-                before = last[at]
-                fits = pairs.get(before << 20 | token)
-                if fits is None:
-                    fits = self.may_follow(before, token)
-                if fits:
-                    break
-                v = above[v]
-            else:
-                raise ValueError(f"no encoding ends at byte {i} of a piece that begins {piece[:100]!r}")
-            last.append(token)
-            back.append(at)
-        return last, back
-
-    def piece(self, piece: str) -> bytes:
-        """Ids of a piece as little-endian unsigned integers, read off from its end."""
-        found = self.pieces.get(piece)
-        if found is None:
-            last, back = self.prefixes(piece)
-            out, i = array("I"), len(piece)
-            while i:
-                out.append(last[i])
-                i = back[i]
-            out.reverse()
-            found = self.keep("pieces", piece, (out if sys.byteorder == "little" else np.array(out, "<u4")).tobytes())
-        return found
-
-    def keep(self, name: str, key: str, ids: bytes) -> bytes:
-        """Remember the ids of something, unless it is long."""
-        if len(key) <= LONG:
-            known = getattr(self, name)
-            if self.held[name] > ROOM:
-                known.clear()
-                self.held[name] = 0
-            known[key] = ids
-            self.held[name] += 200 + 2 * len(key) + len(ids)
-        return ids
-
-    def run(self, run: str) -> bytes:
-        """Ids of a run without white space."""
-        found = self.runs.get(run)
-        if found is None:
+        before, last, back, states, sizes = "", [-1], [0], [0], [0]
+        out = {}
+        for piece in sorted(pieces):
+            n = len(piece)
+            same, most = 0, min(len(last), n, len(before) + 1) - 1
+            while same < most and before[same] == piece[same]:
+                same += 1
+            del last[same + 1 :], back[same + 1 :], states[same + 1 :], sizes[same + 1 :]
+            state, size = states[same], sizes[same]
+            for i in range(same + 1, n + 1):
+                c = piece[i - 1]
+                for symbol in (c, END) if i == n else (c,):
+                    while state and symbol not in after[state]:
+                        state = link[state]
+                        size = long[state]
+                    state = after[state].get(symbol, 0)
+                    size = size + 1 if state else 0
+                # entries that end here, the longest first
+                v = state if token_of[state] >= 0 and long[state] <= size else above[state]
+                while v >= 0:
+                    token, at = token_of[v], i - long[v] + (i == n)
+                    if not at:
+                        break
+                    fits = pairs.get(last[at] << 20 | token)
+                    if fits is None:
+                        fits = self.may_follow(last[at], token)
+                    if fits:
+                        break
+                    v = above[v]
+                else:
+                    raise ValueError(f"no encoding ends at byte {i} of a piece that begins {piece[:100]!r}")
+                if i < n:
+                    last.append(token)
+                    back.append(at)
+                    states.append(state)
+                    sizes.append(size)
+            before = piece
+            ids = array("I", [token])
+            while at:  # back from the end
+                ids.append(last[at])
+                at = back[at]
+            ids.reverse()
+            out[piece] = (ids if sys.byteorder == "little" else np.array(ids, "<u4")).tobytes()
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        every = [self.runs(t) for t in texts]
+        made: dict[str, list[str]] = {}
+        for run in {r for runs in every for r in runs}:
             if m := PLAIN.fullmatch(run):  # what the rules do to it is plain to see
-                word, marks = m.groups()
-                found = self.piece(word.lower()) + (self.piece(marks) if marks else b"")
-            else:
-                found = b"".join([self.piece(u) for u, _ in self.split(self.normalize(run))])
-            self.keep("runs", run, found)
-        return found
-
-    def encode(self, text: str) -> bytes:
+                word, marks = m[1].lower(), m[2]
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(self.letters)
+                made[run] = [word, marks] if marks else [word]
+            elif run not in self.added:
+                made[run] = [u for u, _ in self.split(self.normalize(run))]
+        young, old = self.young, self.old
+        pieces: dict[str, bytes] = {}
+        new: set[str] = set()
+        for us in made.values():
+            for u in us:
+                if u not in pieces and u not in new:
+                    found = young.get(u) or old.get(u)
+                    if found is None:
+                        new.add(u)
+                    else:
+                        pieces[u] = found
+        pieces |= self.learn(new)
+        self.remember(pieces)
+        here = {run: pieces[us[0]] if len(us) == 1 else b"".join([pieces[u] for u in us]) for run, us in made.items()}
+        here |= {run: np.array([i], dtype="<u4").tobytes() for run, i in self.added.items()}
+        return [b"".join(map(here.__getitem__, runs)) for runs in every]
+
+    def remember(self, pieces: dict[str, bytes]) -> None:
+        """Keep what was asked for; it is forgotten after a generation in which nothing asks for it."""
+        for u, ids in pieces.items():
+            if len(u) <= LONG and u not in self.young:
+                if self.held > ROOM:
+                    self.old, self.young, self.held = self.young, {}, 0
+                self.young[u] = ids
+                self.held += 190 + len(u) + len(ids)
+
+    def runs(self, text: str) -> list[str]:
+        """The runs of a text; a special token's string is one of its own, which no other run equals."""
         if self.special is None or not self.special.search(text):
-            return b"".join(map(self.run, RUN.findall(text)))
+            return RUN.findall(text)
         out, at = [], 0
         for m in self.special.finditer(text):
-            out += [*map(self.run, RUN.findall(text[at : m.start()])), np.array([self.added[m[0]]], dtype="<u4").tobytes()]
+            out += [*RUN.findall(text[at : m.start()]), m[0]]
             at = m.end()
-        return b"".join([*out, *map(self.run, RUN.findall(text[at:]))])
+        return out + RUN.findall(text[at:])
 
 
 class Names:
@@ -284,21 +310,24 @@ def _with(batch: pa.RecordBatch, without: str, made: dict[str, pa.Array]) -> pa.
     return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made.values()], names=[*(batch.schema.names[i] for i in kept), *made])
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator[pa.RecordBatch]:
-    own = held(Codec, path)
+def _coded(batches: Iterator[pa.RecordBatch], path: str, text: str, back: bool) -> Iterator[pa.RecordBatch]:
+    own, names = held(Codec, path), held(Names, path) if back else None
     for batch in batches:
         raws = text_bytes(batch, text)
-        for a, b in steps(raws, 8 << 20):
-            ids = [own.encode((r or b"").decode()) for r in raws[a:b]]
-            yield _with(batch.slice(a, b - a), text, {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())})
+        for a, b in steps(raws):
+            ids = own.encode([(r or b"").decode() for r in raws[a:b]])
+            made = {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+            if back:
+                made["decoded"] = pa.array(map(names.decode, ids), pa.binary()).cast(pa.string())
+            yield _with(batch.slice(a, b - a), text, made)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    own = held(Names, path)
+    names = held(Names, path)
     for batch in batches:
         ids = column(batch, "ids")
-        for a, b in steps(ids, 8 << 20):
-            texts = pa.array([None if x is None else own.decode(x) for x in ids[a:b]], pa.binary())
+        for a, b in steps(ids):
+            texts = pa.array([None if x is None else names.decode(x) for x in ids[a:b]], pa.binary())
             yield _with(batch.slice(a, b - a), "", {"decoded": texts.cast(pa.string())})
 
 
@@ -307,11 +336,15 @@ def _schema(frame: DataFrame, without: set[str], made: str) -> tuple[DataFrame,
     return keep, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema] + [made])
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """``docs`` with ids (binary, four little-endian bytes a token) and n_tokens in place of the text."""
-    keep, _ = _schema(docs, {"ids", "n_tokens"} - {text}, "")
-    _, schema = _schema(keep, {text}, "ids binary, n_tokens long")
-    return keep.mapInArrow(partial(_encode, path=tokenizer, text=text), schema)
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", back: bool = False) -> DataFrame:
+    """``docs`` with ids (binary, four little-endian bytes a token) and n_tokens in place of the text.
+
+    ``back`` adds the text of those ids as decoded, from the same task.
+    """
+    made = ["ids binary", "n_tokens long", *(["decoded string"] if back else [])]
+    keep, _ = _schema(docs, {m.split()[0] for m in made} - {text}, "")
+    _, schema = _schema(keep, {text}, ", ".join(made))
+    return keep.mapInArrow(partial(_coded, path=tokenizer, text=text, back=back), schema)
 
 
 def decode(coded: DataFrame, tokenizer: str) -> DataFrame:

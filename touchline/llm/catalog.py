@@ -72,8 +72,7 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    said = bpe_codec.decode(coded, path)
+    said = bpe_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, back=True)
     return said.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
