@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, column, discard, materialize, mix64, text_bytes
+from .common import BASE, U64, column, discard, materialize, mix64, small_batches, text_bytes
 
 #: Words of a block.
 BLOCK = 1 << 18
@@ -211,7 +211,9 @@ def frequent_phrases(blocks: DataFrame, longest: int = 4, least: int = 30, bitma
     for size in range(1, longest + 1):
         sent = sc.broadcast(bitmaps) if bitmaps else None
         lists = blocks.select("lang", "fresh", "words", "many", "at").mapInArrow(partial(_lists, size=size, bitmaps=sent), "lang string, phrase string, n long")
-        levels.append(materialize(lists.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"phrases-{size}"))
+        sums = lists.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        with small_batches(blocks.sparkSession, 4):
+            levels.append(materialize(sums, f"phrases-{size}"))
         if size < longest:
             bitmaps.append(_bitmap(levels[-1], bitmap_bits))
     return levels

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,20 @@ def whole_ids(frame: DataFrame, name: str = "doc_id") -> Column:
     return F.col(name).cast("long")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """For jobs begun inside: at most ``rows`` rows, which are large ones, are read and sent to a worker at once."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, str(rows))
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser, element-wise on uint64."""
     x = x ^ (x >> U64(30))
