@@ -48,7 +48,7 @@ SIMPLE = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!
 #: Endings that the rule takes whole, but not in part.
 WHOLE = {"'re", "'ve", "'ll"}
 #: Bytes of each of the three things that a worker remembers; beyond that it forgets them all.
-ROOM = 64 << 20
+ROOM = 128 << 20
 #: Pieces and runs longer than this are not remembered.
 LONG = 1024
 
@@ -116,7 +116,7 @@ class PrefixTables:
     def store(self, u: str, count: array) -> bytes | array:
         found = bytes(count.tolist()) if len(u) < 256 else count[:]
         if len(u) <= LONG:
-            self.keep("words", u, found, 220 + 6 * len(u))
+            self.keep("words", u, found, 200 + (2 if len(u) < 256 else 5) * len(u))
         return found
 
     def piece(self, u: str) -> bytes | array:
