@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -37,32 +37,6 @@ def importance(model, features: Sequence[str], top: int = 10) -> list[tuple[str,
     return sorted(((f, round(float(w), 5)) for f, w in zip(features, weights, strict=True)), key=lambda x: -x[1])[:top]
 
 
-def fit_trees(rows: DataFrame, features: Sequence[str], trees: int = 40, depth: int = 4, step: float = 0.05, held: float = 0.2, seed: int = 42):
-    """One boosted forest an outcome, each against the rest.
-
-    The last ``held`` share of rows by kick-off only decides how many trees are kept (early
-    stopping); the forests are then grown again on all rows with that number.
-    """
-    cut = rows.select(F.percentile(F.unix_micros(F.col("kickoff").cast("timestamp")), F.lit(1.0 - held))).head()[0]
-    data = assembled(rows, features).withColumn("_held", F.unix_micros(F.col("kickoff").cast("timestamp")) > cut)
-    forests = []
-    for k in range(3):
-        one = data.withColumn("_y", (F.col("outcome") == k).cast("double"))
-        base = dict(featuresCol="_x", labelCol="_y", maxDepth=depth, stepSize=step, subsamplingRate=0.8, minInstancesPerNode=10, featureSubsetStrategy="0.8", seed=seed)
-        probe = GBTClassifier(maxIter=trees, validationIndicatorCol="_held", validationTol=0.0, **base).fit(one)
-        forests.append(GBTClassifier(maxIter=max(1, probe.getNumTrees), **base).fit(one))
-    return forests
-
-
-def predict_trees(forests, rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    scored = assembled(rows, features)
-    for k, forest in enumerate(forests):
-        forest.setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}").setPredictionCol(f"_c{k}")
-        scored = forest.transform(scored).withColumn(f"_o{k}", vector_to_array(F.col(f"_p{k}"))[1])
-    total = F.col("_o0") + F.col("_o1") + F.col("_o2")
-    return scored.select(*rows.columns, *[(F.col(f"_o{k}") / total).alias(name) for k, name in enumerate(P)])
-
-
 # --------------------------------------------------------------- calibration
 def _interpolated(knots: list[tuple[float, float]], x: Column) -> Column:
     """A monotone line through knots, flat outside them; the knots are part of the plan."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..operators import boosting as bo
 from ..operators import evaluation as ev
 from ..operators import features as ft
 from ..operators import goals_model as gm
@@ -15,7 +16,7 @@ from ..operators import relational as rel
 from ..sources.tables import TEAMS, matches, sides, table
 from .form import _V, _VECTOR_TIER, VENUE
 from .metrics import forecasts
-from .registry import query
+from .registry import SQL, query
 
 K = F.col
 
@@ -181,11 +182,43 @@ def classifier_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def classifier_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import classifiers as cl
-
+    """Forecasts of two seasons by boosted trees, grown from the earlier ones with early stopping."""
     rows = form_rows(spark, sf_dir)
-    forests = cl.fit_trees(rows.where("season < 2000"), FORM, trees=10, depth=3)
-    return cl.predict_trees(forests, rows.where("season >= 2000"), FORM).select("match_id", "season", "outcome", *me.P)
+    forest = bo.fit(rows.where("season < 2000"), FORM)
+    return bo.predict(forest, rows.where("season >= 2000")).select("match_id", "season", "outcome", *me.P)
+
+
+@query()
+def trees_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each feature's splits gain in trees grown from all seasons."""
+    forest = bo.fit(form_rows(spark, sf_dir), FORM)
+    return spark.createDataFrame(forest.importance(), "feature string, importance double")
+
+
+def rule_forest() -> bo.Forest:
+    """Six trees of two levels by rule, so that walking them can be held against SQL."""
+    nodes = []
+    for t in range(6):
+        for i in range(3):
+            nodes.append((t // 3, t % 3, i, FORM[(3 * t + 5 * i) % len(FORM)], 0.9137 + 0.2 * ((t + i) % 5), 0.0))
+        nodes += [(t // 3, t % 3, 3 + j, None, None, ((7 * t + 3 * j) % 9 - 4) / 10) for j in range(4)]
+    return bo.Forest.of_nodes(FORM, nodes)
+
+
+_CELLS = ", ".join(FORM)
+_CUT = "(0.9137 + 0.2 * ((t + {i}) % 5))"
+
+
+@query(
+    f"""WITH d AS ({{form}}), x AS (SELECT match_id, t, t % 3 AS k, [{_CELLS}] AS v FROM d, range(6) r(t)),
+one AS (SELECT *, CAST(v[1 + (3 * t) % 14] >= {_CUT.format(i=0)} AS INT) AS a FROM x),
+two AS (SELECT *, CAST(CASE WHEN a = 0 THEN v[1 + (3 * t + 5) % 14] >= {_CUT.format(i=1)} ELSE v[1 + (3 * t + 10) % 14] >= {_CUT.format(i=2)} END AS INT) AS b FROM one),
+m AS (SELECT match_id, k, exp(sum(((7 * t + 3 * (2 * a + b)) % 9 - 4) / CAST(10 AS DOUBLE))) AS e FROM two GROUP BY match_id, k)
+SELECT match_id, round(sum(CASE WHEN k = 0 THEN e END) / sum(e), 9) AS p_home, round(sum(CASE WHEN k = 1 THEN e END) / sum(e), 9) AS p_draw, round(sum(CASE WHEN k = 2 THEN e END) / sum(e), 9) AS p_away FROM m GROUP BY match_id""".format(form=SQL["form_dataset"]),
+)
+def trees_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts of every match by a given table of trees."""
+    return bo.predict(rule_forest(), form_rows(spark, sf_dir)).select("match_id", *_r(9, *me.P))
 
 
 @query()

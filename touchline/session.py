@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "touchline", **conf: str) -> SparkSession:
@@ -17,3 +19,17 @@ def get_session(app: str = "touchline", **conf: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as files in ``spark.checkpoint.dir``: its lineage is cut, and lost executors cost nothing but a read.
+
+    Where no folder is set, a local master gets one of its own; a cluster gets an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        place = sc.getConf().get("spark.checkpoint.dir")
+        if not place and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(place or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+    return df.checkpoint(eager=True)
