@@ -10,12 +10,15 @@ Phrases grow level by level.  The list of a phrase is merge-joined by position w
 the words that follow it: where it ends at p and a word stands at p + 1, the longer phrase has an
 occurrence.  The length of a list is the exact frequency in the block, and one ``groupBy`` of
 (language, phrase) adds blocks up.  Blocks are never joined with each other, as no occurrence goes
-over a block's end, so nothing but lengths of lists is shuffled, and they are summed before it.
+over a block's end, so nothing but lengths of lists is shuffled.
 
-What is not frequent is never extended: of each level's frequent phrases a bitmap of hashes is made
-(``BITMAP`` bits at most, so what is broadcast is bounded whatever the corpus) and a list is extended
-only if its phrase, and the phrase without the first word of what comes out, are in it.  A false
-positive costs an idle list, never a result: what is frequent is decided by exact sums.
+What is not frequent is never extended, and its list's length is not sent as a phrase: lengths are first
+tallied by buckets of hashes, a byte or two each, and only phrases whose bucket comes to the least
+frequency are counted by themselves.  Of each level's frequent phrases a bitmap of hashes is made, and
+a list is extended only if its phrase, and the phrase without the first word of what comes out, are in
+it.  Both bitmaps have ``BITMAP`` bits at most, so what is broadcast is bounded whatever the corpus; on
+a corpus far larger than that they rule out less.  A false positive costs an idle list, never a result:
+what is frequent is decided by exact sums of phrases themselves.
 
 Scores, the domination of phrases by longer ones and ranks are DataFrame operations with decimals of
 38 digits.  A language's best are found in ``SALTS`` shares first, so no task ranks all its phrases.
@@ -34,6 +37,7 @@ from functools import partial
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -43,6 +47,8 @@ from .common import BASE, U64, column, discard, materialize, mix64, small_batche
 
 #: Words of a block.
 BLOCK = 1 << 18
+#: Buckets of a range, as a power of two; a range is tallied in one task.
+RANGE = 16
 #: Phrases that leave a task at once.
 SENT = 1 << 15
 #: Bits of the largest bitmap: 16 MB.
@@ -139,9 +145,8 @@ def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) > 0
 
 
-def _lists(batches: Iterator[pa.RecordBatch], size: int, bitmaps) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, n): the lengths of the lists of phrases of ``size`` words in each block."""
-    known = bitmaps.value if bitmaps else []
+def _found(batches: Iterator[pa.RecordBatch], size: int, known: list[np.ndarray]) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block: its language and words, the phrases of ``size`` words as numbers of words, their hashes, and the lengths of their lists."""
     for batch in batches:
         for one in (batch.slice(i, 1) for i in range(batch.num_rows)):  # a block at a time
             lang, fresh, words, many, at = (column(one, c)[0] for c in ("lang", "fresh", "words", "many", "at"))
@@ -150,8 +155,8 @@ def _lists(batches: Iterator[pa.RecordBatch], size: int, bitmaps) -> Iterator[pa
             phrases = np.arange(len(words))[:, None]
             which = np.repeat(np.arange(len(words)), np.frombuffer(many, "<i4"))  # of which phrase each occurrence is
             ends = at
+            hashes = np.array([spread(w, seed) for w in words], dtype=np.uint64)
             if size > 1:
-                hashes = np.array([spread(w, seed) for w in words], dtype=np.uint64)
                 here = np.full(int(at.max()) + 2, -1, dtype=np.int64)
                 common = holds(known[0], hashes)
                 here[at] = np.where(common[which], which, -1)
@@ -171,10 +176,50 @@ def _lists(batches: Iterator[pa.RecordBatch], size: int, bitmaps) -> Iterator[pa
                 which, ends = which[keep], ends[keep]
             n = np.bincount(which[ends >= fresh], minlength=len(phrases))
             some = np.flatnonzero(n)
-            for first in range(0, len(some), SENT):
-                here = some[first : first + SENT]
-                said = [b" ".join([words[i] for i in p]) for p in phrases[here].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(here), pa.string()), pa.array(said, pa.binary()).cast(pa.string()), pa.array(n[here], pa.int64())], names=["lang", "phrase", "n"])
+            yield lang, words, phrases[some], folded(hashes, phrases[some]) if len(some) else np.zeros(0, dtype=np.uint64), n[some]
+
+
+def _buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """One of 2**bits buckets, by other bits than ``holds`` looks at."""
+    return (hashes >> U64(64 - bits)).astype(np.int64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Small whole numbers byte by byte, all first bytes first: mostly zeros, which what compresses shuffles makes small."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _tallies(batches: Iterator[pa.RecordBatch], size: int, bitmaps, bits: int) -> Iterator[pa.RecordBatch]:
+    """(part, gaps, n): how often each bucket of a range has a phrase in a block; gaps lead from one bucket that has any to the next."""
+    for _, _, _, hashes, n in _found(batches, size, bitmaps.value if bitmaps else []):
+        if not len(n):
+            continue
+        bucket, where = np.unique(_buckets(hashes, bits), return_inverse=True)
+        total = np.bincount(where, n, len(bucket)).astype(np.int64)
+        first = np.flatnonzero(np.diff(bucket >> RANGE, prepend=-1))
+        parts = [(int(bucket[a] >> RANGE), _planes(np.diff(bucket[a:b] & (1 << RANGE) - 1, prepend=0)), _planes(total[a:b])) for a, b in zip(first, [*first[1:], len(bucket)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in parts], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "gaps", "n"])
+
+
+def _common(group: pd.DataFrame, least: int) -> pd.DataFrame:
+    """The buckets of a range whose tallies come to ``least``, as a bitmap."""
+    total = np.zeros(1 << RANGE, dtype=np.int64)
+    for gaps, n in zip(group.gaps, group.n, strict=True):
+        bucket, many = (np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) for x in (gaps, n))
+        total[np.cumsum(bucket)] += many
+    return pd.DataFrame({"part": [group.part.iloc[0]], "common": [np.packbits(total >= least, bitorder="little").tobytes()]})
+
+
+def _lists(batches: Iterator[pa.RecordBatch], size: int, bitmaps, bits: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, n): the lengths of the lists of phrases of ``size`` words in each block, of those whose bucket is common."""
+    *known, common = bitmaps.value
+    for lang, words, phrases, hashes, n in _found(batches, size, known):
+        bucket = _buckets(hashes, bits)
+        some = np.flatnonzero((common[bucket >> 6] >> (bucket & 63).astype(np.uint64)) & U64(1))
+        for first in range(0, len(some), SENT):
+            here = some[first : first + SENT]
+            said = [b" ".join([words[i] for i in p]) for p in phrases[here].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(here), pa.string()), pa.array(said, pa.binary()).cast(pa.string()), pa.array(n[here], pa.int64())], names=["lang", "phrase", "n"])
 
 
 def _bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -206,14 +251,21 @@ def _bitmap(frequent: DataFrame, most: int) -> np.ndarray:
 # ---------------------------------------------------------------- operators
 def frequent_phrases(blocks: DataFrame, longest: int = 4, least: int = 30, bitmap_bits: int = BITMAP) -> list[DataFrame]:
     """(lang, phrase, a) of the phrases of 1, 2, ... ``longest`` words that occur ``least`` times or more, a table for each length."""
-    sc = blocks.sparkSession.sparkContext
+    spark = blocks.sparkSession
+    sc = spark.sparkContext
+    lists = blocks.select("lang", "fresh", "words", "many", "at")
+    words = blocks.agg(F.sum("n")).head()[0] or 0
+    bits = max(RANGE, min(bitmap_bits, int(words)).bit_length() - 1)
     levels, bitmaps = [], []
     for size in range(1, longest + 1):
-        sent = sc.broadcast(bitmaps) if bitmaps else None
-        lists = blocks.select("lang", "fresh", "words", "many", "at").mapInArrow(partial(_lists, size=size, bitmaps=sent), "lang string, phrase string, n long")
-        sums = lists.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        with small_batches(blocks.sparkSession, 4):
-            levels.append(materialize(sums, f"phrases-{size}"))
+        with small_batches(spark, 4):
+            tallies = lists.mapInArrow(partial(_tallies, size=size, bitmaps=sc.broadcast(bitmaps), bits=bits), "part int, gaps binary, n binary")
+            found = tallies.groupBy("part").applyInPandas(partial(_common, least=least), "part int, common binary").toArrow()
+            common = np.zeros((1 << bits) // 64, dtype=np.uint64)
+            for part, bitmap in zip(found.column("part").to_pylist(), found.column("common").to_pylist(), strict=True):
+                common[part << RANGE - 6 : part + 1 << RANGE - 6] = np.frombuffer(bitmap, "<u8")
+            counted = lists.mapInArrow(partial(_lists, size=size, bitmaps=sc.broadcast([*bitmaps, common]), bits=bits), "lang string, phrase string, n long")
+            levels.append(materialize(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"phrases-{size}"))
         if size < longest:
             bitmaps.append(_bitmap(levels[-1], bitmap_bits))
     return levels
