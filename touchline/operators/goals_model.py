@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
+from .resample import resampled, with_attempts
 
 #: Where the correction is cut off, its bound, the ridge, the largest goal count of a grid.
 TAU_FLOOR, RHO_BOUND, RIDGE, MAX_GOALS = 1e-10, 0.10, 1e-6, 10
@@ -135,8 +136,11 @@ def fit_pairs(home: np.ndarray, away: np.ndarray, sums: dict[str, np.ndarray]) -
     return teams, pd.DataFrame({"attack": p[:n] - centre, "defence": p[n : 2 * n] - centre}), {"home_adv": p[2 * n], "rho": RHO_BOUND * np.tanh(p[2 * n + 1]), "objective": value, "rounds": rounds, "gradient": gradient}
 
 
-def fit(matches: DataFrame, by: Sequence[str] = (), rate: Column | None = None, copies: Column | None = None) -> DataFrame:
-    """by..., team, attack, defence, home_adv, rho, objective, rounds, gradient of each group of matches."""
+def fit(matches: DataFrame, by: Sequence[str] = (), rate: Column | None = None, copies: Column | None = None, strict: bool = True) -> DataFrame:
+    """by..., team, attack, defence, home_adv, rho, objective, rounds, gradient of each group of matches.
+
+    A group without a fit is an error, or, unless ``strict``, one row without values.
+    """
     keys = list(by)
     sums = pair_sums(matches, keys, rate, copies)
     if not keys:
@@ -144,7 +148,12 @@ def fit(matches: DataFrame, by: Sequence[str] = (), rate: Column | None = None,
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["home_team", "away_team"])
-        teams, out, rest = fit_pairs(group.home_team.to_numpy(), group.away_team.to_numpy(), {c: group[c].to_numpy(dtype=float) for c in STATS})
+        try:
+            teams, out, rest = fit_pairs(group.home_team.to_numpy(), group.away_team.to_numpy(), {c: group[c].to_numpy(dtype=float) for c in STATS})
+        except RuntimeError:
+            if strict:
+                raise
+            teams, out, rest = group.home_team.to_numpy()[:1], pd.DataFrame({"attack": [None], "defence": [None]}), dict.fromkeys(("home_adv", "rho", "objective", "gradient")) | {"rounds": 0}
         for i, k in enumerate(keys):
             out.insert(i, k, group[k].iloc[0])
         out.insert(len(keys), "team", teams)
@@ -158,17 +167,21 @@ def fit(matches: DataFrame, by: Sequence[str] = (), rate: Column | None = None,
 def bootstrap(matches: DataFrame, replicates: int, seed: int = 42, rate: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Fits, of each group of matches, of ``replicates`` resamples and, as replicate 0, of the matches themselves.
 
-    Every match is drawn a Poisson(1) number of times in each replicate, which is what
-    drawing with replacement tends to, and needs no row numbers and no shuffle of its own.
+    A resample draws as many played matches as there are, with replacement.  One whose fit does not converge
+    is drawn anew, twice at most.
     """
-    drawn = matches.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", "match_id"), F.lit(1 << 40)) / float(1 << 40)
-    chance, mass, count = 0.0, float(np.exp(-1)), F.lit(0)
-    for k in range(10):
-        chance += mass
-        count = count + (u >= chance).cast("int")
-        mass /= k + 1
-    return fit(drawn, [*by, "replicate"], rate, F.when(F.col("replicate") == 0, 1).otherwise(count))
+    keys, played = [*by, "replicate"], matches.where("home_goals is not null")
+
+    def run(attempt: int, only: DataFrame | None) -> DataFrame:
+        copies = resampled(played, "match_id", replicates, seed, by, attempt).select(*by, "match_id", F.posexplode("copies").alias("replicate", "copies")).where("copies > 0")
+        copies = copies.withColumn("replicate", F.col("replicate") + 1)
+        if attempt == 0:
+            copies = copies.unionByName(played.select(*by, "match_id", F.lit(0).alias("replicate"), F.lit(1).alias("copies")))
+        if only is not None:
+            copies = copies.join(only, keys, "left_semi")
+        return fit(played.join(copies, [*by, "match_id"]), keys, rate, F.col("copies"), strict=False)
+
+    return with_attempts(run, F.col("attack").isNull(), keys)
 
 
 # ----------------------------------------------------------------- forecasts

@@ -263,14 +263,14 @@ def feed_rows(orders: DataFrame) -> DataFrame:
     return rows.select("o_orderkey", K("r.rank").cast("long").alias("position"), K("r.team.id").alias("team"))
 
 
-@query("SELECT o_orderkey, 1 + i AS position, CAST((o_orderkey + i) % 20 AS INT) AS team FROM orders, range(3) x(i) WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey, 1 + i AS position, CAST((o_orderkey + i) % 20 AS INT) AS team FROM orders, range(3) x(i)")
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed_rows(table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"))
+    return feed_rows(table(spark, sf_dir, "orders"))
 
 
 @query("SELECT o_orderkey, 1 + i AS position, CAST((o_orderkey + i) % 20 AS INT) AS team FROM orders, range(3) x(i)")
 def json_flatten_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feeds of all orders."""
+    """The same, by the name that it had when the other query read a tenth only."""
     return feed_rows(table(spark, sf_dir, "orders"))
 
 

@@ -113,10 +113,10 @@ def simulate_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simulate_bootstrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completions whose runs draw their parameters from an ensemble of resampled fits."""
     m = matches(spark, sf_dir)
-    fits = gm.bootstrap(m, 5, SEED).withColumnRenamed("replicate", "vector")
+    fits = gm.bootstrap(m, 100, SEED).withColumnRenamed("replicate", "vector")
     s = season(spark, sf_dir)
     teams = s.select(F.explode(F.array("home_team", "away_team")).alias("team"))
-    return sim.summary(sim.final_tables(s, sim.unseen(fits, teams, SEED), 50, SEED))
+    return sim.summary(sim.final_tables(s, sim.unseen(fits, teams, SEED), 10_000, SEED))
 
 
 @query(f" SELECT max(1 + (home_team + away_team) % 38) AS matchday FROM m WHERE season = {CURRENT} AND home_goals IS NOT NULL", corpus=True)
@@ -127,7 +127,7 @@ def simulate_latest_matchday(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def simulate_backtest(spark: SparkSession, sf_dir: str, fits: int = 20, runs: int = 2000) -> DataFrame:
+def simulate_backtest(spark: SparkSession, sf_dir: str, fits: int = 100, runs: int = 10_000) -> DataFrame:
     """Title rank of the champion of every completed season but the first, as of the latest 20th fixture of its clubs."""
     m = matches(spark, sf_dir)
     done = m.groupBy("season").agg(F.count_if(K("home_goals").isNull()).alias("open")).where("open = 0").select("season")
