@@ -65,7 +65,8 @@ TOKEN = re.compile(
 QUOTE = re.compile(r"""[rRbBuUfF]{0,2}(\"{3}|'{3}|["'`])""")
 #: What an unquoted value goes on over.
 BARE = re.compile(r"""[^\s"'`,;+(){}\[\]]+""")
-BLANKS = re.compile(r"[\x20\t]*")
+#: What stands before a line's first word; the marks of lists count.
+MARGIN = re.compile(r"[\x20\t]*(?:-[\x20\t]+)*")
 LINE = re.compile(r"\n([\x20\t]*)([^\n]*)")
 KEY = re.compile(r"[A-Za-z_$][\w$.-]*", re.ASCII)
 ELEMENT = re.compile(r"<([A-Za-z][\w:.-]*)(?:\s[^<>]*)?>([^<>]+)</")
@@ -200,9 +201,9 @@ class Source:
         return len(self.word(i).rpartition("\n")[2])
 
     def indent_of_line(self, i: int) -> int:
-        """The indentation of the line that token ``i`` stands in."""
+        """Where the first word of the line that token ``i`` stands in begins."""
         start = self.line_at[bisect_right(self.line_at, self.at[i][0]) - 1]
-        return BLANKS.match(self.text, start).end() - start
+        return MARGIN.match(self.text, start).end() - start
 
     def bare(self, j: int) -> tuple[int, int]:
         """The end of the unquoted value that begins with token ``j``, and its last token: up to a blank or quote, or a pair of its own."""
