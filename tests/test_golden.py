@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from touchline.functions import dates, numbers, text
 from touchline.operators import classifiers, entities, evaluation, features, feeds, goals_model, metrics, mutations, ratings, relational, simulation, standings, validation
 from touchline.sources import files, sinks
+from touchline.sources.keyed import KeyedTable
 from touchline.streaming import refresh
 
 GAMES = "season int, match_id long, kickoff timestamp, home_team int, away_team int, home_goals int, away_goals int"
@@ -496,16 +497,17 @@ def test_refresh_stream(spark, tmp_path):
     table, folder = str(tmp_path / "table"), tmp_path / "in"
     folder.mkdir()
     stored = spark.createDataFrame([(1, 1, 2, None, None, None, None, "NS"), (1, 2, 1, None, None, None, None, "NS")], "season int, home_team int, away_team int, home_goals int, away_goals int, home_goals_ht int, away_goals_ht int, status string")
-    sinks.replace(spark, stored, table)
+    keyed = KeyedTable(spark, table, refresh.KEY)
+    keyed.commit(lambda _: stored)
     head = "season,home_team,away_team,home_goals,away_goals,home_goals_ht,away_goals_ht\n"
     (folder / "a.csv").write_text(head + "1,1,2,3,0,1,0\n")
     for _ in range(2):  # nothing new the second time
         refresh.refresh(spark, str(folder), table, str(tmp_path / "cp")).awaitTermination()
-    assert {(r.home_team, r.status, r.home_goals) for r in sinks.current(spark, table).collect()} == {(1, "FT", 3), (2, "NS", None)}
+    assert {(r.home_team, r.status, r.home_goals) for r in keyed.read().collect()} == {(1, "FT", 3), (2, "NS", None)}
     (folder / "b.csv").write_text(head + "1,1,2,4,0,1,0\n")
     with pytest.raises(Exception, match="another score"):
         refresh.refresh(spark, str(folder), table, str(tmp_path / "cp")).awaitTermination()
-    assert {r.home_goals for r in sinks.current(spark, table).collect()} == {3, None}
+    assert {r.home_goals for r in keyed.read().collect()} == {3, None}
     # a batch of files that contradict each other is refused; allowed, one whole row counts
     (folder / "b.csv").unlink()
     (folder / "c.csv").write_text(head + "1,2,1,2,1,1,0\n")
@@ -514,7 +516,7 @@ def test_refresh_stream(spark, tmp_path):
     with pytest.raises(Exception, match="two scores"):
         refresh.refresh(spark, str(folder), table, str(tmp_path / "cp2")).awaitTermination()
     refresh.refresh(spark, str(folder), table, str(tmp_path / "cp3"), allow_score_changes=True).awaitTermination()
-    assert {(r.home_goals, r.away_goals, r.home_goals_ht, r.away_goals_ht) for r in sinks.current(spark, table).where("home_team = 2").collect()} == {(2, 1, 1, 0)}
+    assert {(r.home_goals, r.away_goals, r.home_goals_ht, r.away_goals_ht) for r in keyed.read().where("home_team = 2").collect()} == {(2, 1, 1, 0)}
 
 
 def test_rows_without_a_score_blank_nothing(spark):

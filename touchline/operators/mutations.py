@@ -37,20 +37,36 @@ def fill_cells(stored: DataFrame, new: DataFrame, key: Sequence[str], cells: Seq
     return both.select(*[F.when(differs[c], F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in differs else F.col(c) for c in stored.columns], changed.alias("changed_cells"))
 
 
-def apply_results(stored: DataFrame, results: DataFrame, key: Sequence[str], allow_score_changes: bool = False) -> DataFrame:
-    """Fixtures with new results; refuses, before anything is written, to rewrite the score of a finished match."""
+GOALS = ["home_goals", "away_goals", "home_goals_ht", "away_goals_ht"]
+
+
+def _checked(stored: DataFrame, results: DataFrame, key: Sequence[str], allow_score_changes: bool) -> DataFrame:
+    """Results that have a score, as new columns, after the check that none rewrites a finished match's."""
     from .validation import score_changes
 
     if not allow_score_changes and (n := score_changes(stored, results, key).count()):
         raise ValueError(f"{n} finished matches would get another score")
-    goals = ["home_goals", "away_goals", "home_goals_ht", "away_goals_ht"]
-    new = results.where("home_goals is not null and away_goals is not null").select(*key, *[F.col(g).alias(f"_{g}") for g in goals])
-    both = stored.join(new, list(key), "left")
+    return results.where("home_goals is not null and away_goals is not null").select(*key, *[F.col(g).alias(f"_{g}") for g in GOALS])
+
+
+def apply_results(stored: DataFrame, results: DataFrame, key: Sequence[str], allow_score_changes: bool = False) -> DataFrame:
+    """Fixtures with new results; refuses, before anything is written, to rewrite the score of a finished match."""
+    both = stored.join(_checked(stored, results, key, allow_score_changes), list(key), "left")
     known = F.col("_home_goals").isNotNull()
-    out = {g: F.when(known, F.col(f"_{g}")).otherwise(F.col(g)) for g in goals} | {"status": F.when(known, "FT").otherwise(F.col("status"))}
+    out = {g: F.when(known, F.col(f"_{g}")).otherwise(F.col(g)) for g in GOALS} | {"status": F.when(known, "FT").otherwise(F.col("status"))}
     return both.select(*[out[c].alias(c) if c in out else F.col(c) for c in stored.columns])
 
 
+def changed_results(stored: DataFrame, results: DataFrame, key: Sequence[str], allow_score_changes: bool = False) -> DataFrame:
+    """Only the fixtures that ``apply_results`` changes, as they are after it."""
+    both = stored.join(_checked(stored, results, key, allow_score_changes), list(key))
+    same = F.col("status").eqNullSafe("FT")
+    for g in GOALS:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    out = {g: F.col(f"_{g}") for g in GOALS} | {"status": F.lit("FT")}
+    return both.where(~same).select(*[out[c].alias(c) if c in out else F.col(c) for c in stored.columns])
+
+
 def snapshot(table: DataFrame, at: Column) -> DataFrame:
     """A league table as rows of a snapshot log."""
     return table.withColumn("computed_at", at)

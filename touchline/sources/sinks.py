@@ -19,22 +19,27 @@ def append(rows: DataFrame, path: str) -> None:
 def replace(spark: SparkSession, table: DataFrame, path: str) -> DataFrame:
     """Write a table that may be read from ``path`` itself: to a new version first, then named as current.
 
-    Readers take the last version that was written whole.
+    Readers take the last version that was written whole.  Of what a killed writer left, only the number is used up.
     """
-    version = len(versions(spark, path)) + 1
-    table.write.parquet(f"{path}/v{version:06d}")
+    last = max((int(name[1:]) for name, _ in _folders(spark, path)), default=0)
+    table.write.parquet(f"{path}/v{last + 1:06d}")
     return current(spark, path)
 
 
-def versions(spark: SparkSession, path: str) -> list[str]:
-    """Complete versions of a table, oldest first, as any file system Spark knows lists them."""
+def _folders(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """Names of versions, and whether they were written whole, as any file system Spark knows lists them."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(where):
         return []
     found = [s.getPath() for s in fs.listStatus(where)]
-    return sorted(str(p) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return sorted((p.getName(), fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))) for p in found if p.getName()[:1] == "v" and p.getName()[1:].isdigit())
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions of a table, oldest first."""
+    return [f"{path}/{name}" for name, whole in _folders(spark, path) if whole]
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Incremental refresh: result files that arrive become updates of a versioned table of fixtures.
+"""Incremental refresh: result files that arrive become commits of a keyed table of fixtures.
 
 The late-correction guard is the batch one: a file that would rewrite the score of a
 finished match stops the stream before anything is written, and so do files of one batch that
 give a fixture two scores.  Where score changes are allowed, one whole row counts for each
 fixture: one with a score before one without, then that of the file written last, of the greater
-file name, of the greater values.  A replayed batch changes nothing.
+file name, of the greater values.  A commit holds the fixtures that a batch changes and carries the
+batch's name, so a batch that is replayed after a crash is not committed twice.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import numbers
 from ..operators import mutations
-from ..sources import sinks
+from ..sources.keyed import KeyedTable
 
 RESULTS = "season string, home_team string, away_team string, home_goals string, away_goals string, home_goals_ht string, away_goals_ht string"
 KEY = ["season", "home_team", "away_team"]
@@ -39,10 +40,14 @@ def one_a_fixture(batch: DataFrame, allow_score_changes: bool) -> DataFrame:
 
 
 def refresh(spark: SparkSession, folder: str, table: str, checkpoint: str, allow_score_changes: bool = False) -> StreamingQuery:
-    """Take all files that have arrived, in batches, and end."""
-
-    def apply(batch: DataFrame, _: int) -> None:
-        one = one_a_fixture(batch, allow_score_changes)
-        sinks.replace(spark, mutations.apply_results(sinks.current(spark, table), one, KEY, allow_score_changes), table)
+    """Take all files that have arrived, in batches, into the keyed table under ``table``, and end."""
+    fixtures = KeyedTable(spark, table, KEY)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        one = one_a_fixture(batch, allow_score_changes).persist()  # read twice: to be checked and to be written
+        try:
+            fixtures.commit(lambda stored: mutations.changed_results(stored, one, KEY, allow_score_changes), f"{checkpoint}#{number}")
+        finally:
+            one.unpersist()
 
     return arriving(spark, folder).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
