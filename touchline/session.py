@@ -21,15 +21,24 @@ def get_session(app: str = "touchline", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as files in ``spark.checkpoint.dir``: its lineage is cut, and lost executors cost nothing but a read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, ``spark.checkpoint.dir``.
 
-    Where no folder is set, a local master gets one of its own; a cluster gets an error.
+    Where none is set, a local master gets one of its own; a cluster gets an error.
     """
+    sc = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not place:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return place.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as files in the shared folder: its lineage is cut, and lost executors cost nothing but a read."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        place = sc.getConf().get("spark.checkpoint.dir")
-        if not place and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(place or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
