@@ -12,9 +12,9 @@ occurrence.  The length of a list is the exact frequency in the block, and one `
 (language, phrase) adds blocks up.  Blocks are never joined with each other, as no occurrence goes
 over a block's end, so nothing but lengths of lists is shuffled.
 
-What is not frequent is never extended, and its list's length is not sent as a phrase: lengths are first
-tallied by buckets of hashes, a byte or two each, and only phrases whose bucket comes to the least
-frequency are counted by themselves.  Of each level's frequent phrases a bitmap of hashes is made, and
+What is not frequent is never extended, and of one and two words its list's length is not sent as a
+phrase: lengths are first tallied by buckets of hashes, a byte or two each, and only phrases whose bucket
+comes to the least frequency are counted by themselves.  Of each level's frequent phrases a bitmap of hashes is made, and
 a list is extended only if its phrase, and the phrase without the first word of what comes out, are in
 it.  Both bitmaps have ``BITMAP`` bits at most, so what is broadcast is bounded whatever the corpus; on
 a corpus far larger than that they rule out less.  A false positive costs an idle list, never a result:
@@ -47,8 +47,11 @@ from .common import BASE, U64, column, discard, materialize, mix64, small_batche
 
 #: Words of a block.
 BLOCK = 1 << 18
-#: Buckets of a range, as a power of two; a range is tallied in one task.
-RANGE = 16
+#: Ranges of buckets, as a power of two; each is tallied in one task.
+RANGES = 8
+#: Phrases of which a task merges the tallies before it sends them, and words up to which phrases are tallied first:
+#: of longer ones most of the rare are ruled out by their parts.
+TALLIED, TALLY = 1 << 21, 2
 #: Phrases that leave a task at once.
 SENT = 1 << 15
 #: Bits of the largest bitmap: 16 MB.
@@ -190,20 +193,33 @@ def _planes(x: np.ndarray) -> bytes:
 
 
 def _tallies(batches: Iterator[pa.RecordBatch], size: int, bitmaps, bits: int) -> Iterator[pa.RecordBatch]:
-    """(part, gaps, n): how often each bucket of a range has a phrase in a block; gaps lead from one bucket that has any to the next."""
-    for _, _, _, hashes, n in _found(batches, size, bitmaps.value if bitmaps else []):
-        if not len(n):
-            continue
-        bucket, where = np.unique(_buckets(hashes, bits), return_inverse=True)
-        total = np.bincount(where, n, len(bucket)).astype(np.int64)
-        first = np.flatnonzero(np.diff(bucket >> RANGE, prepend=-1))
-        parts = [(int(bucket[a] >> RANGE), _planes(np.diff(bucket[a:b] & (1 << RANGE) - 1, prepend=0)), _planes(total[a:b])) for a, b in zip(first, [*first[1:], len(bucket)], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in parts], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "gaps", "n"])
-
-
-def _common(group: pd.DataFrame, least: int) -> pd.DataFrame:
+    """(part, gaps, n): how often each bucket of a range has a phrase in a task's blocks; gaps lead from one bucket that has any to the next."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    wide = bits - RANGES
+
+    def sent() -> pa.RecordBatch:
+        every, many = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(every, kind="stable")
+        every, many = every[order], many[order]
+        first = np.flatnonzero(np.diff(every, prepend=-1))
+        bucket, total = every[first], np.add.reduceat(many, first)
+        start = np.flatnonzero(np.diff(bucket >> wide, prepend=-1))
+        parts = [(int(bucket[a] >> wide), _planes(np.diff(bucket[a:b] & (1 << wide) - 1, prepend=0)), _planes(total[a:b])) for a, b in zip(start, [*start[1:], len(bucket)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in parts], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "gaps", "n"])
+
+    for _, _, _, hashes, n in _found(batches, size, bitmaps.value):
+        if len(n):
+            held.append((_buckets(hashes, bits), n))
+        if sum(len(x) for x, _ in held) > TALLIED:
+            yield sent()
+    if held:
+        yield sent()
+
+
+def _common(group: pd.DataFrame, least: int, wide: int) -> pd.DataFrame:
     """The buckets of a range whose tallies come to ``least``, as a bitmap."""
-    total = np.zeros(1 << RANGE, dtype=np.int64)
+    total = np.zeros(1 << wide, dtype=np.int64)
     for gaps, n in zip(group.gaps, group.n, strict=True):
         bucket, many = (np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) for x in (gaps, n))
         total[np.cumsum(bucket)] += many
@@ -214,8 +230,11 @@ def _lists(batches: Iterator[pa.RecordBatch], size: int, bitmaps, bits: int) ->
     """(lang, phrase, n): the lengths of the lists of phrases of ``size`` words in each block, of those whose bucket is common."""
     *known, common = bitmaps.value
     for lang, words, phrases, hashes, n in _found(batches, size, known):
-        bucket = _buckets(hashes, bits)
-        some = np.flatnonzero((common[bucket >> 6] >> (bucket & 63).astype(np.uint64)) & U64(1))
+        if common is None:
+            some = np.arange(len(n))
+        else:
+            bucket = _buckets(hashes, bits)
+            some = np.flatnonzero((common[bucket >> 6] >> (bucket & 63).astype(np.uint64)) & U64(1))
         for first in range(0, len(some), SENT):
             here = some[first : first + SENT]
             said = [b" ".join([words[i] for i in p]) for p in phrases[here].tolist()]
@@ -248,6 +267,17 @@ def _bitmap(frequent: DataFrame, most: int) -> np.ndarray:
     return out
 
 
+def _tallied(lists: DataFrame, size: int, bitmaps, bits: int, least: int) -> np.ndarray:
+    """A bitmap of the buckets of phrases of ``size`` words that come to ``least``."""
+    tallies = lists.mapInArrow(partial(_tallies, size=size, bitmaps=bitmaps, bits=bits), "part int, gaps binary, n binary")
+    found = tallies.groupBy("part").applyInPandas(partial(_common, least=least, wide=bits - RANGES), "part int, common binary").toArrow()
+    out = np.zeros((1 << bits) // 64, dtype=np.uint64)
+    for part, bitmap in zip(found.column("part").to_pylist(), found.column("common").to_pylist(), strict=True):
+        at = part << bits - RANGES - 6
+        out[at : at + len(bitmap) // 8] = np.frombuffer(bitmap, "<u8")
+    return out
+
+
 # ---------------------------------------------------------------- operators
 def frequent_phrases(blocks: DataFrame, longest: int = 4, least: int = 30, bitmap_bits: int = BITMAP) -> list[DataFrame]:
     """(lang, phrase, a) of the phrases of 1, 2, ... ``longest`` words that occur ``least`` times or more, a table for each length."""
@@ -255,15 +285,11 @@ def frequent_phrases(blocks: DataFrame, longest: int = 4, least: int = 30, bitma
     sc = spark.sparkContext
     lists = blocks.select("lang", "fresh", "words", "many", "at")
     words = blocks.agg(F.sum("n")).head()[0] or 0
-    bits = max(RANGE, min(bitmap_bits, int(words)).bit_length() - 1)
+    bits = max(RANGES + 6, min(bitmap_bits, int(words)).bit_length() - 1)
     levels, bitmaps = [], []
     for size in range(1, longest + 1):
         with small_batches(spark, 4):
-            tallies = lists.mapInArrow(partial(_tallies, size=size, bitmaps=sc.broadcast(bitmaps), bits=bits), "part int, gaps binary, n binary")
-            found = tallies.groupBy("part").applyInPandas(partial(_common, least=least), "part int, common binary").toArrow()
-            common = np.zeros((1 << bits) // 64, dtype=np.uint64)
-            for part, bitmap in zip(found.column("part").to_pylist(), found.column("common").to_pylist(), strict=True):
-                common[part << RANGE - 6 : part + 1 << RANGE - 6] = np.frombuffer(bitmap, "<u8")
+            common = _tallied(lists, size, sc.broadcast(bitmaps), bits, least) if size <= TALLY else None
             counted = lists.mapInArrow(partial(_lists, size=size, bitmaps=sc.broadcast([*bitmaps, common]), bits=bits), "lang string, phrase string, n long")
             levels.append(materialize(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"phrases-{size}"))
         if size < longest:
