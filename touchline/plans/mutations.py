@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import entities as en
 from ..operators import feeds as fe
 from ..operators import mutations as mu
+from ..session import shared_folder
+from ..sources.keyed import KeyedTable
 from ..sources.tables import matches, table
 from .registry import query
 from .validation import DIRTY, dirty
@@ -185,3 +189,29 @@ def merge_alias_registries(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = en.renamed(n, spark.createDataFrame([("KENYA", "Kenya")], "old string, new string"), n.where("cast(raw_name as int) % 5 = 0").select("raw_name", F.lit("fixed").alias("canonical")))
     db = n.where("cast(raw_name as int) % 3 = 0").select("raw_name", F.concat(F.lit("db "), "canonical").alias("canonical"))
     return en.merged_aliases(db, file)
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 21 = 0 THEN 'C' WHEN o_orderkey % 7 = 0 THEN 'B' WHEN o_orderkey % 3 = 0 THEN 'A' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN CAST(NULL AS DOUBLE) ELSE o_totalprice END AS o_totalprice
+FROM orders UNION ALL SELECT -1 - o_orderkey, 'N', o_totalprice FROM orders WHERE o_orderkey % 5 = 0"""
+)
+def change_keyed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, then changes of a third, a seventh and of what both touch, and new rows, each a commit, one of them sent twice, and half of it compacted."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    t = KeyedTable(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}", ["o_orderkey"])
+    k = K("o_orderkey")
+    t.commit(lambda _: o)
+    t.commit(lambda now: now.where(k % 3 == 0).withColumn("o_orderstatus", F.lit("A")))
+    for _ in range(2):
+        t.commit(lambda now: now.where(k % 7 == 0).select("o_orderkey", F.when(K("o_orderstatus") == "A", "C").otherwise("B").alias("o_orderstatus"), F.lit(None).cast("double").alias("o_totalprice")), "sevenths")
+    t.compact()
+    t.commit(lambda _: o.where(k % 5 == 0).select((-1 - k).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_totalprice"))
+    return t.read()
+
+
+@query("SELECT match_id, 'v' || (match_id % 3) AS version, date_trunc('hour', kickoff) AS as_of, CASE WHEN match_id % 2 = 0 THEN 2 ELSE 1 END AS said FROM m", corpus=True)
+def change_prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions by (match, version, hour): said again within the hour, the later one stays."""
+    m = matches(spark, sf_dir).select("match_id", F.concat(F.lit("v"), K("match_id") % 3).alias("version"), F.date_trunc("hour", "kickoff").alias("as_of"), F.lit(1).alias("said"))
+    again = m.where("match_id % 2 = 0").withColumn("said", F.lit(2))
+    return mu.upsert(m, again, ["match_id", "version", "as_of"])

@@ -185,7 +185,7 @@ def check_score_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def check_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which expected tables the session's catalogue lacks."""
+    """Which expected tables the session's catalogue lacks; two are put into it first, since a new session has none."""
     for name in ("region", "nation"):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     return v.expected_tables(spark, ["region", "nation", "standings"]).where("name in ('region', 'nation', 'standings')")
