@@ -68,18 +68,17 @@ def body_tag(body: Column) -> Column:
     return F.sha2(body.cast("binary"), 256)
 
 
+def decoded(data: bytes) -> str:
+    for name in ("utf-8-sig", "cp1252"):
+        try:
+            return data.decode(name)
+        except UnicodeDecodeError:
+            continue
+    return data.decode("latin-1")
+
+
 def _decode(raw: pd.Series) -> pd.Series:
-    def one(data: bytes | None) -> str | None:
-        if data is None:
-            return None
-        for name in ("utf-8-sig", "cp1252"):
-            try:
-                return data.decode(name)
-            except UnicodeDecodeError:
-                continue
-        return data.decode("latin-1")
-
-    return raw.map(one)
+    return raw.map(lambda data: None if data is None else decoded(data))
 
 
 def decode(raw: Column) -> Column:
