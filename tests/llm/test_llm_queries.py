@@ -1,12 +1,18 @@
 """The registered queries against their SQL, and what no SQL gives against brute force, on the smallest tables."""
 
+import collections
+import math
 import zlib
 
+import numpy as np
+import public_tokenizers
 import pytest
 from compare import same
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from touchline.llm import catalog
+from touchline.llm import catalog, mixing, quality
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
@@ -19,7 +25,7 @@ def test_every_operator_is_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
 
 
@@ -52,6 +58,20 @@ def test_pipeline(spark, sf_dir):
             assert sorted(r[at["doc_id"]] for r in out) == sorted(i for i, _ in pairs if roots[i] == i)
         elif name == "decontaminate":
             assert sorted(r[at["doc_id"]] for r in out) == sorted(c[0] for c in contamination(pairs, items) if not c[5])
+        elif name == "mixture":
+            assert collections.Counter(r[at["doc_id"]] for r in out) == collections.Counter(r.doc_id for r in mixing.mix_rows(before).collect())
+        elif name == "quality":
+            labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out(F.col("doc_id"))).selectExpr("doc_id", "quality AS label")
+            weights = quality.train_quality(before, labels)
+            bits, good = (len(weights) - 1).bit_length() - 1, set()
+            for i, text in pairs:
+                f = next(iter(quality.features([(text or "").encode()], bits)))
+                good |= {i} if 1 / (1 + math.exp(-(float(weights[-1]) + sum(float(weights[k]) for k in f) / math.sqrt(max(len(f), 1))))) >= 0.7 else set()
+            assert sorted(r[at["doc_id"]] for r in out) == sorted(good)
         elif name == "token_blocks":
-            assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in pairs)
+            library, at = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
+            for r, (i, text) in zip(kept.orderBy("start").collect(), sorted(pairs), strict=True):
+                ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+                assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+                at += len(ids)
     assert kept.count() > 0
