@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from touchline.llm import bpe_codec, collocations, embedding_dedup, secret_scan, token_blocks, whitening
+from touchline.llm import bpe_codec, collocations, embedding_dedup, secret_scan, token_blocks, url_filter, whitening
 from touchline.llm.catalog import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -245,3 +245,30 @@ def test_time_grows_with_the_text(part):
 def test_deep_brackets():
     text = "a=(" * 20_000 + f'password="{V}"' + ")" * 20_000
     assert [text[a:b] for a, b in secret_scan.lexed_spans(text)] == [V]
+
+
+# ------------------------------------------------------------------ links of pages
+def test_links_of_odd_pages(spark):
+    link = '<LINK rel="canonical" href="{}">'
+    pages = {
+        "http://h.com/d/a": link.format("&#47;x&#x2F;y?a=1&amp;b=2"),
+        "http://h.com/d/b": '<base href="http://g.com/k/">' + link.format("z/../w"),
+        "http://h.com/d/c": '<base target="_top"><base href="../e/">' + link.format("f"),
+        "http://h.com/d/d": "<!-- " + link.format("http://no.com/") + " -->" + "<script>var t = '" + link.format("http://no.com/") + "';</script><style>" + link.format("/no") + "</style>",
+        "http://h.com/d/e": "<!-- never ends " + link.format("http://no.com/"),
+        "http://h.com/d/f": '<meta http-equiv=refresh content="0; url=&#104;ttp://i.com/&#233;&#128512;&#55296;">',
+        "http://h.com/d/g": link.format("#top") + link.format("?q"),
+        "no url": link.format("http://no.com/"),
+        "http://h.com/d/h": "",
+    }
+    frame = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages.items())] + [(-1, None, link.format("http://no.com/")), (-2, "http://h.com/d/i", None)], "page_id long, url string, html string")
+    got = {(r.a, r.b) for r in url_filter.link_edges(frame).collect()}
+    assert got == {
+        ("http://h.com/d/a", "http://h.com/x/y?a=1&b=2"),
+        ("http://h.com/d/b", "http://g.com/k/w"),
+        ("http://h.com/d/c", "http://h.com/e/f"),
+        ("http://h.com/d/f", "http://i.com/\u00e9\U0001f600\ufffd"),
+        ("http://h.com/d/g", "http://h.com/d/g?q"),
+    }
+    verdicts = {r.page_id: r.verdict for r in url_filter.judge_urls(frame, [("block", "g.com", "/k/")]).collect()}
+    assert verdicts == {i: "block" if i == 1 else "allow" for i in [*range(9), -1, -2]}
