@@ -325,3 +325,24 @@ def unseen(ensemble: DataFrame, teams: DataFrame, seed: int, by: Sequence[str] =
     scale = lambda c: F.when(F.col("vector") == 0, 0.0).otherwise(F.col(c))
     new = every.select(*by, "vector", "team", (normal("attack") * scale("_a")).alias("attack"), (normal("defence") * scale("_d")).alias("defence"), "home_adv", "rho")
     return ensemble.select(*by, "vector", "team", "attack", "defence", "home_adv", "rho").unionByName(new)
+
+
+# ----------------------------------------------------------------- stored runs
+def stored(summary_rows: DataFrame, version: str, runs: int, seed: int, at: Column, forced: DataFrame | None = None) -> DataFrame:
+    """One row of a log of simulations: version, computed_at, runs, seed, forced (JSON; null for a baseline) and table, the rows of a summary.
+
+    A season's table is one row a club, so the row is small.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("team", *[c for c in summary_rows.columns if c != "team"]))).alias("table")
+    one = summary_rows.agg(rows).select(F.lit(version).alias("version"), at.alias("computed_at"), F.lit(runs).alias("runs"), F.lit(seed).cast("long").alias("seed"), "table")
+    if forced is None:
+        return one.withColumn("forced", F.lit(None).cast("string"))
+    said = forced.agg(F.to_json(F.array_sort(F.collect_list(F.struct("match_id", "home_goals", "away_goals")))).alias("forced"))  # of limited results
+    return one.crossJoin(said)  # one row each
+
+
+def latest_stored(log: DataFrame, version: str) -> DataFrame:
+    """The table of a version's last baseline in a log of ``stored`` rows; one whose forced results are null or the text ``null``."""
+    base = log.where((F.col("version") == version) & (F.col("forced").isNull() | (F.col("forced") == "null")))
+    last = base.agg(F.max_by("table", "computed_at").alias("table"))
+    return last.select(F.explode("table").alias("r")).select("r.*")
