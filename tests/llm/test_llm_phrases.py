@@ -82,12 +82,11 @@ def test_long_pieces_are_cut_without_loss(monkeypatch, spark):
         blocks = list(collocations._blocks(iter([batch]), 4, block))
         n = collections.Counter()
         for b in blocks:
-            for size in (1, 2, 4):
-                full = type("All", (), {"value": [np.full(1 << 10, 2**64 - 1, dtype=np.uint64)] * size})
-                for out in collocations._lists(iter([b]), size, full, 16):
-                    for p, k in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True):
-                        n[p] += k
-        assert (n["a"], n["a b"], n["a b c d"], n["d a b"]) == (101, 101, 100, 0)
+            every = type("All", (), {"value": [np.full(1 << 10, 2**64 - 1, dtype=np.uint64)] * 4})
+            for out in collocations._lists(iter([b]), 4, every):
+                for p, k in zip(out.column("phrase").to_pylist(), out.column("n").to_pylist(), strict=True):
+                    n[p] += k
+        assert (n["a"], n["a b"], n["a b c d"], n["d a b"]) == (101, 101, 100, 100)
         assert n["b c d a"] == 100
 
 

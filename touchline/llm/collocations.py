@@ -12,13 +12,13 @@ occurrence.  The length of a list is the exact frequency in the block, and one `
 (language, phrase) adds blocks up.  Blocks are never joined with each other, as no occurrence goes
 over a block's end, so nothing but lengths of lists is shuffled.
 
-What is not frequent is never extended, and of one and two words its list's length is not sent as a
-phrase: lengths are first tallied by buckets of hashes, a byte or two each, and only phrases whose bucket
-comes to the least frequency are counted by themselves.  Of each level's frequent phrases a bitmap of hashes is made, and
-a list is extended only if its phrase, and the phrase without the first word of what comes out, are in
-it.  Both bitmaps have ``BITMAP`` bits at most, so what is broadcast is bounded whatever the corpus; on
-a corpus far larger than that they rule out less.  A false positive costs an idle list, never a result:
-what is frequent is decided by exact sums of phrases themselves.
+What is not frequent is never extended, and its list's length is not sent as a phrase.  Level by level the
+lengths are first tallied by buckets of hashes, a byte or two each, and a bitmap tells the buckets that come
+to the least frequency.  A list is extended only if the bucket of its phrase, and that of the phrase without
+the first word of what comes out, are common; in the end the phrases of all lengths in common buckets are
+counted by themselves, in one pass.  A bitmap has ``BITMAP`` bits at most, so what is broadcast is bounded
+whatever the corpus; on a corpus far larger than that they rule out less.  A false positive costs an idle
+list, never a result: what is frequent is decided by exact sums of phrases themselves.
 
 Scores, the domination of phrases by longer ones and ranks are DataFrame operations with decimals of
 38 digits.  A language's best are found in ``SALTS`` shares first, so no task ranks all its phrases.
@@ -49,9 +49,8 @@ from .common import BASE, U64, column, discard, materialize, mix64, small_batche
 BLOCK = 1 << 18
 #: Ranges of buckets, as a power of two; each is tallied in one task.
 RANGES = 8
-#: Phrases of which a task merges the tallies before it sends them, and words up to which phrases are tallied first:
-#: of longer ones most of the rare are ruled out by their parts.
-TALLIED, TALLY = 1 << 21, 2
+#: Phrases of which a task merges the tallies before it sends them.
+TALLIED = 1 << 21
 #: Phrases that leave a task at once.
 SENT = 1 << 15
 #: Bits of the largest bitmap: 16 MB.
@@ -142,49 +141,51 @@ def folded(words: np.ndarray, phrases: np.ndarray) -> np.ndarray:
     return out
 
 
-def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which hashes have their bit set in a bitmap of 2**k bits."""
-    at = hashes & U64(len(bitmap) * 64 - 1)
+def common(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have the bit of their bucket set in a bitmap of 2**k buckets."""
+    at = hashes >> U64(64 - (len(bitmap) * 64).bit_length() + 1)
     return (bitmap[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) > 0
 
 
-def _found(batches: Iterator[pa.RecordBatch], size: int, known: list[np.ndarray]) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each block: its language and words, the phrases of ``size`` words as numbers of words, their hashes, and the lengths of their lists."""
+Found = tuple[str, list[bytes], np.ndarray, np.ndarray, np.ndarray]
+
+
+def _found(batches: Iterator[pa.RecordBatch], sizes: range, known: list[np.ndarray]) -> Iterator[Found]:
+    """Of each block and size: its language and words, the phrases as numbers of words, their hashes, and the lengths of their lists.
+
+    ``known`` holds bitmaps of the common buckets of 1, 2 ... words; what is not in one is not extended, or, of the last size, not found.
+    """
     for batch in batches:
         for one in (batch.slice(i, 1) for i in range(batch.num_rows)):  # a block at a time
             lang, fresh, words, many, at = (column(one, c)[0] for c in ("lang", "fresh", "words", "many", "at"))
             seed = zlib.crc32(lang.encode())
-            at = np.frombuffer(at, "<i4").astype(np.int64)
+            ends = np.frombuffer(at, "<i4").astype(np.int64)
             phrases = np.arange(len(words))[:, None]
             which = np.repeat(np.arange(len(words)), np.frombuffer(many, "<i4"))  # of which phrase each occurrence is
-            ends = at
-            hashes = np.array([spread(w, seed) for w in words], dtype=np.uint64)
-            if size > 1:
-                here = np.full(int(at.max()) + 2, -1, dtype=np.int64)
-                common = holds(known[0], hashes)
-                here[at] = np.where(common[which], which, -1)
-                good = common
-                for level in range(2, size + 1):
-                    keep = good[which]
-                    which, ends = which[keep], ends[keep] + 1
+            spreads = np.array([spread(w, seed) for w in words], dtype=np.uint64)
+            here = np.full(int(ends.max()) + 2, -1, dtype=np.int64)
+            for size in range(1, sizes.stop):
+                if size > 1:
+                    ends = ends + 1
                     follows = here[ends]  # the words whose lists hold the next position
                     met = follows >= 0
                     pairs, which = np.unique(which[met] * len(words) + follows[met], return_inverse=True)
                     ends = ends[met]
                     phrases = np.concatenate([phrases[pairs // len(words)], (pairs % len(words))[:, None]], axis=1)
-                    good = holds(known[level - 2], folded(hashes, phrases[:, 1:])) if len(phrases) else np.zeros(0, dtype=bool)
-                    if level < size:
-                        good &= holds(known[level - 1], folded(hashes, phrases))
+                if not len(phrases):
+                    break
+                hashes = folded(spreads, phrases)
+                good = common(known[size - 2], folded(spreads, phrases[:, 1:])) if size > 1 else np.ones(len(phrases), dtype=bool)
+                if size <= len(known):
+                    good &= common(known[size - 1], hashes)
                 keep = good[which]
                 which, ends = which[keep], ends[keep]
-            n = np.bincount(which[ends >= fresh], minlength=len(phrases))
-            some = np.flatnonzero(n)
-            yield lang, words, phrases[some], folded(hashes, phrases[some]) if len(some) else np.zeros(0, dtype=np.uint64), n[some]
-
-
-def _buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """One of 2**bits buckets, by other bits than ``holds`` looks at."""
-    return (hashes >> U64(64 - bits)).astype(np.int64)
+                if size == 1:
+                    here[ends] = which
+                if size in sizes:
+                    n = np.bincount(which[ends >= fresh], minlength=len(phrases))
+                    some = np.flatnonzero(n)
+                    yield lang, words, phrases[some], hashes[some], n[some]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -208,9 +209,9 @@ def _tallies(batches: Iterator[pa.RecordBatch], size: int, bitmaps, bits: int) -
         parts = [(int(bucket[a] >> wide), _planes(np.diff(bucket[a:b] & (1 << wide) - 1, prepend=0)), _planes(total[a:b])) for a, b in zip(start, [*start[1:], len(bucket)], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in parts], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "gaps", "n"])
 
-    for _, _, _, hashes, n in _found(batches, size, bitmaps.value):
+    for _, _, _, hashes, n in _found(batches, range(size, size + 1), bitmaps.value):
         if len(n):
-            held.append((_buckets(hashes, bits), n))
+            held.append(((hashes >> U64(64 - bits)).astype(np.int64), n))
         if sum(len(x) for x, _ in held) > TALLIED:
             yield sent()
     if held:
@@ -226,45 +227,13 @@ def _common(group: pd.DataFrame, least: int, wide: int) -> pd.DataFrame:
     return pd.DataFrame({"part": [group.part.iloc[0]], "common": [np.packbits(total >= least, bitorder="little").tobytes()]})
 
 
-def _lists(batches: Iterator[pa.RecordBatch], size: int, bitmaps, bits: int) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, n): the lengths of the lists of phrases of ``size`` words in each block, of those whose bucket is common."""
-    *known, common = bitmaps.value
-    for lang, words, phrases, hashes, n in _found(batches, size, known):
-        if common is None:
-            some = np.arange(len(n))
-        else:
-            bucket = _buckets(hashes, bits)
-            some = np.flatnonzero((common[bucket >> 6] >> (bucket & 63).astype(np.uint64)) & U64(1))
-        for first in range(0, len(some), SENT):
-            here = some[first : first + SENT]
-            said = [b" ".join([words[i] for i in p]) for p in phrases[here].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(here), pa.string()), pa.array(said, pa.binary()).cast(pa.string()), pa.array(n[here], pa.int64())], names=["lang", "phrase", "n"])
-
-
-def _bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """(at, set): words of 64 bits of a bitmap of phrases."""
-    for batch in batches:
-        found = []
-        for lang, phrase in zip(column(batch, "lang"), text_bytes(batch, "phrase"), strict=True):
-            seed = zlib.crc32(lang.encode())
-            words = np.array([spread(w, seed) for w in phrase.split(b" ")], dtype=np.uint64)
-            found.append(folded(words, np.arange(len(words))[None, :])[0])
-        at = np.unique(np.array(found, dtype=np.uint64) & U64(bits - 1))
-        index = (at >> U64(6)).astype(np.int64)
-        first = np.flatnonzero(np.diff(index, prepend=-1)) if len(index) else np.zeros(0, dtype=np.int64)
-        value = np.bitwise_or.reduceat(U64(1) << (at & U64(63)), first) if len(at) else np.zeros(0, dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(index[first], pa.int64()), pa.array(value.view(np.int64), pa.int64())], names=["at", "set"])
-
-
-def _bitmap(frequent: DataFrame, most: int) -> np.ndarray:
-    """A bitmap of a level's phrases, some sixteen bits for each up to ``most`` in all."""
-    bits = 1 << 12
-    while bits < most and bits < 16 * frequent.count():
-        bits *= 2
-    rows = frequent.select("lang", "phrase").mapInArrow(partial(_bits, bits=bits), "at long, set long").groupBy("at").agg(F.bit_or("set").alias("set")).toArrow()
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    out[rows.column("at").to_numpy()] = rows.column("set").to_numpy().view(np.uint64)
-    return out
+def _lists(batches: Iterator[pa.RecordBatch], longest: int, bitmaps) -> Iterator[pa.RecordBatch]:
+    """(lang, size, phrase, n): the lengths of the lists of phrases of up to ``longest`` words in each block, of those whose bucket is common."""
+    for lang, words, phrases, _, n in _found(batches, range(1, longest + 1), bitmaps.value):
+        for first in range(0, len(n), SENT):
+            here = phrases[first : first + SENT]
+            said = pa.array([b" ".join([words[i] for i in p]) for p in here.tolist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(here), pa.string()), pa.array([here.shape[1]] * len(here), pa.int32()), said, pa.array(n[first : first + SENT], pa.int64())], names=["lang", "size", "phrase", "n"])
 
 
 def _tallied(lists: DataFrame, size: int, bitmaps, bits: int, least: int) -> np.ndarray:
@@ -279,22 +248,18 @@ def _tallied(lists: DataFrame, size: int, bitmaps, bits: int, least: int) -> np.
 
 
 # ---------------------------------------------------------------- operators
-def frequent_phrases(blocks: DataFrame, longest: int = 4, least: int = 30, bitmap_bits: int = BITMAP) -> list[DataFrame]:
-    """(lang, phrase, a) of the phrases of 1, 2, ... ``longest`` words that occur ``least`` times or more, a table for each length."""
+def frequent_phrases(blocks: DataFrame, longest: int = 4, least: int = 30, bitmap_bits: int = BITMAP) -> DataFrame:
+    """(lang, size, phrase, a) of the phrases of 1, 2, ... ``longest`` words that occur ``least`` times or more, as a table."""
     spark = blocks.sparkSession
-    sc = spark.sparkContext
     lists = blocks.select("lang", "fresh", "words", "many", "at")
     words = blocks.agg(F.sum("n")).head()[0] or 0
     bits = max(RANGES + 6, min(bitmap_bits, int(words)).bit_length() - 1)
-    levels, bitmaps = [], []
-    for size in range(1, longest + 1):
-        with small_batches(spark, 4):
-            common = _tallied(lists, size, sc.broadcast(bitmaps), bits, least) if size <= TALLY else None
-            counted = lists.mapInArrow(partial(_lists, size=size, bitmaps=sc.broadcast([*bitmaps, common]), bits=bits), "lang string, phrase string, n long")
-            levels.append(materialize(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"phrases-{size}"))
-        if size < longest:
-            bitmaps.append(_bitmap(levels[-1], bitmap_bits))
-    return levels
+    bitmaps: list[np.ndarray] = []
+    with small_batches(spark, 4):
+        for size in range(1, longest + 1):
+            bitmaps.append(_tallied(lists, size, spark.sparkContext.broadcast(list(bitmaps)), bits, least))
+        counted = lists.mapInArrow(partial(_lists, longest=longest, bitmaps=spark.sparkContext.broadcast(bitmaps)), "lang string, size int, phrase string, n long")
+        return materialize(counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrases")
 
 
 def collocations(docs: DataFrame, longest: int = 4, least: int = 30, best: int = 2000, percent: int = 80, block: int = BLOCK, bitmap_bits: int = BITMAP) -> DataFrame:
@@ -305,19 +270,13 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, best: int =
     schema = "lang string, fresh int, n long, words array<binary>, many binary, at binary"
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     blocks = materialize(rows.mapInArrow(partial(_blocks, longest=longest, block=block), schema), "blocks")
-    levels = frequent_phrases(blocks, longest, least, bitmap_bits)
+    phrases = frequent_phrases(blocks, longest, least, bitmap_bits)
     totals = materialize(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     discard(blocks)
 
-    def union(tables: list[DataFrame]) -> DataFrame:
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.unionByName(t)
-        return out
-
     words = F.split("phrase", "\x20", -1)
     joined = lambda first, size: F.array_join(F.slice("words", first, size), " ")
-    candidates = union(levels[1:]).withColumn("words", words).withColumn("size", F.size("words"))
+    candidates = phrases.where("size > 1").withColumn("words", words)
     # all that a longer phrase holds is held by one of a word more, which is as frequent at least
     inner = candidates.where("size > 2").select("lang", "a", F.explode(F.array(joined(F.lit(1), F.col("size") - 1), joined(F.lit(2), F.col("size") - 1))).alias("phrase"))
     tops = inner.groupBy("lang", "phrase").agg(F.max("a").alias("top"))
@@ -325,7 +284,7 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, best: int =
 
     cut = left.select("lang", "phrase", "a", "words", "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cut = cut.select("lang", "phrase", "a", "k", joined(F.lit(1), F.col("k")).alias("head"), joined(F.col("k") + 1, F.col("size") - F.col("k")).alias("tail"))
-    parts = union(levels[:-1])
+    parts = phrases.where(F.col("size") < longest)
     cut = cut.join(parts.select("lang", F.col("phrase").alias("head"), F.col("a").alias("l")), ["lang", "head"])
     cut = cut.join(parts.select("lang", F.col("phrase").alias("tail"), F.col("a").alias("r")), ["lang", "tail"])
     score = F.expr("cast(cast(a as decimal(20, 0)) * 2000000 div (cast(l as decimal(20, 0)) + r) as bigint)")
