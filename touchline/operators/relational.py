@@ -128,13 +128,18 @@ def resolve_by_priority(rows: DataFrame, maps: Sequence[tuple[str, DataFrame]],
 def history(fixtures: DataFrame, team_games: DataFrame, last: int) -> DataFrame:
     """Each fixture (match_id, team, as_of) with its team's last games strictly before as_of.
 
-    An equi-join on the team with the time as a residual condition; each fixture keeps
-    ``last`` rows at most.
+    A team's games are numbered in order, and one pass over games and fixtures together tells how many came before
+    each fixture; then an equi-join fetches the ``last`` numbers, so no fixture meets games that it does not keep.
     """
-    past = team_games.select("team", F.col("kickoff").alias("past_kickoff"), F.col("match_id").alias("past_id"), "gf", "ga")
-    met = fixtures.join(past, "team").where(F.col("past_kickoff") < F.col("as_of"))
-    age = F.row_number().over(Window.partitionBy("match_id", "team").orderBy(F.col("past_kickoff").desc(), F.col("past_id").desc()))
-    return met.withColumn("age", age).where(F.col("age") <= last)
+    games = team_games.select("team", F.col("kickoff").alias("past_kickoff"), F.col("match_id").alias("past_id"), "gf", "ga")
+    games = games.withColumn("_n", F.row_number().over(Window.partitionBy("team").orderBy("past_kickoff", "past_id")))
+    row = F.struct(*fixtures.columns)
+    both = fixtures.select("team", F.col("as_of").alias("_at"), F.lit(0).alias("_game"), row.alias("_row"))
+    both = both.unionByName(games.select("team", F.col("past_kickoff").alias("_at"), F.lit(1).alias("_game"), F.lit(None).cast(fixtures.schema).alias("_row")))
+    before = F.sum("_game").over(Window.partitionBy("team").orderBy("_at", "_game").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    asked = both.withColumn("_before", before).where("_game = 0 and _before > 0")
+    asked = asked.select("_row.*", "_before", F.explode(F.sequence(F.greatest(F.col("_before") - last + 1, F.lit(1)), F.col("_before"))).alias("_n"))
+    return asked.join(games, ["team", "_n"]).withColumn("age", (F.col("_before") - F.col("_n") + 1).cast("int")).select(*fixtures.columns, "past_kickoff", "past_id", "gf", "ga", "age")
 
 
 def ordered_pairs(teams: DataFrame) -> DataFrame:
