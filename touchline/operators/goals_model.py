@@ -11,6 +11,7 @@ replicates) are one aggregation with a wider key and run side by side.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -211,22 +212,32 @@ def score_grid(lam: Column, mu: Column, rho: Column) -> Column:
 
 
 def forecasts(fixtures: DataFrame, params: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Fixtures with p_home, p_draw, p_away, expected goals of both sides and the score grid (6 digits)."""
-    rated = expected_goals(fixtures, params, by).withColumn("_grid", score_grid(F.col("lam"), F.col("mu"), F.col("rho")))
-    plus = lambda s, p: s + p
-    sum_where = lambda keep: F.aggregate(F.flatten(F.transform("_grid", lambda r, x: F.transform(r, lambda p, y: F.when(keep(x, y), p).otherwise(0.0)))), F.lit(0.0), plus)
-    goals = lambda of: F.aggregate(F.flatten(F.transform("_grid", lambda r, x: F.transform(r, lambda p, y: p * of(x, y)))), F.lit(0.0), plus)
+    """Fixtures with p_home, p_draw, p_away, expected goals of both sides and the score grid (6 digits).
+
+    But for the four corrected scores both sides' goals are independent, so chances and expectations come from
+    sums over each side's goals alone, in generated code; the grid's cells are made only where it is asked for.
+    """
+    rated = expected_goals(fixtures, params, by).withColumns({"_h": _poisson(F.col("lam")), "_a": _poisson(F.col("mu"))})
+    goals = range(MAX_GOALS + 1)
+    h, a = ([F.col(c)[g] for g in goals] for c in ("_h", "_a"))
+    corner = {(x, y): h[x] * a[y] * (F.greatest(numbers.low_score_factor(F.lit(x), F.lit(y), F.col("lam"), F.col("mu"), F.col("rho")), F.lit(0.0)) - 1) for x in (0, 1) for y in (0, 1)}
+    plus = lambda terms: reduce(lambda s, t: s + t, terms)
+    sums = {"_hs": plus(h), "_as": plus(a), "_hg": plus(h[g] * g for g in goals), "_ag": plus(a[g] * g for g in goals), **{f"_c{x}{y}": c for (x, y), c in corner.items()}}
+    rated = rated.withColumns(sums)
+    c = {k: F.col(f"_c{k[0]}{k[1]}") for k in corner}
+    total = F.col("_hs") * F.col("_as") + plus(c.values())
+    ahead = lambda own, other: plus(own[g] * plus(other[k] for k in range(g)) for g in goals if g)
     out = rated.withColumns(
         {
-            "p_home": sum_where(lambda x, y: x > y),
-            "p_draw": sum_where(lambda x, y: x == y),
-            "p_away": sum_where(lambda x, y: x < y),
-            "goals_home": goals(lambda x, y: x),
-            "goals_away": goals(lambda x, y: y),
-            "grid": F.transform("_grid", lambda r: F.transform(r, lambda p: F.bround(p, 6))),
+            "p_home": (ahead(h, a) + c[1, 0]) / total,
+            "p_draw": (plus(h[g] * a[g] for g in goals) + c[0, 0] + c[1, 1]) / total,
+            "p_away": (ahead(a, h) + c[0, 1]) / total,
+            "goals_home": (F.col("_hg") * F.col("_as") + c[1, 0] + c[1, 1]) / total,
+            "goals_away": (F.col("_ag") * F.col("_hs") + c[0, 1] + c[1, 1]) / total,
+            "grid": F.transform(score_grid(F.col("lam"), F.col("mu"), F.col("rho")), lambda r: F.transform(r, lambda p: F.bround(p, 6))),
         }
     )
-    return out.drop("_grid")
+    return out.drop("_h", "_a", *sums)
 
 
 def log_likelihood(matches: DataFrame, params: DataFrame, rate: float) -> DataFrame:
