@@ -9,8 +9,8 @@ else its members are allowed.  A rule that fits a url itself always decides.
 
 Edges are read from the pages (all canonical links and refresh redirects outside comments,
 scripts and styles, resolved against the page's url or its first ``base`` tag) and from an
-optional table of redirects.  Fragments do not part urls; numeric references and the five named
-ones of XML are decoded in targets.
+optional table of redirects.  Fragments do not part urls; character references that end in a
+semicolon are decoded in targets.
 
 Rules are a table of any size.  A url meets them by two joins: its host's endings, as many as
 rules have labels, with the rules' hosts, which say how long their paths are; then host and path
@@ -24,8 +24,11 @@ empty table gives none; other columns are ignored.
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,24 +80,21 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(F.translate(head, _UPPER, _LOWER), rest))
 
 
-def decoded(x: Column) -> Column:
-    """A text with numeric character references, and ``&amp;``, ``&lt;``, ``&gt;``, ``&quot;`` and ``&apos;``, as the characters they stand for."""
-    reference = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);"
-    named = F.create_map(*[F.lit(v) for pair in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")) for v in pair])
+REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);")
+
 
-    def one(part: Column) -> Column:
-        name, rest = F.regexp_extract(part, r"^&([^;]*);", 1), F.regexp_extract(part, r"(?s)^&[^;]*;(.*)$", 1)
-        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("int")
-        # no character: surrogates and what is beyond the last one
-        sign = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
-        return F.when(part.rlike("^" + reference), F.concat(F.when(name.startswith("#"), sign).otherwise(F.try_element_at(named, name)), rest)).otherwise(part)
+def _decoded(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: REFERENCE.sub(lambda m: html.unescape(m[0]), t) if t and "&" in t else t)
 
-    return F.array_join(F.transform(F.split(x, f"(?={reference})"), one), "")
+
+def decoded(x: Column) -> Column:
+    """A text with the character references that end in a semicolon as the characters they stand for."""
+    return F.pandas_udf(_decoded, "string")(x)
 
 
 def _targets(tags: Column, kind: str, value: str) -> Column:
     """The references of all ``tags`` of a kind."""
-    return F.transform(F.filter(tags, lambda t: t.rlike(kind)), lambda t: decoded(F.regexp_extract(t, value, 1)))
+    return F.transform(F.filter(tags, lambda t: t.rlike(kind)), lambda t: F.regexp_extract(t, value, 1))
 
 
 def _without_dots(path: Column) -> Column:
@@ -124,12 +124,13 @@ def link_edges(pages: DataFrame) -> DataFrame:
     some = pages.where(F.col("html").rlike("(?i)canonical|http-equiv"))
     said = F.regexp_replace(F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", ""), r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)", "")
     some = some.select("url", said.alias("html"))
-    base = decoded(F.regexp_extract(F.regexp_extract("html", r"(?is)<base\b[^>]*\bhref\b[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    base = F.regexp_extract(F.regexp_extract("html", r"(?is)<base\b[^>]*\bhref\b[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     links = F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*>"), F.lit(0))
     metas = F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
     canonical = _targets(links, r"(?is)\brel\s*=\s*[\"']?canonical\b", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
     refresh = _targets(metas, r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)")
     to = some.select("url", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("to")).where("to <> ''")
+    to = to.select("url", decoded(F.col("base")).alias("base"), decoded(F.col("to")).alias("to"))
     to = to.withColumn("from", F.when(F.col("base") != "", F.coalesce(resolved(F.col("url"), F.col("base")), F.col("url"))).otherwise(F.col("url")))
     return to.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("from"), F.col("to"))).alias("b")).where("a is not null and b is not null and a <> b")
 
