@@ -21,3 +21,15 @@ def test_catalogue(spark):
     got = {r.name: (r.kind, r.columns) for r in ky.catalogue_tables(spark).collect()}
     assert got["three_rows"] == ("TEMPORARY", 1)
     spark.catalog.dropTempView("three_rows")
+
+
+def test_only_columns_within_bounds_are_grouped(spark):
+    wide = spark.range(50).selectExpr("id as k", *[f"id % {i % 20 + 1} as c{i}" for i in range(70)], "cast(id as string) as s", "id + 1000 as far", "timestamp_micros(id) as t")
+    narrow = spark.range(20).selectExpr("cast(id as int) as k", "timestamp_micros(id * 2) as t", "cast(null as int) as none", "unhex('ff') as b")
+    tables = {"wide": wide, "narrow": narrow}
+    got = ky.inclusions(tables, {"wide.k", "narrow.k", "narrow.t", "wide.t", "wide.s"})
+    found = {(r.child, r.parent): r.n for r in got.collect()}
+    want = {(f"wide.c{i}", parent): i % 20 + 1 for i in range(70) for parent in ("wide.k", "narrow.k")}
+    assert found == want | {("narrow.k", "wide.k"): 20, ("narrow.t", "wide.t"): 20}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "bit_or" in plan and "wide.far" not in plan and "wide.s" not in plan
