@@ -90,6 +90,34 @@ def test_long_pieces_are_cut_without_loss(monkeypatch, spark):
         assert n["b c d a"] == 100
 
 
+@pytest.mark.parametrize("merged,clash", [(1 << 20, False), (1 << 20, True), (50, False)])
+def test_a_task_sends_each_phrase_once_and_packed(monkeypatch, merged, clash):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") * 8 for _ in range(3000)) for _ in range(4)]
+    langs = ["en", "fr", "en", "en"]
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts)], names=["lang", "text"])
+    blocks = list(collocations._blocks(iter([batch]), 4, 1000))
+    want = collections.Counter()
+    for lang, t in zip(langs, texts, strict=True):
+        words = t.split(" ")
+        want.update((lang, k, " ".join(words[i : i + k])) for k in range(1, 5) for i in range(len(words) - k + 1))
+    every = type("All", (), {"value": [np.full(1 << 10, 2**64 - 1, dtype=np.uint64)] * 4})
+    monkeypatch.setattr(collocations, "MERGED", merged, raising=False)
+    if clash:  # different phrases with one hash
+        monkeypatch.setattr(collocations, "folded", lambda words, phrases: np.zeros(len(phrases), dtype=np.uint64))
+    got, rows = collections.Counter(), 0
+    for out in collocations._lists(iter(blocks), 4, every):
+        for r in out.to_pylist():
+            got[r["lang"], r["size"], r["phrase"]] += r["n"]
+            rows += 1
+    assert got == want
+    if merged > 50 and not clash:
+        assert rows == len(want)
+        assert sum(out.nbytes for out in collocations._packed(iter(blocks), 4, 3, every)) < 4 * len(want)
+
+
 # ------------------------------------------------------------------ codec
 def test_codec_equals_the_library(spark):
     rng = random.Random(4)

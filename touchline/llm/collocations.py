@@ -16,7 +16,9 @@ What is not frequent is never extended, and its list's length is not sent as a p
 lengths are first tallied by buckets of hashes, a byte or two each, and a bitmap tells the buckets that come
 to the least frequency.  A list is extended only if the bucket of its phrase, and that of the phrase without
 the first word of what comes out, are common; in the end the phrases of all lengths in common buckets are
-counted by themselves, in one pass.  A bitmap has ``BITMAP`` bits at most, so what is broadcast is bounded
+counted by themselves, in one pass.  A task merges their counts and sends them packed: in order, as small
+differences of numbers of words, by their first two words; what comes together is merged before phrases are
+texts again, and a ``groupBy`` of those gives the sums.  A bitmap has ``BITMAP`` bits at most, so what is broadcast is bounded
 whatever the corpus; on a corpus far larger than that they rule out less.  A false positive costs an idle
 list, never a result: what is frequent is decided by exact sums of phrases themselves.
 
@@ -51,6 +53,10 @@ BLOCK = 1 << 18
 RANGES = 8
 #: Phrases of which a task merges the tallies before it sends them.
 TALLIED = 1 << 21
+#: Phrases of which a task merges the counts before it sends them.
+MERGED = 1 << 20
+#: Least and most parts that packed phrases are dealt to.
+PARTITIONS = 24, 1024
 #: Phrases that leave a task at once.
 SENT = 1 << 15
 #: Bits of the largest bitmap: 16 MB.
@@ -72,6 +78,43 @@ class _Numbers(dict):
         return n
 
 
+# ---------------------------------------------------------------- small numbers
+def _zipped(x: bytes) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True) if x else b""
+
+
+def _unzipped(x: bytes) -> bytes:
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) if x else b""
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Small whole numbers byte by byte, all first bytes first: mostly zeros, which compression makes small."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(x: bytes) -> np.ndarray:
+    """What ``_planes`` was given."""
+    return np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def _gaps(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Values that ascend in runs as differences; ``first`` tells where each run begins."""
+    return np.where(first, x, np.diff(x, prepend=0))
+
+
+def _sums(gaps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What ``_gaps`` was given."""
+    total, start = np.cumsum(gaps), np.flatnonzero(first)
+    return total - np.repeat(total[start] - gaps[start], np.diff(start, append=len(gaps)))
+
+
+def _starts(many: np.ndarray) -> np.ndarray:
+    """Where each of the runs of ``many`` values, none of them empty, begins."""
+    out = np.zeros(int(many.sum()), dtype=bool)
+    out[np.cumsum(many) - many] = True
+    return out
+
+
 # ---------------------------------------------------------------- blocks
 class Block:
     """The words of one language that a task has read and not yet written."""
@@ -92,10 +135,11 @@ class Block:
         ids, sizes = np.array(self.ids, dtype=np.int64), np.array(self.sizes, dtype=np.int64)
         at = np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)  # a gap of one after each piece
         many = np.bincount(ids, minlength=len(self.number))
-        return [lang, self.fresh, int((at >= self.fresh).sum()), list(self.number), many.astype("<i4").tobytes(), at[np.argsort(ids, kind="stable")].astype("<i4").tobytes()]
+        lists = _gaps(at[np.argsort(ids, kind="stable")], _starts(many))
+        return [lang, self.fresh, int((at >= self.fresh).sum()), _zipped(b"\x20".join(self.number)), _zipped(_planes(many)), _zipped(_planes(lists))]
 
 
-FIELDS = {"lang": pa.string(), "fresh": pa.int32(), "n": pa.int64(), "words": pa.list_(pa.binary()), "many": pa.binary(), "at": pa.binary()}
+FIELDS = {"lang": pa.string(), "fresh": pa.int32(), "n": pa.int64(), "words": pa.binary(), "many": pa.binary(), "at": pa.binary()}
 
 
 def _written(rows: list[list]) -> pa.RecordBatch:
@@ -159,9 +203,10 @@ def _found(batches: Iterator[pa.RecordBatch], sizes: range, known: list[np.ndarr
         for one in (batch.slice(i, 1) for i in range(batch.num_rows)):  # a block at a time
             lang, fresh, words, many, at = (column(one, c)[0] for c in ("lang", "fresh", "words", "many", "at"))
             seed = zlib.crc32(lang.encode())
-            ends = np.frombuffer(at, "<i4").astype(np.int64)
+            words, many = _unzipped(words).split(b"\x20"), _numbers(_unzipped(many))
+            ends = _sums(_numbers(_unzipped(at)), _starts(many))
             phrases = np.arange(len(words))[:, None]
-            which = np.repeat(np.arange(len(words)), np.frombuffer(many, "<i4"))  # of which phrase each occurrence is
+            which = np.repeat(np.arange(len(words)), many)  # of which phrase each occurrence is
             spreads = np.array([spread(w, seed) for w in words], dtype=np.uint64)
             here = np.full(int(ends.max()) + 2, -1, dtype=np.int64)
             for size in range(1, sizes.stop):
@@ -188,11 +233,6 @@ def _found(batches: Iterator[pa.RecordBatch], sizes: range, known: list[np.ndarr
                     yield lang, words, phrases[some], hashes[some], n[some]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Small whole numbers byte by byte, all first bytes first: mostly zeros, which what compresses shuffles makes small."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
 def _tallies(batches: Iterator[pa.RecordBatch], size: int, bitmaps, bits: int) -> Iterator[pa.RecordBatch]:
     """(part, gaps, n): how often each bucket of a range has a phrase in a task's blocks; gaps lead from one bucket that has any to the next."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -206,7 +246,7 @@ def _tallies(batches: Iterator[pa.RecordBatch], size: int, bitmaps, bits: int) -
         first = np.flatnonzero(np.diff(every, prepend=-1))
         bucket, total = every[first], np.add.reduceat(many, first)
         start = np.flatnonzero(np.diff(bucket >> wide, prepend=-1))
-        parts = [(int(bucket[a] >> wide), _planes(np.diff(bucket[a:b] & (1 << wide) - 1, prepend=0)), _planes(total[a:b])) for a, b in zip(start, [*start[1:], len(bucket)], strict=True)]
+        parts = [(int(bucket[a] >> wide), _zipped(_planes(np.diff(bucket[a:b] & (1 << wide) - 1, prepend=0))), _zipped(_planes(total[a:b]))) for a, b in zip(start, [*start[1:], len(bucket)], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in parts], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "gaps", "n"])
 
     for _, _, _, hashes, n in _found(batches, range(size, size + 1), bitmaps.value):
@@ -222,18 +262,117 @@ def _common(group: pd.DataFrame, least: int, wide: int) -> pd.DataFrame:
     """The buckets of a range whose tallies come to ``least``, as a bitmap."""
     total = np.zeros(1 << wide, dtype=np.int64)
     for gaps, n in zip(group.gaps, group.n, strict=True):
-        bucket, many = (np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) for x in (gaps, n))
-        total[np.cumsum(bucket)] += many
+        total[np.cumsum(_numbers(_unzipped(gaps)))] += _numbers(_unzipped(n))
     return pd.DataFrame({"part": [group.part.iloc[0]], "common": [np.packbits(total >= least, bitorder="little").tobytes()]})
 
 
-def _lists(batches: Iterator[pa.RecordBatch], longest: int, bitmaps) -> Iterator[pa.RecordBatch]:
-    """(lang, size, phrase, n): the lengths of the lists of phrases of up to ``longest`` words in each block, of those whose bucket is common."""
-    for lang, words, phrases, _, n in _found(batches, range(1, longest + 1), bitmaps.value):
+class Counts:
+    """Phrases of one language, as rows of numbers of words (from 1; 0 stands after the last word), and how often each occurs."""
+
+    def __init__(self, lang: str, longest: int):
+        self.number, self.lang, self.longest = _Numbers(), lang, longest
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, words: list[bytes], phrases: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> None:
+        """Rows of numbers of ``words`` from 1 on, filled up with 0."""
+        own = np.zeros(len(words) + 1, dtype=np.int32)
+        used = np.unique(phrases)
+        used = used[used > 0]
+        own[used] = [self.number[words[i - 1]] + 1 for i in used.tolist()]
+        rows = np.zeros((len(n), self.longest), dtype=np.int32)
+        rows[:, : phrases.shape[1]] = own[phrases]
+        self.held.append((hashes, rows, n))
+
+    def merge(self) -> int:
+        """Adds up equal phrases; how many are left.  Where different phrases share a hash, some may stay apart: sums come later."""
+        hashes, rows, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        hashes, rows, n = hashes[order], rows[order], n[order]
+        new = np.ones(len(n), dtype=bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1]).any(axis=1)
+        first = np.flatnonzero(new)
+        self.held = [(hashes[first], rows[first], np.add.reduceat(n, first))]
+        return len(first)
+
+
+def _merging(found: Iterator[tuple], longest: int) -> Iterator[Counts]:
+    """Merged counts of (lang, words, phrases, hashes, n), a language at a time; no more than about ``MERGED`` phrases are held."""
+    held: dict[str, Counts] = {}
+    total = 0
+    for lang, words, phrases, hashes, n in found:
+        if len(n):
+            held.setdefault(lang, Counts(lang, longest)).add(words, phrases, hashes, n)
+            total += len(n)
+        if total > MERGED:
+            total = sum(x.merge() for x in held.values())
+            if total > MERGED // 2:
+                yield from held.values()
+                held, total = {}, 0
+    for x in held.values():
+        x.merge()
+        yield x
+
+
+def _packed(batches: Iterator[pa.RecordBatch], longest: int, parts: int, bitmaps) -> Iterator[pa.RecordBatch]:
+    """(part, lang, words, counts): the lengths of the lists of phrases of up to ``longest`` words in a task's blocks, of those whose bucket is common.
+
+    A part has the phrases with some first two words, in order, so that each column is small differences.
+    """
+    found = ((lang, words, phrases + 1, hashes, n) for lang, words, phrases, hashes, n in _found(batches, range(1, longest + 1), bitmaps.value))
+    for x in _merging(found, longest):
+        _, rows, n = x.held[0]
+        said, seed = list(x.number), zlib.crc32(x.lang.encode())
+        spreads = np.array([0, *(spread(w, seed) for w in said)], dtype=np.uint64)
+        part = (folded(spreads, rows[:, :2]) % U64(parts)).astype(np.int64)
+        order = np.lexsort((*rows.T[::-1], part))
+        part, rows, n = part[order], rows[order], n[order]
+        start = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(start, [*start[1:], len(part)], strict=True):
+            used, own = np.unique(rows[a:b], return_inverse=True)
+            own = own.reshape(b - a, longest) + (used[0] > 0)
+            first, columns = np.zeros(b - a, dtype=bool), []
+            first[0] = True
+            for k in range(longest):
+                columns.append(_planes(_gaps(own[:, k], first)))
+                first = first | (np.diff(own[:, k], prepend=-1) != 0)
+            words = b"\x20".join([said[i - 1] for i in used.tolist() if i])
+            row = (int(part[a]), x.lang, _zipped(words), _zipped(b"".join([*columns, _planes(n[a:b])])))
+            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["part", "lang", "words", "counts"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+    """(lang, size, phrase, n): what tasks have packed, merged."""
+
+    def found() -> Iterator[tuple]:
+        for batch in batches:
+            for lang, words, counts in zip(*(column(batch, c) for c in ("lang", "words", "counts")), strict=True):
+                *gaps, n = _numbers_of_rows(_unzipped(counts), longest + 1)
+                rows, first = np.zeros((len(n), longest), dtype=np.int64), np.zeros(len(n), dtype=bool)
+                first[0] = True
+                for k in range(longest):
+                    rows[:, k] = _sums(gaps[k], first)
+                    first = first | (np.diff(rows[:, k], prepend=-1) != 0)
+                said, seed = _unzipped(words).split(b"\x20"), zlib.crc32(lang.encode())
+                spreads = np.array([0, *(spread(w, seed) for w in said)], dtype=np.uint64)
+                yield lang, said, rows, folded(spreads, rows), n
+
+    for x in _merging(found(), longest):
+        _, rows, n = x.held[0]
+        words, sizes = list(x.number), (rows > 0).sum(axis=1)
         for first in range(0, len(n), SENT):
-            here = phrases[first : first + SENT]
-            said = pa.array([b" ".join([words[i] for i in p]) for p in here.tolist()], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(here), pa.string()), pa.array([here.shape[1]] * len(here), pa.int32()), said, pa.array(n[first : first + SENT], pa.int64())], names=["lang", "size", "phrase", "n"])
+            here, size = rows[first : first + SENT] - 1, sizes[first : first + SENT]
+            said = pa.array([b"\x20".join([words[i] for i in p[:k]]) for p, k in zip(here.tolist(), size.tolist(), strict=True)], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x.lang] * len(here), pa.string()), pa.array(size, pa.int32()), said, pa.array(n[first : first + SENT], pa.int64())], names=["lang", "size", "phrase", "n"])
+
+
+def _numbers_of_rows(x: bytes, columns: int) -> list[np.ndarray]:
+    wide = len(x) // columns
+    return [_numbers(x[k * wide : (k + 1) * wide]) for k in range(columns)]
+
+
+def _lists(batches: Iterator[pa.RecordBatch], longest: int, bitmaps) -> Iterator[pa.RecordBatch]:
+    """Packed and unpacked in one task."""
+    return _unpacked(_packed(batches, longest, 1, bitmaps), longest)
 
 
 def _tallied(lists: DataFrame, size: int, bitmaps, bits: int, least: int) -> np.ndarray:
@@ -258,7 +397,9 @@ def frequent_phrases(blocks: DataFrame, longest: int = 4, least: int = 30, bitma
     with small_batches(spark, 4):
         for size in range(1, longest + 1):
             bitmaps.append(_tallied(lists, size, spark.sparkContext.broadcast(list(bitmaps)), bits, least))
-        counted = lists.mapInArrow(partial(_lists, longest=longest, bitmaps=spark.sparkContext.broadcast(bitmaps)), "lang string, size int, phrase string, n long")
+        parts = min(max(PARTITIONS[0], int(words) >> 24), PARTITIONS[1])
+        packed = lists.mapInArrow(partial(_packed, longest=longest, parts=parts, bitmaps=spark.sparkContext.broadcast(bitmaps)), "part int, lang string, words binary, counts binary")
+        counted = packed.repartition(parts, "part").mapInArrow(partial(_unpacked, longest=longest), "lang string, size int, phrase string, n long")
         return materialize(counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrases")
 
 
@@ -267,7 +408,7 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, best: int =
 
     A phrase that a longer one of at least ``percent`` hundredths of its frequency holds is left out.
     """
-    schema = "lang string, fresh int, n long, words array<binary>, many binary, at binary"
+    schema = "lang string, fresh int, n long, words binary, many binary, at binary"
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     blocks = materialize(rows.mapInArrow(partial(_blocks, longest=longest, block=block), schema), "blocks")
     phrases = frequent_phrases(blocks, longest, least, bitmap_bits)
