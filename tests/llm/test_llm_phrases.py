@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -118,6 +119,39 @@ def test_a_task_sends_each_phrase_once_and_packed(monkeypatch, merged, clash):
         assert sum(out.nbytes for out in collocations._packed(iter(blocks), 4, 3, every)) < 4 * len(want)
 
 
+def test_each_bitmap_is_sent_once(monkeypatch, spark):
+    sent, send = [], type(spark.sparkContext).broadcast
+
+    def recorded(self, value):
+        sent.append(send(self, value))
+        sizes.append(os.path.getsize(sent[-1]._path))
+        return sent[-1]
+
+    sizes: list[int] = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", recorded)
+    rng = random.Random(6)
+    rows = [("en", " ".join(f"w{int(rng.paretovariate(1))}" for _ in range(2000))) for _ in range(70)]
+    bits = 1 << (140_000).bit_length() - 1
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(3), least=12)
+    assert sorted(map(tuple, got.collect())) == brute_phrases(rows, 4, 12, 2000)
+    assert sum(sizes) < 4 * bits // 8 + 4096  # of 1, 2, 3 and 4 words
+    assert not any(os.path.exists(x._path) for x in sent)
+
+
+def test_a_task_sends_each_bucket_once(monkeypatch):
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 9), pa.array([" . ".join(words)] * 9)], names=["lang", "text"])
+    blocks = list(collocations._blocks(iter([batch.slice(i, 1) for i in range(9)]), 4, 40))
+    assert len(blocks) == 9
+    none = type("None", (), {"value": []})
+    monkeypatch.setattr(collocations, "TALLIED", 100)
+    rows = [r for out in collocations._tallies(iter(blocks), 1, none, 27) for r in out.to_pylist()]
+    n = [k for r in rows for k in collocations._numbers(collocations._unzipped(r["n"])).tolist()]
+    assert n == [9] * 40
+
+
 # ------------------------------------------------------------------ codec
 def test_codec_equals_the_library(spark):
     rng = random.Random(4)

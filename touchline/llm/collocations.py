@@ -18,8 +18,8 @@ to the least frequency.  A list is extended only if the bucket of its phrase, an
 the first word of what comes out, are common; in the end the phrases of all lengths in common buckets are
 counted by themselves, in one pass.  A task merges their counts and sends them packed: in order, as small
 differences of numbers of words, by their first two words; what comes together is merged before phrases are
-texts again, and a ``groupBy`` of those gives the sums.  A bitmap has ``BITMAP`` bits at most, so what is broadcast is bounded
-whatever the corpus; on a corpus far larger than that they rule out less.  A false positive costs an idle
+texts again, and a ``groupBy`` of those gives the sums.  A bitmap has ``BITMAP`` bits at most and is broadcast
+once, compressed, so what is broadcast is bounded whatever the corpus; on a corpus far larger than that they rule out less.  A false positive costs an idle
 list, never a result: what is frequent is decided by exact sums of phrases themselves.
 
 Scores, the domination of phrases by longer ones and ranks are DataFrame operations with decimals of
@@ -42,7 +42,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BASE, U64, column, discard, materialize, mix64, small_batches, text_bytes
@@ -52,9 +53,9 @@ BLOCK = 1 << 18
 #: Ranges of buckets, as a power of two; each is tallied in one task.
 RANGES = 8
 #: Phrases of which a task merges the tallies before it sends them.
-TALLIED = 1 << 21
+TALLIED = 1 << 22
 #: Phrases of which a task merges the counts before it sends them.
-MERGED = 1 << 20
+MERGED = 1 << 21
 #: Least and most parts that packed phrases are dealt to.
 PARTITIONS = 24, 1024
 #: Phrases that leave a task at once.
@@ -191,6 +192,25 @@ def common(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) > 0
 
 
+class Bitmaps:
+    """Bitmaps of the common buckets of 1, 2 ... words; each is broadcast once and compressed, so a machine holds one file of each."""
+
+    def __init__(self, sent: tuple[Broadcast, ...] = ()):
+        self.sent = sent
+
+    def and_one(self, spark: SparkSession, bitmap: np.ndarray) -> Bitmaps:
+        return Bitmaps((*self.sent, spark.sparkContext.broadcast(_zipped(bitmap.tobytes()))))
+
+    @property
+    def value(self) -> list[np.ndarray]:
+        return [np.frombuffer(_unzipped(x.value), "<u8") for x in self.sent]
+
+    def discard(self) -> None:
+        """Delete the files that nothing reads any more."""
+        for x in self.sent:
+            x.destroy()
+
+
 Found = tuple[str, list[bytes], np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -236,34 +256,42 @@ def _found(batches: Iterator[pa.RecordBatch], sizes: range, known: list[np.ndarr
 def _tallies(batches: Iterator[pa.RecordBatch], size: int, bitmaps, bits: int) -> Iterator[pa.RecordBatch]:
     """(part, gaps, n): how often each bucket of a range has a phrase in a task's blocks; gaps lead from one bucket that has any to the next."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    wide = bits - RANGES
+    wide, total = bits - RANGES, 0
 
-    def sent() -> pa.RecordBatch:
+    def merge() -> int:
         every, many = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
         order = np.argsort(every, kind="stable")
         every, many = every[order], many[order]
         first = np.flatnonzero(np.diff(every, prepend=-1))
-        bucket, total = every[first], np.add.reduceat(many, first)
+        held[:] = [(every[first], np.add.reduceat(many, first))]
+        return len(first)
+
+    def sent() -> pa.RecordBatch:
+        bucket, total = held.pop()
         start = np.flatnonzero(np.diff(bucket >> wide, prepend=-1))
         parts = [(int(bucket[a] >> wide), _zipped(_planes(np.diff(bucket[a:b] & (1 << wide) - 1, prepend=0))), _zipped(_planes(total[a:b]))) for a, b in zip(start, [*start[1:], len(bucket)], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in parts], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "gaps", "n"])
 
     for _, _, _, hashes, n in _found(batches, range(size, size + 1), bitmaps.value):
         if len(n):
-            held.append(((hashes >> U64(64 - bits)).astype(np.int64), n))
-        if sum(len(x) for x, _ in held) > TALLIED:
-            yield sent()
+            held.append(((hashes >> U64(64 - bits)).astype(np.int32), n))
+            total += len(n)
+        if total > TALLIED:
+            total = merge()
+            if total > TALLIED // 2:
+                yield sent()
+                total = 0
     if held:
+        merge()
         yield sent()
 
 
 def _common(group: pd.DataFrame, least: int, wide: int) -> pd.DataFrame:
-    """The buckets of a range whose tallies come to ``least``, as a bitmap."""
+    """The buckets of a range whose tallies come to ``least``, as a bitmap, compressed."""
     total = np.zeros(1 << wide, dtype=np.int64)
     for gaps, n in zip(group.gaps, group.n, strict=True):
         total[np.cumsum(_numbers(_unzipped(gaps)))] += _numbers(_unzipped(n))
-    return pd.DataFrame({"part": [group.part.iloc[0]], "common": [np.packbits(total >= least, bitorder="little").tobytes()]})
+    return pd.DataFrame({"part": [group.part.iloc[0]], "common": [_zipped(np.packbits(total >= least, bitorder="little").tobytes())]})
 
 
 class Counts:
@@ -375,14 +403,14 @@ def _lists(batches: Iterator[pa.RecordBatch], longest: int, bitmaps) -> Iterator
     return _unpacked(_packed(batches, longest, 1, bitmaps), longest)
 
 
-def _tallied(lists: DataFrame, size: int, bitmaps, bits: int, least: int) -> np.ndarray:
+def _tallied(lists: DataFrame, size: int, bitmaps: Bitmaps, bits: int, least: int) -> np.ndarray:
     """A bitmap of the buckets of phrases of ``size`` words that come to ``least``."""
     tallies = lists.mapInArrow(partial(_tallies, size=size, bitmaps=bitmaps, bits=bits), "part int, gaps binary, n binary")
     found = tallies.groupBy("part").applyInPandas(partial(_common, least=least, wide=bits - RANGES), "part int, common binary").toArrow()
     out = np.zeros((1 << bits) // 64, dtype=np.uint64)
     for part, bitmap in zip(found.column("part").to_pylist(), found.column("common").to_pylist(), strict=True):
-        at = part << bits - RANGES - 6
-        out[at : at + len(bitmap) // 8] = np.frombuffer(bitmap, "<u8")
+        at, own = part << bits - RANGES - 6, np.frombuffer(_unzipped(bitmap), "<u8")
+        out[at : at + len(own)] = own
     return out
 
 
@@ -393,14 +421,16 @@ def frequent_phrases(blocks: DataFrame, longest: int = 4, least: int = 30, bitma
     lists = blocks.select("lang", "fresh", "words", "many", "at")
     words = blocks.agg(F.sum("n")).head()[0] or 0
     bits = max(RANGES + 6, min(bitmap_bits, int(words)).bit_length() - 1)
-    bitmaps: list[np.ndarray] = []
+    bitmaps = Bitmaps()
     with small_batches(spark, 4):
         for size in range(1, longest + 1):
-            bitmaps.append(_tallied(lists, size, spark.sparkContext.broadcast(list(bitmaps)), bits, least))
+            bitmaps = bitmaps.and_one(spark, _tallied(lists, size, bitmaps, bits, least))
         parts = min(max(PARTITIONS[0], int(words) >> 24), PARTITIONS[1])
-        packed = lists.mapInArrow(partial(_packed, longest=longest, parts=parts, bitmaps=spark.sparkContext.broadcast(bitmaps)), "part int, lang string, words binary, counts binary")
+        packed = lists.mapInArrow(partial(_packed, longest=longest, parts=parts, bitmaps=bitmaps), "part int, lang string, words binary, counts binary")
         counted = packed.repartition(parts, "part").mapInArrow(partial(_unpacked, longest=longest), "lang string, size int, phrase string, n long")
-        return materialize(counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrases")
+        phrases = materialize(counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrases")
+    bitmaps.discard()
+    return phrases
 
 
 def collocations(docs: DataFrame, longest: int = 4, least: int = 30, best: int = 2000, percent: int = 80, block: int = BLOCK, bitmap_bits: int = BITMAP) -> DataFrame:
